@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, secrets
+from tidemark.llm import chunk_reuse, lengths, mixing, secrets, token_output
 from tidemark.session import table
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Huffman-coded ids of all documents, read back."""
+    return token_output.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text of documents."""
     return secrets.digest(table(spark, sf_dir, "documents"))
@@ -20,9 +25,20 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded lengths of all documents with totals at every context limit."""
+    return lengths.context_report(lengths.histogram(table(spark, sf_dir, "documents")))
+
+
+def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by chunks and decoded."""
+    return chunk_reuse.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {"op3_secret_scans": op3_secret_scans, "op4_source_mixing": op4_source_mixing}
+    found = (op1_token_output, op3_secret_scans, op4_source_mixing, op6_token_lengths, op10_bpe_chunk_reuse)
+    return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
