@@ -189,10 +189,10 @@ def _points(text: str, raw: bytes, cuts: list[int]) -> list[int]:
     return out
 
 
-def encode_texts(docs: DataFrame, path: str | None = None, digest: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, texts): doc_id and key of every row; key, n_tokens and ids of every different text.
+def encode_texts(docs: DataFrame, path: str | None = None, digest: bool = False) -> DataFrame:
+    """key, n_tokens and ids of every different text.
 
-    With ``digest`` texts have ids_sha256 (ids as little-endian 32-bit) and decoded_sha256 in place of the ids, so that
+    With ``digest`` they have ids_sha256 (ids as little-endian 32-bit) and decoded_sha256 in place of the ids, so that
     neither is shuffled.
     """
     path = path or default_path()
@@ -238,21 +238,23 @@ def encode_texts(docs: DataFrame, path: str | None = None, digest: bool = False)
     encoded = texts.join(own, "key").select("z", "cuts", "own").mapInArrow(fetch, "name binary, ids binary")
     routed = places.join(encoded, "name").groupBy("key").agg(F.collect_list(F.struct("i", "ids")).alias("parts"))
     form = "key binary, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids binary")
-    done = texts.join(routed, "key", "left").select("key", "z", "cuts", "parts").mapInArrow(join, form)
-    return docs.select("doc_id", text.alias("text")), done
+    return texts.join(routed, "key", "left").select("key", "z", "cuts", "parts").mapInArrow(join, form)
 
 
-def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
-    rows, done = encode_texts(docs, path, digest=True)
-    keyed = rows.select("doc_id", "text").mapInArrow(_keys, "doc_id long, key binary")
-    return keyed.join(staged(done, "chunk-ids"), "key").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+def digest(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep``, n_tokens, ids_sha256 and decoded_sha256 of each row."""
+    done = staged(encode_texts(docs, path, digest=True), "chunk-ids")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")
+    keyed = docs.select(text, "doc_id", *keep)
+    form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields[1:])
+    rows = keyed.mapInArrow(_keys, f"{form}, key binary")
+    return rows.join(done, "key").select("doc_id", *keep, "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys = [_name(t.encode()) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary())], ["doc_id", "key"])
+        keys = [_name(t.encode()) for t in b.column("_text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(keys, pa.binary())], [*b.schema.names[1:], "key"])
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -8,8 +8,9 @@
 3. A source's documents are dealt by hash to shards of about ``shard`` words, so that a source with a third of all rows
    is many shards. Its blocks are apportioned to its shards in the same way.
 4. In a shard the documents lie on a line in seeded hash order, cut into blocks. A quota takes every block
-   ``quota // blocks`` times and, of a seeded permutation of the blocks, the first ``quota % blocks`` once more. A
-   document takes what the chosen blocks cover of it.
+   ``quota // blocks`` times and, from a seeded block on and around the end, the next ``quota % blocks`` once more. A
+   document takes what the chosen blocks cover of it. The line's order is seeded already, and successive blocks leave
+   all but two documents of a shard whole.
 
 Only counts by source and by shard are gathered; documents are shuffled once, without their texts.
 
@@ -23,14 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import staged
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5, 2, 1)
 BLOCK = 64
 SHARD = 1_000_000
 REPEATS = 3
 SEED = 42
-#: A prime above any count of blocks in a shard, so that j -> (PRIME * j + b) mod blocks permutes the blocks.
-PRIME = 2147483647
 
 
 def apportion(parties: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -110,21 +111,40 @@ def mix(
     shard: int = SHARD,
     repeats: int = REPEATS,
     seed: int = SEED,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, size, source_size, target (the source's) and taken (words the mix takes, repeats counted) of each row."""
+    """doc_id, size, source_size, target (the source's) and taken (words the mix takes, repeats counted) of each row.
+
+    ``keep`` names further columns of ``docs`` to carry along.
+    """
     sized = docs.select(
         "doc_id",
         F.coalesce("source", F.lit("")).alias("source"),
         F.col("source").isNull().alias("none"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         _hashed(seed, F.col("doc_id")).alias("draw"),
+        *keep,
     )
-    return _mix_sized(sized, weights, block, shard, repeats, seed)
+    return _mix_sized(sized, weights, block, shard, repeats, seed, keep)
 
 
-def _mix_sized(sized: DataFrame, weights, block, shard, repeats, seed) -> DataFrame:
-    from tidemark.session import staged
+def apply_mix(docs: DataFrame) -> DataFrame:
+    """``docs`` as the mix takes them: a row for each time a document is taken, to the nearest whole number.
 
+    Rows of one doc_id, source and text stand for each other; together they get the times of all of them.
+    """
+    null = F.lit("null")
+    key = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), null) for c in ("doc_id", "source", "text")]))
+    keyed = docs.withColumn("_key", key)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
+    wanted = mix(keyed, keep=("_key",)).groupBy("_key").agg(F.sum(times).alias("_t"), F.count("*").alias("_n"))
+    row = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
+    taken = keyed.join(wanted.where("_t > 0"), "_key").withColumn("_row", row)
+    each = F.expr("cast(_t div _n + IF(_row <= _t % _n, 1, 0) as int)")
+    return taken.withColumn("_x", F.explode(F.array_repeat(F.lit(0), each))).select(*docs.columns)
+
+
+def _mix_sized(sized: DataFrame, weights, block, shard, repeats, seed, keep) -> DataFrame:
     sized = staged(sized, "mix-sizes")  # the texts are read once
     per_source = sized.groupBy("none", "source").agg(F.sum("size").alias("source_size"))
     aimed = targets(per_source, weights, repeats)
@@ -165,9 +185,9 @@ def _mix_sized(sized: DataFrame, weights, block, shard, repeats, seed) -> DataFr
         f"""CASE WHEN size = 0 THEN 0L ELSE aggregate(
               sequence((end - size) div {block}, (end - 1) div {block}), 0L,
               (a, j) -> a + (least(end, (j + 1) * {block}) - greatest(end - size, j * {block}))
-                        * (quota div blocks + IF(({PRIME} * j + shift) % blocks < quota % blocks, 1, 0))) END"""
+                        * (quota div blocks + IF((j + shift) % blocks < quota % blocks, 1, 0))) END"""
     )
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *keep)
 
 
 def _with_source(rows: DataFrame, seats: DataFrame) -> DataFrame:
@@ -230,5 +250,5 @@ cut AS (SELECT p.*, source_size, target, blocks, quota, shift,
   FROM placed p JOIN quotas USING (none, source, shard) JOIN (SELECT none, source, source_size, target FROM seat) USING (none, source))
 SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_size) AS source_size,
     any_value(target) AS target, CAST(coalesce(sum((least(e, (j + 1) * {BLOCK}) - greatest(e - size, j * {BLOCK}))
-      * (quota // blocks + CASE WHEN ({PRIME} * j + shift) % blocks < quota % blocks THEN 1 ELSE 0 END)), 0) AS BIGINT) AS taken
+      * (quota // blocks + CASE WHEN (j + shift) % blocks < quota % blocks THEN 1 ELSE 0 END)), 0) AS BIGINT) AS taken
 FROM cut GROUP BY rid"""

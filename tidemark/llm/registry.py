@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chunk_reuse, lengths, mixing, secrets, token_output
+from tidemark.llm import chunk_reuse, html_text, langid, lengths, media, mixing, quality, secrets, simhash, token_output
 from tidemark.session import table
 
 
@@ -15,6 +15,11 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of all documents and the forest's verdict."""
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text of documents."""
     return secrets.digest(table(spark, sf_dir, "documents"))
@@ -25,11 +30,31 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents."""
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded lengths of all documents with totals at every context limit."""
     return lengths.context_report(lengths.histogram(table(spark, sf_dir, "documents")))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' texts stored as media, found again by digest in interleaved sequences."""
+    return media.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by chunks and decoded."""
     return chunk_reuse.digest(table(spark, sf_dir, "documents"))
@@ -37,7 +62,18 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    found = (op1_token_output, op3_secret_scans, op4_source_mixing, op6_token_lengths, op10_bpe_chunk_reuse)
+    found = (
+        op1_token_output,
+        op2_quality_rules,
+        op3_secret_scans,
+        op4_source_mixing,
+        op5_language_id,
+        op6_token_lengths,
+        op7_media_columns,
+        op8_simhash_groups,
+        op9_main_text,
+        op10_bpe_chunk_reuse,
+    )
     return {q.__name__: q for q in found}
 
 
