@@ -28,7 +28,7 @@ from tidemark.session import staged
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5, 2, 1)
-BLOCK = 64
+BLOCK = 16
 SHARD = 1_000_000
 REPEATS = 3
 SEED = 42
@@ -89,6 +89,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
     by_name = Window.partitionBy(F.lit(0)).orderBy("none", "source")
     by_ratio = Window.partitionBy(F.lit(0)).orderBy("_ratio", "none", "source")
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
+    through = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     every = Window.partitionBy(F.lit(0))
     weight = F.get(F.array(*[F.lit(w) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights))
     shared = (
@@ -97,7 +98,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
         .withColumn("_ratio", F.col("_cap") / F.col("_w"))
         .withColumn("_level", (F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
                     / (F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))))
-        .withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(every))
+        .withColumn("_level", F.first(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level")), ignorenulls=True).over(through))
     )
     target = F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap")))
     return shared.select("none", "source", "source_size", target.alias("target"))
@@ -229,7 +230,8 @@ w AS (SELECT *, CAST([{_W}][(row_number() OVER (ORDER BY none, source) - 1) % {l
 lv AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0.0))
     / (sum(w_) OVER () - coalesce(sum(w_) OVER b, 0.0)) AS level
   FROM w WINDOW b AS (ORDER BY cap / w_, none, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-ft AS (SELECT *, min(CASE WHEN level <= cap / w_ THEN level END) OVER () AS fair FROM lv),
+ft AS (SELECT *, first_value(CASE WHEN level <= cap / w_ THEN level END IGNORE NULLS) OVER (ORDER BY cap / w_, none, source
+    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fair FROM lv),
 aimed AS (SELECT none, source, source_size, least(cap, coalesce(fair * w_, cap)) AS target,
     least(cap, coalesce(fair * w_, cap)) AS claim,
     CAST(floor(CAST(sum(source_size) OVER () AS DOUBLE) / {BLOCK} + 0.5) AS BIGINT) AS total FROM ft),
