@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.session import staged
 
@@ -100,11 +101,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, epochs: in
 
 
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature of the largest likelihood."""
+    """The temperature of the largest likelihood; one row's worth of the labels counts as noise, lest it goes to zero."""
     if not len(y):
         return 1.0
+    noise = 1 / (len(y) + 2)
+    goal = np.full(logits.shape, noise / logits.shape[1])
+    goal[np.arange(len(y)), y] += 1 - noise
     tries = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
-    loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean() for t in tries]
+    loss = [-(goal * np.log(np.maximum(_softmax(logits / t), 1e-12))).sum() for t in tries]
     return float(tries[int(np.argmin(loss))])
 
 
@@ -171,7 +175,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             cols = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "lang_pred", "score"])
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
     return docs.mapInArrow(run, schema)
 
 
