@@ -190,20 +190,6 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
-_LISTS = """
-  SELECT doc_id, t, kind, k,
-         list_transform(range(1, len(hits) + 1), i -> {
-           'start': CAST(coalesce(list_sum(list_transform(pieces[1:i], p -> length(p))), 0)
-                    + coalesce(list_sum(list_transform(hits[1:i-1], h -> length(h))), 0) AS BIGINT),
-           'k': k,
-           'end': CAST(coalesce(list_sum(list_transform(pieces[1:i], p -> length(p))), 0)
-                    + coalesce(list_sum(list_transform(hits[1:i], h -> length(h))), 0) AS BIGINT),
-           'g': values[i]}) AS found
-  FROM (SELECT doc_id, t, kind, k, regexp_split_to_array(t, p) AS pieces,
-               regexp_extract_all(t, p) AS hits, regexp_extract_all(t, p, g) AS values
-        FROM d, kinds)"""
-
-
 def _sql() -> str:
     quote = lambda s: s.replace("'", "''")
     allowed = " OR ".join(f"regexp_matches(v, '{quote(p)}')" for p in ALLOW)
