@@ -6,21 +6,32 @@ clip's rows are sorted once for all windows over the same order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clamp, half_up
 
-W = Window.partitionBy("clip_id").orderBy("n")
-WHOLE = W.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-RUN = W.rowsBetween(Window.unboundedPreceding, 0)
+
+def by_clip() -> WindowSpec:
+    """Each clip in order."""
+    return Window.partitionBy("clip_id").orderBy("n")
+
+
+def whole() -> WindowSpec:
+    """All rows of a clip, in order."""
+    return by_clip().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def so_far() -> WindowSpec:
+    """The rows up to each."""
+    return by_clip().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def shifted(x: str, k: int) -> Column:
     """The value k rows later (k > 0) or earlier (k < 0), the clip's first or last one beyond its ends."""
     if k >= 0:
-        return F.coalesce(F.lead(x, k).over(W), F.last(x).over(WHOLE))
-    return F.coalesce(F.lag(x, -k).over(W), F.first(x).over(WHOLE))
+        return F.coalesce(F.lead(x, k).over(by_clip()), F.last(x).over(whole()))
+    return F.coalesce(F.lag(x, -k).over(by_clip()), F.first(x).over(whole()))
 
 
 def lag_difference(x: str, offset: int = 1, least: float = 0.0001, digits: int = 5) -> Column:
@@ -46,7 +57,7 @@ def between_lumas(x: str, black: float, white: float) -> Column:
 def segments(df: DataFrame, flag: Column) -> DataFrame:
     """``df`` with ``segment``: the count of flagged rows up to each row; the first row always starts one."""
     starts = F.when((F.col("n") == 0) | flag, 1).otherwise(0)
-    return df.withColumn("segment", F.sum(starts).over(RUN).cast("long"))
+    return df.withColumn("segment", F.sum(starts).over(so_far()).cast("long"))
 
 
 def segment_statistics(df: DataFrame, x: str) -> DataFrame:
@@ -95,14 +106,14 @@ def limited(x: str, deviation: float) -> Column:
 
 def running_median(x: str, radius: int) -> Column:
     """Median over the rows within ``radius``."""
-    v = F.array_sort(F.collect_list(x).over(W.rowsBetween(-radius, radius)))
+    v = F.array_sort(F.collect_list(x).over(by_clip().rowsBetween(-radius, radius)))
     n = F.size(v)
     return (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
 
 
 def pool_average(x: str, size: int) -> Column:
     """Mean of the last ``size`` rows."""
-    return F.avg(x).over(W.rowsBetween(-(size - 1), 0))
+    return F.avg(x).over(by_clip().rowsBetween(-(size - 1), 0))
 
 
 def smoothed(df: DataFrame, x: str, beta: float, depth: int = 64) -> DataFrame:
@@ -111,7 +122,7 @@ def smoothed(df: DataFrame, x: str, beta: float, depth: int = 64) -> DataFrame:
     m(n) = (1 - beta) * sum(beta^(n - i) * v(i)) over the last ``depth`` rows, beyond which weights are below
     beta^depth, divided by 1 - beta^(n + 1).
     """
-    values = F.collect_list(x).over(W.rowsBetween(-(depth - 1), 0))
+    values = F.collect_list(x).over(by_clip().rowsBetween(-(depth - 1), 0))
     folded = F.aggregate(values, F.lit(0.0), lambda m, v: m * beta + v * (1 - beta))
     return df.withColumn("smooth", folded / (1 - F.pow(F.lit(beta), F.least(F.col("n") + 1, F.lit(depth)))))
 
@@ -136,7 +147,7 @@ def rolling_sums(df: DataFrame, key: str, date: str, x: Column, *ties: str, size
 
 def last_reference(x: str, flag: Column) -> Column:
     """As-of backward: ``x`` of the last flagged row, the clip's first row being one."""
-    return F.last(F.when(flag | (F.col("n") == 0), F.col(x)), ignorenulls=True).over(RUN)
+    return F.last(F.when(flag | (F.col("n") == 0), F.col(x)), ignorenulls=True).over(so_far())
 
 
 def reference_buffer(df: DataFrame, flag: Column, size: int) -> DataFrame:
@@ -146,7 +157,7 @@ def reference_buffer(df: DataFrame, flag: Column, size: int) -> DataFrame:
     so at a row with k references at or before it, the first is k - 1 - half, kept within the references there are.
     """
     half = int(size * 0.5 + 0.5) - 1
-    seen = F.sum(F.when(flag, 1).otherwise(0)).over(RUN)
-    total = F.sum(F.when(flag, 1).otherwise(0)).over(WHOLE)
+    seen = F.sum(F.when(flag, 1).otherwise(0)).over(so_far())
+    total = F.sum(F.when(flag, 1).otherwise(0)).over(whole())
     first = F.greatest(F.lit(0), F.least(seen - 1 - half, total - size)).cast("long")
     return df.withColumn("first_ref", first).withColumn("last_ref", F.least(first + size, total).cast("long") - 1)

@@ -175,9 +175,9 @@ SELECT clip_id, n, next_ref FROM f"""
 def ref_lookahead(spark, sf_dir):
     """References handed out one a row, held back while enough lie ahead."""
     hit = F.col("flag").cast("long")
-    after = t.W.rowsBetween(1, 2**31 - 1)
+    after = t.by_clip().rowsBetween(1, 2**31 - 1)
     rows = series(spark, sf_dir).select(
-        "clip_id", "n", "flag", F.sum(hit).over(t.WHOLE).alias("total"),
+        "clip_id", "n", "flag", F.sum(hit).over(t.whole()).alias("total"),
         F.coalesce(F.sum(hit).over(after), F.lit(0)).alias("ahead"),
     )
     return folds.look_ahead(rows, "flag", 4).select("clip_id", "n", "next_ref")
@@ -322,8 +322,8 @@ SELECT clip_id, n, CAST(sum(CAST(reset AS INT)) OVER ({_W}) AS BIGINT) AS run, n
 )
 def memory_reset_runs(spark, sf_dir):
     """Runs between resets of a memory, and the rows it takes in."""
-    past = F.max(F.when(F.col("flag"), F.col("n"))).over(t.W.rowsBetween(-(2**31), -1))
+    past = F.max(F.when(F.col("flag"), F.col("n"))).over(t.by_clip().rowsBetween(-(2**31), -1))
     reset = (F.col("n") % 8 == 7) | (F.col("flag") & (F.col("n") - F.coalesce(past, F.lit(-1)) >= 1))
     rows = series(spark, sf_dir).withColumn("reset", reset)
-    run = F.sum(F.col("reset").cast("long")).over(t.RUN).alias("run")
+    run = F.sum(F.col("reset").cast("long")).over(t.so_far()).alias("run")
     return rows.select("clip_id", "n", run, (F.col("n") % 5 == 0).alias("is_memory"))
