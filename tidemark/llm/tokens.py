@@ -1,13 +1,16 @@
 """Exact encoding of whole texts with a tokenizers file, inside tasks.
 
-A byte-level pre-tokenizer starts a new pre-token at a single space between two other characters, so a text may be cut
-there and its parts be encoded apart. Parts repeat a lot; each Python worker keeps a bounded table of those it has
-encoded. Texts with runs of white space are cut only where that rule holds, hence ids always equal the library's.
+A byte-level pre-tokenizer always starts a new pre-token at a single space or line end between two other characters, and
+where letters end. A text may be cut there and its parts be encoded apart. Parts repeat a lot; each Python worker keeps a
+bounded table of those it has encoded, in two generations. Texts with other characters than ASCII and Latin-1 letters, or
+with runs of white space, are cut only at single spaces between other characters; a tokenizer of another kind encodes
+whole texts. Hence ids always equal the library's.
 """
 
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -17,12 +20,27 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Parts that a worker remembers before it starts over, and the longest that it remembers.
-KEEP, LONGEST = 300_000, 48
+#: Parts in a generation of a worker's table, and the longest that it remembers.
+KEEP, LONGEST = 250_000, 48
 #: White space, a superset of what the pre-tokenizer takes as such.
-_WS = r"[\s᠎​﻿]"
-_ODD = re.compile(f"{_WS}{_WS}|\x00")
-_SAFE = re.compile(r"(?<=[^\s᠎​﻿])(?= [^\s᠎​﻿])")
+_SAFE = re.compile(r"(?<=[^\s\u180e\u200b\ufeff])(?= [^\s\u180e\u200b\ufeff])")
+_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_WORD = re.compile(f" ?[{_L}]+")
+#: Words; line ends; what follows an apostrophe stays with it, since some endings belong to it; other characters; a space.
+_PARTS = re.compile(f" ?[{_L}]+|\n| ?[^{_L} \n']*'[^ \n]*| ?[^{_L} \n]+| ")
+#: ASCII and Latin-1 letters, without white space but space and line end.
+_KNOWN = bytes(b for b in range(256) if (b < 128 and b not in (0, 9, 11, 12, 13, 28, 29, 30, 31)) or b >= 192 and b not in (215, 247))
+
+
+def parts(text: str) -> list[str]:
+    """Substrings whose encodings, joined, are the text's encoding."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _SAFE.split(text)
+    if raw.translate(None, _KNOWN) or b"  " in raw or b" \n" in raw or b"\n " in raw or b"\n\n" in raw:
+        return _SAFE.split(text)
+    return _PARTS.findall(text)
 
 
 def default_path() -> str:
@@ -32,11 +50,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def parts(text: str) -> list[str]:
-    """Substrings whose encodings, joined, are the text's encoding."""
-    if _ODD.search(text):
-        return _SAFE.split(text)
-    return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+def _spelling() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class Encoder:
@@ -48,34 +66,63 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        kind = json.loads(self.tokenizer.to_str())
+        self.by_parts = (
+            kind["normalizer"] is None
+            and kind["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+            and kind["post_processor"] is None
+            and kind["model"]["type"] == "BPE"
+            and not kind["model"]["dropout"]
+            and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or " " in t["content"] for t in kind["added_tokens"])
+        )
+        self.special = [t["content"] for t in kind["added_tokens"]]
+        self.spelling = _spelling()
         self.size = self.tokenizer.get_vocab_size()
         self.code = "H" if self.size <= 65_536 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text; a null text counts as empty."""
         if not text:
             return b""
-        cut = parts(text)
+        if not self.by_parts:
+            return self._library([text])[0]
+        cut = _SAFE.split(text) if any(t in text for t in self.special) else parts(text)
         got = list(map(self.known.get, cut))
         if None in got:
-            new = list({p for p, g in zip(cut, got) if g is None})
-            batch = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            learnt = {p: array.array(self.code, e.ids).tobytes() for p, e in zip(new, batch)}
+            learnt = self._learn({p for p, g in zip(cut, got) if g is None})
             got = [g if g is not None else learnt[p] for p, g in zip(cut, got)]
-            if len(self.known) + len(learnt) > KEEP:
-                self.known.clear()
-            self.known.update((p, b) for p, b in learnt.items() if len(p) <= LONGEST)
         return b"".join(got)
 
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        learnt, ask = {}, []
+        for p in new:
+            b = self.older.get(p)
+            if b is not None:
+                learnt[p] = b
+            elif _WORD.fullmatch(p):  # one pre-token: the model's own input
+                spelt = p.encode().decode("latin-1").translate(self.spelling)
+                learnt[p] = array.array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            else:
+                ask.append(p)
+        learnt.update(zip(ask, self._library(ask)))
+        if len(self.known) + len(learnt) > KEEP:
+            self.older, self.known = self.known, {}
+        self.known.update((p, b) for p, b in learnt.items() if len(p) <= LONGEST)
+        return learnt
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array.array(self.code, e.ids).tobytes() for e in found]
+
     @property
     @lru_cache(maxsize=1)  # noqa: B019
     def pieces(self) -> list[bytes]:
         """The bytes of each id: a vocabulary entry spells bytes with one printable character each."""
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in set(plain)]
-        spelt = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+        spelt = {c: b for b, c in self.spelling.items()}
         out = [b""] * self.size
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             out[i] = bytes(spelt[c] for c in token) if all(c in spelt for c in token) else token.encode()
