@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import default_path, encoder
+from tidemark.session import staged
 
 
 def histogram(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
@@ -36,10 +37,10 @@ def histogram(docs: DataFrame, text: str = "text", path: str | None = None) -> D
         )
 
     partial = docs.select(F.col(text).cast("string")).mapInArrow(run, "length long, n long")
-    return partial.groupBy("length").agg(F.sum("n").alias("n_docs"))
+    return staged(partial.groupBy("length").agg(F.sum("n").alias("n_docs")), "lengths")  # texts are encoded once
 
 
-def context_report(hist: DataFrame, span: int = 4096) -> DataFrame:
+def context_report(hist: DataFrame, span: int = 64) -> DataFrame:
     """``hist`` with suffix sums at each length: n_longer, kept_tokens, lost_tokens, total_tokens, quantile.
 
     Lengths are summed by spans of ``span`` first, so that no task but the one over spans sees the whole range.
