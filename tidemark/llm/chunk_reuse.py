@@ -230,8 +230,8 @@ def encode_texts(docs: DataFrame, path: str | None = None, digest: bool = False)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sealed = docs.select(text.alias("text")).mapInArrow(_seal, "key binary, z binary, cuts array<int>, names array<binary>")
-    # one row a text; used three times below, shuffled once
-    texts = sealed.groupBy("key").agg(F.first(F.struct("z", "cuts", "names")).alias("t")).select("key", "t.*")
+    # one row a text; used three times below, shuffled once, for which the plan below the shuffle has to be the same
+    texts = sealed.where("key is not null").groupBy("key").agg(F.first(F.struct("z", "cuts", "names")).alias("t")).select("key", "t.*")
     places = texts.select("key", F.posexplode("names").alias("i", "name"))
     owners = places.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("key", "i")).alias("o")).where("n > 1")
     own = owners.groupBy("o.key").agg(F.collect_list(F.struct("o.i", "name")).alias("own"))  # at most a text's chunks
