@@ -124,7 +124,7 @@ def mix(
         F.col("source").isNull().alias("none"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         _hashed(seed, F.col("doc_id")).alias("draw"),
-        *keep,
+        F.struct(F.lit(0).alias("_"), *keep).alias("_kept"),  # names of columns to carry may clash with those above
     )
     return _mix_sized(sized, weights, block, shard, repeats, seed, keep)
 
@@ -188,7 +188,7 @@ def _mix_sized(sized: DataFrame, weights, block, shard, repeats, seed, keep) ->
               (a, j) -> a + (least(end, (j + 1) * {block}) - greatest(end - size, j * {block}))
                         * (quota div blocks + IF((j + shift) % blocks < quota % blocks, 1, 0))) END"""
     )
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *keep)
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *[F.col("_kept")[c].alias(c) for c in keep])
 
 
 def _with_source(rows: DataFrame, seats: DataFrame) -> DataFrame:
