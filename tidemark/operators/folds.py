@@ -152,3 +152,57 @@ def stop_early(df: DataFrame, loss: str, patience: int, least: float = 0.0) -> D
     return scan(
         df, [loss], lambda: {"best": float("inf"), "wait": 0}, step, {"best": "double", "wait": "long", "stop": "boolean"}
     )
+
+
+def filter_changes(
+    df: DataFrame, flag: str, luma: str, threshold: float = 0.9, min_length: int = 3, dark: float = 0.19
+) -> DataFrame:
+    """``df`` with ``reason``: which rule lets a flagged row stand against the last kept one, 0 for none.
+
+    1: both likenesses low; 2: from dark to lit; 3: likeness fair, but the distribution far. Within ``min_length`` rows the
+    reason is noted as 4 more and the row isn't kept. Likenesses are 1 - |y - y0| and 1 - |y^2 - y0^2|.
+    """
+
+    def step(state: dict, n: int, hit: bool, y: float) -> tuple:
+        if n == 0:
+            state.update(last=0, y=y)
+            return (1,)
+        if not hit:
+            return (0,)
+        near, spread = _round(1 - abs(y - state["y"])), _round(1 - abs(y * y - state["y"] ** 2))
+        reason = 0
+        if near < threshold and spread < 0.95:
+            reason = 1
+        elif state["y"] < dark <= y:
+            reason = 2
+        elif near >= 0.69 and spread < 0.70:
+            reason = 3
+        if reason and n - state["last"] < min_length:
+            return (reason + 4,)
+        if reason:
+            state.update(last=n, y=y)
+        return (reason,)
+
+    return scan(df, [flag, luma], dict, step, {"reason": "long"})
+
+
+def two_memories(df: DataFrame, every: int = 5, most: int = 10, least: int = 5, long_most: int = 24) -> DataFrame:
+    """``df`` with ``work``, ``moved`` and ``long``: sizes of a working and a long-term memory as rows come.
+
+    Every ``every``-th row enters the working memory. At ``most`` it keeps its first and its last ``least`` - 1 entries and
+    hands the middle to the long-term memory, which then evicts down to ``long_most``.
+    """
+
+    def step(state: dict, n: int, is_ref: bool) -> tuple:
+        moved = 0
+        if n % every == 0 or is_ref:
+            state["work"] += 1
+        if state["work"] >= most:
+            moved = state["work"] - least
+            state["work"] = least
+            state["long"] = min(state["long"] + moved, long_most)
+        return state["work"], moved, state["long"]
+
+    return scan(
+        df, ["flag"], lambda: {"work": 0, "long": 0}, step, {"work": "long", "moved": "long", "long": "long"}
+    )

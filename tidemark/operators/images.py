@@ -218,3 +218,29 @@ def edges(df: DataFrame) -> DataFrame:
         return {"v": np.minimum(v, 255).astype(int).ravel().tolist()}
 
     return _per_frame(df, f, "v array<long>")
+
+
+def channel_statistics(df: DataFrame, key: str) -> DataFrame:
+    """Mean and sample deviation of each channel, and how colourful a frame is."""
+    rg, yb = F.col("r") - F.col("g"), (F.col("r") + F.col("g")) / 2 - F.col("b")
+    stats = [half_up(f(c)).alias(f"{n}_{c}") for c in "rgb" for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    spread = F.sqrt(F.var_pop(rg) + F.var_pop(yb))
+    centre = F.sqrt(F.pow(F.avg(rg), F.lit(2.0)) + F.pow(F.avg(yb), F.lit(2.0)))
+    return df.groupBy(key).agg(*stats, half_up(spread + centre * 0.3).alias("colourfulness"))
+
+
+def downsampled(plane: DataFrame, k: int) -> DataFrame:
+    """Means of k x k cells."""
+    cell = [F.floor(F.col(c) / k).cast("long").alias(c) for c in ("x", "y")]
+    return plane.groupBy(*cell).agg(half_up(F.avg("v")).alias("v"), F.count("*").alias("n"))
+
+
+def flipped(plane: DataFrame, width: int) -> DataFrame:
+    """Mirrored left to right."""
+    return plane.withColumn("x", F.lit(width - 1) - F.col("x"))
+
+
+def cropped(plane: DataFrame, left: int, top: int, width: int, height: int) -> DataFrame:
+    """A window of the plane, moved to the origin."""
+    inside = F.col("x").between(left, left + width - 1) & F.col("y").between(top, top + height - 1)
+    return plane.where(inside).withColumn("x", F.col("x") - left).withColumn("y", F.col("y") - top)

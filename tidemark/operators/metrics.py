@@ -150,3 +150,14 @@ def perplexity(df: DataFrame, loss: str, length: str) -> DataFrame:
     """exp of the loss averaged by length."""
     mean = F.sum(F.col(loss) * F.col(length)) / F.sum(length)
     return df.agg(half_up(F.exp(mean)).alias("perplexity"), half_up(mean).alias("loss"))
+
+
+def multilabel_fbeta(df: DataFrame, scores: Column, hot: Column, threshold: float = 0.2, beta: float = 2.0) -> DataFrame:
+    """Mean over rows of F-beta of the labels whose sigmoid exceeds a threshold."""
+    b2 = beta * beta
+    guess = F.transform(scores, lambda s: (F.lit(1.0) / (F.exp(-s.cast("double")) + 1) > threshold).cast("double"))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v)
+    tp = add(F.zip_with(guess, hot, lambda p, t: p * t))
+    precision, recall = tp / (add(guess) + EPS), tp / (add(F.transform(hot, lambda t: t.cast("double"))) + EPS)
+    f = precision * recall * (1 + b2) / (precision * b2 + recall + EPS)
+    return df.agg(half_up(F.avg(f)).alias("fbeta"))

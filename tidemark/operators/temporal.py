@@ -161,3 +161,21 @@ def reference_buffer(df: DataFrame, flag: Column, size: int) -> DataFrame:
     total = F.sum(F.when(flag, 1).otherwise(0)).over(whole())
     first = F.greatest(F.lit(0), F.least(seen - 1 - half, total - size)).cast("long")
     return df.withColumn("first_ref", first).withColumn("last_ref", F.least(first + size, total).cast("long") - 1)
+
+
+def repaired_average(x: str, weights: list[int], gray: Column, near: float) -> Column:
+    """Centred weighted mean in which a neighbour counts as the row itself where the neighbour is gray or too far off.
+
+    ``gray`` is a condition on a row; ``near`` the largest difference that still counts.
+    """
+    half = len(weights) // 2
+    total = F.lit(0.0)
+    for i, w in enumerate(weights):
+        k = i - half
+        if not k:
+            total = total + F.col(x) * w
+            continue
+        v = shifted(x, k)
+        pale = F.coalesce(F.lead(gray, k).over(by_clip()) if k > 0 else F.lag(gray, -k).over(by_clip()), F.lit(False))
+        total = total + F.when(pale | (F.abs(v - F.col(x)) > near), F.col(x)).otherwise(v) * w
+    return total / 100

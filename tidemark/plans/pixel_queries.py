@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import half_up
 from tidemark.operators import images, pixels as x
 from tidemark.plans.common import PX, SEQ, r4, registry
+from tidemark.plans.presets import Preset, compose
 from tidemark.sources.series import events_series, pixels
 
 QUERIES, ORACLES, query = registry()
@@ -289,6 +290,17 @@ def tile_split_join(spark, sf_dir):
     return images.join_tiles(images.split_tiles(plane, 64, 4))
 
 
+@query(
+    f"""WITH {PX}, m AS (SELECT {_KEY}, {_mix("(CASE WHEN " + _y("2") + " / 255 < 0.6 THEN greatest(" + _y("2") + "::DOUBLE / 255 / 0.6 * 0.4::DOUBLE, 0.15::DOUBLE) ELSE 0.4::DOUBLE END)")} FROM px),
+n AS (SELECT {_KEY}, "or" AS r, og AS g, ob AS b FROM m), o AS (SELECT {_KEY}, {_back(f"floor(least(greatest(({_y()} - 16) * 1 + 4 + 16.5, 0.0), 255.0))",
+  f"(({_S[1]} - 128) * 1.1 + 128)", f"(({_S[2]} - 128) * 1.1 + 128)")} FROM n) SELECT {_KEY}, orr AS "or", og, ob FROM o"""
+)
+def preset_chain(spark, sf_dir):
+    """A preset: adaptive blend, then saturation and brightness."""
+    preset = Preset(blend="adaptive-luma", tune="stable", saturation=1.1, brightness=4)
+    return compose(preset)(pixels(spark, sf_dir)).select(*_ID, "or", "og", "ob")
+
+
 @query()
 def ssim_pairs(spark, sf_dir):
     """Structural similarity of pairs of frames of 8 x 8 samples."""
@@ -311,3 +323,32 @@ def clahe(spark, sf_dir):
 def kirsch_edges(spark, sf_dir):
     """Largest of four edge kernels on frames of 8 x 8 samples."""
     return images.edges(images.frames(pixels(spark, sf_dir)))
+
+
+_PLANE = "pl AS (SELECT row_id % 64 AS x, p % 48 AS y, min(r) AS v FROM px GROUP BY ALL)"
+
+
+def _plane(spark, sf_dir):
+    rows = pixels(spark, sf_dir)
+    return rows.groupBy((F.col("row_id") % 64).alias("x"), (F.col("p") % 48).alias("y")).agg(F.min("r").alias("v"))
+
+
+@query(
+    f"""WITH {PX} SELECT line, {", ".join(f"{r4(f'avg({c})')} AS mean_{c}, {r4(f'stddev_samp({c})')} AS std_{c}" for c in "rgb")},
+{r4("sqrt(var_pop(r - g) + var_pop((r + g) / 2 - b)) + 0.3 * sqrt(pow(avg(r - g), 2) + pow(avg((r + g) / 2 - b), 2))")} AS colourfulness FROM px GROUP BY line"""
+)
+def channel_statistics(spark, sf_dir):
+    """Channel means, deviations and colourfulness of each frame."""
+    return images.channel_statistics(pixels(spark, sf_dir), "line")
+
+
+@query(f"WITH {PX}, {_PLANE} SELECT CAST(floor(x / 4) AS BIGINT) AS x, CAST(floor(y / 4) AS BIGINT) AS y, {r4('avg(v)')} AS v, count(*) AS n FROM pl GROUP BY 1, 2")
+def downsample_grid(spark, sf_dir):
+    """A plane at a quarter of its size."""
+    return images.downsampled(_plane(spark, sf_dir), 4)
+
+
+@query(f"WITH {PX}, {_PLANE} SELECT 63 - x - 8 AS x, y - 6 AS y, v FROM pl WHERE 63 - x BETWEEN 8 AND 39 AND y BETWEEN 6 AND 29")
+def flip_crop(spark, sf_dir):
+    """A plane mirrored and cut to a window."""
+    return images.cropped(images.flipped(_plane(spark, sf_dir), 64), 8, 6, 32, 24).select("x", "y", "v")

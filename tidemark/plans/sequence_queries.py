@@ -327,3 +327,47 @@ def memory_reset_runs(spark, sf_dir):
     rows = series(spark, sf_dir).withColumn("reset", reset)
     run = F.sum(F.col("reset").cast("long")).over(t.so_far()).alias("run")
     return rows.select("clip_id", "n", run, (F.col("n") % 5 == 0).alias("is_memory"))
+
+
+@query(
+    f"""WITH RECURSIVE {SEQ}, f AS (SELECT clip_id, n, CAST(1 AS BIGINT) AS reason, n AS last_n, luma AS y0 FROM seq WHERE n = 0
+  UNION ALL SELECT clip_id, n, CASE WHEN k > 0 AND n - last_n < 3 THEN k + 4 ELSE k END, CASE WHEN k > 0 AND n - last_n >= 3 THEN n ELSE last_n END,
+    CASE WHEN k > 0 AND n - last_n >= 3 THEN y ELSE y0 END
+  FROM (SELECT *, CAST(CASE WHEN NOT hit THEN 0 WHEN a < 0.9 AND b < 0.95 THEN 1 WHEN y0 < 0.19 AND y >= 0.19 THEN 2 WHEN a >= 0.69 AND b < 0.70 THEN 3 ELSE 0 END AS BIGINT) AS k
+    FROM (SELECT s.clip_id, s.n, s.luma AS y, f.y0, f.last_n, s.kind <> 'view' AS hit, {r4("1 - abs(s.luma - f.y0)")} AS a, {r4("1 - abs(s.luma * s.luma - f.y0 * f.y0)")} AS b
+      FROM f JOIN seq s ON s.clip_id = f.clip_id AND s.n = f.n + 1)))
+SELECT clip_id, n, reason FROM f"""
+)
+def change_filter_stateful(spark, sf_dir):
+    """Flagged rows that stand against the last kept one, with the rule."""
+    rows = series(spark, sf_dir).select("clip_id", "n", "luma", (F.col("kind") != "view").alias("hit"))
+    return folds.filter_changes(rows, "hit", "luma").select("clip_id", "n", "reason")
+
+
+@query(
+    f"""WITH RECURSIVE {SEQ}, f AS (SELECT clip_id, n, CAST(1 AS BIGINT) AS work, CAST(0 AS BIGINT) AS moved, CAST(0 AS BIGINT) AS long FROM seq WHERE n = 0
+  UNION ALL SELECT clip_id, n, CASE WHEN w >= 10 THEN 5 ELSE w END, CASE WHEN w >= 10 THEN w - 5 ELSE 0 END, CASE WHEN w >= 10 THEN least(long + w - 5, 24) ELSE long END
+  FROM (SELECT s.clip_id, s.n, f.long, f.work + CASE WHEN s.n % 5 = 0 OR s.flag THEN 1 ELSE 0 END AS w FROM f JOIN seq s ON s.clip_id = f.clip_id AND s.n = f.n + 1))
+SELECT clip_id, n, work, moved, long FROM f"""
+)
+def two_memories_fold(spark, sf_dir):
+    """Sizes of a working and a long-term memory as rows come."""
+    rows = series(spark, sf_dir).select("clip_id", "n", "flag")
+    return folds.two_memories(rows).select("clip_id", "n", "work", "moved", "long")
+
+
+def _repaired(weights: list[int]) -> str:
+    half, out = len(weights) // 2, []
+    for i, w in enumerate(weights):
+        k = i - half
+        pale = f"coalesce({'lead' if k > 0 else 'lag'}(luma < 0.05, {abs(k)}) OVER ({_W}), false)"
+        v = _at("luma", k)
+        out.append(f"(CASE WHEN {pale} OR abs({v} - luma) > 0.4 THEN luma ELSE {v} END) * {w}" if k else f"luma * {w}")
+    return " + ".join(out)
+
+
+@query(f"WITH {SEQ} SELECT clip_id, n, {r4(f'({_repaired([20] * 5)}) / 100')} AS smooth FROM seq")
+def chroma_stabilizer(spark, sf_dir):
+    """Centred mean whose gray or far neighbours are repaired first."""
+    smooth = t.repaired_average("luma", t.even_weights(5), F.col("luma") < 0.05, 0.4)
+    return series(spark, sf_dir).select("clip_id", "n", half_up(smooth).alias("smooth"))

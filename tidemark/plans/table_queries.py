@@ -416,3 +416,17 @@ def topk_acc(spark, sf_dir):
 def perplexity_like(spark, sf_dir):
     """Perplexity of losses weighted by length."""
     return m.perplexity(_lab(spark, sf_dir).withColumn("loss", F.col("score") / 50.0), "loss", "n_chars")
+
+
+@query(
+    f"""WITH s AS (SELECT vec_id, [CASE WHEN 1 / (1 + exp(-(embedding[i + 1]::DOUBLE * 8))) > 0.5 THEN 1 ELSE 0 END FOR i IN range(10)] AS p,
+  [CASE WHEN label = i OR (label + 3) % 10 = i THEN 1 ELSE 0 END FOR i IN range(10)] AS t FROM embeddings),
+k AS (SELECT list_sum([a[1] * a[2] FOR a IN list_zip(p, t)])::DOUBLE AS tp, list_sum(p)::DOUBLE AS np, list_sum(t)::DOUBLE AS nt FROM s),
+q AS (SELECT tp / (np + 1e-9) AS pr, tp / (nt + 1e-9) AS re FROM k) SELECT {r4("avg(5 * pr * re / (4 * pr + re + 1e-9))")} AS fbeta FROM q"""
+)
+def multilabel_fbeta(spark, sf_dir):
+    """F2 of several labels a row."""
+    e = table(spark, sf_dir, "embeddings")
+    scores = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double") * 8)
+    hot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: ((F.col("label") == i) | ((F.col("label") + 3) % 10 == i)).cast("long"))
+    return m.multilabel_fbeta(e, scores, hot, 0.5)
