@@ -96,6 +96,11 @@ def test_scores_of_a_small_table(spark):
     cm = spark.createDataFrame([(0, 0, 5), (0, 1, 1), (1, 1, 3), (1, 0, 2), (2, 2, 4)], "target long, pred long, n long")
     s = {r["class"]: r for r in metrics.class_scores(cm).collect()}
     assert abs(s[0].precision - 5 / 7) < 1e-6 and abs(s[0].recall - 5 / 6) < 1e-6 and abs(s[2].fbeta - 1) < 1e-6
+    pairs = {(r.target, r.pred): r.n for r in cm.collect()}
+    r, c = {0: 6, 1: 5, 2: 4}, {0: 7, 1: 4, 2: 4}
+    for kind, w in (("linear", lambda d: abs(d)), ("quadratic", lambda d: d * d)):
+        want = 1 - 15 * sum(w(t - p) * n for (t, p), n in pairs.items()) / sum(w(t - p) * r[t] * c[p] for t in r for p in c)
+        assert abs(metrics.kappa(cm, kind).first().kappa - want) < 1e-4
     assert abs(metrics.kappa(cm).first().kappa - (0.8 - 78 / 225) / (1 - 78 / 225)) < 1e-4
 
 

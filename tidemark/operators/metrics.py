@@ -51,17 +51,40 @@ def averaged(cm: DataFrame, beta: float = 1.0) -> DataFrame:
 
 
 def kappa(cm: DataFrame, weights: str | None = None) -> DataFrame:
-    """Cohen's kappa, plain or with linear or quadratic weights; classes are numbers."""
-    total = cm.agg(F.sum("n").alias("_all"))
-    rows = cm.groupBy("target").agg(F.sum("n").alias("r"))
-    cols = cm.groupBy("pred").agg(F.sum("n").alias("c"))
+    """Cohen's kappa, plain or with linear or quadratic weights; classes are numbers.
+
+    What chance would give follows from sums, moments or running sums of the two marginals, so classes are never paired.
+    """
     apart = F.abs(F.col("target") - F.col("pred"))
     w = {None: (apart > 0).cast("double"), "linear": apart.cast("double"), "quadratic": (apart * apart).cast("double")}[weights]
-    # marginals by marginals: one row for a pair of classes
-    expected = rows.join(cols, F.lit(True)).agg(F.sum(w * F.col("r") * F.col("c")).alias("e"))
-    seen = cm.agg(F.sum(w * F.col("n")).alias("o"))
-    one = seen.join(expected, F.lit(True)).join(total, F.lit(True))
-    return one.select(half_up(1 - F.col("o") * F.col("_all") / F.col("e")).alias("kappa"))
+    ends = F.array(
+        F.struct(F.col("target").alias("k"), F.col("n").alias("r"), F.lit(0).cast("long").alias("c"), (w * F.col("n")).alias("o")),
+        F.struct(F.col("pred").alias("k"), F.lit(0).cast("long").alias("r"), F.col("n").alias("c"), F.lit(0.0).alias("o")),
+    )
+    s = cm.select(F.explode(ends).alias("x")).select("x.*").groupBy("k").agg(*[F.sum(x).alias(x) for x in ("r", "c", "o")])
+    run = Window.orderBy("k")  # one row a class
+    s = s.withColumns({"rl": F.sum("r").over(run), "cl": F.sum("c").over(run), "gap": F.lead("k").over(run) - F.col("k")})
+    total, k = F.sum("r"), F.col("k").cast("double")
+    n = F.col("all")
+    chance = {
+        None: (F.sum(F.col("r") * F.col("c")).alias("e1"), n * n - F.col("e1")),
+        "linear": (
+            F.struct(
+                F.sum(F.col("gap") * F.col("rl")).alias("r"), F.sum(F.col("gap") * F.col("cl")).alias("c"),
+                F.sum(F.col("gap") * F.col("rl") * F.col("cl")).alias("b"),
+            ).alias("e1"),
+            n * F.col("e1.r") + n * F.col("e1.c") - F.col("e1.b") * 2,
+        ),
+        "quadratic": (
+            F.struct(
+                F.sum(k * k * F.col("r")).alias("r2"), F.sum(k * k * F.col("c")).alias("c2"),
+                F.sum(k * F.col("r")).alias("r1"), F.sum(k * F.col("c")).alias("c1"),
+            ).alias("e1"),
+            n * F.col("e1.r2") + n * F.col("e1.c2") - F.col("e1.r1") * F.col("e1.c1") * 2,
+        ),
+    }[weights]
+    one = s.agg(total.alias("all"), F.sum("o").alias("o"), chance[0])
+    return one.select(half_up(1 - F.col("o") * n / chance[1]).alias("kappa"))
 
 
 def matthews(cm: DataFrame) -> DataFrame:
