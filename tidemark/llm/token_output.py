@@ -1,6 +1,6 @@
 """Token-id output: canonical length-limited Huffman coding of ids from global counts, in independent blocks.
 
-1. Texts are dealt by range of doc_id and sorted, compressed on the way. Each range is encoded in order; its ids are kept
+1. Texts are dealt by range of doc_id and sorted. Each range is encoded in order; its ids are kept
    in the shared folder with their offsets in the range.
 2. Counts of all ids over the corpus give one table of code lengths (at most one number an id of the vocabulary).
 3. Every block holds whole documents, about ``BLOCK`` ids, as one bit string with a checkpoint (bit offset) every 64
@@ -19,44 +19,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import huffman
-from tidemark.llm.tokens import default_path, encoder, groups
+from tidemark.llm.tokens import default_path, encoder, groups, slices
 from tidemark.session import staged
 
 BLOCK = 65_536
 END_ID = 0
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=1)
-    for b in batches:
-        z = [squeeze.compress((t or "").encode()) for t in b.column("text").to_pylist()]
-        tie = [zlib.crc32(x) for x in z]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tie, pa.int64()), pa.array(z, pa.binary())], ["doc_id", "tie", "z"])
-
-
 def encode_sorted(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, part, start (ids before it in the part), n_tokens and ids of each row, by part in ascending order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, open_z = encoder(path), zstandard.ZstdDecompressor()
+        enc = encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
         at, part = 0, None
         for b in batches:
             part = b.column("part")[0].as_py() if part is None and b.num_rows else part
-            for rows in groups(list(zip(b.column("doc_id"), b.column("z").to_pylist())), lambda r: 4 * len(r[1])):
-                ids = [enc.encode(open_z.decompress(z).decode()) + end for _, z in rows]
+            for rows in slices(b, "text"):
+                ids = [x + end for x in enc.encode_many(rows.column("text").to_pylist())]
                 n = np.array([len(x) for x in ids], np.int64) // enc.dtype.itemsize
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([d.as_py() for d, _ in rows], pa.int64()),
-                        pa.array([part] * len(rows), pa.int64()),
+                        rows.column("doc_id"),
+                        pa.array([part] * rows.num_rows, pa.int64()),
                         pa.array(starts),
                         pa.array(n),
                         pa.array(ids, pa.binary()),
@@ -64,9 +55,10 @@ def encode_sorted(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame
                     ["doc_id", "part", "start", "n_tokens", "ids"],
                 )
 
-    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack, "doc_id long, tie long, z binary")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = packed.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    dealt = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     dealt = dealt.withColumn("part", F.spark_partition_id().cast("long"))
     return staged(dealt.mapInArrow(run, "doc_id long, part long, start long, n_tokens long, ids binary"), "token-ids")
 
@@ -77,8 +69,9 @@ def id_counts(encoded: DataFrame, size: int, itemsize: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            for ids in groups(b.column("ids").to_pylist(), len, 4_000_000):
-                total += np.bincount(np.frombuffer(b"".join(ids), f"<u{itemsize}"), minlength=size)
+            for rows in slices(b, "ids"):
+                ids = b"".join(rows.column("ids").to_pylist())
+                total += np.bincount(np.frombuffer(ids, f"<u{itemsize}"), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["id", "n"])
 
@@ -109,7 +102,7 @@ def write_file(encoded: DataFrame, lengths: np.ndarray, itemsize: int, block: in
             names = ["part", "block", "doc_ids", "starts", "lengths", "bits", "checkpoints"]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, "ids")):
             for row in zip(*[b.column(c).to_pylist() for c in ("doc_id", "part", "start", "ids", "n_tokens")]):
                 if held and (size >= block or (row[1], row[2]) != (part, due)):
                     yield flush()
