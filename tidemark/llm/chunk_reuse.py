@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import default_path, encoder, groups
+from tidemark.llm.tokens import default_path, encoder, slices
 from tidemark.session import staged
 
 WINDOW = 32
@@ -76,7 +76,7 @@ def _seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text once a task: key, z (compressed), cuts (chunk ends in bytes), names (chunk digests)."""
     squeeze, seen = zstandard.ZstdCompressor(level=3), set()
     for b in batches:
-        for texts in groups([t.encode() for t in b.column(0).to_pylist()], len):
+        for texts in ([t.encode() for t in x.column("text").to_pylist()] for x in slices(b, "text", 2_000_000)):
             new = {}
             for t in texts:
                 key = _name(t)
@@ -211,8 +211,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, digest: bool = False)
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, open_z = encoder(path), zstandard.ZstdDecompressor()
         for b in batches:
-            rows = list(zip(*[b.column(c).to_pylist() for c in ("key", "z", "cuts", "parts")]))
-            for run in groups(rows, lambda r: 4 * len(r[1])):
+            for run in (list(zip(*[x.column(c).to_pylist() for c in ("key", "z", "cuts", "parts")])) for x in slices(b, "z", 500_000)):
                 n, ids, back = [], [], []
                 for _, z, cuts, got in run:
                     raw = open_z.decompress(z)
@@ -253,7 +252,7 @@ def digest(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ())
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys = [_name(t.encode()) for t in b.column("_text").to_pylist()]
+        keys = [_name(t.as_py().encode()) for t in b.column("_text")]
         yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(keys, pa.binary())], [*b.schema.names[1:], "key"])
 
 

@@ -29,7 +29,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.session import staged
 
-DIMS, ROWS, EPOCHS, SEED = 1 << 15, 6000, 2, 42
+DIMS, ROWS, EPOCHS, SEED = 1 << 15, 2000, 3, 42
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 UNDEFINED = "und"
 STRETCH = 1 << 20
@@ -131,10 +131,11 @@ def train(docs: DataFrame, rows: int = ROWS, seed: int = SEED) -> Model:
         names = ["lang", "doc_id", "used", "counts"]
         kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
         for b in batches:
-            for doc_id, text, lang in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "lang")]):
-                used, counts = features(text)
+            for doc_id, text, lang in zip(*[b.column(c) for c in ("doc_id", "text", "lang")]):
+                used, counts = features(text.as_py())
                 df[used] += 1
                 n += 1
+                doc_id, lang = doc_id.as_py(), lang.as_py()
                 if zlib.crc32(f"{seed}|{doc_id}".encode()) < rate[lang] * 2**32:
                     row = [[lang], [doc_id], [used], [counts]]
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names)
@@ -152,12 +153,15 @@ def train(docs: DataFrame, rows: int = ROWS, seed: int = SEED) -> Model:
     idf = np.full(DIMS, np.log1p(total))
     for r in df.collect():  # at most DIMS rows
         idf[r.used] = np.log((1 + total) / (1 + r.n)) + 0.05
-    sample = found.where("lang is not null").orderBy("doc_id", "lang").limit(4 * rows).toArrow()
+    sample = found.where("lang is not null").withColumn("counts", F.col("counts").cast("array<float>"))
+    sample = sample.orderBy("doc_id", "lang").limit(2 * rows).toArrow()
     fitted, spared = [], []
     for lang, doc_id, used, counts in zip(*[sample.column(c) for c in ("lang", "doc_id", "used", "counts")]):
         u = used.values.to_numpy()
-        row = (u, weighted(u, counts.values.to_numpy(), idf), langs.index(lang.as_py()))
+        row = (u, weighted(u, counts.values.to_numpy(), idf).astype(np.float32), langs.index(lang.as_py()))
         (spared if zlib.crc32(f"spare|{doc_id}".encode()) % 5 == 0 else fitted).append(row)
+    del sample
+    pa.default_memory_pool().release_unused()
     weights = fit(fitted, len(langs), seed=seed)
     logits = np.array([x @ weights[u] for u, x, _ in spared]).reshape(-1, len(langs))
     return Model(langs, idf, weights.astype(np.float32), temperature(logits, np.array([y for *_, y in spared], int)))

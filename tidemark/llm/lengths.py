@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import default_path, encoder
+from tidemark.llm.tokens import default_path, encoder, slices
 from tidemark.session import staged
 
 
@@ -28,15 +28,15 @@ def histogram(docs: DataFrame, text: str = "text", path: str | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, counts = encoder(path), {}
-        for b in batches:
-            for t in b.column(0):
-                n = len(enc.encode(t.as_py())) // enc.dtype.itemsize
+        for b in (x for batch in batches for x in slices(batch, "text")):
+            for ids in enc.encode_many(b.column("text").to_pylist()):
+                n = len(ids) // enc.dtype.itemsize
                 counts[n] = counts.get(n, 0) + 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["length", "n"]
         )
 
-    partial = docs.select(F.col(text).cast("string")).mapInArrow(run, "length long, n long")
+    partial = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "length long, n long")
     return staged(partial.groupBy("length").agg(F.sum("n").alias("n_docs")), "lengths")  # texts are encoded once
 
 
@@ -77,13 +77,13 @@ def context_report(hist: DataFrame, span: int = 64) -> DataFrame:
 
 def answer(report: DataFrame, limit: int) -> DataFrame:
     """n_docs, n_longer, kept_tokens and lost_tokens at any limit, from the report alone."""
-    upper = report.where(F.col("length") > limit)
-    lost = F.coalesce(F.sum((F.col("length") - limit) * F.col("n_docs")), F.lit(0))
-    total = report.agg(F.sum("n_docs").alias("n_docs"), F.max("total_tokens").alias("_t"))
-    return (
-        upper.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_longer"), lost.alias("lost_tokens"))
-        .join(F.broadcast(total))
-        .select("n_docs", "n_longer", (F.col("_t") - F.col("lost_tokens")).alias("kept_tokens"), "lost_tokens")
+    longer = F.col("length") > limit
+    lost = F.sum(F.when(longer, (F.col("length") - limit) * F.col("n_docs")).otherwise(0))
+    return report.agg(
+        F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"),
+        F.coalesce(F.sum(F.when(longer, F.col("n_docs")).otherwise(0)), F.lit(0)).alias("n_longer"),
+        F.coalesce(F.max("total_tokens") - lost, F.lit(0)).alias("kept_tokens"),
+        F.coalesce(lost, F.lit(0)).alias("lost_tokens"),
     )
 
 
