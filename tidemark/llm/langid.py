@@ -29,8 +29,8 @@ from pyspark.sql.types import StructType
 
 from tidemark.session import staged
 
-DIMS, ROWS, EPOCHS, SEED = 1 << 15, 2000, 3, 42
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
+DIMS, ROWS, EPOCHS, SEED = 1 << 15, 3000, 3, 42
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.004, 0.01
 UNDEFINED = "und"
 STRETCH = 1 << 20
 _SPACED = np.where([chr(c).isalpha() for c in range(128)], np.arange(128), 32).astype(np.uint32)
@@ -190,7 +190,7 @@ def digest(docs: DataFrame) -> DataFrame:
     return identify(rows, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """``docs`` without rows that have no language or none with a probability of ``least``."""
     found = identify(docs).where((F.col("lang_pred") != UNDEFINED) & (F.col("score") >= least))
     return found.select(*docs.columns)
