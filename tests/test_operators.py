@@ -135,3 +135,32 @@ def test_files(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.5, None)], "a int, b double, c string")
     files.append_log(df, str(tmp_path / "log"))
     assert spark.read.text(str(tmp_path / "log")).first().value == "1,2.500000,#na#"
+
+
+def test_prefix_sums(spark):
+    import random
+
+    from tidemark.operators.ranking import prefix_sums
+
+    values = list(range(500))
+    random.Random(1).shuffle(values)
+    df = spark.createDataFrame([(v, v % 7) for v in values], "k long, x long").repartition(9)
+    for down in (False, True):
+        rows = sorted(prefix_sums(df, "k", ["x"], down).collect(), key=lambda r: r.rank)
+        assert [r.k for r in rows] == sorted(values, reverse=down) and [r.rank for r in rows] == list(range(1, 501))
+        total = 0
+        for r in rows:
+            total += r.x
+            assert r.run_x == total
+    assert prefix_sums(df.limit(0), "k", ["x"]).count() == 0
+
+
+def test_auc_by_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 20), rng.randint(0, 1)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "score long, target long")
+    p, n = [s for s, t in rows if t], [s for s, t in rows if not t]
+    want = sum((a > b) + 0.5 * (a == b) for a in p for b in n) / len(p) / len(n)
+    assert abs(metrics.auc(df).first().auc - want) < 1e-4

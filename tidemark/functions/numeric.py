@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,3 +24,9 @@ def clamp(x: Column, low, high) -> Column:
 def to_byte(x: Column) -> Column:
     """An 8-bit sample: clamped to 0..255 and truncated."""
     return F.floor(clamp(x.cast("double"), 0.0, 255.0)).cast("long")
+
+
+def round_half_up(x: float, digits: int = 4) -> float:
+    """The same for a number inside a task."""
+    k = 10**digits
+    return math.floor(x * k + 0.5) / k

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import prefix_sums
+
 
 def draw(seed: int, *cols: str) -> Column:
     """32 bits of an MD5 digest of a seed and a key."""
@@ -93,9 +95,8 @@ def label_from_re(text: Column, pattern: str) -> Column:
 
 def label_codes(df: DataFrame, label: str) -> DataFrame:
     """``df`` with ``code``: the label's rank among all labels, from 0."""
-    classes = df.where(F.col(label).isNotNull()).select(label).distinct()
-    classes = classes.withColumn("code", (F.dense_rank().over(Window.orderBy(label)) - 1).cast("long"))
-    return df.join(classes, label, "left")
+    classes = prefix_sums(df.where(F.col(label).isNotNull()).select(label).distinct(), label)
+    return df.join(classes.select(label, (F.col("rank") - 1).alias("code")), label, "left")
 
 
 def drop_unknown(df: DataFrame, label: str, classes: DataFrame) -> DataFrame:

@@ -11,14 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.functions.numeric import half_up  # noqa: F401  (the SQL-side twin of _round)
-
-
-def _round(x: float, digits: int = 4) -> float:
-    import math
-
-    k = 10**digits
-    return math.floor(x * k + 0.5) / k
+from tidemark.functions.numeric import round_half_up
 
 
 def scan(df: DataFrame, read: list[str], start: Callable[[], dict], step: Callable, out: dict[str, str]) -> DataFrame:
@@ -76,7 +69,7 @@ def detect_scenes(
             return True, 1.0
         if n - state["last"] < min_length:
             return False, 0.0
-        ratio = _round(d / state["diff"])
+        ratio = round_half_up(d / state["diff"])
         lit = mid[0] <= y <= mid[1]
         change = (
             (ratio > adaptive and d > threshold)
@@ -102,7 +95,7 @@ def detect_edges(
     and plain difference above 1.75 thresholds, ``min_length`` rows after the last start; 0: none. The same rule within
     ``max(3, int(factor / 2))`` rows, and luma outside its limits, are suppressed.
     """
-    near, plain_least = max(3, int(factor / 2)), _round(1.75 * threshold, 5)
+    near, plain_least = max(3, int(factor / 2)), round_half_up(1.75 * threshold, 5)
 
     def step(state: dict, n: int, flag: bool, edge: float, plain: float, y: float) -> tuple:
         reason = 0
@@ -169,7 +162,7 @@ def filter_changes(
             return (1,)
         if not hit:
             return (0,)
-        near, spread = _round(1 - abs(y - state["y"])), _round(1 - abs(y * y - state["y"] ** 2))
+        near, spread = round_half_up(1 - abs(y - state["y"])), round_half_up(1 - abs(y * y - state["y"] ** 2))
         reason = 0
         if near < threshold and spread < 0.95:
             reason = 1

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import half_up
+from tidemark.operators.ranking import prefix_sums
 
 EPS = 1e-9
 
@@ -135,21 +136,26 @@ def regression(df: DataFrame, pred: Column, target: Column) -> DataFrame:
     )
 
 
+def _by_score(df: DataFrame, score: str, target: str) -> DataFrame:
+    """Positives and negatives of each score with their running sums from the highest score on."""
+    by = df.groupBy(score).agg(F.sum(target).alias("p"), F.sum(1 - F.col(target)).alias("q"))
+    totals = by.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q")).first()
+    return prefix_sums(by, score, ["p", "q"], descending=True).withColumns(
+        {"all_p": F.lit(totals.all_p), "all_q": F.lit(totals.all_q)}
+    )
+
+
 def roc_points(df: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
-    """fp and tp rates at each distinct score, descending, from counts by score: the window sees one row a score."""
-    by = df.groupBy(score).agg(F.sum(target).alias("p"), F.count("*").alias("n"))
-    w, every = Window.orderBy(F.desc(score)), Window.partitionBy(F.lit(0))
-    run = by.withColumns({"tp": F.sum("p").over(w), "np": F.sum(F.col("n") - F.col("p")).over(w), "P": F.sum("p").over(every), "N": F.sum(F.col("n") - F.col("p")).over(every)})
-    return run.select(score, (F.col("np") / F.col("N")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
+    """fp and tp rates at each distinct score, descending."""
+    s = _by_score(df, score, target)
+    return s.select(score, (F.col("run_q") / F.col("all_q")).alias("fpr"), (F.col("run_p") / F.col("all_p")).alias("tpr"))
 
 
 def auc(df: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
-    """Area under the curve by trapezoids."""
-    w = Window.orderBy(F.desc(score))
-    points = roc_points(df, score, target)
-    width = F.col("fpr") - F.coalesce(F.lag("fpr").over(w), F.lit(0.0))
-    mean = (F.col("tpr") + F.coalesce(F.lag("tpr").over(w), F.lit(0.0))) / 2
-    return points.withColumn("a", width * mean).agg(half_up(F.sum("a")).alias("auc"))
+    """Area under the curve by trapezoids: a score's negatives times the positives above it and half of its own."""
+    s = _by_score(df, score, target)
+    area = F.sum(F.col("q") * (F.col("run_p") - F.col("p") / 2)) / F.max(F.col("all_p") * F.col("all_q"))
+    return s.agg(half_up(area).alias("auc"))
 
 
 def top_losses(df: DataFrame, loss: str, key: str, k: int) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, ShortType
 
+from tidemark.operators.ranking import prefix_sums
+
 
 def add_datepart(df: DataFrame, date: str, prefix: str | None = None, time: bool = False) -> DataFrame:
     """``df`` with the parts of a date, boundary flags and epoch seconds, in place of nothing: the date stays."""
@@ -73,8 +75,7 @@ class Categorify:
         """Learn the values of each column."""
         for c in self.columns:
             values = df.where(F.col(c).isNotNull()).select(c).distinct()
-            code = F.dense_rank().over(Window.orderBy(c)).cast("long")  # over the distinct values
-            self.tables[c] = values.withColumn(f"{c}_code", code)
+            self.tables[c] = prefix_sums(values, c).withColumnRenamed("rank", f"{c}_code")
         return self
 
     def apply(self, df: DataFrame) -> DataFrame:
