@@ -170,7 +170,8 @@ def digest(docs: DataFrame) -> DataFrame:
     )
     seqs = sequences(refs.withColumn("html", html), ("doc_id", "n_bytes"))
     columns = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    shown = resolve(seqs, describe(store), columns).select(
+    described = staged(describe(store), "media-described")  # apart from the join, which may be skewed by a digest
+    shown = resolve(seqs, described, columns).select(
         "doc_id", "n_bytes", F.get(F.filter("items", lambda x: x.kind == "media"), F.lit(0)).alias("m")
     )
     return shown.select("doc_id", "n_bytes", "m.payload.*", F.col("m.caption").alias("caption"))
