@@ -488,6 +488,52 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert simhash.keep_one(alone).count() == 1
 
 
+def word_sets(t):
+    w = [x.translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})) for x in WORD.findall(t or "")]
+    return frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([" ".join(w)] if w else [])
+
+
+def groups_by_jaccard(texts):
+    sets = sorted({word_sets(t) for t in texts}, key=sorted)
+    up = {s: s for s in sets}
+
+    def top(s):
+        while up[s] != s:
+            s = up[s]
+        return s
+
+    for i, a in enumerate(sets):
+        for b in sets[:i]:
+            if len(a & b) >= 0.8 * len(a | b) and a:
+                up[top(b)] = top(a)
+    return {s: top(s) for s in sets}
+
+
+@pytest.mark.parametrize("meet, rounds", [(40, 20), (2, 20), (3, 1), (2, 0)])
+def test_pipeline_stage_finds_near_copies(spark, monkeypatch, meet, rounds):
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (meet, rounds))
+    rng = random.Random(5)
+    texts = [None, "", "one", "One", "one two three four five six", "one two three four five seven", sentences(0, 30)]
+    for seed in range(6):  # copies of copies, near and on the border
+        words = sentences(seed).split()
+        texts.append(" ".join(words))
+        for k in range(14):
+            changed = list(words)
+            for _ in range(k % 7):
+                changed[rng.randrange(len(words))] = f"w{rng.random()}"
+            texts.append(" ".join(changed[k % 5 : len(words) - k % 4]))
+    df = make(spark, [(i, t, "en", "s1") for i, t in enumerate(texts)])
+    top = groups_by_jaccard(texts)
+    want = {}
+    for i, t in enumerate(texts):
+        want.setdefault(top[word_sets(t)], i)
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert got == sorted(want.values())
+    assert len(got) < len(set(groups_plain({simhash.fingerprint(t) for t in texts}).values()))
+
+
 # ---- 9: pages
 
 

@@ -13,6 +13,13 @@ exact and linear; a pair that a large cell would have found has both its fingerp
 
 Links become groups by alternating large-star and small-star steps over written tables.
 
+With a ``similarity``, texts are linked instead where their sets of shingles have that Jaccard similarity or more. Two bits
+catch near-identical texts only, and a grid wide enough for ordinary near copies prunes next to nothing and still misses
+some, so these pairs are found exactly: sets as similar as t share one of the first n - ceil(t n) + 1 shingles in any common
+order (n the size of a set). The order puts shingles that are frequent in a sample last, which saves pairs and changes no result. A
+shingle that many sets list is dealt in rounds around a centre: Jaccard distance is a metric, so of sets linked to the
+centre only those on the border need to meet the others. All links are checked by whole sets of 64-bit shingle hashes.
+
 Defined results: a text without a word, or a null text, has fingerprint zero and links like any other; with fewer words
 than a shingle the whole sequence is the one shingle; texts of any length are hashed whole; repeated rows and ties share
 a fingerprint and a group; an empty table gives an empty result; further columns are ignored by ``fingerprints`` and
@@ -21,8 +28,10 @@ kept by ``keep_one``.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +44,10 @@ from tidemark.session import staged
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: A cell with more than so many possible pairs is linked by the values within one bit.
 PAIRS = 50_000
+#: Words of a shingle and Jaccard similarity of near copies in a corpus.
+COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
+#: Sets that list a shingle and meet as pairs; texts of the sample that orders shingles; rounds around a centre before the rest meet as pairs.
+MEET, SAMPLE, ROUNDS = 200, 5_000, 20
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _EVEN = 0x55555555
@@ -58,12 +71,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * total > rows, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
     """The ``ids`` columns and fp (the 64 bits as a long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py()) for t in b.column("_text")), np.uint64, b.num_rows)
+            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column("_text")), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp.view(np.int64))], [*b.schema.names[1:], "fp"])
 
     rows = docs.select(F.col(text).cast("string").alias("_text"), *ids)
@@ -105,6 +118,167 @@ def links(fps: DataFrame, most: int = PAIRS) -> DataFrame:
     return pairs.unionByName(star).distinct()
 
 
+def shingle_set(text: str | None, shingle: int = COPY_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of the different shingles of a lower-cased text, ascending; of fewer words, of the whole sequence."""
+    words = _WORD.findall((text or "").translate(_LOWER))
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingle = min(shingle, len(words))
+    known = {w: xxhash.xxh64_intdigest(w, seed) for w in set(words)}
+    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    rows = len(words) - shingle + 1
+    out = np.full(rows, shingle, np.uint64)
+    for i in range(shingle):
+        out = (out ^ h[i : i + rows]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def _hash(shingles: np.ndarray) -> int:
+    """A name of a set of shingles; zero of an empty one."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) if len(shingles) else 0
+
+
+def set_marks(docs: DataFrame, text: str, ids: tuple[str, ...], shingle: int) -> DataFrame:
+    """The ``ids`` columns, fp (a hash of the set of shingles), n (its size) and bits (parities of its 512 parts) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, sizes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int32)
+            odd = np.zeros((b.num_rows, 512), np.uint8)
+            for i, t in enumerate(b.column("_text")):
+                s = shingle_set(t.as_py(), shingle)
+                fp[i], sizes[i] = _hash(s), len(s)
+                odd[i] = np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1
+            bits = np.packbits(odd, axis=1).view(np.int64).reshape(-1)
+            held = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * 8, pa.int32()), pa.array(bits))
+            arrays = [*b.columns[1:], pa.array(fp.view(np.int64)), pa.array(sizes), held]
+            yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names[1:], "fp", "n", "bits"])
+
+    rows = docs.select(F.col(text).cast("string").alias("_text"), *ids)
+    form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, f"{form}, fp long, n int, bits array<long>")
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """fp and shingles of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in range(0, b.num_rows, 500):
+                sets = [shingle_set(t.as_py(), shingle) for t in b.column("text").slice(first, 500)]
+                fp = np.array([_hash(s) for s in sets], np.uint64)
+                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                held = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), held], ["fp", "shingles"])
+
+    return texts.select("text").mapInArrow(run, "fp long, shingles array<long>")
+
+
+def listed(texts: DataFrame, shingle: int, similarity: float, frequent: list[int]) -> DataFrame:
+    """key, fp and n (size of the set) of the shingles by which a set is found; ``frequent`` shingles come last, in that order."""
+    last = np.array(frequent, np.int64)
+    place = np.argsort(last, kind="stable")
+    names = last[place]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, fp, sizes = [np.zeros(0, np.int64)], [], []
+            for t in b.column("text"):
+                found = shingle_set(t.as_py(), shingle)
+                if not len(found):
+                    continue
+                s = found.view(np.int64)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+                    known = names[at] == s
+                    s = np.concatenate([s[~known], s[known][np.argsort(place[at[known]])]])
+                keys.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1])
+                fp.append(_hash(found))
+                sizes.append(len(s))
+            counts = list(map(len, keys[1:]))
+            fps = np.repeat(np.array(fp, np.uint64).view(np.int64), counts)
+            arrays = [np.concatenate(keys), fps, np.repeat(np.array(sizes, np.int32), counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["key", "fp", "n"])
+
+    return texts.select("text").mapInArrow(run, "key long, fp long, n int")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, marks: DataFrame, shingle: int, least: float) -> DataFrame:
+    """a, b and j, the Jaccard similarity of their sets, of every pair as similar as ``least``.
+
+    Parities differ in no more places than sets do, so they spare most pairs the comparison of whole sets.
+    """
+    spare = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(8))
+    may = pairs.join(marks.select(F.col("fp").alias("a"), F.col("n").alias("k"), F.col("bits").alias("x")), "a")
+    may = may.join(marks.select(F.col("fp").alias("b"), F.col("n").alias("l"), F.col("bits").alias("y")), "b")
+    may = staged(may.where(f"{spare} <= {(1 - least) / (1 + least)} * (k + l) + 1e-6").select("a", "b"), "simhash-may")
+    ends = may.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(marks, "fp").select("tid").distinct()
+    ends = staged(ends, "simhash-ends")
+    if ends.count() <= 100_000:
+        ends = F.broadcast(ends)
+    held = shingle_sets(texts.join(ends, "tid", "left_semi").dropDuplicates(["tid"]), shingle)
+    held = staged(held.dropDuplicates(["fp"]), "simhash-sets")
+    both = may.join(held.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(held.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    both = both.select("a", "b", F.expr("size(x) + size(y)").alias("total"), F.expr("size(array_intersect(x, y))").alias("common"))
+    return both.select("a", "b", F.expr("common / (total - common)").alias("j")).where(f"j >= {least}")
+
+
+def similar_links(
+    texts: DataFrame, rows: DataFrame, shingle: int, similarity: float, meet: int = MEET, rounds: int = ROUNDS
+) -> DataFrame:
+    """a and b (a < b): links among the different ``fp`` of ``rows`` (tid, fp, n, bits), enough to connect all as similar as
+    ``similarity``; ``texts`` are the rows' tid and text."""
+    marks = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("tid").alias("tid"))
+    marks = staged(marks, "simhash-marks")
+    part = min(1.0, SAMPLE / max(1, rows.count()))
+    some = texts.where(f"pmod(tid, 1000000) < {part * 1e6}")
+    often = shingle_sets(some, shingle).select("fp", F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    often = often.orderBy(F.desc("n"), "key").limit(100_000).collect()
+    found = listed(texts, shingle, similarity, [r.key for r in reversed(often)])
+    by_key = found.groupBy("key").agg(F.collect_set(F.struct("fp", "n")).alias("m")).where("size(m) > 1")
+    by_key = staged(by_key, "simhash-shingles")
+    fits = f"least(p.n, q.n) >= {similarity} * greatest(p.n, q.n)"
+
+    def meeting(groups: DataFrame) -> DataFrame:
+        """Different pairs of every group m whose sizes allow the similarity."""
+        one = groups.select("m", F.explode("m").alias("p")).select("p", F.explode("m").alias("q"))
+        return one.where(f"p.fp < q.fp and {fits}").select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).distinct()
+
+    pairs = [staged(meeting(by_key.where(f"size(m) <= {meet}")), "simhash-pairs")]
+    edges = []
+    large = staged(by_key.where(f"size(m) > {meet}"), "simhash-large")
+    for _ in range(rounds):
+        if large.isEmpty():
+            break
+        spread = large.select("key", F.explode("m").alias("q"), F.expr("array_min(m)").alias("p"))
+        spread = spread.where("p.fp != q.fp")
+        border = 2 * similarity - 1
+        may = spread.where(f"least(p.n, q.n) >= {border} * greatest(p.n, q.n)")
+        near = may.select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).distinct()
+        near = staged(similar(near, texts, marks, shingle, border), "simhash-near")
+        edges.append(near.where(f"j >= {similarity}").select("a", "b"))
+        known = near.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "j")
+        placed = spread.join(known, F.expr("p.fp = _a and q.fp = _b"), "left").select("key", "q", F.coalesce("j", F.lit(0.0)).alias("j"))
+        placed = staged(placed, "simhash-placed")
+        inner = placed.where(f"j >= {similarity}").select("key", F.col("q").alias("p"), F.col("j").alias("i"))
+        outer = placed.where(f"j >= {border} and j < {similarity}")
+        # the distance to the centre differs by no more than the distance of a pair
+        cross = inner.join(outer, "key").where(f"i - j <= {1 - similarity + 1e-9} and {fits}")
+        pairs.append(staged(cross.select(F.least("p.fp", "q.fp").alias("a"), F.greatest("p.fp", "q.fp").alias("b")).distinct(), "simhash-pairs"))
+        rest = placed.where(f"j < {similarity}").groupBy("key").agg(F.collect_list("q").alias("m"))
+        rest = staged(rest.where("size(m) > 1"), "simhash-large")
+        pairs.append(staged(meeting(rest.where(f"size(m) <= {meet}")), "simhash-pairs"))
+        large = rest.where(f"size(m) > {meet}")
+    else:
+        pairs.append(meeting(large))
+    every = similar(staged(reduce(DataFrame.union, pairs).distinct(), "simhash-pairs"), texts, marks, shingle, similarity)
+    every = every.select("a", "b")
+    every = reduce(DataFrame.union, edges, every)
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and root, the smallest node that links reach, for every node of ``edges`` (a, b)."""
     edges = staged(edges.select("a", "b"), "links")
@@ -128,11 +302,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``ids``, fp, root (a fingerprint that names the group) and component_id (smallest doc_id in the group) of every row."""
-    rows = staged(fingerprints(docs, text, ids), "fingerprints")
+def near_duplicates(
+    docs: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, similarity: float | None = None
+) -> DataFrame:
+    """``ids``, fp, root (a fingerprint that names the group) and component_id (smallest doc_id in the group) of every row.
+
+    Links are fingerprints within 2 bits or, with ``similarity``, sets of shingles of that Jaccard similarity or more; fp is
+    then a hash of the set.
+    """
+    if similarity is None:
+        rows = staged(fingerprints(docs, text, ids, shingle), "fingerprints")
+    else:
+        known = docs.withColumn("tid", F.xxhash64(F.col(text).cast("string")))
+        rows = staged(set_marks(known, text, (*ids, "tid"), shingle), "fingerprints")
+        texts = known.select("tid", F.col(text).cast("string").alias("text"))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp")))
+    roots = components(links(nodes.select("fp")) if similarity is None else similar_links(texts, rows, shingle, similarity))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     named = named.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     low = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -146,12 +331,12 @@ def digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each group: the smallest doc_id, nulls last; of repeated rows of it, one."""
     key = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "text")]))
     keyed = docs.withColumn("_key", key)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("w")
-    chosen = near_duplicates(keyed, ids=("doc_id", "_key")).groupBy("root").agg(first).select("w._key")
+    chosen = near_duplicates(keyed, ids=("doc_id", "_key"), shingle=shingle, similarity=similarity).groupBy("root").agg(first).select("w._key")
     kept = keyed.join(chosen, "_key", "left_semi")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     row = F.row_number().over(Window.partitionBy("_key").orderBy(*others, F.lit(0)))
