@@ -554,6 +554,15 @@ def test_line_blocks_without_an_article():
     assert html_text.between([0, 0, 100, 5, 80, 0, 0, 0, 4]) == [False, False, True, True, True, False, False, False, False]
 
 
+def test_all_parts_of_an_article():
+    one, two = " ".join(sentences(1, 3).split()), " ".join(sentences(2, 4).split())
+    page = f"<body><h1>Head</h1><div class='post-content'><p>{one}</p></div><div class='ad'>Buy</div><div class='post-content'><p>{two}</p></div></body>"
+    assert html_text.extract(page).split("\n") == ["Head", one, two]
+    inside = "<section id='related-work'><p>a1</p></section><h2 id='legal'>a2</h2><p id='comment-3'>a3</p><div class='social-science'>a4</div>"
+    inside += "<p title='the hidden display: none'>a5</p><p hidden>b1</p><p style='display: none'>b2</p><div class='related-posts'>b3</div><p aria-hidden=true>b4</p>"
+    assert html_text.extract(f"<article><p>{one}</p>{inside}</article>").split("\n") == [one, "a1", "a2", "a3", "a4", "a5"]
+
+
 def test_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "plain words"), (3, None, "plain words"), (4, "u", "<p title='open>broken <article>x"), (5, "u", "<p>" * 20_000 + "deep")]
     out = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()

@@ -4,8 +4,9 @@ A page is stripped of markup into lines, one for each block of text. Every line
 inside links, and none where it stands in a menu, header, footer, sidebar, notice, advert, form or reader comments (by
 element, role, class or id). Lengths are summed over a sliding window of ``WINDOW`` lines. The text surges where a window
 rises above the threshold and does not fall back to nothing at once, and dives where a window falls to zero. Lines between
-a surge and its dive are kept, if they have a length of their own. Where an element says that it is the article, the
-lines outside it have no length, links inside it count, and any length is a surge.
+a surge and its dive are kept, if they have a length of their own. Where elements say that they are the article, the
+lines outside the largest, and outside others that surge by themselves, have no length, but for a headline directly before
+the first; links inside count, and any length is a surge.
 
 Defined results: a null or empty page has an empty text; pages of any length are read whole; broken or unclosed markup is
 read as far as it goes; repeated rows have equal results; an empty table gives an empty result; further columns are
@@ -47,7 +48,15 @@ ARTICLE = re.compile(
 #: Inside an article, or in its name, a header is the article's own.
 _OWN_HEAD = re.compile(r"header|masthead", re.IGNORECASE)
 #: Attributes of what a reader doesn't see.
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|$)", re.IGNORECASE)
+#: Inside an article, a whole class or role: a word that marks boilerplate, with what often stands around it.
+_PART = re.compile(
+    r"(?:(?:post|entry|article|story|site|page|inline|wp)[_-])?(?:%s)(?:[_-](?:posts?|articles?|stories|links?|buttons?|box|bar|"
+    r"lists?|items?|container|wrapper|block|section|area|form|unit|slot|message|media|nav|icons?|title|widget))?"
+    % BOILER.pattern[len(r"(?:^|[\s_-])(?:") : -len(r")(?=$|[\s_-])")],
+    re.IGNORECASE,
+)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>",  # a tag with an open quote
@@ -62,9 +71,18 @@ _P_ENDS = frozenset(
 )
 
 
-def lines(html: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters outside links, boilerplate, article number or -1) of each line of a page."""
-    out: list[tuple[str, int, bool, int]] = []
+def _hidden(attrs: str, values: list[tuple[str, str]]) -> bool:
+    """Whether parsed attributes say that a reader doesn't see the element."""
+    for name, value in values:
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+            return True
+    return bool(_BARE_HIDDEN.search(_ATTR.sub(" ", attrs)))
+
+
+def lines(html: str) -> list[tuple[str, int, bool, int, bool]]:
+    """(text, characters outside links, boilerplate, article number or -1, first headline) of each line of a page."""
+    out: list[tuple[str, int, bool, int, bool]] = []
     text: list[str] = []
     links: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # element, boilerplate, article
@@ -75,7 +93,7 @@ def lines(html: str) -> list[tuple[str, int, bool, int]]:
             line = _SPACE.sub(" ", unescape("".join(text))).strip()
             if line:
                 linked = len(_SPACE.sub(" ", unescape("".join(links))).strip())
-                out.append((line, max(0, len(line) - linked), boiler, article))
+                out.append((line, max(0, len(line) - linked), boiler, article, any(s[0] == "h1" for s in stack[-3:])))
             text.clear()
             links.clear()
 
@@ -129,10 +147,16 @@ def lines(html: str) -> list[tuple[str, int, bool, int]]:
                 if stack[k][0] == "li":
                     del stack[k:]
                     break
-        named = " ".join(v.strip("\"'") for a, v in _ATTR.findall(attrs) if a.lower() in ("class", "id", "role"))
+        values = _ATTR.findall(attrs)
+        named = " ".join(v.strip("\"'") for a, v in values if a.lower() in ("class", "id", "role"))
         said = _OWN_HEAD.sub(" ", named) if article >= 0 or ARTICLE.search(named) else named
-        bad = boiler or name in OUTSIDE or (name == "header" and article < 0) or bool(said and BOILER.search(said))
-        bad = bad or bool(_HIDDEN.search(attrs))
+        bad = boiler or name in OUTSIDE or (name == "header" and article < 0)
+        if article >= 0:
+            own = " ".join(v.strip("\"'") for a, v in values if a.lower() in ("class", "role"))
+            bad = bad or any(_PART.fullmatch(x) for x in _OWN_HEAD.sub(" ", own).split())
+        else:
+            bad = bad or bool(said and BOILER.search(said))
+        bad = bad or _hidden(attrs, values)
         if name in ("body", "html", "article", "main"):
             bad = boiler
         if not boiler and article < 0 and (name in ("article", "main") or (named and name in ("div", "section", "main") and not bad and ARTICLE.search(named))):
@@ -163,15 +187,20 @@ def extract(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """Main text of a page, one line a block."""
     found = lines(html or "")
     size: dict[int, int] = {}
-    for text, _, bad, article in found:
+    for text, _, bad, article, _ in found:
         if article >= 0 and not bad:
             size[article] = size.get(article, 0) + len(text)
     if size:  # what lies outside the article has no length, and all that lies inside surges
         best = max(size, key=lambda k: (size[k], -k))
-        lengths = [len(t) if article == best and not bad else 0 for t, _, bad, article in found]
+        plain = {k: [n for _, n, bad, article, _ in found if article == k and not bad] for k in size}
+        chosen = {k for k in size if k == best or any(between(plain[k], window, surge))}
+        lengths = [len(t) if article in chosen and not bad else 0 for t, _, bad, article, _ in found]
+        top = next(i for i, n in enumerate(lengths) if n)
+        if top and found[top - 1][4] and not found[top - 1][2]:  # a headline directly before the article
+            lengths[top - 1] = len(found[top - 1][0])
         surge = 0
     else:
-        lengths = [0 if bad or 2 * n <= len(t) or _RIGHTS.match(t) else n for t, n, bad, _ in found]  # half of it links
+        lengths = [0 if bad or 2 * n <= len(t) or _RIGHTS.match(t) else n for t, n, bad, *_ in found]  # half of it links
     kept = between(lengths, window, surge)
     if not any(kept):  # too short to surge: all that has a length
         kept = [n > 0 for n in lengths]
