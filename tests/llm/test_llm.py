@@ -544,7 +544,7 @@ def test_main_text():
     <div class="ad">Buy</div><ul><li>one<li>two</ul><form><p>Mail<input></form><a href=y>linked block</a></article>
     <aside>Side</aside><section id="comments"><p>A comment by a reader that is quite long, longer than the text itself, to be sure it wins.</p></section>
     <footer>&copy; foot</footer><script>if (a<b) {}</script></body></html>"""
-    assert html_text.extract(page) == "A & B\nFirst para bold.\nSecond line\nThird <x>\none\ntwo\nlinked block"
+    assert html_text.extract(page) == "A & B\nFirst para bold. Second line\nThird <x>\none\ntwo\nlinked block"
 
 
 def test_line_blocks_without_an_article():

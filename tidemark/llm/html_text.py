@@ -1,16 +1,18 @@
 """Main text of HTML pages by line-block distribution.
 
-A page is stripped of markup into lines, one for each block of text. Every line has a length: its characters, less those
-inside links, and none where it stands in a menu, header, footer, sidebar, notice, advert, form or reader comments (by
-element, role, class or id). Lengths are summed over a sliding window of ``WINDOW`` lines. The text surges where a window
-rises above the threshold and does not fall back to nothing at once, and dives where a window falls to zero. Lines between
-a surge and its dive are kept, if they have a length of their own. Where elements say that they are the article, the
-lines outside the largest, and outside others that surge by themselves, have no length, but for a headline directly before
-the first; links inside count, and any length is a surge.
-
-Defined results: a null or empty page has an empty text; pages of any length are read whole; broken or unclosed markup is
-read as far as it goes; repeated rows have equal results; an empty table gives an empty result; further columns are
-ignored.
+A page is stripped of markup into lines, one for each block of text. Every line weighs its characters, less those inside
+links; a line of which links are half, or a notice of rights, weighs nothing. What elements, roles, classes and ids say only
+weights the lines: one in a menu, header, footer, sidebar, notice, advert, form or reader comments weighs its length below
+zero; one in an article container weighs its whole length and ``SURGE`` more. Where article containers hold ``SHARE`` of the
+text that isn't boilerplate, lines outside them weigh below zero as well, but for a headline directly before the first.
+
+Weights are summed over a window of ``WINDOW`` lines from each line on, as far as the first line below zero. The text surges
+where a sum rises above ``SURGE`` and does not fall back to nothing at once, and dives where a sum isn't above zero. All lines from
+a surge to its dive are kept, whatever they weigh by themselves, and no others.
+
+Defined results: a null or empty page has an empty text; a page without any surge keeps its lines above zero; pages of
+any length are read whole; broken or unclosed markup is read as far as it goes; repeated rows have equal results; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, SURGE = 3, 60
+#: Share of the text that isn't boilerplate from which article containers speak for the page.
+SHARE = 0.25
 #: Elements whose content is never text.
 SILENT = frozenset("script style noscript template svg math canvas iframe object head title textarea select".split())
 #: Elements that are boilerplate as a whole.
@@ -51,10 +55,10 @@ _OWN_HEAD = re.compile(r"header|masthead", re.IGNORECASE)
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|$)", re.IGNORECASE)
 #: Inside an article, a whole class or role: a word that marks boilerplate, with what often stands around it.
+_BOILER_WORD = BOILER.pattern[len(r"(?:^|[\s_-])") : -len(r"(?=$|[\s_-])")]
 _PART = re.compile(
-    r"(?:(?:post|entry|article|story|site|page|inline|wp)[_-])?(?:%s)(?:[_-](?:posts?|articles?|stories|links?|buttons?|box|bar|"
-    r"lists?|items?|container|wrapper|block|section|area|form|unit|slot|message|media|nav|icons?|title|widget))?"
-    % BOILER.pattern[len(r"(?:^|[\s_-])(?:") : -len(r")(?=$|[\s_-])")],
+    rf"(?:(?:post|entry|article|story|site|page|inline|wp)[_-])?{_BOILER_WORD}(?:[_-](?:{_BOILER_WORD}|posts?|articles?|stories|links?|buttons?|"
+    r"box|bar|lists?|items?|container|wrapper|block|section|area|form|unit|slot|message|media|nav|icons?|title|widget))?",
     re.IGNORECASE,
 )
 _TOKEN = re.compile(
@@ -112,10 +116,11 @@ def lines(html: str) -> list[tuple[str, int, bool, int, bool]]:
         if not name:
             continue
         name = name.lower()
-        if name not in INLINE:
-            flush()
         if name == "br":
+            text.append(" ")
             continue
+        if name not in INLINE:
+            flush()
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -169,16 +174,55 @@ def lines(html: str) -> list[tuple[str, int, bool, int, bool]]:
     return out
 
 
-def between(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
-    """Which lines lie between a surge and a dive of the sums over ``window`` lines from each line on."""
-    n = len(lengths)
-    sums = [sum(lengths[i : i + window]) for i in range(n)]
-    inside, kept = False, [False] * n
+def weights(found: list[tuple[str, int, bool, int, bool]], window: int = WINDOW, surge: int = SURGE) -> list[int]:
+    """What each line adds to the sums over windows."""
+    size: dict[int, int] = {}
+    rest = 0
+    for text, plain, bad, article, _ in found:
+        if not bad and article >= 0:
+            size[article] = size.get(article, 0) + len(text)
+        elif not bad:
+            rest += plain
+    out = []
+    for text, plain, bad, *_ in found:
+        links_or_rights = 2 * plain <= len(text) or _RIGHTS.match(text)
+        out.append(-len(text) if bad else 0 if links_or_rights else plain)
+    if not size or sum(size.values()) < SHARE * (sum(size.values()) + rest):
+        return out
+    best = max(size, key=lambda k: (size[k], -k))
+    own = {k: [w for w, (_, _, bad, article, _) in zip(out, found) if article == k and not bad] for k in size}
+    chosen = {k for k in size if k == best or any(between(own[k], window, surge))}
+    inside = [article in chosen and not bad for _, _, bad, article, _ in found]
+    first = inside.index(True)
+    if first and found[first - 1][4] and not found[first - 1][2]:  # a headline directly before the article
+        inside[first - 1] = True
+    return [len(line[0]) + surge if x else -len(line[0]) for line, x in zip(found, inside)]
+
+
+def window_sums(weight: list[int], window: int = WINDOW) -> list[int]:
+    """Sums over ``window`` lines from each line on, as far as the first line below zero."""
+    out = []
+    for i in range(len(weight)):
+        total = 0
+        for w in weight[i : i + window]:
+            if w < 0 and total:
+                break
+            total += w
+            if w < 0:
+                break
+        out.append(total)
+    return out
+
+
+def between(weight: list[int], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
+    """Which lines lie between a surge and a dive."""
+    sums = window_sums(weight, window)
+    n, inside, kept = len(weight), False, [False] * len(weight)
     for i in range(n):
-        if not inside and sums[i] > surge and lengths[i] and (i + 1 == n or any(sums[i + 1 : i + window]) or lengths[i] > surge):
-            inside = True
-        elif inside and not sums[i]:
-            inside = False
+        if inside:
+            inside = sums[i] > 0
+        elif weight[i] > 0 and sums[i] > surge:  # and not back to nothing at once
+            inside = weight[i] > surge or sums[i] > weight[i]
         kept[i] = inside
     return kept
 
@@ -186,29 +230,15 @@ def between(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> lis
 def extract(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """Main text of a page, one line a block."""
     found = lines(html or "")
-    size: dict[int, int] = {}
-    for text, _, bad, article, _ in found:
-        if article >= 0 and not bad:
-            size[article] = size.get(article, 0) + len(text)
-    if size:  # what lies outside the article has no length, and all that lies inside surges
-        best = max(size, key=lambda k: (size[k], -k))
-        plain = {k: [n for _, n, bad, article, _ in found if article == k and not bad] for k in size}
-        chosen = {k for k in size if k == best or any(between(plain[k], window, surge))}
-        lengths = [len(t) if article in chosen and not bad else 0 for t, _, bad, article, _ in found]
-        top = next(i for i, n in enumerate(lengths) if n)
-        if top and found[top - 1][4] and not found[top - 1][2]:  # a headline directly before the article
-            lengths[top - 1] = len(found[top - 1][0])
-        surge = 0
-    else:
-        lengths = [0 if bad or 2 * n <= len(t) or _RIGHTS.match(t) else n for t, n, bad, *_ in found]  # half of it links
-    kept = between(lengths, window, surge)
-    if not any(kept):  # too short to surge: all that has a length
-        kept = [n > 0 for n in lengths]
+    weight = weights(found, window, surge)
+    kept = between(weight, window, surge)
+    if not any(kept):  # too short to surge
+        kept = [w > 0 for w in weight]
     first = next((i for i, k in enumerate(kept) if k), 0)
-    while first and lengths[first - 1]:  # a headline before the surge
+    while first and weight[first - 1] > 0:  # a headline before the surge
         first -= 1
         kept[first] = True
-    return "\n".join(t for (t, *_), n, k in zip(found, lengths, kept) if k and n)
+    return "\n".join(line[0] for line, k in zip(found, kept) if k)
 
 
 def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
