@@ -6,7 +6,7 @@ offsets; a window inside each range does the rest.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import staged
@@ -32,3 +32,16 @@ def prefix_sums(df: DataFrame, order: str, columns: list[str] | None = None, des
         (F.col("_o") + F.col("_r")).cast("long").alias("rank"),
         *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"run_{c}") for c in columns],
     )
+
+
+def group_ranks(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with ``rank`` (from 1) within each group ``by``; a large group is many ranges. ``by`` and ``order`` are unique together."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *by, *order).withColumn("_range", F.spark_partition_id())
+    rows = staged(dealt, "ranges")
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_range", *by).agg(F.count("*").alias("_n"))  # about a row for each group and each range
+    offsets = counts.select("_range", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("_range", *by).orderBy(*order)
+    placed = rows.withColumn("_r", F.row_number().over(inside)).join(offsets, ["_range", *by])
+    return placed.select(*df.columns, (F.col("_o") + F.col("_r")).cast("long").alias("rank"))
