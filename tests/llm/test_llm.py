@@ -610,3 +610,83 @@ def test_pipeline(spark, library):
     want = count((r.doc_id, r.source, len(ids := library(r.text)), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()) for r in docs.collect())
     got = corpus_pipeline.run(spark, DATA).collect()
     assert count((r.doc_id, r.source, r.n_tokens, r.ids_sha256) for r in got) == want
+
+
+# ---- 4: many parties, repeated doc_ids, names that clash
+
+
+@pytest.mark.parametrize("groups, n", [(1, 100_000), (4, 25_000)])
+def test_equal_parties_in_linear_rows(spark, groups, n):
+    from unittest import mock
+
+    seen = []
+    real = mixing.group_ranks
+
+    def ranks(df, by, order):
+        seen.append(df.count())
+        return real(df, by, order)
+
+    total = n * 3 // 2 + 1
+    df = spark.range(groups * n).select((F.col("id") % groups).alias("g"), F.expr(f"id div {groups}").alias("shard"), F.lit(7.0).alias("claim"), F.lit(total).cast("long").alias("total"))
+    with mock.patch.object(mixing, "group_ranks", ranks):
+        out = mixing.apportion(df, ["g"], ["shard"]).groupBy("g").agg(F.sum("seats").alias("s"), F.max(F.when(F.col("seats") == 2, F.col("shard"))).alias("last"), F.min("seats").alias("low")).collect()
+    assert len(out) == groups and all((r.s, r.last, r.low) == (total, total - n - 1, 1) for r in out)
+    assert sum(seen) <= 4 * groups * n
+
+
+def test_repeated_doc_ids_are_dealt_apart(spark, monkeypatch):
+    rows = [(5, "w " * (10 + i % 3), "en", "hot") for i in range(300)] + [(None, "w " * 20, "en", "hot") for _ in range(200)] + [(i, "w " * 20, "en", "s") for i in range(50)]
+    monkeypatch.setattr(mixing._dealt_apart, "__defaults__", (40,))
+    df = make(spark, rows)
+    out = mixing.mix(df, shard=200).collect()
+    assert len(out) == len(rows) and len({r.taken for r in out if r.doc_id == 5}) > 1
+    assert sum(r["size"] for r in out) == sum(len(WORD.findall(t)) for _, t, *_ in rows)
+    again = mixing.mix(df.repartition(7), shard=200).collect()
+    assert count((r.doc_id, r["size"], r.taken) for r in out) == count((r.doc_id, r["size"], r.taken) for r in again)
+    assert abs(sum(r.taken for r in out if r.source_size > 1000) - next(r.target for r in out if r.doc_id == 5)) <= 0.05 * 6000
+
+
+def test_rows_are_told_apart_and_columns_kept(spark):
+    rows = [(1, None, "x|y"), (1, "null", "x|y"), (2, "y|z", "x"), (2, "z", "x|y")]
+    full = [(i, t, "en", s, n, str(n), n, n, n, n) for n, (i, t, s) in enumerate(rows)]
+    df = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, _key string, _t int, _n int, _row int, size int")
+    assert df.select(mixing.row_key(F.col("doc_id"), F.col("text"), F.col("source"))).distinct().count() == 4
+    out = mixing.apply_mix(df)
+    assert out.columns == df.columns and all(r._key == str(r._t) == str(r._row) == str(r["size"]) for r in out.collect())
+    kept = simhash.keep_one(df.drop("source"))
+    assert kept.columns == df.drop("source").columns and {r._t for r in kept.collect()} == {0, 1, 2, 3}
+
+
+# ---- 8: thousands of fingerprints in a cell
+
+
+def test_links_of_a_cell_of_thousands(spark):
+    rng = random.Random(11)
+    seed = rng.getrandbits(64)
+    fps = {seed}
+    upper = [(1 << 2 * i, 1 << 2 * i + 1) for i in range(16, 32)]
+    while len(fps) < 5000:  # one embedding of the upper half, bits of two-bit segments swapped; the lower half anywhere near
+        f = rng.choice(tuple(fps)) if rng.random() < 0.5 else seed
+        for a, b in rng.sample(upper, rng.randint(0, 3)):
+            if bool(f & a) != bool(f & b):
+                f ^= a | b
+        for _ in range(rng.randint(0, 3)):
+            f ^= 1 << rng.randrange(32)
+        fps.add(f)
+    signed = {f: f - 2**64 if f >= 2**63 else f for f in fps}
+    edges = simhash.links(spark.createDataFrame([(f,) for f in signed.values()], "fp long"), 2000)
+    assert all(bin((r.a ^ r.b) & (2**64 - 1)).count("1") <= 2 for r in edges.collect())
+    root = {r.node: r.root for r in simhash.components(edges).collect()}
+    values = np.array(sorted(fps), np.uint64)
+    label = np.arange(len(values))
+    near = [np.flatnonzero(np.bitwise_count(values ^ v) <= 2) for v in values]
+    while True:
+        low = np.array([label[n].min() for n in near])
+        if (low == label).all():
+            break
+        label = low
+    got, want = collections.defaultdict(set), collections.defaultdict(set)
+    for v, k in zip(values.tolist(), label.tolist()):
+        want[k].add(v)
+        got[root.get(signed[v], signed[v])].add(v)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))

@@ -1,12 +1,13 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, with built-in expressions only.
 
 1. Sizes are words. Targets share all words by weight; a source stops at ``repeats`` times its size and what it cannot
-   take is shared again by weight. The closed form needs one pass in order of ceiling to weight.
+   take is shared again by weight. The closed form needs one pass in order of ceiling to weight, over one row a source.
 2. Words come in equal blocks of ``block`` words. Sources get whole blocks by highest quotients
-   target / (2 * seats + 1). All seats but the last few follow from rounding at the common divisor; only as many
-   further quotients as rounding left over are ranked.
+   target / (2 * seats + 1). The divisor that fits a group's sums is known within its parties over twice its seats, so
+   only quotients in that stretch, about three a party, are ranked, by ranges; all larger ones are seats already.
 3. A source's documents are dealt by hash to shards of about ``shard`` words, so that a source with a third of all rows
-   is many shards. Its blocks are apportioned to its shards in the same way.
+   is many shards. Its blocks are apportioned to its shards in the same way. Rows of a doc_id that repeats more than
+   ``SAME`` times are dealt by their number, so that one doc_id with a third of all rows is many shards, too.
 4. In a shard the documents lie on a line in seeded hash order, cut into blocks. A quota takes every block
    ``quota // blocks`` times and, from a seeded block on and around the end, the next ``quota % blocks`` once more. A
    document takes what the chosen blocks cover of it. The line's order is seeded already, and successive blocks leave
@@ -15,8 +16,10 @@
 Only counts by source and by shard are gathered; documents are shuffled once, without their texts.
 
 Defined results: a null text has size 0; null sources form one source, last in order; sources without a word have
-target 0; repeated rows are rows of their own; an empty table gives an empty result; a further column stays out of the
-result. Reruns agree, since every choice is a function of the seed, the doc_id and the sizes.
+target 0; a text of any length is one document on the line, and may make its shard larger; equal quotients go by order
+of source or shard; repeated rows are rows of their own; an empty table gives an empty result; a further column stays out
+of the result of ``mix``, whatever its name, and is kept by ``apply_mix``. Reruns agree, since every choice is a function
+of the seed, the doc_id and the sizes.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import group_ranks
 from tidemark.session import staged
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -32,49 +36,36 @@ BLOCK = 16
 SHARD = 1_000_000
 REPEATS = 3
 SEED = 42
+#: Rows of one source and doc_id that are dealt together.
+SAME = 10_000
 
 
 def apportion(parties: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """``parties`` with ``seats``: whole numbers by Sainte-Lague that sum to ``total`` within each group ``by``.
 
     ``parties`` has ``claim`` (positive weights; those of zero get no seat) and ``total`` (the group's seats). Ties go
-    by ``order``. Exact: at the common divisor every party's seats are its quotient rounded, and what rounding has left
-    over or given too much, m seats, is found among the m next (or last) quotients of each party.
+    by ``order``. Exact: a party's quotient times 1 +- n / (2 total), rounded, is more (less) than its seats in sum over the n
+    parties of a group, so seats below that stretch are certain and those above it out of reach.
     """
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    keys = [*by, *order]
-    quota = F.when(F.col("_sum") > 0, F.col("claim") * F.col("total") / F.col("_sum")).otherwise(0.0)
-    rounded = (
-        parties.withColumn("_sum", F.sum("claim").over(group))
-        .withColumn("_base", F.floor(quota + 0.5))
-        .withColumn("_left", F.when(F.col("_sum") > 0, F.col("total")).otherwise(0) - F.sum("_base").over(group))
+    by = by or ["_all"]
+    parties = parties.withColumn("_all", F.lit(0)) if by == ["_all"] else parties
+    sums = parties.groupBy(*by).agg(F.sum("claim").alias("_sum"), F.count_if(F.col("claim") > 0).alias("_n"))
+    quota = F.when(F.col("claim") > 0, F.col("claim") * F.col("total") / F.col("_sum")).otherwise(0.0)
+    width = F.when(F.col("total") > 0, F.col("_n") / (2 * F.col("total"))).otherwise(0.0)
+    known = parties.join(sums, by).select(
+        *parties.columns,
+        F.greatest(F.lit(0), F.floor(quota * (1 - width) - 0.5)).cast("long").alias("_low"),
+        F.when((F.col("claim") > 0) & (F.col("total") > 0), F.floor(quota * (1 + width) + 1.5)).otherwise(0).cast("long").alias("_high"),
     )
-    more = (
-        rounded.where("_left > 0 and claim > 0")
-        .select(*keys, "claim", "_left", F.explode(F.expr("sequence(_base, _base + _left - 1)")).alias("_k"))
-        .withColumn("_r", F.row_number().over(group.orderBy((F.col("claim") / (2 * F.col("_k") + 1)).desc(), *order)))
-        .where("_r <= _left")
-    )
-    fewer = (
-        rounded.where("_left < 0 and _base > 0")
-        .select(
-            *keys,
-            "claim",
-            "_left",
-            F.explode(F.expr("sequence(greatest(0, _base + _left), _base - 1)")).alias("_k"),
-        )
-        .withColumn(
-            "_r",
-            F.row_number().over(
-                group.orderBy(F.col("claim") / (2 * F.col("_k") + 1), *[F.col(c).desc() for c in order])
-            ),
-        )
-        .where("_r <= -_left")
-    )
-    change = more.select(*keys, F.lit(1).alias("_d")).unionByName(fewer.select(*keys, F.lit(-1).alias("_d")))
-    change = change.groupBy(*keys).agg(F.sum("_d").alias("_d"))
-    return rounded.join(change, keys, "left").select(
-        parties["*"], (F.col("_base") + F.coalesce("_d", F.lit(0))).cast("long").alias("seats")
+    known = staged(known, "parties")
+    left = known.groupBy(*by).agg((F.first("total") - F.sum("_low")).alias("_left"))
+    reach = known.where("_high > _low").select(*by, *order, "claim", F.explode(F.expr("sequence(_low, _high - 1)")).alias("_k"))
+    quotient = reach.select(*by, *order, (F.col("claim") / (2 * F.col("_k") + 1)).alias("_q"))
+    ranked = group_ranks(quotient, by, [F.col("_q").desc(), *map(F.col, order)])
+    won = ranked.join(left, by).where("rank <= _left").groupBy(*by, *order).agg(F.count("*").alias("_won"))
+    names = [c for c in parties.columns if c != "_all"]
+    return known.join(won, [*by, *order], "left").select(
+        *names, (F.col("_low") + F.coalesce("_won", F.lit(0))).cast("long").alias("seats")
     )
 
 
@@ -134,24 +125,52 @@ def apply_mix(docs: DataFrame) -> DataFrame:
 
     Rows of one doc_id, source and text stand for each other; together they get the times of all of them.
     """
-    null = F.lit("null")
-    key = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), null) for c in ("doc_id", "source", "text")]))
-    keyed = docs.withColumn("_key", key)
+    key = row_key(*map(F.col, ("doc_id", "source", "text")))
+    keyed = docs.select(key.alias("_key"), "doc_id", "source", "text")
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
     wanted = mix(keyed, keep=("_key",)).groupBy("_key").agg(F.sum(times).alias("_t"), F.count("*").alias("_n"))
-    row = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
-    taken = keyed.join(wanted.where("_t > 0"), "_key").withColumn("_row", row)
-    each = F.expr("cast(_t div _n + IF(_row <= _t % _n, 1, 0) as int)")
-    return taken.withColumn("_x", F.explode(F.array_repeat(F.lit(0), each))).select(*docs.columns)
+    rows = docs.select(key.alias("_key"), F.struct(*docs.columns).alias("_row"))  # whatever the columns are called
+    taken = rows.join(wanted.where("_t > 0"), "_key")
+    even = taken.where("_t % _n = 0").select("_row", F.expr("_t div _n").alias("_e"))
+    odd = staged(taken.where("_t % _n != 0").withColumn("_id", F.monotonically_increasing_id()), "mix-repeated")
+    ranked = group_ranks(odd.select("_key", "_id", "_t", "_n"), ["_key"], [F.col("_id")])
+    more = odd.select("_id", "_row").join(ranked, "_id").select("_row", F.expr("_t div _n + IF(rank <= _t % _n, 1, 0)").alias("_e"))
+    each = F.explode(F.array_repeat(F.lit(0), F.col("_e").cast("int")))
+    return even.unionByName(more).select("_row", each).select("_row.*")
+
+
+def row_key(*columns: Column) -> Column:
+    """A digest that tells values apart: lengths come first, so neither nulls nor separators can be mistaken."""
+    texts = [c.cast("string") for c in columns]
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.octet_length(t), F.lit(-1)) for t in texts], *[F.coalesce(t, F.lit("")) for t in texts]))
+
+
+def _dealt_apart(sized: DataFrame, seed: int, same: int = SAME) -> DataFrame:
+    """``sized`` with draws by number for the rows of a source and doc_id that repeat more than ``same`` times."""
+    key = ["none", "source", "doc_id"]
+    many = sized.groupBy(*key).agg(F.count("*").alias("_n")).where(f"_n > {same}").select(*key, F.lit(True).alias("_many"))
+    many = staged(many, "mix-repeats")
+    if many.isEmpty():
+        return sized
+    fits = [sized[c].eqNullSafe(many[c]) for c in key]
+    marked = sized.join(many, fits, "left").select(*[sized[c] for c in sized.columns], "_many")
+    marked = staged(marked.withColumn("_id", F.monotonically_increasing_id()), "mix-marked")
+    names = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_name"), F.col("doc_id").isNull().alias("_null")]
+    rows = marked.where("_many").select("none", "source", *names, "size", "_id")
+    ranked = group_ranks(rows, ["none", "source", "_name", "_null"], [F.col("size"), F.col("_id")])
+    drawn = ranked.select("_id", _hashed(seed, F.col("_name"), F.col("rank")).alias("_draw"))
+    placed = marked.join(drawn, "_id", "left")
+    return placed.withColumn("draw", F.coalesce("_draw", "draw")).select(*sized.columns)
 
 
 def _mix_sized(sized: DataFrame, weights, block, shard, repeats, seed, keep) -> DataFrame:
-    sized = staged(sized, "mix-sizes")  # the texts are read once
+    sized = _dealt_apart(staged(sized, "mix-sizes"), seed)  # the texts are read once
     per_source = sized.groupBy("none", "source").agg(F.sum("size").alias("source_size"))
+    per_source = staged(per_source, "mix-sources")
     aimed = targets(per_source, weights, repeats)
-    whole = F.floor(F.sum("source_size").over(Window.partitionBy(F.lit(0))) / block + 0.5)
+    words = per_source.agg(F.sum("source_size")).first()[0] or 0
     seats = apportion(
-        aimed.select("none", "source", "source_size", "target", F.col("target").alias("claim"), whole.alias("total")),
+        aimed.select("none", "source", "source_size", "target", F.col("target").alias("claim"), F.lit(int(words / block + 0.5)).alias("total")),
         [],
         ["none", "source"],
     ).select(
@@ -162,7 +181,7 @@ def _mix_sized(sized: DataFrame, weights, block, shard, repeats, seed, keep) ->
         F.col("seats").alias("total"),
         F.greatest(F.ceil(F.col("source_size") / shard), F.lit(1)).alias("n_shards"),
     )
-    seats = staged(seats, "mix-sources")  # one row a source
+    seats = staged(seats, "mix-seats")  # one row a source
     dealt = _with_source(sized, seats.select("none", "source", "n_shards")).withColumn(
         "shard", F.expr("draw % n_shards")
     )
