@@ -6,10 +6,13 @@ the Hamming distance. Fingerprints within 2 bits are within distance 2, hence wi
 16 coordinates. For either half, every fingerprint has the grid cell of its 16 coordinates and probes the 16 cells that
 lie one step up; a pair within distance 1 meets in a cell, and is then checked with the exact Hamming distance.
 
-Only different fingerprints are joined, so exact copies cost nothing. A cell that many fingerprints share (thousands
-of near copies) isn't expanded into pairs: its fingerprints each list the 65 values within one bit of themselves, and all
-that list the same value are within 2 bits of each other, so one link to the smallest of them connects them. That is
-exact and linear; a pair that a large cell would have found has both its fingerprints there.
+Only different fingerprints are joined, so exact copies cost nothing. A cell of many fingerprints isn't expanded into pairs
+but gridded again, finer. First by the counts of the other half: all 32 coordinates, where every fingerprint
+lists its own cell and those one step away from it, since two within distance 2 have a cell between them. Random
+fingerprints share such a cell once in 10^13, so billions stay few in a cell. Thousands of near copies do not; a cell of
+many of these is gridded by segments of one bit: the coordinates are then the bits, a cell is one value, and all that
+list it are within 2 bits of each other, so that one link to the smallest of them connects them. Each grid is exact, for a
+pair that a cell would have found has both its fingerprints in the finer one.
 
 Links become groups by alternating large-star and small-star steps over written tables.
 
@@ -39,10 +42,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.mixing import row_key
 from tidemark.session import staged
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
-#: A cell with more than so many possible pairs is linked by the values within one bit.
+#: A cell with more possible pairs is gridded again, finer.
 PAIRS = 50_000
 #: Words of a shingle and Jaccard similarity of near copies in a corpus.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
@@ -84,20 +88,25 @@ def fingerprints(docs: DataFrame, text: str = "text", ids: tuple[str, ...] = ("d
     return rows.mapInArrow(run, f"{form}, fp long")
 
 
+def _counts(half: int) -> str:
+    """The 16 bit counts of a half as a long of two bits each."""
+    return f"((shiftrightunsigned(fp, {32 * half}) & {_EVEN}L) + (shiftrightunsigned(fp, {32 * half + 1}) & {_EVEN}L))"
+
+
+def _steps(part: str, ways: tuple[int, ...]) -> str:
+    """Array of the cells one step from ``part`` along each of its 16 coordinates, null where there is none."""
+    one = {1: "IF((shiftrightunsigned({0}, {1}) & 3L) < 2, {0} + {2}L, NULL)", -1: "IF((shiftrightunsigned({0}, {1}) & 3L) > 0, {0} - {2}L, NULL)"}
+    return "array_compact(array(" + ", ".join(one[w].format(part, 2 * i, 1 << 2 * i) for i in range(16) for w in ways) + "))"
+
+
 def links(fps: DataFrame, most: int = PAIRS) -> DataFrame:
     """a and b (a < b): links among the different values of ``fp``, enough to connect all within 2 bits of each other."""
-    count = "((shiftrightunsigned(fp, {0}) & {2}L) + (shiftrightunsigned(fp, {1}) & {2}L))"  # of 16 segments, 2 bits each
-    spread = fps.select("fp", *[F.expr(count.format(32 * h, 32 * h + 1, _EVEN)).alias(f"v{h}") for h in (0, 1)])
+    spread = fps.select("fp", *[F.expr(_counts(h)).alias(f"v{h}") for h in (0, 1)])
     cells = []
     for half in (0, 1):
-        part = f"v{half}"
-        up = ", ".join(
-            f"IF((shiftrightunsigned({part}, {2 * i}) & 3L) < 2, {part} + {1 << 2 * i}L, NULL)" for i in range(16)
-        )
-        cells.append(f"named_struct('half', {half}, 'cell', {part}, 'probe', false)")
-        cells.append(f"transform(array_compact(array({up})), c -> named_struct('half', {half}, 'cell', c, 'probe', true))")
-    every = F.expr(f"concat(array({cells[0]}), {cells[1]}, array({cells[2]}), {cells[3]})")
-    placed = spread.select("fp", F.explode(every).alias("x")).select("fp", "x.*")
+        cells.append(f"array(named_struct('half', {half}, 'cell', v{half}, 'probe', false))")
+        cells.append(f"transform({_steps(f'v{half}', (1,))}, c -> named_struct('half', {half}, 'cell', c, 'probe', true))")
+    placed = spread.select("fp", F.explode(F.expr(f"concat({', '.join(cells)})")).alias("x")).select("fp", "x.*")
     by_cell = placed.groupBy("half", "cell").agg(
         F.count_if(~F.col("probe")).alias("n"), F.count_if("probe").alias("p")
     )
@@ -109,13 +118,26 @@ def links(fps: DataFrame, most: int = PAIRS) -> DataFrame:
     near = base.join(cold.select("half", "cell", "probe", F.col("fp").alias("b")), ["half", "cell"])
     near = near.where(f"(probe or a < b) and bit_count(a ^ b) <= {DISTANCE} and a != b")
     pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    hot = met.where("large").select("fp").distinct()
-    ball = hot.select(
-        "fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("value")
-    )
-    centre = ball.groupBy("value").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-    star = ball.join(centre, "value").where("fp != a").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(star).distinct()
+    return pairs.unionByName(_finer_links(met.where("large").select("fp").distinct(), most)).distinct()
+
+
+def _finer_links(fps: DataFrame, most: int) -> DataFrame:
+    """Links by the grid over all 32 coordinates; its large cells by the grid over single bits."""
+    spread = fps.select("fp", *[F.expr(_counts(h)).alias(f"v{h}") for h in (0, 1)])
+    own = "array(named_struct('v0', v0, 'v1', v1))"
+    first = f"transform({_steps('v0', (1, -1))}, c -> named_struct('v0', c, 'v1', v1))"
+    last = f"transform({_steps('v1', (1, -1))}, c -> named_struct('v0', v0, 'v1', c))"
+    placed = spread.select("fp", F.explode(F.expr(f"concat({own}, {first}, {last})")).alias("x")).select("fp", "x.*")
+    by_cell = placed.groupBy("v0", "v1").agg(F.count("*").alias("n")).where("n > 1")
+    by_cell = by_cell.withColumn("large", F.expr(f"cast(n as double) * n > {most}"))
+    met = staged(placed.join(by_cell, ["v0", "v1"]), "simhash-finer")
+    cold = met.where("not large").select("v0", "v1", F.col("fp").alias("a"))
+    pairs = cold.join(cold.withColumnRenamed("a", "b"), ["v0", "v1"]).where(f"a < b and bit_count(a ^ b) <= {DISTANCE}").select("a", "b")
+    bits = met.where("large").select("fp").distinct()
+    listed = bits.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("cell"))
+    centre = listed.groupBy("cell").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
+    star = listed.join(centre, "cell").where("fp != a").select("a", F.col("fp").alias("b"))
+    return pairs.unionByName(star)
 
 
 def shingle_set(text: str | None, shingle: int = COPY_SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -280,7 +302,10 @@ def similar_links(
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and root, the smallest node that links reach, for every node of ``edges`` (a, b)."""
+    """node and root, the smallest node that links reach, for every node of ``edges`` (a, b).
+
+    The rounds grow with the logarithm of the longest path; RuntimeError if ``rounds`` do not suffice.
+    """
     edges = staged(edges.select("a", "b"), "links")
     before = None
     for _ in range(rounds):
@@ -332,12 +357,13 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """``docs`` with one row of each group: the smallest doc_id, nulls last; of repeated rows of it, one."""
-    key = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "text")]))
-    keyed = docs.withColumn("_key", key)
+    """``docs`` with one row of each group: the smallest doc_id, nulls last; of repeated rows of it, the first by its other columns."""
+    key = row_key(F.col("doc_id"), F.col("text"))
+    keyed = docs.select(key.alias("_key"), "doc_id", "text")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("w")
     chosen = near_duplicates(keyed, ids=("doc_id", "_key"), shingle=shingle, similarity=similarity).groupBy("root").agg(first).select("w._key")
-    kept = keyed.join(chosen, "_key", "left_semi")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(key.alias("_key"), F.struct(*docs.columns).alias("_row"))  # whatever the columns are called
+    kept = rows.join(chosen, "_key", "left_semi")
+    others = [F.col("_row")[c] for c in docs.columns if c not in ("doc_id", "text")]
     row = F.row_number().over(Window.partitionBy("_key").orderBy(*others, F.lit(0)))
-    return kept.withColumn("_row", row).where("_row = 1").select(*docs.columns)
+    return kept.withColumn("_n", row).where("_n = 1").select("_row.*")
