@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Longest code, and ids between two checkpoints.
+#: Longest code of an alphabet that fits it, and ids between two checkpoints.
 LIMIT, STRIDE = 18, 64
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Optimal code lengths of at most ``limit`` bits by package-merge; 0 for an id that never occurs."""
+    """Optimal code lengths of at most ``limit`` bits by package-merge; 0 for an id that never occurs.
+
+    More ids than ``limit`` bits can tell apart raise the limit to the bits that they need.
+    """
     lengths = np.zeros(len(counts), np.uint8)
     used = np.flatnonzero(counts)
     if len(used) <= 1:
         lengths[used] = 1
         return lengths
-    if len(used) > 1 << limit:
-        raise ValueError(f"{len(used)} ids do not fit codes of {limit} bits")
+    limit = max(limit, (len(used) - 1).bit_length())
     order = used[np.argsort(counts[used], kind="stable")]
     weights = counts[order].astype(np.float64)
     leaves = []  # for each level, which of its items in ascending order are ids

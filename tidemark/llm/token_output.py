@@ -4,8 +4,10 @@
    in the shared folder with their offsets in the range.
 2. Counts of all ids over the corpus give one table of code lengths (at most one number an id of the vocabulary).
 3. Every block holds whole documents, about ``BLOCK`` ids, as one bit string with a checkpoint (bit offset) every 64
-   ids, and is decoded on its own from the table. The blocks are Parquet rows: part, block, doc_ids, lengths, starts, bits,
-   checkpoints.
+   ids, and is decoded on its own from the table.
+
+A file is a folder: ``codes`` (Parquet: vocabulary, end_id, id, length) and ``blocks`` (Parquet: part, block, doc_ids, starts,
+lengths, bits, checkpoints). ``read_token_file`` needs nothing else.
 
 Defined results: a null or empty text is the end id alone; texts of any length are encoded whole and may make a block
 larger; repeated rows are kept as rows of their own, next to each other; an empty table gives an empty file and result;
@@ -14,17 +16,19 @@ null doc_ids come first; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import huffman
 from tidemark.llm.tokens import default_path, encoder, groups, slices
-from tidemark.session import staged
+from tidemark.session import shared_dir, staged
 
 BLOCK = 65_536
 END_ID = 0
@@ -87,8 +91,8 @@ _FILE = (
 )
 
 
-def write_file(encoded: DataFrame, lengths: np.ndarray, itemsize: int, block: int = BLOCK) -> DataFrame:
-    """Write all rows as Huffman blocks to the shared folder; the rows of the file."""
+def huffman_blocks(encoded: DataFrame, lengths: np.ndarray, itemsize: int, block: int = BLOCK) -> DataFrame:
+    """All rows as Huffman blocks."""
     codes = huffman.canonical_codes(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +117,10 @@ def write_file(encoded: DataFrame, lengths: np.ndarray, itemsize: int, block: in
         if held:
             yield flush()
 
-    return staged(encoded.mapInArrow(run, _FILE), "huffman-blocks", "uncompressed")
+    return encoded.mapInArrow(run, _FILE)
 
 
-def read_file(blocks: DataFrame, lengths: np.ndarray, digest: bool = False) -> DataFrame:
+def decode_blocks(blocks: DataFrame, lengths: np.ndarray, digest: bool = False) -> DataFrame:
     """doc_id, part, start, n_tokens and ids (little-endian 32-bit), decoded from the blocks; crc32 of the ids if ``digest``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,22 +148,36 @@ def read_file(blocks: DataFrame, lengths: np.ndarray, digest: bool = False) -> D
     )
 
 
-def token_file(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, np.ndarray]:
-    """The blocks of the file and its code lengths."""
+def write_token_file(docs: DataFrame, where: str, path: str | None = None, end_id: int = END_ID) -> None:
+    """Encode all texts with the tokenizer file ``path`` and write the folder ``where``."""
     path = path or default_path()
     enc = encoder(path)
-    encoded = encode_sorted(docs, path)
+    encoded = encode_sorted(docs, path, end_id)
     lengths = huffman.code_lengths(id_counts(encoded, enc.size, enc.dtype.itemsize))
-    return write_file(encoded, lengths, enc.dtype.itemsize), lengths
+    used = [(os.path.basename(path), end_id, int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
+    codes = docs.sparkSession.createDataFrame(used, "vocabulary string, end_id int, id int, length int")
+    codes.coalesce(1).write.parquet(f"{where}/codes")
+    blocks = huffman_blocks(encoded, lengths, enc.dtype.itemsize)
+    blocks.write.option("compression", "uncompressed").parquet(f"{where}/blocks")
+
+
+def read_token_file(spark: SparkSession, where: str, digest: bool = False) -> DataFrame:
+    """doc_id, start (ids of all rows before it), n_tokens and ids, or with ``digest`` ids_crc32, of every row of a file."""
+    codes = spark.read.parquet(f"{where}/codes").select("id", "length").collect()  # at most one row an id
+    lengths = np.zeros(max((r.id for r in codes), default=0) + 1, np.uint8)
+    for r in codes:
+        lengths[r.id] = r.length
+    blocks = spark.read.schema(_FILE).parquet(f"{where}/blocks")
+    sizes = blocks.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))  # one row a range
+    read = decode_blocks(blocks, lengths, digest).join(F.broadcast(offsets), "part")
+    start = (F.col("_offset") + F.col("start")).alias("start")
+    return read.select("doc_id", start, "n_tokens", "ids_crc32" if digest else "ids")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each row, from the file as read back."""
-    blocks, lengths = token_file(docs, path)
-    sizes = blocks.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))  # one row a range
-    read = read_file(blocks, lengths, digest=True)
-    return read.join(F.broadcast(offsets), "part").select(
-        "doc_id", (F.col("_offset") + F.col("start")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    where = f"{shared_dir(docs.sparkSession).rstrip('/')}/token-file-{uuid.uuid4().hex}"
+    write_token_file(docs, where, path)
+    return read_token_file(docs.sparkSession, where, digest=True)
