@@ -31,53 +31,83 @@ from tidemark.session import staged
 ROW, TAIL = 192, 16
 _ITEMS = "array<struct<kind:string,text:string,digest:string,caption:string>>"
 _MARK = re.compile(
-    r"<figure\b[^>]*>(?P<figure>.*?)</figure\s*>|<(?:img|video|audio|source)\b(?P<media>[^>]*)>|<!--.*?-->"
-    r"|<(?P<silent>script|style)\b.*?</(?P=silent)\s*>|<(?P<tag>/?[A-Za-z][^>]*)>",
-    re.DOTALL | re.IGNORECASE,
+    r"<!--.*?(?:-->|\Z)|<!?(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)",
+    re.DOTALL,
 )
+_SILENT = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
 _REF = re.compile(r"""\bsrc\s*=\s*["']?media:([0-9a-f]{64})""", re.IGNORECASE)
 _ALT = re.compile(r"""\balt\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.IGNORECASE)
-_CAPTION = re.compile(r"<figcaption\b[^>]*>(.*?)</figcaption\s*>", re.DOTALL | re.IGNORECASE)
-_INLINE = re.compile(r"/?(?:a|b|i|em|strong|span|u|small|sub|sup|code)\b", re.IGNORECASE)
-
-
-def _plain(html: str) -> str:
-    return " ".join(unescape(re.sub(r"<[^>]*>", " ", html)).split())
+_MEDIA = frozenset("img video audio source".split())
+_INLINE = frozenset("a b i em strong span u small sub sup code".split())
 
 
 def parse(html: str | None) -> list[dict]:
-    """Items of a page in order; a figure is one media item for each reference in it, all with its caption."""
+    """Items of a page in order, in one pass over its tags.
+
+    A reference is a media item; those in a figure have the figure's caption, others, and those of a figure without one, their
+    own ``alt``. All text is a text item at its place, also in a figure; a caption is one only where its figure shows no media.
+    """
     items: list[dict] = []
     run: list[str] = []
+    figure: list[dict] | None = None  # media items of the open figure
+    caption: str | None = None
+    place = 0  # where the caption stands
+    captioning = False
+
+    def text_item(text: str) -> dict:
+        return {"kind": "text", "text": text, "digest": None, "caption": None}
 
     def flush() -> None:
+        nonlocal caption, place, captioning
         text = " ".join(unescape("".join(run)).split())
-        if text:
-            items.append({"kind": "text", "text": text, "digest": None, "caption": None})
         run.clear()
-
-    def media(attrs: str, caption: str | None) -> None:
-        if m := _REF.search(attrs):
-            alt = _ALT.search(attrs)
-            said = caption if caption is not None else unescape(alt[1] or alt[2] or "") if alt else None
-            items.append({"kind": "media", "text": None, "digest": m[1].lower(), "caption": said})
+        if captioning and figure is not None:
+            if text:
+                caption, place = f"{caption} {text}" if caption else text, len(items)
+            elif caption is None:
+                caption, place = "", len(items)
+        elif text:
+            items.append(text_item(text))
+
+    def close() -> None:
+        nonlocal figure, caption, captioning
+        flush()
+        if figure:
+            for x in figure:
+                x["caption"] = x["caption"] if caption is None else caption
+        elif figure is not None and caption:
+            items.insert(place, text_item(caption))
+        figure, caption, captioning = None, None, False
 
     html, at = html or "", 0
-    for m in _MARK.finditer(html):
+    while m := _MARK.search(html, at):
         run.append(html[at : m.start()])
         at = m.end()
-        if m["figure"] is not None:
-            flush()
-            caption = _CAPTION.search(m["figure"])
-            for x in re.finditer(r"<(?:img|video|audio|source)\b([^>]*)>", m["figure"], re.IGNORECASE):
-                media(x[1], _plain(caption[1]) if caption else None)
-        elif m["media"] is not None:
-            flush()
-            media(m["media"], None)
-        elif m["tag"] and not _INLINE.match(m["tag"]):
-            flush()
+        closing, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if not name:
+            continue
+        name = name.lower()
+        if name in _INLINE:
+            continue
+        if name in _SILENT and not closing:
+            end = _SILENT[name].search(html, at)
+            at = end.end() if end else len(html)
+            continue
+        if name == "figure":
+            close()
+            figure = None if closing else []
+            continue
+        flush()
+        if name == "figcaption":
+            captioning = not closing
+        elif name in _MEDIA and not closing and (ref := _REF.search(attrs)):
+            alt = _ALT.search(attrs)
+            said = unescape(alt[1] or alt[2] or "") if alt else None
+            items.append({"kind": "media", "text": None, "digest": ref[1].lower(), "caption": said})
+            if figure is not None:
+                figure.append(items[-1])
     run.append(html[at:])
-    flush()
+    close()
     return items
 
 
