@@ -3,7 +3,8 @@
 1. Features are counts of 1- to 3-character sequences of the lower-cased text (other ASCII than letters as spaces), hashed
    to ``DIMS`` numbers. Document frequencies are counted over all training documents.
 2. Weights are learnt by follow-the-regularised-leader with an elastic net (L1 for sparsity, L2). The fit uses a bounded
-   sample of the training rows: about ``ROWS`` rows, equal shares of the languages, drawn by a hash of doc_id.
+   sample of the training rows: about ``ROWS`` rows, equal shares of the languages, drawn by a hash of doc_id. Of a
+   fitted row the ``MOST`` sequences that it has most often count, which bounds what the driver holds.
 3. A fifth of the sample isn't fitted but sets one temperature by its likelihood, so that scores are probabilities.
 4. Every whole text is scored in its task with the weights (at most DIMS numbers a language).
 
@@ -17,35 +18,35 @@ further columns are kept, but for those named like an output.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.session import staged
 
-DIMS, ROWS, EPOCHS, SEED = 1 << 15, 3000, 3, 42
+DIMS, ROWS, MOST, EPOCHS, SEED = 1 << 15, 3000, 2048, 3, 42
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.004, 0.01
 UNDEFINED = "und"
 STRETCH = 1 << 20
 _SPACED = np.where([chr(c).isalpha() for c in range(128)], np.arange(128), 32).astype(np.uint32)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of a text and how often each occurs."""
-    total = np.zeros(DIMS, np.int64)
-    for i in range(0, max(1, len(text)), STRETCH):
-        c = np.frombuffer((" " + text[max(0, i - 2) : i + STRETCH].lower() + " ").encode("utf-32-le"), np.uint32)
+    total, whole = np.zeros(DIMS, np.int64), f" {text.lower()} "
+    for i in range(0, len(whole), STRETCH):  # sequences that start in the stretch; they may end in the next one
+        c = np.frombuffer(whole[i : i + STRETCH + 2].encode("utf-32-le"), np.uint32)
         c = np.where(c < 128, _SPACED[np.minimum(c, 127)], c)
         two = c[:-1] * np.uint32(0x9E3779B1) + c[1:]
-        grams = (c * np.uint32(0x85EBCA6B), two * np.uint32(0xC2B2AE35), (two[:-1] * np.uint32(0x27D4EB2F) + c[2:]) * np.uint32(0x165667B1))
-        for g in grams:
+        three = (two[:-1] * np.uint32(0x27D4EB2F) + c[2:]) * np.uint32(0x165667B1)
+        for g in (c[:STRETCH] * np.uint32(0x85EBCA6B), two[:STRETCH] * np.uint32(0xC2B2AE35), three[:STRETCH]):
             total += np.bincount((g ^ (g >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(17), minlength=DIMS)
     used = np.flatnonzero(total)
     return used.astype(np.int32), total[used]
@@ -137,6 +138,9 @@ def train(docs: DataFrame, rows: int = ROWS, seed: int = SEED) -> Model:
                 n += 1
                 doc_id, lang = doc_id.as_py(), lang.as_py()
                 if zlib.crc32(f"{seed}|{doc_id}".encode()) < rate[lang] * 2**32:
+                    if len(used) > MOST:
+                        most = np.sort(np.argsort(-counts, kind="stable")[:MOST])
+                        used, counts = used[most], counts[most]
                     row = [[lang], [doc_id], [used], [counts]]
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names)
         used = np.flatnonzero(df)
@@ -192,5 +196,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """``docs`` without rows that have no language or none with a probability of ``least``."""
-    found = identify(docs).where((F.col("lang_pred") != UNDEFINED) & (F.col("score") >= least))
-    return found.select(*docs.columns)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang", F.struct(*docs.columns).alias("_row"))
+    model = train(rows.drop("_row"))
+    found = identify(rows.select("text", "_row"), model)  # whatever the columns of a row are called
+    return found.where((F.col("lang_pred") != UNDEFINED) & (F.col("score") >= least)).select("_row.*")
