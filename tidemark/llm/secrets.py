@@ -14,6 +14,7 @@ that bears the name of an output column is replaced.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,14 +43,21 @@ ALLOW = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|[Xx]{6,}",
 )
-_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
+#: Matches whose places are added up in one go.
+_CHUNK = 256
 _SPAN = "array<struct<start:bigint,k:int,end:bigint>>"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _found(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Spans of the leftmost non-overlapping matches, in code points; those whose group is shorter than ``least`` go.
 
-    The pieces between matches and the matches alternate, so running lengths give every position.
+    The pieces between matches and the matches alternate, so running lengths give every position: within chunks of matches
+    from the chunk's start, and from the sums of the chunks before it.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.zip_with(
@@ -63,7 +71,7 @@ def _found(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
             F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
             lambda x, g: F.struct(x.p.alias("p"), x.h.alias("h"), F.length(g).alias("g")),
         )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
+    none = F.expr(f"cast(array() as {_SPAN})")
 
     def step(a: Column, x: Column) -> Column:
         span = F.struct((a.at + x.p).alias("start"), F.lit(kind).alias("k"), (a.at + x.p + x.h).alias("end"))
@@ -71,37 +79,53 @@ def _found(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
         out = F.when(good, F.concat(a.out, F.array(span).cast(_SPAN))).otherwise(a.out)
         return F.struct((a.at + x.p + F.coalesce(x.h, F.lit(0))).alias("at"), out.alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda a: a.out)).otherwise(
-        F.expr(f"cast(array() as {_SPAN})")
-    )
+    def spans(xs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(xs), F.lit(_CHUNK))
+        zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+        return _let(F.transform(starts, lambda i: F.aggregate(F.slice(xs, i, _CHUNK), zero, step)), joined)
+
+    def joined(chunks: Column) -> Column:
+        zero = F.array(F.lit(0).cast("long"))
+        before = F.aggregate(chunks, zero, lambda a, c: F.concat(a, F.array(F.element_at(a, -1) + c.at)))
+        moved = lambda s, at: F.struct((s.start + at).alias("start"), s.k.alias("k"), (s.end + at).alias("end"))
+        shift = lambda c, at: F.transform(c.out, lambda s: moved(s, at))
+        return F.flatten(F.zip_with(chunks, F.slice(before, F.lit(1), F.size(chunks)), shift))
+
+    return F.when(text.rlike(pattern), _let(parts, spans)).otherwise(none)
 
 
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy (bits) of any ``window`` successive characters of an alphabet string; 0 if it is shorter."""
-    table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    codes = F.transform(F.split(value, ""), lambda ch: F.instr(F.lit(_ALPHABET), ch))
-    at = lambda i: F.get(codes, i)
+    """Largest Shannon entropy (bits) of any ``window`` successive characters of a string; 0 if it is shorter.
 
-    moves = F.transform(
-        codes, lambda c, i: F.struct(c.alias("into"), F.when(i >= window, at(i - window)).alias("gone"), i.alias("i"))
-    )
-    zero = F.struct(
-        F.array_repeat(F.lit(0), len(_ALPHABET) + 1).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best")
-    )
+    Counts are kept for the different characters of the string.
+    """
+    table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
 
-    def step(a: Column, m: Column) -> Column:
-        gone = F.coalesce(F.get(a.n, m.gone), F.lit(0))  # count of the character that leaves
-        into = F.get(a.n, m.into) - F.when(m.gone == m.into, 1).otherwise(0)
-        less = F.when(m.gone.isNull(), 0.0).otherwise(F.get(table, gone - 1) - F.get(table, gone))
-        s = a.s + less + F.get(table, into + 1) - F.get(table, into)
-        n = F.transform(
-            a.n,
-            lambda c, j: c + F.when(j == m.into, 1).otherwise(0) - F.when(j == F.coalesce(m.gone, F.lit(-1)), 1).otherwise(0),
+    def best(size: Column, codes: Column) -> Column:
+        zero = F.struct(F.array_repeat(F.lit(0), size).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+        moves = F.transform(
+            codes, lambda c, i: F.struct(c.alias("into"), F.when(i >= window, F.get(codes, i - window)).alias("gone"), i.alias("i"))
         )
-        h = F.when(m.i >= window - 1, F.lit(math.log2(window)) - s / window).otherwise(0.0)
-        return F.struct(n.alias("n"), s.alias("s"), F.greatest(a.best, h).alias("best"))
 
-    return F.aggregate(moves, zero, step, lambda a: a.best)
+        def step(a: Column, m: Column) -> Column:
+            gone = F.coalesce(F.get(a.n, m.gone), F.lit(0))  # count of the character that leaves
+            into = F.get(a.n, m.into) - F.when(m.gone == m.into, 1).otherwise(0)
+            less = F.when(m.gone.isNull(), 0.0).otherwise(F.get(table, gone - 1) - F.get(table, gone))
+            s = a.s + less + F.get(table, into + 1) - F.get(table, into)
+            n = F.transform(
+                a.n,
+                lambda c, j: c + F.when(j == m.into, 1).otherwise(0) - F.when(j == F.coalesce(m.gone, F.lit(-1)), 1).otherwise(0),
+            )
+            h = F.when(m.i >= window - 1, F.lit(math.log2(window)) - s / window).otherwise(0.0)
+            return F.struct(n.alias("n"), s.alias("s"), F.greatest(a.best, h).alias("best"))
+
+        return F.aggregate(moves, zero, step, lambda a: a.best)
+
+    def coded(chars: Column) -> Column:
+        codes = lambda kinds: F.transform(chars, lambda ch: (F.array_position(kinds, ch) - 1).cast("int"))
+        return _let(F.array_distinct(chars), lambda kinds: _let(codes(kinds), lambda xs: best(F.size(kinds), xs)))
+
+    return _let(F.split(value, ""), coded)
 
 
 def find_secrets(
@@ -160,10 +184,13 @@ def spelled(spans: Column) -> Column:
     )
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "<secret>") -> DataFrame:
-    """``docs`` with each maximal run of overlapping spans replaced by ``mark``; texts without a span stay as they are."""
-    found = find_secrets(docs, text)
-    t = F.coalesce(F.col(text), F.lit(""))
+def redact(docs: DataFrame, text: str = "text", mark: str = "<secret>", length: str | None = None) -> DataFrame:
+    """``docs`` with each maximal run of overlapping spans replaced by ``mark``; texts without a span stay as they are.
+
+    A column ``length`` follows the text. All other columns stay, whatever their names.
+    """
+    found = find_secrets(docs.select(F.col(text).alias("_text"), F.struct(*docs.columns).alias("_row")), "_text")
+    t = F.coalesce(F.col("_text"), F.lit(""))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
@@ -172,13 +199,15 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "<secret>") -> DataF
         return F.struct(F.greatest(a.at, s.end).alias("at"), out.alias("out"))
 
     rest = lambda a: F.concat(a.out, t.substr((a.at + 1).cast("int"), F.length(t)))
-    clean = F.when(F.size("secrets") > 0, F.aggregate(F.col("secrets"), start, step, rest)).otherwise(F.col(text))
-    return found.withColumn(text, clean).drop("base", "secrets")
+    clean = F.when(F.size("secrets") > 0, F.aggregate(F.col("secrets"), start, step, rest)).otherwise(F.col("_text"))
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    new = {text: F.col("_clean")} | ({length: F.length("_clean").cast(kinds[length])} if length else {})
+    return found.withColumn("_clean", clean).select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
-    found = find_secrets(docs)
+    found = find_secrets(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     count = lambda k: F.size(F.filter("base", lambda s: s.k == k)).cast("long")
     return found.select(
         "doc_id",
