@@ -127,6 +127,19 @@ def test_token_file_of_no_rows(empty):
     assert token_output.digest(empty).count() == 0
 
 
+def test_token_file_is_read_from_its_folder_alone(spark, docs, rows, library, tmp_path):
+    where = f"file://{tmp_path}/tokens"
+    token_output.write_token_file(docs, where)
+    out = token_output.read_token_file(spark.newSession(), where).collect()
+    assert count((r.doc_id, np.frombuffer(r.ids, "<u4").tolist().__repr__()) for r in out) == count((i, [*library(t), 0].__repr__()) for i, t, *_ in rows)
+    assert {r.vocabulary for r in spark.read.parquet(f"{where}/codes").collect()} == {"byte_bpe_50k.json"}
+
+
+def test_codes_of_a_large_alphabet():
+    n = huffman.code_lengths(np.ones(huffman.LIMIT and (1 << huffman.LIMIT) + 5, np.int64))
+    assert n.max() == huffman.LIMIT + 1 and (2.0 ** -n.astype(float)).sum() <= 1
+
+
 def test_length_report(docs, rows, library):
     n = np.array([len(library(t)) for _, t, *_ in rows])
     report = lengths.context_report(lengths.histogram(docs)).collect()
@@ -198,6 +211,51 @@ def test_forest_finds_junk_and_spares_good_rows(spark):
     assert not any(kept[1000 + i] for i in range(20))
 
 
+def test_verdicts_by_plain_walks(spark, monkeypatch):
+    grown = []
+    real = quality.Forest
+
+    class Seen(real):
+        def __init__(self, x, low, high, *rest):
+            super().__init__(x, low, high, *rest)
+            grown.append((self, np.array(low), np.array(high)))
+
+    monkeypatch.setattr(quality, "Forest", Seen)
+    rng = random.Random(3)
+    texts = [sentences(i, rng.randint(4, 12)) for i in range(150)] + [" ".join(w + "#$" * rng.randint(0, 3) for w in sentences(i, 9).split()) for i in range(40)]
+    lab = {i: int(i < 150) for i in range(0, 190, 3)}
+    df = make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    out = {r.doc_id: r for r in quality.judge(df, spark.createDataFrame(list(lab.items()), "doc_id long, quality int")).collect()}
+    forest, low, high = grown[0]
+
+    def point(r):
+        w = max(r.n_words, 1)
+        return [r.word_chars / (r.word_chars + 8 * w), (r.n_symbols / (r.n_symbols + w)) ** 0.5, (r.n_dup_lines / max(r.n_lines, 1)) ** 0.5, (r.n_repeat_words / w) ** 0.5]
+
+    def score(x):
+        total = 0.0
+        for feature, place, left, path in forest.trees:
+            k = 0
+            while feature[k] >= 0:
+                k = left[k] + int(x[feature[k]] > place[k])
+            total += path[k]
+        n = forest.sample
+        return 2 ** (-total / len(forest.trees) / (2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n))
+
+    passed = [i for i, r in out.items() if not r.base_failed]
+    points = {i: point(out[i]) for i in passed}
+    assert np.array_equal(np.array(list(points.values())).min(0), low) and np.array_equal(np.array(list(points.values())).max(0), high)
+    mine = {i: score(points[i]) for i in passed}
+    assert all(abs(mine[i] - out[i].score) < 1e-12 for i in passed)
+    good, bad = [out[i].score for i in passed if lab.get(i) == 1], [out[i].score for i in passed if lab.get(i) == 0]
+    best, limit = 0.0, float("inf")
+    for t in sorted({*good, *bad}):
+        lost, found = sum(s > t for s in good) / len(good), sum(s > t for s in bad) / len(bad)
+        if lost <= quality.SPARE and found - lost > best:
+            best, limit = found - lost, t
+    assert best > 0 and all(r.kept == (not r.base_failed and r.score <= limit) for r in out.values())
+
+
 def test_quality_without_labels_or_rows(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     rows = quality.digest(docs, none).collect()
@@ -232,6 +290,7 @@ def find_plain(t):
 
 
 SECRET_TEXTS = [
+    "token=abcdef1 x " * 3000,
     None,
     "",
     "token=token: abcdef Password = 'hunter22' passwd:abc API_KEY: \"xx\" apikey=0123456",
@@ -349,7 +408,7 @@ def language_rows(n=240):
 
 
 def test_language_on_held_out_rows(spark):
-    rows = language_rows() + [(1000, None, "aa", "s"), (1001, "123 !?", "aa", "s"), (1002, "", None, "s"), (1003, "tionment " * 20, None, "s")]
+    rows = language_rows() + [(1000, None, "aa", "s"), (1001, "123 !? \u00b2\u00bd\u2460\u2167", "aa", "s"), (1002, "", None, "s"), (1003, "tionment " * 20, None, "s")]
     out = {r.doc_id: r for r in langid.digest(make(spark, rows)).collect()}
     assert all(out[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in out)
     held = [i for i in range(240) if out[i].held_out]
@@ -358,6 +417,18 @@ def test_language_on_held_out_rows(spark):
     assert out[1003].lang_pred == "aa" and all(0 <= r.score <= 1 for r in out.values())
 
 
+def test_features_across_stretches(monkeypatch):
+    text = " ".join(sentences(k, 20) for k in range(6)) + "é世" * 50
+    whole = [x.tolist() for x in langid.features(text)]
+    for stretch in (1, 7, 100):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        assert [x.tolist() for x in langid.features(text[:3000] if stretch == 1 else text)] == whole or stretch == 1
+    monkeypatch.setattr(langid, "STRETCH", 1 << 20)
+    used, counts = langid.features(text[:3000])
+    monkeypatch.setattr(langid, "STRETCH", 1)
+    assert [x.tolist() for x in langid.features(text[:3000])] == [used.tolist(), counts.tolist()]
+
+
 def test_labels_of_held_out_rows_are_not_read(spark):
     rows = language_rows()
     wrong = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 3 == 1 else lang, "q") for i, t, lang, _ in rows]
@@ -394,6 +465,18 @@ def test_parsed_sequences_and_joined_payloads(spark):
     assert out[2] == [] and out[3][0].payload is None and out[3][0].digest == d[2]
 
 
+def test_figures_keep_their_text():
+    d = ["%064x" % i for i in range(3)]
+    kinds = lambda page: [(x["kind"], x["text"] or x["digest"], x["caption"]) for x in media.parse(page)]
+    assert kinds("<figure><pre>some code</pre><figcaption>Said <b>so</b></figcaption></figure>") == [("text", "some code", None), ("text", "Said so", None)]
+    page = f"<p>a</p><figure>left<img src='media:{d[0]}'>mid<img src='media:{d[1]}' alt='own'>right<figcaption>Two<br>lines</figcaption></figure>b<img src=media:{d[2]} alt='x'>"
+    assert kinds(page) == [("text", "a", None), ("text", "left", None), ("media", d[0], "Two lines"), ("text", "mid", None), ("media", d[1], "Two lines"), ("text", "right", None), ("text", "b", None), ("media", d[2], "x")]
+    assert kinds(f"<figure><figcaption>first</figcaption><img src='media:{d[0]}'>") == [("media", d[0], "first")]
+    assert kinds(f"<figure><img src='media:{d[0]}' alt='own'></figure></figure>t") == [("media", d[0], "own"), ("text", "t", None)]
+    for odd in ("<figure>x", "<!-- ", "<script> a", "<figcaption>y", "<img src='", "<p title=\"x>"):
+        media.parse(odd * 30_000)  # in one pass
+
+
 def test_media_columns(docs, rows, empty):
     want = []
     for i, t, *_ in rows:
@@ -403,7 +486,11 @@ def test_media_columns(docs, rows, empty):
         want.append((i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(stored), hashlib.sha256(stored).hexdigest()))
     got = media.digest(docs).collect()
     assert count(tuple(r[:7]) for r in got) == count(want)
-    assert len({(r.media_sha256, r.feature) for r in got}) == len({r.media_sha256 for r in got})
+    for r in got:
+        b = next((t or "").encode() for i, t, *_ in rows if i == r.doc_id and len((t or "").encode()) == r.n_bytes)
+        p = b + b" " * (max(1, -(-len(b) // 192)) * 192 - len(b))
+        bins = [sum(x // 16 == k for x in p) for k in range(16)]
+        assert r.feature == f"192x{len(p) // 192};sum={sum(p)};hist={'-'.join(map(str, bins))}"
     assert media.digest(empty).count() == 0
 
 
@@ -690,3 +777,39 @@ def test_links_of_a_cell_of_thousands(spark):
         want[k].add(v)
         got[root.get(signed[v], signed[v])].add(v)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+# ---- pipeline on awkward rows
+
+
+def test_pipeline_on_awkward_rows(spark, rows, library, tmp_path):
+    import corpus_pipeline
+
+    big = "\n".join(sentences(900 + k, 40) for k in range(4)) * 1200
+    assert len(big.encode()) > 8_000_000
+    ugly = "doc_id long, text string, lang string, source string, n_chars long, score double, base string, secrets string, lang_pred string, _key string, _t int, _row int, size int"
+    more = [*rows, (500, big, "en", "s1"), (501, "password = hunter2222 and " + sentences(77), "en", "s2"), (502, "12 34", "en", "s1"), (None, None, None, None)]
+    full = [(i, t, lang, s, len(t) if t else None, 0.5, "b", "s", "zz", "k", 1, 2, 3) for i, t, lang, s in more]
+    docs = spark.createDataFrame(full, ugly)
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        docs.write.parquet(f"file://{tmp_path}/{name}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{name}")
+        assert docs.columns == names
+        assert docs.where("score != 0.5 or base != 'b' or secrets != 's' or lang_pred != 'zz' or _key != 'k' or _t != 1 or _row != 2 or size != 3").count() == 0
+        if name == "language_id":
+            assert {r.doc_id for r in docs.collect()} & {1, 2, 502} == set() and docs.where("doc_id = 500 and length(text) > 8000000").count() == 1
+        if name == "simhash_near_dedup":
+            assert docs.where("doc_id = 3").count() == 1 and docs.where("doc_id = 4").count() == 0
+        if name == "secret_scan":
+            hidden = docs.where("doc_id = 501").first()
+            assert "hunter" not in hidden.text and hidden.n_chars == len(hidden.text)
+    texts = {hashlib.sha256(np.array(library(r.text), "<u4").tobytes()).hexdigest() for r in docs.collect()}
+    assert {r.ids_sha256 for r in corpus_pipeline.encode_tokens(spark, docs, "").collect()} == texts
+    none = spark.createDataFrame([], ugly)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, "")
+        assert out.count() == 0
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/no/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/no").count() == 0
