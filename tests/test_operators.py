@@ -107,7 +107,7 @@ def test_scores_of_a_small_table(spark):
 def test_top_k_with_ties(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vector array<double>")
     k = spark.createDataFrame([(i, [0.5, float(i)]) for i in range(40)] + [(99, [0.9, 0.0])], "id long, vector array<double>")
-    rows = memory.top_k(q, k, 3, blocks=4).orderBy("rank").collect()
+    rows = memory.top_k(q, k, 3, query_block=2, key_block=3).orderBy("rank").collect()
     assert [r.key_id for r in rows] == [99, 0, 1]
 
 

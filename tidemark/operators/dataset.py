@@ -15,11 +15,24 @@ def draw(seed: int, *cols: str) -> Column:
 
 
 def cut_point(df: DataFrame, n: int, seed: int, key: str) -> tuple[int, object] | None:
-    """The draw and key of the n-th row in seeded order: a distributed top-n, one row to the driver."""
+    """The draw and key of the n-th row in seeded order.
+
+    Draws are even, so counts of their upper 16 bits (at most 65,536 rows to the driver) name the bucket that holds the n-th
+    row, and only its keys are ordered.
+    """
     if n <= 0:
         return None
-    top = df.select(draw(seed, key).alias("d"), F.col(key).alias("k")).orderBy("d", "k").offset(n - 1).limit(1).first()
-    return None if top is None else (top.d, top.k)
+    drawn = df.select(draw(seed, key).alias("d"), F.col(key).alias("k")).withColumn("b", F.shiftright("d", 16))
+    for bucket, size in sorted((r.b, r.n) for r in drawn.groupBy("b").agg(F.count("*").alias("n")).collect()):
+        if n <= size:
+            break
+        n -= size
+    else:
+        return None
+    inside = drawn.where(F.col("b") == bucket).groupBy("d", "k").agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.orderBy("d", "k"))  # one of 65,536 buckets
+    top = inside.withColumn("run", so_far).where(F.col("run") >= n).orderBy("run").first()
+    return top.d, top.k
 
 
 def first_in_order(df: DataFrame, n: int, seed: int, key: str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clamp, half_up
+from tidemark.operators.ranking import group_ranks
 
 
 def histogram(df: DataFrame, key: str, x: str, bins: int = 256) -> DataFrame:
@@ -121,83 +122,112 @@ def join_tiles(tiles: DataFrame) -> DataFrame:
 
 
 def frames(df: DataFrame, side: int = 8) -> DataFrame:
-    """frame_id, a and b: square frames of two channels, a row each, from the samples in key order."""
-    place = F.row_number().over(Window.partitionBy("line").orderBy("row_id", "p", "s", "g")) - 1
-    cells = df.withColumn("_at", place).withColumn("_f", F.floor(F.col("_at") / (side * side)))
+    """frame_id, a and b: square frames of two channels, a row each, from the samples of each line in key order.
+
+    Samples are numbered by ranges, so a line is many tasks. A line's last frame is filled up with its last sample.
+    """
+    cells = group_ranks(df.select("line", "row_id", "p", "s", "g", "r", "r2"), ["line"], [F.col(c) for c in ("row_id", "p", "s", "g", "r", "r2")])
+    cells = cells.withColumn("_at", F.col("rank") - 1).withColumn("_f", F.floor(F.col("_at") / (side * side)))
     grouped = cells.groupBy("line", "_f").agg(
-        F.sort_array(F.collect_list(F.struct("_at", "r", "r2"))).alias("c")  # side * side cells
+        F.sort_array(F.collect_list(F.struct("_at", "r", "r2"))).alias("c")  # side * side cells at most
     )
-    full = grouped.where(F.size("c") == side * side)
-    return full.select((F.col("line") * 1_000_000 + F.col("_f")).cast("long").alias("frame_id"), "c.r", "c.r2").toDF("frame_id", "a", "b")
+    whole = F.concat("c", F.array_repeat(F.element_at("c", -1), side * side - F.size("c"))).alias("c")
+    frame_id = (F.col("line").cast("long") * 1_000_000_000 + F.col("_f")).cast("long").alias("frame_id")
+    return grouped.select(frame_id, whole).select("frame_id", F.col("c.r").alias("a"), F.col("c.r2").alias("b"))
 
 
-def _per_frame(df: DataFrame, f: Callable[[np.ndarray, np.ndarray], dict], form: str) -> DataFrame:
+def _per_frame(df: DataFrame, f: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str, kind: str, side: int = 8) -> DataFrame:
+    """frame_id and what ``f`` makes of the stacked frames (n, side, side) of a batch: a number or a list a frame."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, a, b in zip(*[batch.column(c) for c in ("frame_id", "a", "b")]):
-                side = int(len(a) ** 0.5)
-                pair = [x.values.to_numpy().astype(float).reshape(side, side) for x in (a, b)]
-                rows.append({"frame_id": i.as_py(), **f(*pair)})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows)
+            if not batch.num_rows:
+                continue
+            a, b = (batch.column(c).flatten().to_numpy().astype(float).reshape(-1, side, side) for c in ("a", "b"))
+            out = f(a, b)
+            if out.ndim == 1:
+                made = pa.array(out)
+            else:
+                ends = pa.array(np.arange(len(out) + 1, dtype=np.int32) * side * side)
+                made = pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("frame_id"), made], ["frame_id", name])
 
-    return df.mapInArrow(run, f"frame_id long, {form}")
+    return df.mapInArrow(run, f"frame_id long, {name} {kind}")
 
 
 def _windows(x: np.ndarray, k: int) -> np.ndarray:
-    return np.lib.stride_tricks.sliding_window_view(x, (k, k))
+    return np.lib.stride_tricks.sliding_window_view(x, (k, k), (1, 2))
 
 
-def ssim(a: np.ndarray, b: np.ndarray, k: int = 7) -> float:
-    """Mean structural similarity over uniform windows."""
+def ssim(a: np.ndarray, b: np.ndarray, k: int = 7) -> np.ndarray:
+    """Mean structural similarity over uniform windows of each pair of stacked frames."""
     wa, wb, n = _windows(a, k), _windows(b, k), k * k
-    ma, mb = wa.mean((2, 3)), wb.mean((2, 3))
-    va, vb = wa.var((2, 3)) * n / (n - 1), wb.var((2, 3)) * n / (n - 1)
-    cov = ((wa * wb).mean((2, 3)) - ma * mb) * n / (n - 1)
+    ma, mb = wa.mean((3, 4)), wb.mean((3, 4))
+    va, vb = wa.var((3, 4)) * n / (n - 1), wb.var((3, 4)) * n / (n - 1)
+    cov = ((wa * wb).mean((3, 4)) - ma * mb) * n / (n - 1)
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    return float((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
+    return (((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean((1, 2))
 
 
 def ssim_series(df: DataFrame) -> DataFrame:
     """ssim of each frame's two channels."""
-    return _per_frame(df, lambda a, b: {"ssim": round(ssim(a, b), 4)}, "ssim double")
+    return _per_frame(df, lambda a, b: np.round(ssim(a, b), 4), "ssim", "double")
 
 
 def _blur(x: np.ndarray, sigma: float) -> np.ndarray:
     r = max(1, int(3 * sigma))
     k = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma**2))
     k /= k.sum()
-    for axis in (0, 1):
-        pad = np.pad(x, [(r, r) if i == axis else (0, 0) for i in (0, 1)], mode="edge")
-        x = np.apply_along_axis(lambda v: np.convolve(v, k, "valid"), axis, pad)
+    for axis in (1, 2):
+        pad = np.pad(x, [(r, r) if i == axis else (0, 0) for i in range(3)], mode="edge")
+        x = np.lib.stride_tricks.sliding_window_view(pad, 2 * r + 1, axis) @ k
     return x
 
 
 def retinex(df: DataFrame, sigmas: tuple[float, ...] = (1.0, 2.0, 4.0)) -> DataFrame:
     """``v``: log of the frame less the log of its blurs, averaged over scales, stretched to 0..255."""
 
-    def f(a: np.ndarray, b: np.ndarray) -> dict:
+    def f(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         m = np.mean([np.log1p(a) - np.log(_blur(a, s) + 1) for s in sigmas], axis=0)
-        spread = m.max() - m.min()
-        v = (m - m.min()) / spread * 255 if spread > 0 else np.zeros_like(m)
-        return {"v": np.floor(v).astype(int).ravel().tolist()}
+        low = m.min((1, 2), keepdims=True)
+        spread = m.max((1, 2), keepdims=True) - low
+        return np.floor(np.where(spread > 0, (m - low) / np.where(spread > 0, spread, 1) * 255, 0)).astype(np.int64)
+
+    return _per_frame(df, f, "v", "array<long>")
 
-    return _per_frame(df, f, "v array<long>")
 
+def _tile_tables(a: np.ndarray, tiles: int, clip: float, bins: int) -> np.ndarray:
+    """(n, tiles, tiles, bins): the value each level maps to in each tile."""
+    n, side = len(a), a.shape[1]
+    w = side // tiles
+    cells = a.astype(int).reshape(n, tiles, w, tiles, w).transpose(0, 1, 3, 2, 4).reshape(n * tiles * tiles, w * w)
+    h = np.bincount((np.arange(len(cells))[:, None] * bins + cells).ravel(), minlength=len(cells) * bins).reshape(-1, bins).astype(float)
+    if clip > 0:
+        top = max(1, int(clip * w * w / bins))
+        h = np.minimum(h, top) + np.maximum(h - top, 0).sum(1, keepdims=True) / bins
+    table = np.clip(np.floor(np.cumsum(h, 1) * (bins - 1) / (w * w) + 0.5), 0, bins - 1)
+    return table.reshape(n, tiles, tiles, bins)
 
-def clahe(df: DataFrame, clip: float = 2.0, bins: int = 32) -> DataFrame:
-    """``v``: the frame equalised with a histogram whose bins are cut at ``clip`` times their mean."""
 
-    def f(a: np.ndarray, b: np.ndarray) -> dict:
-        place = np.minimum((a * bins / 256).astype(int), bins - 1)
-        h = np.bincount(place.ravel(), minlength=bins).astype(float)
-        top = max(1.0, clip * h.mean())
-        h = np.minimum(h, top) + np.maximum(h - top, 0).sum() / bins
-        cdf = np.cumsum(h) / h.sum()
-        return {"v": np.floor(cdf[place] * 255).astype(int).ravel().tolist()}
+def clahe(df: DataFrame, clip: float = 2.0, tiles: int = 2, bins: int = 256) -> DataFrame:
+    """``v``: the frame equalised tile by tile, between the tiles' centres by interpolation.
+
+    A tile's histogram is cut at ``clip`` times its mean, and what is cut off is spread over all levels.
+    """
+
+    def f(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        side = a.shape[1]
+        tables, levels = _tile_tables(a, tiles, clip, bins), a.astype(int)
+        at = (np.arange(side) + 0.5) / (side // tiles) - 0.5
+        low = np.floor(at).astype(int)
+        part = at - low
+        k = [np.clip(low + i, 0, tiles - 1) for i in (0, 1)]
+        take = lambda i, j: tables[np.arange(len(a))[:, None, None], k[i][None, :, None], k[j][None, None, :], levels]
+        y, x = part[None, :, None], part[None, None, :]
+        v = (take(0, 0) * (1 - x) + take(0, 1) * x) * (1 - y) + (take(1, 0) * (1 - x) + take(1, 1) * x) * y
+        return np.floor(v + 0.5).astype(np.int64)
 
-    return _per_frame(df, f, "v array<long>")
+    return _per_frame(df, f, "v", "array<long>")
 
 
 def edges(df: DataFrame) -> DataFrame:
@@ -212,12 +242,12 @@ def edges(df: DataFrame) -> DataFrame:
 
     kernels = [kernel(t) for t in (0, 2, 4, 6)]
 
-    def f(a: np.ndarray, b: np.ndarray) -> dict:
-        w = _windows(np.pad(a, 1, mode="edge"), 3)
-        v = np.max([np.abs((w * k).sum((2, 3))) for k in kernels], axis=0)
-        return {"v": np.minimum(v, 255).astype(int).ravel().tolist()}
+    def f(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        w = _windows(np.pad(a, ((0, 0), (1, 1), (1, 1)), mode="edge"), 3)
+        v = np.max([np.abs((w * k).sum((3, 4))) for k in kernels], axis=0)
+        return np.minimum(v, 255).astype(np.int64)
 
-    return _per_frame(df, f, "v array<long>")
+    return _per_frame(df, f, "v", "array<long>")
 
 
 def channel_statistics(df: DataFrame, key: str) -> DataFrame:

@@ -33,10 +33,15 @@ def flag_references(df: DataFrame, refs: DataFrame, merge: bool, external: bool)
 
 
 def replace_payload(df: DataFrame, files: DataFrame, payload: str, path: str = "path") -> DataFrame:
-    """Flagged rows take the payload of the file whose name holds ``ref_`` and their number; their flag goes."""
-    n = F.regexp_extract(path, r"ref_(\d+)", 1).cast("long")
-    found = files.where(F.col(path).rlike(r"ref_\d+")).select(n.alias("n"), F.col(payload).alias("_new"))
-    joined = df.join(found, "n", "left")
+    """Flagged rows take the payload of the file whose name holds ``ref_`` and their number; their flag goes.
+
+    ``files`` with a clip_id serve their own clip, others every clip; of files of one number the first by path counts.
+    """
+    key = [c for c in ("clip_id", "n") if c == "n" or c in files.columns]
+    n = F.regexp_extract(path, r"ref_(\d+)", 1).cast("long").alias("n")
+    found = files.where(F.col(path).rlike(r"ref_\d+")).select(*key[:-1], n, F.col(path).alias("_path"), F.col(payload).alias("_new"))
+    found = found.groupBy(*key).agg(F.min_by("_new", "_path").alias("_new"))
+    joined = df.join(found, key, "left")
     hit = F.col("flag") & F.col("_new").isNotNull()
     return joined.withColumn(payload, F.when(hit, F.col("_new")).otherwise(F.col(payload))).withColumn(
         "flag", F.when(hit, F.lit(False)).otherwise(F.col("flag"))

@@ -1,7 +1,7 @@
 """Similarity memory: keys and values, scores, top-k read-out, usage, eviction, prototypes.
 
 A stated query set is scored against all keys block by block: queries and keys are dealt to a grid of blocks, each pair of
-blocks is one task's matrix product, and only the best k of a block leave it.
+blocks is a group of matrix products, and only the best k of a pair leave it.
 """
 
 from __future__ import annotations
@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import half_up
+from tidemark.operators.ranking import values_at
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,51 +30,63 @@ def l2_normal(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
 
 
-def top_k(queries: DataFrame, keys: DataFrame, k: int, blocks: int = 8) -> DataFrame:
-    """query_id, key_id and score (dot product) of the k best keys of each query; ties by key.
+def top_k(queries: DataFrame, keys: DataFrame, k: int, query_block: int = 2_000, key_block: int = 20_000) -> DataFrame:
+    """query_id, key_id, score (dot product) and rank of the k best keys of each query; ties by key.
 
-    ``queries`` and ``keys`` have id and vector. Both are dealt to blocks by id; a query goes to every block of keys, so
-    the query set, not the key set, is repeated, ``blocks`` times.
+    ``queries`` and ``keys`` have id and vector. Both are dealt by id to blocks of about the given sizes, whose number grows with
+    the data; each pair of blocks is a group that holds its queries and k candidates each, while its keys stream by.
     """
-    spread = queries.select(F.col("id").alias("id"), F.col("vector").alias("vector"), F.lit(True).alias("is_query"))
-    spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    held = keys.select("id", "vector", F.lit(False).alias("is_query"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    both = spread.unionByName(held).repartition("block").sortWithinPartitions("block", F.desc("is_query"), "id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, ids, q, best = None, [], None, None
-
-        def result() -> pd.DataFrame:
-            rows = [(i, int(kid), float(s)) for i, found in zip(ids, best) for s, kid in found]
-            return pd.DataFrame(rows, columns=["query_id", "key_id", "score"])
-
-        for frame in frames:
-            for b, part in frame.groupby("block", sort=False):
-                if b != block:
-                    if ids:
-                        yield result()
-                    block, ids, q, best = b, [], None, []
-                asked = part[part.is_query]
-                if len(asked):
-                    ids += asked.id.tolist()
-                    new = np.stack(asked.vector).astype(float)
-                    q = new if q is None else np.vstack([q, new])
-                    best += [[] for _ in range(len(asked))]
-                stored = part[~part.is_query]
-                if len(stored) and ids:
-                    scores = q @ np.stack(stored.vector).astype(float).T
-                    names = stored.id.to_numpy()
-                    for i, row in enumerate(scores):
-                        cut = np.argsort(-row, kind="stable")[: k + 16] if len(row) > k + 16 else np.arange(len(row))
-                        edge = row[cut].min() if len(cut) < len(row) else -np.inf
-                        tied = np.flatnonzero(row == edge) if np.isfinite(edge) else []
-                        some = np.union1d(cut, tied).astype(int)
-                        found = best[i] + list(zip(row[some].tolist(), names[some].tolist()))
-                        best[i] = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
-        if ids:
-            yield result()
-
-    found = both.mapInPandas(run, "query_id long, key_id long, score double")
+    n_q = max(1, -(-queries.count() // query_block))
+    n_k = max(1, -(-keys.count() // key_block))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    spread = queries.select("id", "vector", F.lit(True).alias("is_query"), block(n_q).alias("q"), every(n_k).alias("k"))
+    held = keys.select("id", "vector", F.lit(False).alias("is_query"), block(n_k).alias("k"), every(n_q).alias("q"))
+    both = spread.unionByName(held).select("id", "vector", "is_query", (F.col("q") * n_k + F.col("k")).alias("pair"))
+    both = both.repartition("pair").sortWithinPartitions("pair", F.desc("is_query"), "id")
+
+    def best(scores: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best columns of each row, by score, then name; columns come in the order of names within ties."""
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, asked, ids, top, names = None, [], None, None, None
+
+        def result() -> Iterator[pa.RecordBatch]:
+            if top is not None:
+                arrays = [np.repeat(ids, top.shape[1]), names.ravel(), top.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["query_id", "key_id", "score"])
+
+        for b in batches:
+            pairs, is_query = b.column("pair").to_numpy(), b.column("is_query").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(pairs) != 0) | (np.diff(is_query.astype(int)) != 0)) + 1
+            for first, last in zip([0, *cuts], [*cuts, b.num_rows]):
+                if first == last:
+                    continue
+                if pairs[first] != pair:
+                    yield from result()
+                    pair, asked, ids, top, names = pairs[first], [], None, None, None
+                part = b.slice(first, last - first)
+                own = part.column("id").to_numpy()
+                vectors = part.column("vector").flatten().to_numpy().astype(float).reshape(len(own), -1)
+                if is_query[first]:
+                    asked.append(vectors)
+                    ids = own if ids is None else np.concatenate([ids, own])
+                    continue
+                if ids is None:
+                    continue
+                if len(asked) > 1:
+                    asked = [np.vstack(asked)]
+                for at in range(0, len(own), 2_000):
+                    scores = asked[0] @ vectors[at : at + 2_000].T
+                    cols = np.broadcast_to(own[at : at + 2_000], scores.shape)
+                    if top is not None:
+                        scores, cols = np.hstack([top, scores]), np.hstack([names, cols])
+                    top, names = best(scores, cols)
+        yield from result()
+
+    found = both.mapInArrow(run, "query_id long, key_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
@@ -101,7 +114,7 @@ def evict(used: DataFrame, size: int) -> DataFrame:
     n = used.count()
     if n <= size:
         return used
-    edge = used.select("usage").orderBy("usage").offset(n - size - 1).limit(1).first().usage
+    edge = values_at(used, "usage", [n - size - 1])[0]
     return used.where(F.col("usage") > edge)
 
 

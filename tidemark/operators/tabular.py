@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, ShortType
 
-from tidemark.operators.ranking import prefix_sums
+from tidemark.operators.ranking import prefix_sums, values_at
 
 
 def add_datepart(df: DataFrame, date: str, prefix: str | None = None, time: bool = False) -> DataFrame:
@@ -95,20 +95,20 @@ class FillMissing:
     fills: dict[str, float] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> FillMissing:
-        """One pass for counts and medians; modes take the smallest of the most frequent values."""
-        aggs = [F.count_if(F.col(c).isNull()).alias(f"{c}_n") for c in self.columns]
-        aggs += [F.median(c).alias(f"{c}_m") for c in self.columns]
-        row = df.agg(*aggs).first()
+        """One pass for counts; medians by ranges of values; modes take the smallest of the most frequent values."""
+        counts = [f(F.col(c)).alias(f"{c}_{k}") for c in self.columns for k, f in (("n", F.count), ("z", lambda x: F.count_if(x.isNull())))]
+        row = df.agg(*counts).first()
         for c in self.columns:
-            if not row[f"{c}_n"]:
+            if not row[f"{c}_z"]:
                 continue
             if self.strategy == "median":
-                self.fills[c] = row[f"{c}_m"]
+                n = row[f"{c}_n"]
+                self.fills[c] = sum(values_at(df, c, [(n - 1) // 2, n // 2])) / 2 if n else None
             elif self.strategy == "constant":
                 self.fills[c] = self.constant
             else:
                 top = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
-                self.fills[c] = top[c]
+                self.fills[c] = top[c] if top else None
         return self
 
     def apply(self, df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clamp, half_up
+from tidemark.operators.folds import scan
 
 
 def by_clip() -> WindowSpec:
@@ -116,15 +117,19 @@ def pool_average(x: str, size: int) -> Column:
     return F.avg(x).over(by_clip().rowsBetween(-(size - 1), 0))
 
 
-def smoothed(df: DataFrame, x: str, beta: float, depth: int = 64) -> DataFrame:
-    """``df`` with ``smooth``: bias-corrected exponential smoothing.
+def smoothed(df: DataFrame, x: str, beta: float) -> DataFrame:
+    """``df`` with ``smooth``: bias-corrected exponential smoothing over all rows of a clip so far.
 
-    m(n) = (1 - beta) * sum(beta^(n - i) * v(i)) over the last ``depth`` rows, beyond which weights are below
-    beta^depth, divided by 1 - beta^(n + 1).
+    m(n) = beta * m(n - 1) + (1 - beta) * v(n), divided by 1 - beta^(n + 1); nulls leave the mean as it is.
     """
-    values = F.collect_list(x).over(by_clip().rowsBetween(-(depth - 1), 0))
-    folded = F.aggregate(values, F.lit(0.0), lambda m, v: m * beta + v * (1 - beta))
-    return df.withColumn("smooth", folded / (1 - F.pow(F.lit(beta), F.least(F.col("n") + 1, F.lit(depth)))))
+
+    def step(state: dict, n: int, v: float | None) -> tuple:
+        if v is not None:
+            state["m"] = beta * state["m"] + (1 - beta) * v
+            state["left"] *= beta
+        return (state["m"] / (1 - state["left"]) if state["left"] < 1 else None,)
+
+    return scan(df, [x], lambda: {"m": 0.0, "left": 1.0}, step, {"smooth": "double"})
 
 
 def elapsed(df: DataFrame, key: str, date: str, flag: Column, *ties: str) -> DataFrame:

@@ -6,11 +6,17 @@ found by pattern back-references in the JVM and counted there.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import html
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import prefix_sums
+
 #: Special tokens in the order of their ids.
 SPECIAL = ("xxunk", "xxpad", "xxbos", "xxeos", "xxfld", "xxmaj", "xxup", "xxrep", "xxwrep")
 #: Markup leftovers and what they stand for, applied in this order.
@@ -30,29 +36,43 @@ FIXES = (
     (" @,@ ", ","),
     ("\\", " \\ "),
 )
-#: Named references of plain text.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: The patterns of the cleaning rules.
+SPACES, MARKS, REPEATED, REPEATED_WORD = " {2,}", "([/#\n])", r"(\S)\1{3,}", r"(?U)(\b\w+\W+)\1{3,}"
+#: The patterns of a name's humps.
+HUMPS = ("(.)([A-Z][a-z]+)", "([a-z0-9])([A-Z])")
+#: A word with its marks of accents, digits and apostrophes, or any other character that isn't white space.
+WORD = r"[\p{L}\p{M}\p{N}_']+|[^\s\p{L}\p{M}\p{N}_']"
+#: Ids of a vocabulary that tasks hold; beyond them it is joined.
+HELD = 1_000_000
 
 Rule = Callable[[Column], Column]
 
 
 def collapse_spaces(x: Column) -> Column:
     """Two spaces or more become one."""
-    return F.regexp_replace(x, " {2,}", " ")
+    return F.regexp_replace(x, SPACES, " ")
 
 
 def fix_html(x: Column) -> Column:
-    """Leftovers of markup undone."""
+    """Leftovers of markup and character references undone."""
     for old, new in FIXES:
         x = F.replace(x, F.lit(old), F.lit(new))
-    for old, new in ENTITIES:
-        x = F.replace(x, F.lit(old), F.lit(new))
-    return collapse_spaces(x)
+    return collapse_spaces(unescaped(x))
+
+
+def unescaped(x: Column) -> Column:
+    """All character references, named and numbered, as the characters they stand for; Arrow batches of texts."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return run(x)
 
 
 def space_marks(x: Column) -> Column:
     """Spaces around slashes, hashes and line ends."""
-    return F.regexp_replace(x, "([/#\n])", " $1 ")
+    return F.regexp_replace(x, MARKS, " $1 ")
 
 
 def _marked_runs(x: Column, pattern: str, mark: str, count: Callable[[Column], Column], item: Callable[[Column], Column]) -> Column:
@@ -67,13 +87,18 @@ def _marked_runs(x: Column, pattern: str, mark: str, count: Callable[[Column], C
 
 def mark_repeats(x: Column) -> Column:
     """A character four times or more becomes `` xxrep n c ``."""
-    return _marked_runs(x, r"(\S)\1{3,}", "xxrep", F.length, lambda r: F.substring(r, 1, 1))
+    return _marked_runs(x, REPEATED, "xxrep", F.length, lambda r: F.substring(r, 1, 1))
 
 
 def mark_word_repeats(x: Column) -> Column:
-    """A word four times or more, each with spaces behind, becomes `` xxwrep n w ``."""
-    words = lambda r: F.size(F.regexp_extract_all(r, F.lit(r"\S+"), F.lit(0)))
-    return _marked_runs(x, r"\b(\w+)(?:\s+\1){3,}\b", "xxwrep", words, lambda r: F.regexp_extract(r, r"^(\w+)", 1))
+    """A word with what stands behind it, four times or more, becomes `` xxwrep n w ``; w keeps what stands behind it.
+
+    n counts what lies between white space in the repetitions, and the first.
+    """
+    first = lambda r: F.regexp_extract(r, REPEATED_WORD, 1)
+    rest = lambda r: r.substr(F.length(first(r)) + 1, F.length(r))
+    words = lambda r: F.regexp_count(rest(r), F.lit(r"(?U)\S+")) + 1
+    return _marked_runs(x, REPEATED_WORD, "xxwrep", words, first)
 
 
 PRE_RULES: tuple[Rule, ...] = (fix_html, mark_repeats, mark_word_repeats, space_marks, collapse_spaces)
@@ -91,6 +116,11 @@ def split_tokens(x: Column) -> Column:
     return F.split(x, " ", -1)
 
 
+def word_tokens(x: Column) -> Column:
+    """Words, and marks one by one, of the whole Unicode text."""
+    return F.regexp_extract_all(x, F.lit(WORD), F.lit(0))
+
+
 def mark_caps(tokens: Column) -> Column:
     """``xxup`` before words in capitals, ``xxmaj`` before capitalised ones, everything lower-cased, empty tokens dropped."""
 
@@ -118,7 +148,7 @@ def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
     return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def vocabulary(counts: DataFrame, most: int, least: int = 1) -> DataFrame:
+def vocabulary(counts: DataFrame, most: int = 60_000, least: int = 2) -> DataFrame:
     """id and token: special tokens first, then the most frequent ones; ties by token.
 
     ``most`` bounds the table, so the window that numbers it is as small.
@@ -130,21 +160,83 @@ def vocabulary(counts: DataFrame, most: int, least: int = 1) -> DataFrame:
     return kept.select(ids.alias("id"), "token").unionByName(special)
 
 
-def numericalize(df: DataFrame, key: str, tokens: Column, vocab: DataFrame) -> DataFrame:
-    """key and ids of each row's tokens in order, 0 for unknown ones: a join with the vocabulary table."""
+def default_size(counts: DataFrame, most: int = 60_000) -> int:
+    """Tokens of a vocabulary that fits a corpus: a quarter of its different tokens, up to a multiple of 8, ``most`` at most."""
+    return min(most, -(-(counts.count() // 4) // 8) * 8)
+
+
+def _mapped(df: DataFrame, key: str, values: str, kind: str, f: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """key and ``out``: ``f`` of the items of a list column, list by list, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            ends = pc.cast(pc.subtract(lists.offsets, lists.offsets[0]), pa.int32())
+            made = pa.ListArray.from_arrays(ends, f(lists.flatten()), mask=lists.is_null() if lists.null_count else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), made], [b.schema.names[0], "out"])
+
+    rows = df.select(key, values)
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, out array<{kind}>")
+
+
+def numericalize(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, held: int = HELD) -> DataFrame:
+    """key and ids of each row's tokens in order, 0 for unknown ones; null tokens have null ids.
+
+    A vocabulary of at most ``held`` tokens goes to every task, and ids are looked up in place; a larger one is joined.
+    """
+    known = vocab.orderBy("id").limit(held + 1).toArrow()
+    if known.num_rows <= held:
+        names, ids = known.column("token").combine_chunks(), known.column("id").combine_chunks()
+        look_up = lambda x: pc.fill_null(ids.take(pc.index_in(x, value_set=names)), 0)
+        return _mapped(df.select(key, tokens.alias("_t")), key, "_t", "long", look_up).withColumnRenamed("out", "ids")
     places = df.select(key, F.posexplode(tokens).alias("pos", "token")).join(vocab, "token", "left")
     item = F.struct("pos", F.coalesce("id", F.lit(0).cast("long")).alias("id"))
     grouped = places.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("x"))
-    return grouped.select(key, F.col("x.id").alias("ids"))
+    ids = grouped.select(key, F.col("x.id").alias("ids"))
+    empty = F.when(tokens.isNotNull(), F.array().cast("array<long>")).alias("_none")
+    return df.select(key, empty).join(ids, key, "left").select(key, F.coalesce("ids", "_none").alias("ids"))
 
 
-def textify(df: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
+def textify(df: DataFrame, key: str, ids: str, vocab: DataFrame, held: int = HELD) -> DataFrame:
     """key and text of ids."""
+    known = vocab.orderBy("id").limit(held + 1).toArrow()
+    if known.num_rows <= held:
+        names, own = known.column("token").combine_chunks(), known.column("id").combine_chunks()
+        look_up = lambda x: names.take(pc.index_in(x, value_set=own))
+        return _mapped(df, key, ids, "string", look_up).select(key, F.array_join("out", " ").alias("text"))
     places = df.select(key, F.posexplode(ids).alias("pos", "id")).join(vocab, "id")
     grouped = places.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x"))
     return grouped.select(key, F.array_join("x.token", " ").alias("text"))
 
 
+def lm_windows(df: DataFrame, key: str, ids: str, lanes: int, width: int) -> DataFrame:
+    """lane, window, x and y: all ids in key order as one stream, cut into equal lanes, each into windows of ``width``.
+
+    y is x one id further on. A lane has total // lanes ids, of which its last only ends a y; what is left over goes. Documents
+    know their place by sums of ranges and send each window the ids that fall into it.
+    """
+    rows = prefix_sums(df.select(key, ids, F.size(ids).cast("long").alias("_n")), key, ["_n"])
+    total = rows.agg(F.sum("_n")).first()[0] or 0
+    lane = total // lanes
+    if lane < 2:
+        return df.sparkSession.createDataFrame([], "lane long, window long, x array<long>, y array<long>")
+    start = F.col("run__n") - F.col("_n")
+    at = rows.select(start.alias("_s"), ids, "_n").where(F.col("_s") < lane * lanes)
+    spread = at.select("_s", F.posexplode(ids).alias("_i", "id")).select((F.col("_s") + F.col("_i")).alias("_p"), "id").where(F.col("_p") < lane * lanes)
+    place = F.col("_p") % lane
+    spots = F.array(
+        F.struct(F.floor(place / width).alias("window"), F.lit(True).alias("own")),
+        F.struct(F.floor((place - 1) / width).alias("window"), F.lit(False).alias("own")),
+    )  # as an item of x, and one place earlier as an item of y
+    sent = spread.select(F.floor(F.col("_p") / lane).alias("lane"), place.alias("_p"), "id", F.explode(spots).alias("s"))
+    sent = sent.where(F.when(F.col("s.own"), F.col("_p") < lane - 1).otherwise(F.col("_p") > 0))
+    item = F.struct("_p", "id")
+    whole = sent.groupBy("lane", "s.window").agg(
+        F.array_sort(F.collect_list(F.when(F.col("s.own"), item))).alias("x"), F.array_sort(F.collect_list(F.when(~F.col("s.own"), item))).alias("y")
+    )  # ``width`` items at most
+    return whole.select("lane", "window", F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+
+
 def lm_chunks(df: DataFrame, key: str, size: str, lanes: int, width: int) -> DataFrame:
     """Where each document lies in ``lanes`` equal lanes of all tokens, cut into windows of ``width``.
 
@@ -169,4 +261,4 @@ def lm_chunks(df: DataFrame, key: str, size: str, lanes: int, width: int) -> Dat
 
 def camel_to_snake(x: Column) -> Column:
     """``CamelCase`` as ``camel_case``."""
-    return F.lower(F.regexp_replace(F.regexp_replace(x, "(.)([A-Z][a-z]+)", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2"))
+    return F.lower(F.regexp_replace(F.regexp_replace(x, HUMPS[0], "$1_$2"), HUMPS[1], "$1_$2"))

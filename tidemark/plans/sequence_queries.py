@@ -265,8 +265,8 @@ def moving_avg_pool(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SEQ} SELECT a.clip_id, a.n, {r4("sum(b.value * 0.1 * pow(0.9, a.n - b.n)) / (1 - pow(0.9, least(a.n + 1, 64)))")} AS smooth
-FROM seq a JOIN seq b ON a.clip_id = b.clip_id AND b.n BETWEEN a.n - 63 AND a.n GROUP BY a.clip_id, a.n"""
+    f"""WITH {SEQ} SELECT a.clip_id, a.n, {r4("sum(b.value * 0.1 * pow(0.9, a.n - b.n)) / (1 - pow(0.9, a.n + 1))")} AS smooth
+FROM seq a JOIN seq b ON a.clip_id = b.clip_id AND b.n <= a.n GROUP BY a.clip_id, a.n"""
 )
 def ema_smooth(spark, sf_dir):
     """Bias-corrected exponential smoothing."""

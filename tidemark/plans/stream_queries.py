@@ -54,20 +54,20 @@ def csv_round_trip(spark, sf_dir):
 
 @query(
     """SELECT 'p/img' || o_custkey || '.png' AS file_name, list([2.0::DOUBLE, 1.0, o_orderkey % 50 + 2, o_orderkey % 40 + 1] ORDER BY o_orderkey) AS boxes, list(o_orderstatus ORDER BY o_orderkey) AS classes
-FROM orders WHERE o_custkey % 50 = 1 GROUP BY o_custkey"""
+FROM orders GROUP BY o_custkey"""
 )
 def coco_annotations(spark, sf_dir):
-    """Boxes and classes of images from one annotation document, made of some customers' orders."""
+    """Boxes and classes of images from annotation documents of about fifty images, made of all orders."""
     where = f"{shared_dir(spark).rstrip('/')}/coco-{uuid.uuid4().hex}"
-    orders = table(spark, sf_dir, "orders").where("o_custkey % 50 = 1")
+    orders = table(spark, sf_dir, "orders")
     mark = F.struct(
         F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("image_id"), F.ascii("o_orderstatus").cast("long").alias("category_id"),
         F.array(F.lit(1.0), F.lit(2.0), (F.col("o_orderkey") % 40).cast("double"), (F.col("o_orderkey") % 50).cast("double")).alias("bbox"),
     )
     image = F.struct(F.col("o_custkey").alias("id"), F.concat(F.lit("img"), "o_custkey", F.lit(".png")).alias("file_name"))
     kind = F.struct(F.ascii("o_orderstatus").cast("long").alias("id"), F.col("o_orderstatus").alias("name"))
-    whole = orders.agg(
+    documents = orders.groupBy((F.col("o_custkey") / 50).cast("long").alias("document")).agg(
         F.collect_set(image).alias("images"), F.array_sort(F.collect_list(mark)).alias("annotations"), F.collect_set(kind).alias("categories")
     )
-    whole.write.json(where)
-    return files.annotations(spark, where, "p/")
+    documents.drop("document").write.json(where)
+    return files.annotations(spark, where, "p/", lines=True)

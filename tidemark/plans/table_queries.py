@@ -88,13 +88,13 @@ def elapsed_merge(spark, sf_dir):
 
 @query(
     """WITH k AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) AS c FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_custkey % 3 = 0 AND c_mktsegment < 'H'))
-SELECT c_custkey, coalesce(c, 0) AS c_mktsegment_code FROM customer LEFT JOIN k USING (c_mktsegment) WHERE c_custkey % 3 <> 0"""
+SELECT c_custkey, coalesce(c, 0) AS c_mktsegment_code FROM customer LEFT JOIN k USING (c_mktsegment)"""
 )
 def categorify_fit_apply(spark, sf_dir):
-    """Codes learnt on a third of the customers, without some segments, for the others."""
+    """Codes learnt on a third of the customers, without some segments, for all."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     fitted = t.Categorify(["c_mktsegment"]).fit(c.where("c_custkey % 3 = 0 and c_mktsegment < 'H'"))
-    return fitted.apply(c.where("c_custkey % 3 <> 0")).select("c_custkey", "c_mktsegment_code")
+    return fitted.apply(c).select("c_custkey", "c_mktsegment_code")
 
 
 _HOLES = "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS price, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size END AS size, p_retailprice AS full_price FROM part"
@@ -109,25 +109,25 @@ def _holes(spark, sf_dir):
 @query(
     f"""WITH h AS ({_HOLES}), f AS (SELECT median(price) AS mp FROM h WHERE p_partkey % 2 = 0),
 g AS (SELECT size AS ms FROM h WHERE p_partkey % 2 = 0 AND size IS NOT NULL GROUP BY size ORDER BY count(*) DESC, size LIMIT 1)
-SELECT p_partkey, {r4("coalesce(price, mp)")} AS price, price IS NULL AS price_na, CAST(coalesce(size, ms) AS BIGINT) AS size, size IS NULL AS size_na, full_price FROM h, f, g WHERE p_partkey % 2 = 1"""
+SELECT p_partkey, {r4("coalesce(price, mp)")} AS price, price IS NULL AS price_na, CAST(coalesce(size, ms) AS BIGINT) AS size, size IS NULL AS size_na, full_price FROM h, f, g"""
 )
 def fill_missing(spark, sf_dir):
-    """Holes filled by the median and the mode of half of the parts."""
+    """Holes of all parts filled by the median and the mode of half of them."""
     h = _holes(spark, sf_dir)
     train = h.where("p_partkey % 2 = 0")
     chain = t.Chain([t.FillMissing(["price", "full_price"]), t.FillMissing(["size"], "mode")]).fit(train)
-    out = chain.apply(h.where("p_partkey % 2 = 1"))
+    out = chain.apply(h)
     return out.select("p_partkey", half_up(F.col("price")).alias("price"), "price_na", F.col("size").cast("long").alias("size"), "size_na", "full_price")
 
 
 @query(
     f"""WITH s AS (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS sd FROM customer WHERE c_custkey % 4 <> 0)
-SELECT c_custkey, {r4("(c_acctbal - m) / (1e-7 + sd)")} AS c_acctbal FROM customer, s WHERE c_custkey % 4 = 0"""
+SELECT c_custkey, {r4("(c_acctbal - m) / (1e-7 + sd)")} AS c_acctbal FROM customer, s"""
 )
 def normalize_fit_apply(spark, sf_dir):
-    """Balances scaled by the figures of other customers."""
+    """All balances scaled by the figures of three quarters of the customers."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    out = t.Normalize(["c_acctbal"]).fit(c.where("c_custkey % 4 <> 0")).apply(c.where("c_custkey % 4 = 0"))
+    out = t.Normalize(["c_acctbal"]).fit(c.where("c_custkey % 4 <> 0")).apply(c)
     return out.select("c_custkey", half_up(F.col("c_acctbal")).alias("c_acctbal"))
 
 

@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import half_up
 from tidemark.operators import dataset as d, memory as m, text as x
 from tidemark.plans.common import r4, registry
-from tidemark.session import table
+from tidemark.session import staged, table
 
 QUERIES, ORACLES, query = registry()
 
 
 def _replaced(e: str) -> str:
-    for old, new in x.FIXES + x.ENTITIES:
-        quote = lambda s: "'" + s.replace("'", "''") + "'"
-        new_sql = "' '" if new == " " and False else quote(new)
-        e = f"replace({e}, {quote(old)}, {new_sql})"
-    return f"regexp_replace({e}, ' {{2,}}', ' ', 'g')"
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    for old, new in x.FIXES:
+        e = f"replace({e}, {quote(old)}, {quote(new)})"
+    # the references that pages hold once the leftovers are undone; the operator knows all
+    for old, new in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        e = f"replace({e}, {quote(old)}, {quote(new)})"
+    return f"regexp_replace({e}, '{x.SPACES}', ' ', 'g')"
 
 
 @query(f"SELECT page_id, {_replaced('html')} AS fixed FROM pages")
@@ -34,29 +36,29 @@ def text_spaces(spark, sf_dir):
 
 
 _CAPS = """flatten([CASE WHEN lower(t) <> t AND upper(t) = t AND length(t) > 1 THEN ['xxup', lower(t)]
-  WHEN lower(t) <> t AND substr(t, 1, 1) <> lower(substr(t, 1, 1)) AND lower(substr(t, 2)) = substr(t, 2) THEN ['xxmaj', lower(t)] ELSE [lower(t)] END FOR t IN string_split({0}, ' ') IF t <> ''])"""
-_ASCII = "regexp_replace({0}, '[^ -~]', ' ', 'g')"
+  WHEN lower(t) <> t AND substr(t, 1, 1) <> lower(substr(t, 1, 1)) AND lower(substr(t, 2)) = substr(t, 2) THEN ['xxmaj', lower(t)] ELSE [lower(t)] END FOR t IN {0} IF t <> ''])"""
+_WORDS = "regexp_extract_all(text, '" + x.WORD.replace("'", "''") + "')"
 
 
 def _tokens(column: str = "text"):
-    return x.mark_caps(x.split_tokens(F.regexp_replace(column, "[^ -~]", " ")))
+    return x.mark_caps(x.word_tokens(F.col(column)))
 
 
-@query(f"SELECT doc_id, {_CAPS.format(_ASCII.format('text'))} AS tokens FROM documents")
+@query(f"SELECT doc_id, {_CAPS.replace('{0}', _WORDS)} AS tokens FROM documents")
 def text_caps_tokens(spark, sf_dir):
     """Tokens of each document with capitals marked."""
     return table(spark, sf_dir, "documents").select("doc_id", _tokens().alias("tokens"))
 
 
 @query(
-    """WITH c AS (SELECT doc_id, t.i AS pos, substr(s, t.i, 1) AS ch FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', ' ', 'g') AS s FROM documents), range(1, 200000) t(i) WHERE t.i <= length(s)),
-g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, ch ORDER BY pos) AS grp FROM c WHERE ch <> ' '),
+    """WITH c AS (SELECT doc_id, pos, substr(text, pos, 1) AS ch FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS pos FROM documents)),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, ch ORDER BY pos) AS grp FROM c WHERE NOT regexp_matches(ch, '\\s')),
 r AS (SELECT doc_id, ch, grp, count(*) AS n FROM g GROUP BY ALL)
 SELECT doc_id, ch AS symbol, n, count(*) AS runs FROM r WHERE n >= 4 GROUP BY ALL"""
 )
 def text_rep(spark, sf_dir):
     """Runs of a character in each document, as the marking rule counts them."""
-    s = x.mark_repeats(F.regexp_replace("text", "[^ -~]", " "))
+    s = x.mark_repeats(F.col("text"))
     found = F.regexp_extract_all(s, F.lit(r" xxrep (\d+ \S) "), F.lit(1))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("run"))
     part = F.split("run", " ")
@@ -72,7 +74,7 @@ def text_wrep(spark, sf_dir):
 @query()
 def text_pipeline(spark, sf_dir):
     """All cleaning rules, tokens and marks of capitals."""
-    return table(spark, sf_dir, "documents").select("doc_id", x.mark_caps(x.split_tokens(x.clean(F.col("text")))).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", x.mark_caps(x.word_tokens(x.clean(F.col("text")))).alias("tokens"))
 
 
 @query("SELECT conv_id, turn, concat_ws(' ', 'xxbos', 'xxfld 1', role, 'xxfld 2', text, 'xxeos') AS joined FROM conversations")
@@ -82,8 +84,8 @@ def join_fields(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", joined)
 
 
-_TOK = f"tok AS (SELECT doc_id, {_CAPS.format(_ASCII.format('text'))} AS tokens FROM documents), cnt AS (SELECT t AS token, count(*) AS n FROM (SELECT unnest(tokens) AS t FROM tok) GROUP BY 1)"
-_VOC = f"""{_TOK}, voc AS (SELECT row_number() OVER (ORDER BY n DESC, token) + 8 AS id, token FROM (SELECT * FROM cnt WHERE n >= 2 AND token NOT IN {x.SPECIAL!r} ORDER BY n DESC, token LIMIT 500)
+_TOK = f"tok AS (SELECT doc_id, {_CAPS.replace('{0}', _WORDS)} AS tokens FROM documents), cnt AS (SELECT t AS token, count(*) AS n FROM (SELECT unnest(tokens) AS t FROM tok) GROUP BY 1)"
+_VOC = f"""{_TOK}, voc AS (SELECT row_number() OVER (ORDER BY n DESC, token) + 8 AS id, token FROM (SELECT * FROM cnt WHERE n >= 2 AND token NOT IN {x.SPECIAL!r} ORDER BY n DESC, token LIMIT 60000)
 UNION ALL SELECT unnest(range(9)), unnest({list(x.SPECIAL)!r}))"""
 
 
@@ -91,6 +93,10 @@ def _counts(spark, sf_dir):
     return x.token_counts(table(spark, sf_dir, "documents"), _tokens())
 
 
+def _vocab(spark, sf_dir):
+    return staged(x.vocabulary(_counts(spark, sf_dir)), "vocabulary")
+
+
 @query(f"WITH {_TOK} SELECT token, n FROM cnt WHERE n >= 3")
 def token_counts(spark, sf_dir):
     """Tokens that occur three times or more."""
@@ -99,22 +105,22 @@ def token_counts(spark, sf_dir):
 
 @query(f"WITH {_VOC} SELECT id, token FROM voc")
 def vocab_top(spark, sf_dir):
-    """A vocabulary of five hundred tokens and the special ones."""
-    return x.vocabulary(_counts(spark, sf_dir), 500, 2)
+    """The vocabulary of all tokens that occur twice, 60,000 at most, and the special ones."""
+    return _vocab(spark, sf_dir)
 
 
 @query(f"WITH {_VOC}, p AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM tok) SELECT doc_id, list(coalesce(id, 0) ORDER BY pos) AS ids FROM p LEFT JOIN voc USING (token) GROUP BY doc_id")
 def numericalize(spark, sf_dir):
     """Documents as ids."""
     docs = table(spark, sf_dir, "documents")
-    return x.numericalize(docs, "doc_id", _tokens(), x.vocabulary(_counts(spark, sf_dir), 500, 2))
+    return x.numericalize(docs, "doc_id", _tokens(), _vocab(spark, sf_dir))
 
 
 @query(f"WITH {_VOC}, p AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM tok) SELECT doc_id, string_agg(coalesce(v.token, 'xxunk'), ' ' ORDER BY pos) AS text FROM p LEFT JOIN voc v USING (token) GROUP BY doc_id")
 def textify_roundtrip(spark, sf_dir):
     """Ids back to text, unknown tokens marked."""
     docs = table(spark, sf_dir, "documents")
-    vocab = x.vocabulary(_counts(spark, sf_dir), 500, 2)
+    vocab = _vocab(spark, sf_dir)
     return x.textify(x.numericalize(docs, "doc_id", _tokens(), vocab), "doc_id", "ids", vocab)
 
 
@@ -146,21 +152,22 @@ def lm_chunks(spark, sf_dir):
     return x.lm_chunks(table(spark, sf_dir, "documents"), "doc_id", "n_chars", 16, 70)
 
 
-@query("SELECT column_name AS name, lower(regexp_replace(regexp_replace(column_name, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake FROM (VALUES ('CamelCase'), ('someHTTPCode'), ('plain'), ('MixedUP2Now')) t(column_name)")
+@query(f"SELECT column_name AS name, lower(regexp_replace(regexp_replace(column_name, '{x.HUMPS[0]}', '\\1_\\2', 'g'), '{x.HUMPS[1]}', '\\1_\\2', 'g')) AS snake FROM (VALUES ('CamelCase'), ('someHTTPCode'), ('plain'), ('MixedUP2Now')) t(column_name)")
 def camel_to_snake(spark, sf_dir):
     """Names in snake case."""
     names = spark.createDataFrame([(n,) for n in ("CamelCase", "someHTTPCode", "plain", "MixedUP2Now")], "name string")
     return names.select("name", x.camel_to_snake(F.col("name")).alias("snake"))
 
 
-_SIM = """sim AS (SELECT q.vec_id AS query_id, k.vec_id AS key_id, k.label, list_dot_product(q.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings k ON q.vec_id % 50 = 0 AND k.vec_id % 50 <> 0),
+_SIM = """sim AS (SELECT q.vec_id AS query_id, k.vec_id AS key_id, k.label, list_dot_product(q.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings k ON q.vec_id % 20 = 0),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key_id) AS rank FROM sim QUALIFY rank <= 10),
 wt AS (SELECT *, exp(s * 5) / sum(exp(s * 5)) OVER (PARTITION BY query_id) AS weight FROM top)"""
 
 
 def _memory(spark, sf_dir):
+    """The stated query set, every id divisible by 20, and all rows as keys; a row finds itself, too."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return e.where("id % 50 = 0"), e.where("id % 50 <> 0")
+    return e.where("id % 20 = 0"), e
 
 
 @query(f"WITH {_SIM} SELECT query_id, key_id, rank, {r4('s', 3)} AS score FROM top")
@@ -179,8 +186,8 @@ def sim_softmax_readout(spark, sf_dir):
     return out.select("query_id", "label", half_up(F.col("share"), 3).alias("share"))
 
 
-_USE = f"""{_SIM}, u AS (SELECT k.vec_id AS key_id, round(coalesce(sum(weight), 0) / (sum(count(DISTINCT query_id)) OVER () * 0 + (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) + 1e-7), 9) AS usage
-FROM embeddings k LEFT JOIN wt ON wt.key_id = k.vec_id WHERE k.vec_id % 50 <> 0 GROUP BY k.vec_id)"""
+_USE = f"""{_SIM}, u AS (SELECT k.vec_id AS key_id, round(coalesce(sum(weight), 0) / ((SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) + 1e-7), 9) AS usage
+FROM embeddings k LEFT JOIN wt ON wt.key_id = k.vec_id GROUP BY k.vec_id)"""
 
 
 def _usage(spark, sf_dir):

@@ -75,20 +75,25 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def annotations(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """file_name, boxes ([top, left, bottom, right]) and classes of each annotated image of a COCO document."""
+def annotations(spark: SparkSession, path: str, prefix: str = "", lines: bool = False) -> DataFrame:
+    """file_name, boxes ([top, left, bottom, right]) and classes of each annotated image of COCO documents.
+
+    A folder may hold many documents, one a file or, with ``lines``, one a line; they share the numbers of images and
+    categories. Only images that are annotated are listed, their boxes in the order of the documents.
+    """
     schema = (
         "images array<struct<id:bigint,file_name:string>>, "
         "annotations array<struct<image_id:bigint,category_id:bigint,bbox:array<double>>>, "
         "categories array<struct<id:bigint,name:string>>"
     )
-    whole = spark.read.schema(schema).json(path, multiLine=True)
+    whole = spark.read.schema(schema).json(path, multiLine=not lines).withColumn("file", F.col("_metadata.file_path"))
     images = whole.select(F.explode("images").alias("x")).select(F.col("x.id").alias("image_id"), "x.file_name")
-    kinds = whole.select(F.explode("categories").alias("x")).select(F.col("x.id").alias("category_id"), "x.name")
-    marks = whole.select(F.posexplode("annotations").alias("pos", "x")).select("pos", "x.*").join(kinds, "category_id")
+    images = images.dropDuplicates(["image_id"])
+    kinds = whole.select(F.explode("categories").alias("x")).select(F.col("x.id").alias("category_id"), "x.name").distinct()
+    marks = whole.select("file", F.posexplode("annotations").alias("pos", "x")).select("file", "pos", "x.*").join(kinds, "category_id")
     b = F.col("bbox")
     box = F.array(b[1], b[0], b[3] + b[1], b[2] + b[0])
-    grouped = marks.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("pos", box.alias("box"), "name"))).alias("m"))
+    grouped = marks.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("file", "pos", box.alias("box"), "name"))).alias("m"))
     return images.join(grouped, "image_id").select(
         F.concat(F.lit(prefix), "file_name").alias("file_name"), F.col("m.box").alias("boxes"), F.col("m.name").alias("classes")
     )
