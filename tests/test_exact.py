@@ -205,3 +205,87 @@ def test_language_model_windows(spark):
     got = {(r.lane, r.window): (r.x, r.y) for r in text.lm_windows(df, "i", "ids", lanes, width).collect()}
     assert got == want
     assert text.lm_windows(df.limit(0), "i", "ids", lanes, width).count() == 0
+
+
+def test_canny_by_loops(stack):
+    rows, df = stack
+    got = {r.frame_id: r.v for r in images.canny(df, 200.0, 500.0).collect()}
+    spots = [(r, c) for r in range(SIDE) for c in range(SIDE)]
+    for i, a, _ in rows:
+        grad = {}
+        for r, c in spots:
+            gx = sum(w * (at(a, r + d, c + 1) - at(a, r + d, c - 1)) for d, w in ((-1, 1), (0, 2), (1, 1)))
+            gy = sum(w * (at(a, r + 1, c + d) - at(a, r - 1, c + d)) for d, w in ((-1, 1), (0, 2), (1, 1)))
+            grad[r, c] = (gx, gy, abs(gx) + abs(gy))
+        size = lambda r, c: grad[r, c][2] if (r, c) in grad else 0  # noqa: B023, E731
+        thin = {}
+        for r, c in spots:
+            gx, gy, v = grad[r, c]
+            way = int((math.degrees(math.atan2(gy, gx)) % 180 + 22.5) // 45) % 4
+            y, x = [(0, 1), (1, 1), (1, 0), (1, -1)][way]
+            thin[r, c] = v if v > size(r - y, c - x) and v >= size(r + y, c + x) else 0
+        kept = {p for p in spots if thin[p] > 500}
+        todo = list(kept)
+        while todo:
+            r, c = todo.pop()
+            for p in [(r + y, c + x) for y in (-1, 0, 1) for x in (-1, 0, 1)]:
+                if p in thin and thin[p] > 200 and p not in kept:
+                    kept.add(p)
+                    todo.append(p)
+        assert got[i] == [255 if p in kept else 0 for p in spots]
+
+
+def test_equalising_by_loops(stack):
+    rows, df = stack
+    flat = {r.frame_id: r.v for r in images.equalised_frames(df, "flat").collect()}
+    wide = {r.frame_id: r.v for r in images.equalised_frames(df, "table").collect()}
+    mixed = {r.frame_id: r.v for r in images.equalised_frames(df, "mix", 0.25).collect()}
+    tiles = {r.frame_id: r.v for r in images.clahe(df).collect()}
+    for i, a, _ in rows:
+        if not 0.15 <= sum(a) / 64 / 255 <= 0.70:
+            assert flat[i] == wide[i] == mixed[i] == a
+            continue
+        first = a.count(min(a))
+        want = [math.floor((sum(x <= v for x in a) - first) * 255 / (64 - first) + 0.5) for v in a]
+        assert flat[i] == want
+        low, high = min(a), max(a)
+        assert wide[i] == [math.floor((math.floor((v - low) * 255 / (high - low)) / 255) ** (1 / 1.2) * 255) for v in a]
+        assert mixed[i] == [math.floor(t * 0.75 + f * 0.25) for t, f in zip(tiles[i], want)]
+    with pytest.raises(ValueError):
+        images.equalised_frames(df, "other")
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    from tidemark.streaming import events
+
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    day = lambda d, h: f"2020-01-{d:02d} {h:02d}:10:00"
+    batches = [[(1, day(1, 0)), (2, day(9, 0))], [(4, day(9, 1))], [(3, day(1, 0))], [(5, day(20, 0))], [(6, day(20, 0))]]
+    for k, rows in enumerate(batches):
+        full = spark.createDataFrame([(i, ts, 1, "view", 1.0) for i, ts in rows], "event_id long, ts string, user_id long, event_type string, value double")
+        full.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+    paths = sorted(tmp_path.glob("in/*/*.parquet"))
+    for k, p in enumerate(paths):
+        import os
+
+        os.utime(p, (1_000_000 + k, 1_000_000 + k))  # the order in which a stream takes them
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
+    out = events.drained(events.tumbling_counts(stream, late="1 day"))
+    assert sorted((str(r.start), r.n) for r in out.collect()) == [("2020-01-01 00:00:00", 1), ("2020-01-09 00:00:00", 1), ("2020-01-09 01:00:00", 1)]
+    sliding = events.drained(events.sliding_counts(stream, "2 hours", "1 hour"), "append")
+    assert {str(r.start): r.n for r in sliding.collect()}["2020-01-09 00:00:00"] == 2
+
+
+def test_references_and_folders(spark):
+    from tidemark.operators import joins
+
+    df = spark.createDataFrame([(1, n, n < 2) for n in range(5)], "clip_id long, n long, flag boolean")
+    with pytest.raises(Exception, match="too few references"):
+        temporal.flagged_references(df, F.col("flag")).collect()
+    assert temporal.flagged_references(df, F.col("flag"), 2).count() == 2
+    found = spark.createDataFrame([(1, "a/ref_000000.png", "x"), (1, "b/ref_000000.png", "y"), (2, "c/ref_000001.png", "z")], "clip_id long, path string, payload string")
+    out = joins.replace_payload(df.withColumn("payload", F.lit("old")), found, "payload").orderBy("n").collect()
+    assert [r.payload for r in out] == ["x", "old", "old", "old", "old"]
+    paths = spark.createDataFrame([("top/train/cat/1.png",), ("top/valid/cat/2.png",), ("other/3.png",), ("4.png",)], "path string")
+    assert sorted((r.path[4:9], r.split) for r in dataset.split_by_folder(paths, F.col("path")).collect()) == [("train", "train"), ("valid", "valid")]
+    assert [r.x for r in paths.select(dataset.label_from_folder(F.col("path")).alias("x")).collect()] == ["cat", "cat", "other", None]

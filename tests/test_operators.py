@@ -164,3 +164,27 @@ def test_auc_by_pairs(spark):
     p, n = [s for s, t in rows if t], [s for s, t in rows if not t]
     want = sum((a > b) + 0.5 * (a == b) for a in p for b in n) / len(p) / len(n)
     assert abs(metrics.auc(df).first().auc - want) < 1e-4
+
+
+def test_staged_tables_are_released(spark):
+    import os
+
+    from tidemark import session
+
+    since = session.staged_so_far()
+    a, b = (session.staged(spark.range(n), "some table") for n in (3, 4))
+    where = [p.removeprefix("file://") for p in session._TABLES[since:]]
+    session.release(spark, since, b)
+    assert [os.path.exists(p) for p in where] == [False, True] and b.count() == 4
+    session.release(spark, since)
+    assert not os.path.exists(where[1]) and session.staged_so_far() == since
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    from tidemark import session
+
+    context = Fake(getConf=dict, getCheckpointDir=lambda: None, master="spark://somewhere:7077")
+    with pytest.raises(ValueError):
+        session.shared_dir(Fake(sparkContext=context))

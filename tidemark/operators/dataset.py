@@ -148,3 +148,51 @@ def pad(df: DataFrame, ids: str, batch: str, pad_id: int = 1, first: bool = True
     longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
     fill = F.array_repeat(F.lit(pad_id).cast("long"), (longest - F.size(ids)).cast("int"))
     return df.withColumn("padded", F.concat(fill, F.col(ids)) if first else F.concat(F.col(ids), fill))
+
+
+def split_by_folder(df: DataFrame, path: Column, train: str = "train", valid: str = "valid") -> DataFrame:
+    """``split`` by the first of a path's folders that is one of the two names; rows with neither go."""
+    part = F.get(F.filter(F.split(path, "/"), lambda x: x.isin(train, valid)), F.lit(0))
+    return df.withColumn("split", F.when(part == train, "train").when(part == valid, "valid")).where("split is not null")
+
+
+def split_by_files(df: DataFrame, path: Column, names: DataFrame, name: str) -> DataFrame:
+    """``valid`` where the last part of a path is among the names of a table."""
+    held = names.select(F.col(name).alias("_name"), F.lit(True).alias("_v")).distinct()
+    marked = df.withColumn("_name", F.element_at(F.split(path, "/"), -1)).join(held, "_name", "left")
+    return marked.withColumn("split", F.when(F.col("_v"), "valid").otherwise("train")).drop("_name", "_v")
+
+
+def mask_split(df: DataFrame, mask: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows under a mask, and all others."""
+    inside = F.coalesce(mask, F.lit(False))
+    return df.where(inside), df.where(~inside)
+
+
+def random_split(df: DataFrame, pct: float, seed: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """Each row goes to the second part with probability ``pct``."""
+    return mask_split(df, draw(seed, key) >= int(pct * 2**32))
+
+
+def label_from_folder(path: Column) -> Column:
+    """The folder that a file lies in; null where there is none."""
+    return F.try_element_at(F.split(path, "/"), F.lit(-2))
+
+
+def added(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Items of both, columns by name; what one side lacks is null."""
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def uniqued(df: DataFrame, column: str, order: str | None = None) -> DataFrame:
+    """Different values and their ``place`` from 0: by first appearance in an order, or sorted."""
+    first = df.groupBy(column).agg(F.min(order if order else column).alias("_first"))
+    ranked = prefix_sums(first, "_first" if order else column)
+    return ranked.select(column, (F.col("rank") - 1).alias("place"))
+
+
+def remapped(df: DataFrame, label: str, classes: int) -> DataFrame:
+    """``df`` with ``dense`` (labels numbered from 1 in order, 0 for the background label 0) and ``planes``, one 0/1 for each class."""
+    known = prefix_sums(df.where(F.col(label) > 0).select(label).distinct(), label).select(label, F.col("rank").alias("_d"))
+    dense = df.join(known, label, "left").withColumn("dense", F.coalesce("_d", F.lit(0)).cast("long")).drop("_d")
+    return dense.withColumn("planes", F.transform(F.sequence(F.lit(1), F.lit(classes)), lambda k: (F.col("dense") == k).cast("long")))

@@ -199,3 +199,20 @@ def two_memories(df: DataFrame, every: int = 5, most: int = 10, least: int = 5,
     return scan(
         df, ["flag"], lambda: {"work": 0, "long": 0}, step, {"work": "long", "moved": "long", "long": "long"}
     )
+
+
+def reduce_on_plateau(df: DataFrame, value: str, patience: int, factor: float = 0.2, least: float = 0.0, rate: float = 1.0) -> DataFrame:
+    """``df`` with ``rate``: lowered by ``factor`` whenever a value has not fallen by ``least`` for more than ``patience`` rows."""
+
+    def step(state: dict, n: int, v: float | None) -> tuple:
+        if v is None:
+            return (state["rate"],)
+        if state["best"] is None or v + least < state["best"]:
+            state.update(best=v, wait=0)
+        else:
+            state["wait"] += 1
+            if state["wait"] > patience:
+                state.update(rate=state["rate"] * factor, wait=0)
+        return (state["rate"],)
+
+    return scan(df, [value], lambda: {"best": None, "wait": 0, "rate": rate}, step, {"rate": "double"})

@@ -209,25 +209,27 @@ def _tile_tables(a: np.ndarray, tiles: int, clip: float, bins: int) -> np.ndarra
     return table.reshape(n, tiles, tiles, bins)
 
 
+def _tiled(a: np.ndarray, clip: float = 2.0, tiles: int = 2, bins: int = 256) -> np.ndarray:
+    """Stacked frames equalised by their tiles' tables."""
+    side = a.shape[1]
+    tables, levels = _tile_tables(a, tiles, clip, bins), a.astype(int)
+    at = (np.arange(side) + 0.5) / (side // tiles) - 0.5
+    low = np.floor(at).astype(int)
+    part = at - low
+    k = [np.clip(low + i, 0, tiles - 1) for i in (0, 1)]
+    take = lambda i, j: tables[np.arange(len(a))[:, None, None], k[i][None, :, None], k[j][None, None, :], levels]
+    y, x = part[None, :, None], part[None, None, :]
+    v = (take(0, 0) * (1 - x) + take(0, 1) * x) * (1 - y) + (take(1, 0) * (1 - x) + take(1, 1) * x) * y
+    return np.floor(v + 0.5).astype(np.int64)
+
+
 def clahe(df: DataFrame, clip: float = 2.0, tiles: int = 2, bins: int = 256) -> DataFrame:
     """``v``: the frame equalised tile by tile, between the tiles' centres by interpolation.
 
     A tile's histogram is cut at ``clip`` times its mean, and what is cut off is spread over all levels.
     """
 
-    def f(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        side = a.shape[1]
-        tables, levels = _tile_tables(a, tiles, clip, bins), a.astype(int)
-        at = (np.arange(side) + 0.5) / (side // tiles) - 0.5
-        low = np.floor(at).astype(int)
-        part = at - low
-        k = [np.clip(low + i, 0, tiles - 1) for i in (0, 1)]
-        take = lambda i, j: tables[np.arange(len(a))[:, None, None], k[i][None, :, None], k[j][None, None, :], levels]
-        y, x = part[None, :, None], part[None, None, :]
-        v = (take(0, 0) * (1 - x) + take(0, 1) * x) * (1 - y) + (take(1, 0) * (1 - x) + take(1, 1) * x) * y
-        return np.floor(v + 0.5).astype(np.int64)
-
-    return _per_frame(df, f, "v", "array<long>")
+    return _per_frame(df, lambda a, b: _tiled(a, clip, tiles, bins), "v", "array<long>")
 
 
 def edges(df: DataFrame) -> DataFrame:
@@ -250,6 +252,66 @@ def edges(df: DataFrame) -> DataFrame:
     return _per_frame(df, f, "v", "array<long>")
 
 
+def canny(df: DataFrame, low: float = 100.0, high: float = 200.0) -> DataFrame:
+    """``v``: 255 on edges, else 0: Sobel gradients thinned along their direction, kept above ``high`` and, above ``low``, where
+    they hang together with those."""
+
+    def f(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        w = _windows(np.pad(a, ((0, 0), (1, 1), (1, 1)), mode="edge"), 3)
+        kernel = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]])
+        gx, gy = (w * kernel).sum((3, 4)), (w * kernel.T).sum((3, 4))
+        size = np.abs(gx) + np.abs(gy)
+        angle = np.degrees(np.arctan2(gy, gx)) % 180
+        way = np.floor((angle + 22.5) / 45).astype(int) % 4  # along x, down right, along y, down left
+        p = np.pad(size, ((0, 0), (1, 1), (1, 1)))
+        side = a.shape[1]
+        part = lambda dy, dx: p[:, 1 + dy : 1 + dy + side, 1 + dx : 1 + dx + side]
+        steps = [(0, 1), (1, 1), (1, 0), (1, -1)]
+        top = np.choose(way, [(size > part(-y, -x)) & (size >= part(y, x)) for y, x in steps])
+        thin = np.where(top, size, 0)
+        kept, weak = thin > high, thin > low
+        while True:
+            around = np.pad(kept, ((0, 0), (1, 1), (1, 1)))
+            grown = weak & np.any([around[:, 1 + y : 1 + y + side, 1 + x : 1 + x + side] for y in (-1, 0, 1) for x in (-1, 0, 1)], axis=0)
+            if (grown == kept).all():
+                return np.where(kept, 255, 0).astype(np.int64)
+            kept = grown
+
+    return _per_frame(df, f, "v", "array<long>")
+
+
+def _flat(a: np.ndarray) -> np.ndarray:
+    """Stacked frames, each with a flat histogram."""
+    n, bins = len(a), 256
+    levels = a.astype(int).reshape(n, -1)
+    h = np.bincount((np.arange(n)[:, None] * bins + levels).ravel(), minlength=n * bins).reshape(n, bins)
+    cdf = np.cumsum(h, 1)
+    first = h[np.arange(n), levels.min(1)][:, None]
+    rest = levels.shape[1] - first
+    table = np.where(rest > 0, np.floor((cdf - first) * 255 / np.maximum(rest, 1) + 0.5), np.arange(bins)[None])
+    return np.take_along_axis(table, levels, 1).reshape(a.shape)
+
+
+def equalised_frames(df: DataFrame, method: str, weight: float = 0.5, gate: tuple[float, float] = (0.15, 0.70)) -> DataFrame:
+    """``v``: frames equalised by a method: ``tiles``, ``flat``, ``mix`` (flat by ``weight``, else tiles) or ``table`` (spread to the
+    full range, then gamma 1.2). Frames whose mean luma lies outside the gate stay."""
+
+    def f(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if method == "table":
+            low, high = a.min((1, 2), keepdims=True), a.max((1, 2), keepdims=True)
+            wide = np.where(high > low, (a - low) * 255 / np.where(high > low, high - low, 1), a)
+            v = (np.floor(wide) / 255) ** (1 / 1.2) * 255
+        else:
+            tiled = _tiled(a) if method != "flat" else 0
+            v = tiled if method == "tiles" else _flat(a) if method == "flat" else tiled * (1 - weight) + _flat(a) * weight
+        mean = a.mean((1, 2), keepdims=True) / 255
+        return np.floor(np.where((mean >= gate[0]) & (mean <= gate[1]), v, a)).astype(np.int64)
+
+    if method not in ("tiles", "flat", "mix", "table"):
+        raise ValueError(f"{method!r} is none of tiles, flat, mix, table")
+    return _per_frame(df, f, "v", "array<long>")
+
+
 def channel_statistics(df: DataFrame, key: str) -> DataFrame:
     """Mean and sample deviation of each channel, and how colourful a frame is."""
     rg, yb = F.col("r") - F.col("g"), (F.col("r") + F.col("g")) / 2 - F.col("b")

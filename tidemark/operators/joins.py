@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import prefix_sums
+
 KEY = ["clip_id", "n"]
 
 
@@ -86,3 +88,30 @@ def numbered(df: DataFrame, suffix: str = "png") -> DataFrame:
     """Rows with names of running numbers."""
     w = Window.partitionBy("clip_id").orderBy("n")
     return df.withColumn("name", F.format_string(f"ref_%06d.{suffix}", (F.row_number().over(w) - 1).cast("long")))
+
+
+def zip_lists(a: DataFrame, order_a: str, b: DataFrame, order_b: str) -> DataFrame:
+    """Rows of two ordered tables at the same place, as far as the shorter one goes, with their ``place`` from 0."""
+    left, right = prefix_sums(a, order_a), prefix_sums(b, order_b)
+    return left.join(right, "rank").withColumn("place", F.col("rank") - 1).drop("rank")
+
+
+def blank(df: DataFrame, properties: list[str]) -> DataFrame:
+    """The places of a series with some of its properties and no payload."""
+    return df.select(*KEY, *properties)
+
+
+def sampled_frames(df: DataFrame, n: int, jump: int, seed: int) -> DataFrame:
+    """clip_id, place and n: ``n`` frames of every clip that has as many, for training.
+
+    Frames lie at most ``jump`` apart: from a seeded start, each step ahead is seeded, too. Half of the clips run backwards.
+    """
+    sizes = df.groupBy("clip_id").agg(F.count("*").alias("_size")).where(F.col("_size") >= n)
+    roll = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("clip_id").cast("string"), F.lit(str(k)))), 1, 8), 16, 10).cast("long")
+    most = F.greatest(F.lit(1), F.least(F.lit(jump), F.floor((F.col("_size") - 1) / max(1, n - 1))))
+    steps = F.array(F.lit(0).cast("long"), *[roll(k) % most + 1 for k in range(1, n)])
+    offsets = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.aggregate(F.slice(steps, 1, i), F.lit(0).cast("long"), lambda s, x: s + x))
+    chosen = sizes.withColumn("_o", offsets).withColumn("_start", roll("start") % (F.col("_size") - F.element_at("_o", -1)))
+    listed = F.transform("_o", lambda x: x + F.col("_start"))
+    turned = F.when(roll("turn") % 2 == 1, F.reverse(listed)).otherwise(listed)
+    return chosen.select("clip_id", F.posexplode(turned).alias("place", "n")).withColumn("place", F.col("place").cast("long"))

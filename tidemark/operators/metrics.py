@@ -5,6 +5,8 @@ Everything starts from one aggregation of predictions by key; only class-by-clas
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,3 +192,41 @@ def multilabel_fbeta(df: DataFrame, scores: Column, hot: Column, threshold: floa
     precision, recall = tp / (add(guess) + EPS), tp / (add(F.transform(hot, lambda t: t.cast("double"))) + EPS)
     f = precision * recall * (1 + b2) / (precision * b2 + recall + EPS)
     return df.agg(half_up(F.avg(f)).alias("fbeta"))
+
+
+def paired(preds: DataFrame, targets: DataFrame, key: str, loss: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Predictions and targets of the same items, with their ``loss`` if one is given."""
+    both = preds.join(targets, key)
+    return both.withColumn("loss", loss(F.col("pred"), F.col("target"))) if loss else both
+
+
+def weighted_mean(df: DataFrame, by: list[str], value: str, size: str) -> DataFrame:
+    """Mean of values of batches by the batches' sizes; null for no rows."""
+    total = F.sum(F.when(F.col(value).isNotNull(), F.col(size)))
+    return df.groupBy(*by).agg((F.sum(F.col(value) * F.col(size)) / F.nullif(total, F.lit(0))).alias("mean"), total.alias("rows"))
+
+
+def class_overlap(df: DataFrame, image: str, target: str, pred: str, n: Column | None = None) -> DataFrame:
+    """target, pred, share and images: the share of an image's pixels of a class that are predicted as each class, averaged
+    over the images that have the class."""
+    size = F.count("*") if n is None else F.sum(n)
+    cells = df.groupBy(image, target, pred).agg(size.alias("_n"))
+    whole = df.groupBy(image, target).agg(size.alias("_t"))
+    images = whole.groupBy(target).agg(F.count("*").alias("images"))
+    shares = cells.join(whole, [image, target]).groupBy(target, pred).agg(F.sum(F.col("_n") / F.col("_t")).alias("_s"))
+    return shares.join(images, target).select(target, pred, (F.col("_s") / F.col("images")).alias("share"), "images")
+
+
+def mean_iou(df: DataFrame, image: str, target: str, pred: str) -> DataFrame:
+    """Class and iou: intersection over union of each class in an image, averaged over the images where it occurs."""
+    sides = F.array(F.struct(F.col(target).alias("c"), F.lit(1).alias("t"), F.lit(0).alias("p")), F.struct(F.col(pred).alias("c"), F.lit(0).alias("t"), F.lit(1).alias("p")))
+    one = df.select(image, (F.col(target) == F.col(pred)).alias("_same"), F.explode(sides).alias("x")).select(image, "_same", "x.*")
+    per = one.groupBy(image, "c").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum(F.when(F.col("_same"), F.col("t")).otherwise(0)).alias("both"))
+    return per.groupBy(F.col("c").alias("class")).agg(F.avg(F.col("both") / (F.col("t") + F.col("p") - F.col("both"))).alias("iou"), F.count("*").alias("images"))
+
+
+def total_variation(plane: DataFrame, x: str = "x", y: str = "y", v: str = "v") -> DataFrame:
+    """Sums of absolute differences to the right and lower neighbours of a plane, and how many there are."""
+    base = plane.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(v).alias("v"))
+    near = [base.select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("v").alias("w")) for dx, dy in ((1, 0), (0, 1))]
+    return base.join(near[0].unionByName(near[1]), ["x", "y"]).agg(F.sum(F.abs(F.col("v") - F.col("w"))).alias("variation"), F.count("*").alias("n"))

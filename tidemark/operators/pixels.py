@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clamp, to_byte
@@ -203,6 +203,7 @@ def gray_faded(gray: RGB, colour: RGB, limit: float, alpha: float) -> RGB:
     return weighted(gray, colour, w)
 
 
+#: The blend modes by name; ``overlay`` has the textbook formula of each.
 OVERLAYS = ("normal", "addition", "average", "difference", "divide", "exclusion", "multiply", "overlay", "subtract")
 
 
@@ -215,9 +216,9 @@ def overlay(a: Column, b: Column, mode: str, peak: int = 255) -> Column:
         "average": lambda: (a + b) / 2,
         "difference": lambda: F.abs(a - b),
         "divide": lambda: F.when(b == 0, F.lit(float(peak))).otherwise(a * float(peak) / F.nullif(b, F.lit(0))),
-        "exclusion": lambda: a + b - a * b * 2.0 / peak,
+        "exclusion": lambda: a + b - 2.0 * a * b / peak,
         "multiply": lambda: a * b / float(peak),
-        "overlay": lambda: F.when(a < half, a * b * 2.0 / peak).otherwise((peak - a) * (peak - b) * -2.0 / peak + peak),
+        "overlay": lambda: F.when(a < half, 2.0 * a * b / peak).otherwise(peak - 2.0 * (peak - a) * (peak - b) / peak),
         "subtract": lambda: a - b,
     }
     if mode not in found:
@@ -256,7 +257,8 @@ def dark_red_fix(c: RGB) -> RGB:
 
 
 def merge(a: RGB | None, b: RGB | None, method: int, weight: float = 0.5, **options) -> RGB:
-    """Two colourings merged: 2 simple, 3 constrained chroma, 4 by luma, 5 adaptive luma, 6 chroma retention, 7 chroma bound.
+    """Two colourings merged: 2 simple, 3 constrained chroma, 4 by luma, 5 adaptive luma, 6 chroma retention, 7 chroma bound,
+    whose tolerance follows the ``laplacian`` of the stable luma.
 
     With one side missing, or method 0 or 1, one side is the result.
     """
@@ -277,5 +279,127 @@ def merge(a: RGB | None, b: RGB | None, method: int, weight: float = 0.5, **opti
         kept = gray_faded(a, b, options.get("limit", 60), max(1.0, min(10.0, options.get("alpha", 2.0))))
         return weighted(a, luma_from(a, kept), weight)
     if method == 7:
-        return dark_red_fix(constrained_chroma(a, b, options.get("alpha", 0.3)))
+        near = tolerant_chroma(a, b, chroma_tolerance(options.get("laplacian", F.lit(0)), options.get("base", 14), options.get("extra", 18)))
+        return dark_red_fix(weighted(a, near, weight))
     raise ValueError("methods are 0 to 7")
+
+
+def chroma_tolerance(laplacian: Column, base: float = 14, extra: float = 18) -> Column:
+    """How far colour differences may move: more where the luma has texture."""
+    return F.least(F.abs(laplacian) / 255.0, F.lit(1.0)) * extra + base
+
+
+def tolerant_chroma(stable: RGB, new: RGB, tolerance: Column) -> RGB:
+    """Stable luma with the new colour differences, kept within a tolerance of the stable ones, as whole numbers."""
+    s, n = to_yuv(stable), to_yuv(new)
+    kept = [F.floor(clamp(x, clamp(y - tolerance, 0.0, 255.0), clamp(y + tolerance, 0.0, 255.0))) for x, y in zip(n[1:], s[1:])]
+    return to_rgb((s[0], *kept))
+
+
+def gray_share(df: DataFrame, key: str, limit: float, most: float) -> DataFrame:
+    """key, the share of pixels with a saturation below ``limit``, and whether it is above ``most``."""
+    share = F.avg((saturation(rgb("r", "g", "b")) < limit).cast("double"))
+    return df.groupBy(key).agg(share.alias("share")).withColumn("gray", F.col("share") > most)
+
+
+#: The range of luma in limited-range video.
+LIMITED = (16, 235)
+
+
+def to_full_range(x: Column) -> Column:
+    """A limited-range sample as a full-range one."""
+    return F.floor(clamp((x - LIMITED[0]) * 255.0 / (LIMITED[1] - LIMITED[0]) + 0.5, 0.0, 255.0)).cast("long")
+
+
+def to_limited_range(x: Column) -> Column:
+    """A full-range sample as a limited-range one."""
+    return F.floor(x * (LIMITED[1] - LIMITED[0]) / 255.0 + LIMITED[0] + 0.5).cast("long")
+
+
+def smoothed_to(before: RGB, c: RGB, share: float = 0.2) -> RGB:
+    """Each sample within a share around the one before; where there is none it stays."""
+    return tuple(F.coalesce(to_byte(clamp(x, y * (1 - share), F.least(y * (1 + share), F.lit(255.0)))), x) for x, y in zip(c, before))  # type: ignore[return-value]
+
+
+def from_hsv(h: Column, s: Column, v: Column) -> RGB:
+    """8-bit samples of hue and saturation in [0, 1) and [0, 1], and a value in [0, 255]."""
+    six = h * 6
+    part = six - F.floor(six)
+    low, down, up = v * (1 - s), v * (1 - s * part), v * (1 - s * (1 - part))
+    at = F.floor(six) % 6
+    pick = lambda *order: to_byte(F.element_at(F.array(*order), (at + 1).cast("int")) + 0.5)
+    return pick(v, down, low, low, up, v), pick(up, v, v, down, low, low), pick(low, low, up, v, v, down)
+
+
+def hue_turned(c: RGB, degrees: float) -> RGB:
+    """Hue turned in steps of 1/256 of a circle, 255 of which are the degrees of one."""
+    h = (F.floor(hue(c) / 180 * 255) + int(degrees / 360.0 * 255)) % 256
+    return from_hsv(F.pmod(h, F.lit(256)) / 256, saturation(c) / 255, F.greatest(*c))
+
+
+def enhanced(c: RGB, gamma: float = 1, hue: float = 0, bright: float = 0, cont: float = 1, sat: float = 1, mean: Column | None = None) -> RGB:
+    """Gamma, hue, brightness, contrast around a mean luma, saturation around the own luma: in this order, what is neutral left out."""
+    if gamma != 1:
+        c = tuple(to_byte(F.pow(x / 255, F.lit(1 / gamma)) * 255) for x in c)  # type: ignore[assignment]
+    if hue:
+        c = hue_turned(c, hue)
+    if bright:
+        c = tuple(to_byte(x * (1 + bright / 255)) for x in c)  # type: ignore[assignment]
+    if cont != 1:
+        m = F.lit(128.0) if mean is None else mean
+        c = tuple(to_byte(m * (1 - cont) + x * cont) for x in c)  # type: ignore[assignment]
+    if sat != 1:
+        gray = F.floor(luma(c))
+        c = tuple(to_byte(gray * (1 - sat) + x * sat) for x in c)  # type: ignore[assignment]
+    return c
+
+
+def contrast(y: Column, low: Column, high: Column, cont: float, gamma: float = 1) -> Column:
+    """Luma stretched between two of its percentiles, then gamma."""
+    share = clamp((clamp(y, low, high) - low) * cont / F.nullif(high - low, F.lit(0)), 0.0, 1.0)
+    wide = F.coalesce(to_byte(share * 255), y)
+    return to_byte(F.pow(wide / 255, F.lit(1 / gamma)) * 255) if gamma != 1 else wide
+
+
+def brightened(c: RGB, bright: float) -> RGB:
+    """Luma raised by a share of its range."""
+    y, u, v = to_yuv(c)
+    return to_rgb((F.floor(clamp(y / 255 + bright, 0.0, 1.0) * 255), u, v))
+
+
+def dark_tweaked(c: RGB, threshold: float = 0.3, amount: float = 0.8) -> RGB:
+    """Dark pixels darker and paler: a tweaked copy that fades into the original as it gets brighter."""
+    white = min(max(threshold, 0.1), 0.5)
+    copy = enhanced(c, bright=-min(max(amount, 0.2), 0.9), sat=min(max(1.1 - amount, 0.1), 0.8))
+    return by_luma(copy, c, 0.1) if white == 0.1 else by_luma_gradient(copy, c, 0.1, white)
+
+
+def bright_chroma(c: RGB, black: float = 0.3, white: float = 0.6, sat: float = 0.8, bright: float = -0.1, rule: str = "") -> RGB:
+    """Saturation and brightness of dark pixels lowered, fading into the original between two limits of luma."""
+    copy = tweak(c, sat=sat, bright=bright * 255)
+    copy = hue_adjusted(copy, rule) if rule else copy
+    return by_luma(copy, c, black) if black == white else by_luma_gradient(copy, c, black, white)
+
+
+def fitted_size(width: Column, height: Column, target: Column | int, even: int = 2, side: str = "height") -> tuple[Column, Column]:
+    """A frame's width and height when one side becomes ``target`` and the other keeps the proportion, as an even number."""
+    t = target if isinstance(target, Column) else F.lit(target)
+    own, other = (height, width) if side == "height" else (width, height)
+    free = F.rint(other * t / own).cast("long")
+    free = free - free % even if side == "height" else free + free % even
+    return (free, t.cast("long")) if side == "height" else (t.cast("long"), free)
+
+
+def limited_size(width: Column, height: Column, most: tuple[int, int] = (512, 480)) -> tuple[Column, Column]:
+    """The shorter side brought down to its limit (width, height), if it is longer; both kept in proportion."""
+    low, high = fitted_size(width, height, most[1]), fitted_size(width, height, most[0], side="width")
+    wide = height < width
+    small = F.when(wide, height <= most[1]).otherwise(width <= most[0])
+    return tuple(F.when(small, own).when(wide, a).otherwise(b).cast("long") for own, a, b in zip((width, height), low, high))  # type: ignore[return-value]
+
+
+def padded_size(width: Column, height: Column, side: int = 512, cell: int = 16) -> tuple[Column, Column, Column, Column]:
+    """Width and height in whole cells of a frame scaled into a square, and the margins left and above."""
+    scale = F.lit(float(side)) / F.greatest(width, height)
+    w, h = (F.floor(x * scale / cell).cast("long") * cell for x in (width, height))
+    return w, h, F.floor((side - w) / 2).cast("long"), F.floor((side - h) / 2).cast("long")

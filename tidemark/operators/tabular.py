@@ -202,3 +202,14 @@ def dot_bias(u: Column, v: Column, bu: Column, bi: Column, low: float | None = N
     """Dot product of two vectors with biases, squeezed into a range if one is given."""
     s = F.aggregate(F.zip_with(u, v, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x) + bu + bi
     return s if low is None else F.lit(low) + (high - low) / (1 + F.exp(-s))
+
+
+#: Layouts of dates, in the order of trial.
+DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy")
+
+
+def make_date(df: DataFrame, column: str, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
+    """``df`` with a text column read as timestamps, null where no layout fits; a column of dates stays as it is."""
+    if df.schema[column].dataType.simpleString() != "string":
+        return df
+    return df.withColumn(column, F.coalesce(*[F.try_to_timestamp(column, F.lit(f)) for f in formats]))

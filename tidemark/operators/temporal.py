@@ -184,3 +184,16 @@ def repaired_average(x: str, weights: list[int], gray: Column, near: float) -> C
         pale = F.coalesce(F.lead(gray, k).over(by_clip()) if k > 0 else F.lag(gray, -k).over(by_clip()), F.lit(False))
         total = total + F.when(pale | (F.abs(v - F.col(x)) > near), F.col(x)).otherwise(v) * w
     return total / 100
+
+
+def flagged_references(df: DataFrame, flag: Column, least: int = 4) -> DataFrame:
+    """The flagged rows of each clip; fewer than ``least`` in a clip are an error when the rows are read."""
+    found = df.where(flag).withColumn("_k", F.count("*").over(whole()))
+    ok = F.assert_true(F.col("_k") >= least, F.concat(F.lit("too few references in clip "), F.col("clip_id").cast("string")))
+    return found.withColumn("n", F.when(ok.isNull(), F.col("n"))).drop("_k")
+
+
+def clip_constants(df: DataFrame, names: list[str]) -> DataFrame:
+    """clip_id and the named properties of each clip's first row; 0 where it has none."""
+    first = F.max(F.when(F.col("n") == 0, F.struct(*names))).alias("_p")
+    return df.groupBy("clip_id").agg(first).select("clip_id", *[F.coalesce(F.col("_p")[c], F.lit(0)).alias(c) for c in names])

@@ -11,7 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from tidemark.operators import pixels
+from tidemark.functions.numeric import to_byte
+from tidemark.operators import pixels, temporal
 
 #: Speed names and the factor each stands for, from the slowest.
 SPEEDS = {
@@ -86,3 +87,43 @@ def compose(preset: Preset) -> Callable[[DataFrame], DataFrame]:
         return df
 
     return run
+
+
+def stabilised(
+    dark: tuple[float, float] | None = (0.3, 0.8), smooth: tuple[float, float, float, float] | None = None, hue_rule: str = "", frames: int = 0,
+    gray: float = 0.0, near: float = 256.0,
+) -> Callable[[DataFrame], DataFrame]:
+    """A clip's colours (clip_id, n, r, g, b) steadied: dark tweak, chroma by brightness, hue rule, centred mean over frames.
+
+    The order is fixed, and steps that aren't asked for are left out. In the mean a frame whose saturation is below ``gray``, or
+    that is further off than ``near``, counts as the frame itself.
+    """
+
+    def run(df: DataFrame) -> DataFrame:
+        own = pixels.rgb("r", "g", "b")
+        if dark:
+            df = df.withColumns(dict(zip("rgb", pixels.dark_tweaked(own, *dark))))
+        if smooth:
+            black, white, sat, bright = smooth
+            df = df.withColumns(dict(zip("rgb", pixels.bright_chroma(own, black, white, sat, -bright))))
+        if hue_rule:
+            df = df.withColumns(dict(zip("rgb", pixels.hue_adjusted(own, hue_rule))))
+        if frames > 1:
+            pale = pixels.saturation(own) < gray
+            mean = [to_byte(temporal.repaired_average(c, temporal.even_weights(frames), pale, near)) for c in "rgb"]
+            df = df.withColumns(dict(zip("rgb", mean)))
+        return df
+
+    return run
+
+
+def main(preset: Preset) -> Callable[[DataFrame], DataFrame]:
+    """The whole chain of a preset by its speed: the two slowest also tweak dark pixels of what was merged."""
+    merged = compose(preset)
+    if preset.speed.lower() not in ("placebo", "veryslow"):
+        return merged
+
+    def run(df: DataFrame) -> DataFrame:
+        return merged(df).withColumns(dict(zip(("or", "og", "ob"), pixels.dark_tweaked(pixels.rgb("or", "og", "ob")))))
+
+    return run

@@ -22,6 +22,14 @@ def stream_tumbling_counts(spark, sf_dir):
     return e.drained(e.tumbling_counts(e.read(spark, f"{sf_dir}/events.parquet")), "complete")
 
 
+@query(
+    """SELECT s AS start, event_type, count(*) AS n FROM events, range(0, 4) k(i), LATERAL (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * i AS s) GROUP BY ALL"""
+)
+def stream_sliding_counts(spark, sf_dir):
+    """Events of each type in hours that start every quarter."""
+    return e.drained(e.sliding_counts(e.read(spark, f"{sf_dir}/events.parquet")), "complete")
+
+
 @query(
     """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,17 +25,40 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is configured."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set and all is one machine."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(where)
     return where
 
 
+#: Tables that this driver has staged and not released.
+_TABLES: list[str] = []
+
+
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_so_far() -> int:
+    """A mark for ``release``."""
+    return len(_TABLES)
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables staged after a mark, but for those that the DataFrames ``keep`` still read."""
+    still = {unquote(f.rpartition("/")[0]).rpartition("/")[2] for df in keep for f in df.inputFiles()}
+    gone = [path for path in _TABLES[since:] if path.rpartition("/")[2] not in still]
+    _TABLES[since:] = [path for path in _TABLES[since:] if path not in gone]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 IMAGES = ("png", "jpg", "jpeg", "bmp", "gif", "tif", "tiff", "webp")
@@ -69,9 +69,10 @@ def image_paths(df: DataFrame, name: str, folder: str = "", suffix: str = "") ->
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path and text of each text file."""
+    """path and text of each text file, paths as ``listing`` has them."""
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
+        F.regexp_replace(plain, "^file:/*", "/").alias("path"), F.col("value").alias("text")
     )
 
 
@@ -127,3 +128,14 @@ def append_log(df: DataFrame, path: str) -> None:
 def new_only(df: DataFrame, existing: DataFrame, name: str) -> DataFrame:
     """Rows whose name isn't there yet."""
     return df.join(existing.select(name), name, "left_anti")
+
+
+def frame_folders(spark: SparkSession, path: str, pattern: str, extensions: tuple[str, ...] = IMAGES) -> DataFrame:
+    """video, n, name and path of the frames of a folder of folders.
+
+    ``pattern`` has the video and the frame's name as its groups; n counts a video's frames in the order of names.
+    """
+    found = listing(spark, path, extensions)
+    named = found.select(F.regexp_extract("path", pattern, 1).alias("video"), F.regexp_extract("path", pattern, 2).alias("name"), "path")
+    order = Window.partitionBy("video").orderBy("name", "path")
+    return named.where("video != ''").withColumn("n", (F.row_number().over(order) - 1).cast("long"))

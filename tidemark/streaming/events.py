@@ -30,6 +30,13 @@ def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "cents")
 
 
+def sliding_counts(events: DataFrame, width: str = "1 hour", step: str = "15 minutes", late: str = "1 day") -> DataFrame:
+    """n of each type in windows of ``width`` that start every ``step``."""
+    w = F.window("ts", width, step)
+    counts = events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"))
+    return counts.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
 def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """Sessions of each user: events closer than ``gap``."""
     w = F.session_window("ts", gap)
