@@ -19,9 +19,12 @@ Links become groups by alternating large-star and small-star steps over written
 With a ``similarity``, texts are linked instead where their sets of shingles have that Jaccard similarity or more. Two bits
 catch near-identical texts only, and a grid wide enough for ordinary near copies prunes next to nothing and still misses
 some, so these pairs are found exactly: sets as similar as t share one of the first n - ceil(t n) + 1 shingles in any common
-order (n the size of a set). The order puts shingles that are frequent in a sample last, which saves pairs and changes no result. A
-shingle that many sets list is dealt in rounds around a centre: Jaccard distance is a metric, so of sets linked to the
-centre only those on the border need to meet the others. All links are checked by whole sets of 64-bit shingle hashes.
+order (n the size of a set). The order puts shingles that are frequent in a sample last, which saves pairs and changes no result.
+Sets that list the same shingle form a group; equal groups count once. First every set of a group meets the group's
+smallest alone; what that links is one class. Then only sets of different classes in a group need to meet. Where these are too
+many pairs, a group is dealt in rounds around a centre: Jaccard distance is a metric, so of sets linked to the centre only
+those on the border need to meet the others. All links are checked by whole sets of 64-bit shingle hashes, made where the
+texts of a pair meet; texts travel compressed.
 
 Defined results: a text without a word, or a null text, has fingerprint zero and links like any other; with fewer words
 than a shingle the whole sequence is the one shingle; texts of any length are hashed whole; repeated rows and ties share
@@ -39,19 +42,20 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.mixing import row_key
-from tidemark.session import staged
+from tidemark.session import release, staged, staged_so_far
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: A cell with more possible pairs is gridded again, finer.
 PAIRS = 50_000
 #: Words of a shingle and Jaccard similarity of near copies in a corpus.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
-#: Sets that list a shingle and meet as pairs; texts of the sample that orders shingles; rounds around a centre before the rest meet as pairs.
-MEET, SAMPLE, ROUNDS = 200, 5_000, 20
+#: Pairs for each set of a group that may meet at once; texts of the sample that orders shingles; rounds around a centre before the rest meet as pairs.
+MEET, SAMPLE, ROUNDS = 50, 5_000, 20
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _EVEN = 0x55555555
@@ -161,27 +165,6 @@ def _hash(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) if len(shingles) else 0
 
 
-def set_marks(docs: DataFrame, text: str, ids: tuple[str, ...], shingle: int) -> DataFrame:
-    """The ``ids`` columns, fp (a hash of the set of shingles), n (its size) and bits (parities of its 512 parts) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp, sizes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int32)
-            odd = np.zeros((b.num_rows, 512), np.uint8)
-            for i, t in enumerate(b.column("_text")):
-                s = shingle_set(t.as_py(), shingle)
-                fp[i], sizes[i] = _hash(s), len(s)
-                odd[i] = np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1
-            bits = np.packbits(odd, axis=1).view(np.int64).reshape(-1)
-            held = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * 8, pa.int32()), pa.array(bits))
-            arrays = [*b.columns[1:], pa.array(fp.view(np.int64)), pa.array(sizes), held]
-            yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names[1:], "fp", "n", "bits"])
-
-    rows = docs.select(F.col(text).cast("string").alias("_text"), *ids)
-    form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{form}, fp long, n int, bits array<long>")
-
-
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """fp and shingles of every text."""
 
@@ -197,80 +180,156 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "fp long, shingles array<long>")
 
 
-def listed(texts: DataFrame, shingle: int, similarity: float, frequent: list[int]) -> DataFrame:
-    """key, fp and n (size of the set) of the shingles by which a set is found; ``frequent`` shingles come last, in that order."""
+def frequent_shingles(texts: DataFrame, shingle: int, sample: int = SAMPLE, most: int = 100_000) -> list[int]:
+    """Shingles found three times or more in a sample of about ``sample`` texts (tid, text), the most frequent last."""
+    part = min(1.0, sample / max(1, texts.count()))
+    some = shingle_sets(texts.where(f"pmod(tid, 1000000) < {part * 1e6}"), shingle)
+    often = some.select("fp", F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    return [r.key for r in reversed(often.orderBy(F.desc("n"), "key").limit(most).collect())]
+
+
+def listed_sets(docs: DataFrame, ids: tuple[str, ...], shingle: int, similarity: float, frequent: list[int]) -> DataFrame:
+    """The ``ids`` columns, fp (a hash of the set of shingles), n (its size), bits (parities of its 512 parts) and keys of every row.
+
+    keys are the shingles by which a set is found; ``frequent`` shingles come last in their order. ``docs`` has _text.
+    """
     last = np.array(frequent, np.int64)
     place = np.argsort(last, kind="stable")
     names = last[place]
 
+    def first_keys(found: np.ndarray) -> np.ndarray:
+        s = found.view(np.int64)
+        if len(names) and len(s):
+            at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+            known = names[at] == s
+            s = np.concatenate([s[~known], s[known][np.argsort(place[at[known]])]])
+        return s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, fp, sizes = [np.zeros(0, np.int64)], [], []
-            for t in b.column("text"):
-                found = shingle_set(t.as_py(), shingle)
-                if not len(found):
-                    continue
-                s = found.view(np.int64)
-                if len(names):
-                    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
-                    known = names[at] == s
-                    s = np.concatenate([s[~known], s[known][np.argsort(place[at[known]])]])
-                keys.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1])
-                fp.append(_hash(found))
-                sizes.append(len(s))
-            counts = list(map(len, keys[1:]))
-            fps = np.repeat(np.array(fp, np.uint64).view(np.int64), counts)
-            arrays = [np.concatenate(keys), fps, np.repeat(np.array(sizes, np.int32), counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["key", "fp", "n"])
-
-    return texts.select("text").mapInArrow(run, "key long, fp long, n int")
-
-
-def similar(pairs: DataFrame, texts: DataFrame, marks: DataFrame, shingle: int, least: float) -> DataFrame:
+            fp, sizes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int32)
+            odd, keys = np.zeros((b.num_rows, 512), np.uint8), [np.zeros(0, np.int64)]
+            for i, t in enumerate(b.column("_text")):
+                s = shingle_set(t.as_py(), shingle)
+                fp[i], sizes[i] = _hash(s), len(s)
+                odd[i] = np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1
+                keys.append(first_keys(s))
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * 8, pa.int32()), pa.array(np.packbits(odd, axis=1).view(np.int64).reshape(-1)))
+            held = pa.ListArray.from_arrays(pa.array(np.cumsum([len(k) for k in keys]), pa.int32()), pa.array(np.concatenate(keys)))
+            arrays = [*b.columns[1:], pa.array(fp.view(np.int64)), pa.array(sizes), bits, held]
+            yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names[1:], "fp", "n", "bits", "keys"])
+
+    rows = docs.select("_text", *ids)
+    form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, f"{form}, fp long, n int, bits array<long>, keys array<long>")
+
+
+def packed(texts: DataFrame) -> DataFrame:
+    """fp and z, the compressed text of one row of each fp; ``texts`` has fp and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, seen = zstandard.ZstdCompressor(level=3), set()
+        for b in batches:
+            new = [(f, t) for f, t in zip(b.column("fp").to_pylist(), b.column("text")) if not (f in seen or seen.add(f))]
+            for first in range(0, len(new), 500):
+                part = new[first : first + 500]
+                z = [squeeze.compress((t.as_py() or "").encode()) for _, t in part]
+                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in part], pa.int64()), pa.array(z, pa.binary())], ["fp", "z"])
+            if len(seen) > 500_000:
+                seen.clear()
+
+    return texts.select("fp", "text").mapInArrow(run, "fp long, z binary").dropDuplicates(["fp"])
+
+
+def _compared(least: float, shingle: int):
+    """For rows of a pair's hub, then of its partners: a, b and j of the pairs as similar as ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_z, hub, own = zstandard.ZstdDecompressor(), None, None
+        for batch in batches:
+            found = []
+            for a, b, z in zip(*[batch.column(c) for c in ("a", "b", "z")]):
+                a, b = a.as_py(), b.as_py()
+                s = shingle_set(open_z.decompress(z.as_py()).decode(), shingle)
+                if a == b:
+                    hub, own = a, s
+                elif hub == a:
+                    common = len(np.intersect1d(own, s, assume_unique=True))
+                    j = common / (len(own) + len(s) - common)
+                    if j >= least:
+                        found.append((a, b, j))
+            kinds = (pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], ["a", "b", "j"])
+
+    return run
+
+
+def similar(pairs: DataFrame, texts: DataFrame, marks: DataFrame, shingle: int, least: float, spread: int = 500) -> DataFrame:
     """a, b and j, the Jaccard similarity of their sets, of every pair as similar as ``least``.
 
-    Parities differ in no more places than sets do, so they spare most pairs the comparison of whole sets.
+    Parities differ in no more places than sets do, so they spare most pairs the comparison of whole sets. The pairs of one a
+    meet in parts of about ``spread``.
     """
-    spare = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(8))
+    odd = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(8))
     may = pairs.join(marks.select(F.col("fp").alias("a"), F.col("n").alias("k"), F.col("bits").alias("x")), "a")
     may = may.join(marks.select(F.col("fp").alias("b"), F.col("n").alias("l"), F.col("bits").alias("y")), "b")
-    may = staged(may.where(f"{spare} <= {(1 - least) / (1 + least)} * (k + l) + 1e-6").select("a", "b"), "simhash-may")
-    ends = may.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(marks, "fp").select("tid").distinct()
+    may = staged(may.where(f"{odd} <= {(1 - least) / (1 + least)} * (k + l) + 1e-6").select("a", "b"), "simhash-may")
+    ends = may.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(marks, "fp").select("tid", "fp")
     ends = staged(ends, "simhash-ends")
     if ends.count() <= 100_000:
         ends = F.broadcast(ends)
-    held = shingle_sets(texts.join(ends, "tid", "left_semi").dropDuplicates(["tid"]), shingle)
-    held = staged(held.dropDuplicates(["fp"]), "simhash-sets")
-    both = may.join(held.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(held.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    both = both.select("a", "b", F.expr("size(x) + size(y)").alias("total"), F.expr("size(array_intersect(x, y))").alias("common"))
-    return both.select("a", "b", F.expr("common / (total - common)").alias("j")).where(f"j >= {least}")
+    held = staged(packed(texts.join(ends, "tid")), "simhash-texts", "uncompressed")
+    parts = may.groupBy("a").agg(F.ceil(F.count("*") / spread).alias("p"))
+    dealt = may.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "p"))
+    hubs = parts.select("a", F.col("a").alias("b"), F.explode(F.expr("sequence(0L, p - 1)")).alias("part"))
+    both = dealt.select("a", "b", "part").unionByName(hubs).join(held.withColumnRenamed("fp", "b"), "b")
+    met = both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") != F.col("b")).select("a", "b", "z")
+    return met.mapInArrow(_compared(least, shingle), "a long, b long, j double")
 
 
 def similar_links(
-    texts: DataFrame, rows: DataFrame, shingle: int, similarity: float, meet: int = MEET, rounds: int = ROUNDS
+    rows: DataFrame, texts: DataFrame, shingle: int, similarity: float, meet: int = MEET, rounds: int = ROUNDS
 ) -> DataFrame:
-    """a and b (a < b): links among the different ``fp`` of ``rows`` (tid, fp, n, bits), enough to connect all as similar as
+    """a and b (a < b): links among the different ``fp`` of ``rows`` (tid, fp, n, bits, keys), enough to connect all as similar as
     ``similarity``; ``texts`` are the rows' tid and text."""
+    spark, since = rows.sparkSession, staged_so_far()
     marks = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("tid").alias("tid"))
     marks = staged(marks, "simhash-marks")
-    part = min(1.0, SAMPLE / max(1, rows.count()))
-    some = texts.where(f"pmod(tid, 1000000) < {part * 1e6}")
-    often = shingle_sets(some, shingle).select("fp", F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
-    often = often.orderBy(F.desc("n"), "key").limit(100_000).collect()
-    found = listed(texts, shingle, similarity, [r.key for r in reversed(often)])
-    by_key = found.groupBy("key").agg(F.collect_set(F.struct("fp", "n")).alias("m")).where("size(m) > 1")
-    by_key = staged(by_key, "simhash-shingles")
+    found = rows.select(F.explode("keys").alias("key"), F.struct("fp", "n").alias("x"))
+    by_key = found.groupBy("key").agg(F.collect_set("x").alias("m")).where("size(m) > 1")
+    groups = by_key.select(F.sort_array("m").alias("m")).distinct().withColumn("key", F.monotonically_increasing_id())
+    groups = staged(groups, "simhash-groups")
     fits = f"least(p.n, q.n) >= {similarity} * greatest(p.n, q.n)"
+    kept = []
+
+    def checked(pairs: DataFrame, least: float) -> DataFrame:
+        before = staged_so_far()
+        out = staged(similar(pairs, texts, marks, shingle, least), "simhash-links")
+        release(spark, before, out)
+        kept.append(out)
+        return out
+
+    star = groups.select(F.explode("m").alias("q"), F.expr("m[0]").alias("p")).where(f"p.fp != q.fp and {fits}")
+    near = checked(star.select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).distinct(), similarity)
+    classes = staged(components(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "simhash-classes")
+    one = groups.select("key", F.explode("m").alias("x")).select("key", "x.fp", "x.n")
+    one = one.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    parts = one.groupBy("key", "root").agg(F.collect_list(F.struct("fp", "n")).alias("m"))
+    mixed = parts.groupBy("key").agg(
+        F.collect_list(F.struct("root", "m")).alias("parts"), F.sum(F.size("m")).alias("total"),
+        F.sum(F.size("m").cast("double") * F.size("m")).alias("squares"),
+    ).where("size(parts) > 1").withColumn("few", F.expr(f"total * total - squares <= 2 * {meet} * total"))
+    mixed = staged(mixed, "simhash-mixed")
 
     def meeting(groups: DataFrame) -> DataFrame:
         """Different pairs of every group m whose sizes allow the similarity."""
-        one = groups.select("m", F.explode("m").alias("p")).select("p", F.explode("m").alias("q"))
-        return one.where(f"p.fp < q.fp and {fits}").select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).distinct()
+        two = groups.select("m", F.explode("m").alias("p")).select("p", F.explode("m").alias("q"))
+        return two.where(f"p.fp < q.fp and {fits}").select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b"))
 
-    pairs = [staged(meeting(by_key.where(f"size(m) <= {meet}")), "simhash-pairs")]
-    edges = []
-    large = staged(by_key.where(f"size(m) > {meet}"), "simhash-large")
+    few = mixed.where("few").select("parts", F.explode("parts").alias("p")).select("p", F.explode("parts").alias("q")).where("p.root < q.root")
+    few = few.select(F.explode("p.m").alias("p"), "q.m").select("p", F.explode("m").alias("q")).where(fits)
+    pairs = [staged(few.select(F.least("p.fp", "q.fp").alias("a"), F.greatest("p.fp", "q.fp").alias("b")).distinct(), "simhash-pairs")]
+    large = staged(mixed.where("not few").select("key", F.flatten("parts.m").alias("m")), "simhash-large")
     for _ in range(rounds):
         if large.isEmpty():
             break
@@ -278,9 +337,7 @@ def similar_links(
         spread = spread.where("p.fp != q.fp")
         border = 2 * similarity - 1
         may = spread.where(f"least(p.n, q.n) >= {border} * greatest(p.n, q.n)")
-        near = may.select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).distinct()
-        near = staged(similar(near, texts, marks, shingle, border), "simhash-near")
-        edges.append(near.where(f"j >= {similarity}").select("a", "b"))
+        near = checked(may.select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).distinct(), border)
         known = near.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "j")
         placed = spread.join(known, F.expr("p.fp = _a and q.fp = _b"), "left").select("key", "q", F.coalesce("j", F.lit(0.0)).alias("j"))
         placed = staged(placed, "simhash-placed")
@@ -291,14 +348,15 @@ def similar_links(
         pairs.append(staged(cross.select(F.least("p.fp", "q.fp").alias("a"), F.greatest("p.fp", "q.fp").alias("b")).distinct(), "simhash-pairs"))
         rest = placed.where(f"j < {similarity}").groupBy("key").agg(F.collect_list("q").alias("m"))
         rest = staged(rest.where("size(m) > 1"), "simhash-large")
-        pairs.append(staged(meeting(rest.where(f"size(m) <= {meet}")), "simhash-pairs"))
+        pairs.append(staged(meeting(rest.where(f"size(m) <= {meet}")).distinct(), "simhash-pairs"))
         large = rest.where(f"size(m) > {meet}")
     else:
         pairs.append(meeting(large))
-    every = similar(staged(reduce(DataFrame.union, pairs).distinct(), "simhash-pairs"), texts, marks, shingle, similarity)
-    every = every.select("a", "b")
-    every = reduce(DataFrame.union, edges, every)
-    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    checked(reduce(DataFrame.union, pairs).distinct(), similarity)
+    every = reduce(DataFrame.union, [x.where(f"j >= {similarity}").select("a", "b") for x in kept])
+    every = staged(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-links")
+    release(spark, since, every)
+    return every
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -306,6 +364,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     The rounds grow with the logarithm of the longest path; RuntimeError if ``rounds`` do not suffice.
     """
+    spark, since = edges.sparkSession, staged_so_far()
     edges = staged(edges.select("a", "b"), "links")
     before = None
     for _ in range(rounds):
@@ -318,6 +377,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(down, "b")
         small = small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b")))
         edges = staged(small.where("a != b").distinct(), "links")
+        release(spark, since, edges)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -335,18 +395,20 @@ def near_duplicates(
     Links are fingerprints within 2 bits or, with ``similarity``, sets of shingles of that Jaccard similarity or more; fp is
     then a hash of the set.
     """
+    spark, since = docs.sparkSession, staged_so_far()
     if similarity is None:
         rows = staged(fingerprints(docs, text, ids, shingle), "fingerprints")
     else:
-        known = docs.withColumn("tid", F.xxhash64(F.col(text).cast("string")))
-        rows = staged(set_marks(known, text, (*ids, "tid"), shingle), "fingerprints")
-        texts = known.select("tid", F.col(text).cast("string").alias("text"))
+        known = docs.select(*ids, F.col(text).cast("string").alias("_text")).withColumn("tid", F.xxhash64("_text"))
+        texts = known.select("tid", F.col("_text").alias("text"))
+        rows = staged(listed_sets(known, (*ids, "tid"), shingle, similarity, frequent_shingles(texts, shingle)), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp")) if similarity is None else similar_links(texts, rows, shingle, similarity))
+    roots = components(links(nodes.select("fp")) if similarity is None else similar_links(rows, texts, shingle, similarity))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     named = named.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     low = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = staged(named.join(low, "root").select("fp", "root", "component_id"), "groups")  # one row a fingerprint
+    release(spark, since, rows, named)
     return rows.join(named, "fp").select(*ids, "fp", "root", "component_id")
 
 
