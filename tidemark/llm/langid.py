@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -196,7 +197,15 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """``docs`` without rows that have no language or none with a probability of ``least``."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang", F.struct(*docs.columns).alias("_row"))
-    model = train(rows.drop("_row"))
-    found = identify(rows.select("text", "_row"), model)  # whatever the columns of a row are called
-    return found.where((F.col("lang_pred") != UNDEFINED) & (F.col("score") >= least)).select("_row.*")
+    model = train(docs)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))  # whatever its columns are called
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pc.cast(pc.struct_field(b.column(0), [at]), pa.string())
+            found = [model.predict(t.as_py()) for t in texts]
+            keep = pa.array([lang != UNDEFINED and score >= least for lang, score in found], pa.bool_())
+            yield b.filter(keep)
+
+    return rows.mapInArrow(run, rows.schema).select("_row.*")
