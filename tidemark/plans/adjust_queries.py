@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import half_up
-from tidemark.operators import dataset, images, pixels as x, temporal
+from tidemark.operators import dataset, images, metrics, pixels as x, temporal
 from tidemark.plans.common import PX, SEQ, r4, registry
 from tidemark.plans.pixel_queries import _SAT, _a, _b, _back, _byte, _ID, _KEY, _mix, _out, _y, _yuv
 from tidemark.plans.presets import Preset, main, stabilised
@@ -233,3 +233,13 @@ def equalize_methods(spark, sf_dir):
     frames = images.frames(pixels(spark, sf_dir))
     out = [images.equalised_frames(frames, m).withColumn("method", F.lit(m)) for m in ("tiles", "flat", "mix", "table")]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query(
+    f"""WITH {PX}, g AS (SELECT row_id % 64 AS x, p % 48 AS y, min(r) AS v FROM px GROUP BY ALL)
+SELECT CAST(sum(abs(a.v - b.v)) AS BIGINT) AS variation, count(*) AS n FROM g a JOIN g b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)"""
+)
+def plane_variation(spark, sf_dir):
+    """How much a plane changes from place to place."""
+    plane = pixels(spark, sf_dir).groupBy((F.col("row_id") % 64).alias("x"), (F.col("p") % 48).alias("y")).agg(F.min("r").alias("v"))
+    return metrics.total_variation(plane)
