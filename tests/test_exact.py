@@ -289,3 +289,34 @@ def test_references_and_folders(spark):
     paths = spark.createDataFrame([("top/train/cat/1.png",), ("top/valid/cat/2.png",), ("other/3.png",), ("4.png",)], "path string")
     assert sorted((r.path[4:9], r.split) for r in dataset.split_by_folder(paths, F.col("path")).collect()) == [("train", "train"), ("valid", "valid")]
     assert [r.x for r in paths.select(dataset.label_from_folder(F.col("path")).alias("x")).collect()] == ["cat", "cat", "other", None]
+
+
+def test_scene_detection_by_parameters(spark):
+    from tidemark.operators import folds
+    from tidemark.plans.scenes import scene_detect
+
+    rng = random.Random(5)
+    df = spark.createDataFrame([(1, n, round(rng.random(), 3)) for n in range(120)], "clip_id long, n long, luma double")
+    changes = lambda out: sorted(r.n for r in out.where("change").collect())
+    assert changes(scene_detect(df, 0, 0)) == [] and changes(scene_detect(df, 0, 9)) == list(range(0, 120, 9))
+    rows = df.withColumn("diff", temporal.lag_difference("luma"))
+    assert changes(scene_detect(df, 0.05)) == changes(folds.detect_scenes(rows, threshold=0.05, min_length=15, black=0.0, white=1.0))
+    stateful = scene_detect(df, 0.2, 10, min_length=4)
+    assert changes(stateful) == changes(folds.detect_scenes(rows, threshold=0.2, adaptive=1.12, frequency=10, min_length=4, black=0.0, white=1.0))
+    filtered = changes(scene_detect(df, 0.2, 10, min_length=4, filtered=True))
+    assert 0 < len(filtered) and set(filtered) <= set(changes(stateful))
+
+
+def test_cleaning_in_order(spark):
+    def plain(t):
+        for old, new in text.FIXES:
+            t = t.replace(old, new)
+        t = re.sub(" {2,}", " ", html.unescape(t))
+        t = re.sub(r"(\S)(\1{3,})", lambda m: f" xxrep {len(m[2]) + 1} {m[1]} ", t)
+        t = re.sub(r"(\b\w+\W+)(\1{3,})", lambda m: f" xxwrep {len(m[2].split()) + 1} {m[1]} ", t)
+        return re.sub(" {2,}", " ", re.sub("([/#\n])", r" \1 ", t))
+
+    texts = [t for t in TEXTS if t is not None] + ["a/b #c\n<br />d quot; \\n e", "so so so so so  x", "!!!!! ---- ok ok ok ok ok."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    for r in df.select("i", text.clean(F.col("t")).alias("c")).collect():
+        assert r.c == plain(texts[r.i])

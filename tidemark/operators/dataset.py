@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import prefix_sums
+from tidemark.operators.ranking import group_ranks, prefix_sums
 
 
 def draw(seed: int, *cols: str) -> Column:
@@ -196,3 +196,14 @@ def remapped(df: DataFrame, label: str, classes: int) -> DataFrame:
     known = prefix_sums(df.where(F.col(label) > 0).select(label).distinct(), label).select(label, F.col("rank").alias("_d"))
     dense = df.join(known, label, "left").withColumn("dense", F.coalesce("_d", F.lit(0)).cast("long")).drop("_d")
     return dense.withColumn("planes", F.transform(F.sequence(F.lit(1), F.lit(classes)), lambda k: (F.col("dense") == k).cast("long")))
+
+
+def keep_if(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows for which a condition is true."""
+    return df.where(condition)
+
+
+def longest_first(df: DataFrame, size: str, key: str) -> DataFrame:
+    """``df`` with ``place`` from 0: rows by falling size, then key, numbered by ranges."""
+    ranked = group_ranks(df.withColumn("_all", F.lit(0)), ["_all"], [F.col(size).desc(), F.col(key)])
+    return ranked.withColumn("place", F.col("rank") - 1).drop("_all", "rank")

@@ -216,3 +216,19 @@ def reduce_on_plateau(df: DataFrame, value: str, patience: int, factor: float =
         return (state["rate"],)
 
     return scan(df, [value], lambda: {"best": None, "wait": 0, "rate": rate}, step, {"rate": "double"})
+
+
+def propagate(df: DataFrame, value: str, flag: str, score: Callable[[float, float, float], float]) -> DataFrame:
+    """``df`` with ``colour``: a reference row's own value, else ``score(value, last colour, last reference)``.
+
+    A new reference resets the state; the first row counts as one. ``score`` runs inside tasks.
+    """
+
+    def step(state: dict, n: int, v: float, hit: bool) -> tuple:
+        if n == 0 or hit:
+            state.update(last=v, ref=v)
+        else:
+            state["last"] = score(v, state["last"], state["ref"])
+        return (state["last"],)
+
+    return scan(df, [value, flag], dict, step, {"colour": "double"})

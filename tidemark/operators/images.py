@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clamp, half_up
@@ -336,3 +336,46 @@ def cropped(plane: DataFrame, left: int, top: int, width: int, height: int) -> D
     """A window of the plane, moved to the origin."""
     inside = F.col("x").between(left, left + width - 1) & F.col("y").between(top, top + height - 1)
     return plane.where(inside).withColumn("x", F.col("x") - left).withColumn("y", F.col("y") - top)
+
+
+def plane_stats(df: DataFrame, key: str, planes: tuple[tuple[str, str], ...]) -> DataFrame:
+    """Mean of each plane, and its mean absolute difference from the aligned one, floored at 0.0001."""
+    out = []
+    for a, b in planes:
+        out.append(half_up(F.avg(F.col(a)) / 255, 5).alias(f"mean_{a}"))
+        out.append(F.greatest(half_up(F.avg(F.abs(F.col(a) - F.col(b))) / 255, 5), F.lit(0.0001)).alias(f"diff_{a}"))
+    return df.groupBy(key).agg(*out)
+
+
+def pixel_distance(df: DataFrame, keys: list[str], a: str, b: str, align: bool = True) -> DataFrame:
+    """Mean distance of two planes as a share of their range; with ``align`` the darker one is raised to the other's whole mean first."""
+    means = df.groupBy(*keys).agg(F.floor(F.avg(a)).alias("_a"), F.floor(F.avg(b)).alias("_b"))
+    rows = df.join(means, keys)
+    up = lambda x, own, other: clamp(F.col(x) + F.greatest(other - own, F.lit(0)), 0, 255)
+    left, right = (up(a, F.col("_a"), F.col("_b")), up(b, F.col("_b"), F.col("_a"))) if align else (F.col(a), F.col(b))
+    return rows.groupBy(*keys).agg(half_up(F.avg(F.abs(left - right)) / 255).alias("distance"))
+
+
+def split_grid(plane: DataFrame, width: int, height: int, overlap: int) -> DataFrame:
+    """``plane`` in two by two tiles that overlap around its middle, with ramp weights both ways; ``join_tiles`` puts them together."""
+
+    def halves(c: str, size: int) -> list[Column]:
+        half, ramp = size // 2, 2 * overlap
+        first = F.when(F.col(c) < half + overlap, F.least(F.lit(1.0), (half + overlap - F.col(c)) / ramp))
+        return [first, F.when(F.col(c) >= half - overlap, F.least(F.lit(1.0), (F.col(c) - (half - overlap - 1)) / ramp))]
+
+    across, down = halves("x", width), halves("y", height)
+    tiles = F.array(*[F.struct(F.lit(2 * j + i).alias("tile"), (across[i] * down[j]).alias("w")) for j in (0, 1) for i in (0, 1)])
+    return plane.select("*", F.explode(F.filter(tiles, lambda t: t.w.isNotNull())).alias("t")).select("x", "y", "v", "t.*")
+
+
+def matched(df: DataFrame, key: str, x: str, like: str) -> DataFrame:
+    """``df`` with ``matched``: a channel moved to the mean and deviation of another, key by key."""
+    stats = df.groupBy(key).agg(*[f(c).alias(n) for c, k in ((x, "x"), (like, "l")) for f, n in ((F.avg, f"_m{k}"), (F.stddev_samp, f"_s{k}"))])
+    unit = (F.col(x) - F.col("_mx")) / F.nullif(F.col("_sx"), F.lit(0.0))
+    return df.join(stats, key).withColumn("matched", F.coalesce(unit, F.lit(0.0)) * F.col("_sl") + F.col("_ml")).drop("_mx", "_sx", "_ml", "_sl")
+
+
+def rotated(plane: DataFrame, height: int) -> DataFrame:
+    """A quarter turn clockwise."""
+    return plane.withColumns({"x": F.lit(height - 1) - F.col("y"), "y": F.col("x")})

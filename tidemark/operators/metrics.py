@@ -230,3 +230,14 @@ def total_variation(plane: DataFrame, x: str = "x", y: str = "y", v: str = "v")
     base = plane.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(v).alias("v"))
     near = [base.select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("v").alias("w")) for dx, dy in ((1, 0), (0, 1))]
     return base.join(near[0].unionByName(near[1]), ["x", "y"]).agg(F.sum(F.abs(F.col("v") - F.col("w"))).alias("variation"), F.count("*").alias("n"))
+
+
+def weighted_errors(df: DataFrame, by: list[str], a: str, b: str, w: str) -> DataFrame:
+    """Weighted mean absolute and squared error, and the cosine distance of the two columns as vectors."""
+    d = (F.col(a) - F.col(b)).cast("double")
+    total = F.sum(w)
+    dot = lambda x, y: F.sum((F.col(x) * F.col(y)).cast("double"))
+    return df.groupBy(*by).agg(
+        (F.sum(F.abs(d) * F.col(w)) / total).alias("l1"), (F.sum(d * d * F.col(w)) / total).alias("l2"),
+        (1 - dot(a, b) / F.nullif(F.sqrt(dot(a, a) * dot(b, b)), F.lit(0.0))).alias("cosine_distance"),
+    )

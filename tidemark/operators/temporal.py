@@ -197,3 +197,13 @@ def clip_constants(df: DataFrame, names: list[str]) -> DataFrame:
     """clip_id and the named properties of each clip's first row; 0 where it has none."""
     first = F.max(F.when(F.col("n") == 0, F.struct(*names))).alias("_p")
     return df.groupBy("clip_id").agg(first).select("clip_id", *[F.coalesce(F.col("_p")[c], F.lit(0)).alias(c) for c in names])
+
+
+def gated(changed: Column, own: Column, flag: Column) -> Column:
+    """``changed`` at a clip's first row and at flagged rows, ``own`` at all others."""
+    return F.when((F.col("n") == 0) | flag, changed).otherwise(own)
+
+
+def reference_merged(pred: Column, ref: Column, flag: Column, w: float) -> Column:
+    """Predictions blended into a reference by ``w``; reference rows keep theirs."""
+    return F.when(flag, pred).otherwise(pred * (1 - w) + ref * w)

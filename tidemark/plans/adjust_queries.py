@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import half_up
-from tidemark.operators import dataset, images, metrics, pixels as x, temporal
+from tidemark.operators import dataset, folds, images, metrics, pixels as x, temporal
 from tidemark.plans.common import PX, SEQ, r4, registry
 from tidemark.plans.pixel_queries import _SAT, _a, _b, _back, _byte, _ID, _KEY, _mix, _out, _y, _yuv
+from tidemark.plans.scenes import scene_detect
 from tidemark.plans.presets import Preset, main, stabilised
 from tidemark.sources.series import events_series, pixels
 
@@ -243,3 +244,97 @@ def plane_variation(spark, sf_dir):
     """How much a plane changes from place to place."""
     plane = pixels(spark, sf_dir).groupBy((F.col("row_id") % 64).alias("x"), (F.col("p") % 48).alias("y")).agg(F.min("r").alias("v"))
     return metrics.total_variation(plane)
+
+
+@query(f"WITH {SEQ} SELECT clip_id, n, CASE WHEN n = 0 OR flag THEN luma * 0.5 ELSE luma END AS luma FROM seq")
+def scene_gate(spark, sf_dir):
+    """A change of luma at flagged rows alone."""
+    gated = temporal.gated(F.col("luma") * 0.5, F.col("luma"), F.col("flag"))
+    return events_series(spark, sf_dir).select("clip_id", "n", gated.alias("luma"))
+
+
+@query(f"WITH {SEQ} SELECT clip_id, n, {r4('CASE WHEN flag THEN luma ELSE luma * (1 - 0.3::DOUBLE) + value / 1000 * 0.3::DOUBLE END')} AS merged FROM seq")
+def ref_merge(spark, sf_dir):
+    """Predictions blended into references but at reference rows."""
+    merged = temporal.reference_merged(F.col("luma"), F.col("value") / 1000, F.col("flag"), 0.3)
+    return events_series(spark, sf_dir).select("clip_id", "n", half_up(merged).alias("merged"))
+
+
+@query(
+    f"""WITH RECURSIVE {SEQ}, f AS (SELECT clip_id, n, luma AS last, luma AS ref FROM seq WHERE n = 0
+  UNION ALL SELECT s.clip_id, s.n, CASE WHEN s.flag THEN s.luma ELSE s.luma * 0.5::DOUBLE + f.last * 0.25::DOUBLE + f.ref * 0.25::DOUBLE END, CASE WHEN s.flag THEN s.luma ELSE f.ref END
+  FROM f JOIN seq s ON s.clip_id = f.clip_id AND s.n = f.n + 1) SELECT clip_id, n, {r4('last')} AS colour FROM f"""
+)
+def exemplar_propagation(spark, sf_dir):
+    """Colours carried on from the last prediction and the last reference."""
+    rows = folds.propagate(events_series(spark, sf_dir).select("clip_id", "n", "luma", "flag"), "luma", "flag", lambda v, last, ref: v * 0.5 + last * 0.25 + ref * 0.25)
+    return rows.select("clip_id", "n", half_up(F.col("colour")).alias("colour"))
+
+
+@query(
+    f"""WITH {SEQ}, d AS (SELECT clip_id, n, luma, greatest({r4('abs(luma - coalesce(lag(luma) OVER (PARTITION BY clip_id ORDER BY n), luma))', 5)}, 0.0001) AS diff FROM seq)
+SELECT clip_id, n, n = 0 OR ((diff > 0.25 OR n % 12 = 0) AND luma > 0.02 AND luma < 0.98) AS change, n = 0 OR n % 7 = 0 AS often, false AS never FROM d"""
+)
+def scene_dispatch(spark, sf_dir):
+    """Changes by difference and frequency, by frequency alone, and by neither."""
+    s = events_series(spark, sf_dir).select("clip_id", "n", "luma")
+    a = scene_detect(s, 0.25, 12, black=0.02, white=0.98)
+    b = scene_detect(a.withColumnRenamed("change", "first"), 0, 7).withColumnRenamed("change", "often")
+    return scene_detect(b, 0, 0).select("clip_id", "n", F.col("first").alias("change"), "often", F.col("change").alias("never"))
+
+
+_STATS = ", ".join(f"{r4(f'avg({a}) / 255', 5)} AS mean_{a}, greatest({r4(f'avg(abs({a} - {a}2)) / 255', 5)}, 0.0001) AS diff_{a}" for a in "rgb")
+
+
+@query(f"WITH {PX} SELECT line, {_STATS} FROM px GROUP BY line")
+def plane_stats(spark, sf_dir):
+    """Means of all planes and their differences from the second image."""
+    return images.plane_stats(pixels(spark, sf_dir), "line", (("r", "r2"), ("g", "g2"), ("b", "b2")))
+
+
+@query(
+    f"""WITH {PX}, i AS (SELECT line, p % 5 AS part, r // 2 AS r, r2 FROM px), m AS (SELECT line, part, floor(avg(r)) AS ma, floor(avg(r2)) AS mb FROM i GROUP BY ALL)
+SELECT line, part, {r4("avg(abs(least(greatest(r + greatest(mb - ma, 0), 0), 255) - least(greatest(r2 + greatest(ma - mb, 0), 0), 255))) / 255")} AS distance FROM i JOIN m USING (line, part) GROUP BY line, part"""
+)
+def pixel_distance(spark, sf_dir):
+    """Mean distances of aligned planes."""
+    rows = pixels(spark, sf_dir).select("line", (F.col("p") % 5).alias("part"), F.floor(F.col("r") / 2).alias("r"), "r2")
+    return images.pixel_distance(rows, ["line", "part"], "r", "r2")
+
+
+@query(
+    f"""WITH {PX}, g AS (SELECT row_id % 64 AS x, p % 48 AS y, min(r) AS v FROM px GROUP BY ALL), h AS (SELECT unnest([0, 1]) AS i),
+w AS (SELECT x, y, v, CASE WHEN a.i = 0 THEN least(1.0, (36 - x) / 8) ELSE least(1.0, (x - 27) / 8) END * CASE WHEN b.i = 0 THEN least(1.0, (28 - y) / 8) ELSE least(1.0, (y - 19) / 8) END AS w FROM g, h a, h b
+  WHERE CASE WHEN a.i = 0 THEN x < 36 ELSE x >= 28 END AND CASE WHEN b.i = 0 THEN y < 28 ELSE y >= 20 END)
+SELECT x, y, {r4("sum(v * w) / sum(w)")} AS v, count(*) AS tiles FROM w GROUP BY x, y"""
+)
+def tile_grid(spark, sf_dir):
+    """A plane cut into two by two tiles and put together."""
+    plane = pixels(spark, sf_dir).groupBy((F.col("row_id") % 64).alias("x"), (F.col("p") % 48).alias("y")).agg(F.min("r").alias("v"))
+    return images.join_tiles(images.split_grid(plane, 64, 48, 4))
+
+
+@query(f"WITH {PX}, m AS (SELECT line, avg(r) AS ma, stddev_samp(r) AS sa, avg(r2) AS mb, stddev_samp(r2) AS sb FROM px GROUP BY line) SELECT {', '.join('px.' + c for c in _ID)}, {r4('(r - ma) / sa * sb + mb')} AS matched FROM px JOIN m USING (line)")
+def match_statistics(spark, sf_dir):
+    """A channel with the mean and deviation of another."""
+    return images.matched(pixels(spark, sf_dir), "line", "r", "r2").select(*_ID, half_up(F.col("matched")).alias("matched"))
+
+
+@query(f"WITH {PX} SELECT line, {r4('sum(abs(r - r2) * g) / sum(g)')} AS l1, {r4('sum(CAST(r - r2 AS DOUBLE) * (r - r2) * g) / sum(g)')} AS l2, {r4('1 - sum(r * r2) / sqrt(sum(r * r)::DOUBLE * sum(r2 * r2)::DOUBLE)')} AS cosine_distance FROM px GROUP BY line")
+def weighted_errors(spark, sf_dir):
+    """Errors of a channel weighted by another, and the cosine distance."""
+    out = metrics.weighted_errors(pixels(spark, sf_dir), ["line"], "r", "r2", "g")
+    return out.select("line", *[half_up(F.col(c)).alias(c) for c in ("l1", "l2", "cosine_distance")])
+
+
+@query(f"WITH {PX} SELECT {_KEY}, {r4(_H)} AS hue, {r4(_SAT)} AS saturation, greatest(r, g, b) AS value FROM px")
+def hsv_space(spark, sf_dir):
+    """Hue, saturation and value of each pixel."""
+    return _out(pixels(spark, sf_dir), (half_up(x.hue(_a())), half_up(x.saturation(_a())), F.greatest(*_a())), ("hue", "saturation", "value"))
+
+
+@query(f"WITH {PX}, g AS (SELECT row_id % 64 AS x, p % 48 AS y, min(r) AS v FROM px GROUP BY ALL) SELECT 47 - y AS x, x AS y, v FROM g")
+def rotate_plane(spark, sf_dir):
+    """A plane turned by a quarter."""
+    plane = pixels(spark, sf_dir).groupBy((F.col("row_id") % 64).alias("x"), (F.col("p") % 48).alias("y")).agg(F.min("r").alias("v"))
+    return images.rotated(plane, 48)

@@ -319,3 +319,36 @@ def plateau_rates(spark, sf_dir):
     """A rate halved whenever a value hasn't fallen for more than three rows."""
     rows = folds.reduce_on_plateau(events_series(spark, sf_dir).select("clip_id", "n", "luma"), "luma", 3, 0.5, 0.01)
     return rows.select("clip_id", "n", half_up(F.col("rate"), 9).alias("rate"))
+
+
+@query("SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS place FROM documents WHERE n_chars > 100")
+def sort_sampler(spark, sf_dir):
+    """Documents by falling length."""
+    docs = d.keep_if(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), F.col("n_chars") > 100)
+    return d.longest_first(docs, "n_chars", "doc_id")
+
+
+@query("SELECT event_id, event_id % 3 <> 2 AS is_ref, event_id AS n FROM events")
+def reference_names(spark, sf_dir):
+    """Which names are those of references, and their numbers."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    name = F.when(i % 3 == 0, F.format_string("ref_%06d.png", i)).when(i % 3 == 1, F.format_string("ref_%d.JPG", i)).otherwise(F.format_string("other_%d.txt", i))
+    return e.select("event_id", files.is_reference(name).alias("is_ref"), files.reference_number(name).alias("n"))
+
+
+@query(f"WITH {SEQ} SELECT clip_id, n, CASE WHEN n % 2 = 0 AND n % 6 = 0 AND n < 30 THEN 'file ' || n ELSE kind END AS kind, n % 2 = 0 AND NOT (n % 6 = 0 AND n < 30) AS flag FROM seq")
+def replace_refs(spark, sf_dir):
+    """Flagged rows that take what a file of their number holds."""
+    rows = events_series(spark, sf_dir).select("clip_id", "n", "kind", (F.col("n") % 2 == 0).alias("flag"))
+    found = spark.createDataFrame([(f"in/ref_{n:06d}.png", f"file {n}") for n in range(0, 30, 6)], "path string, kind string")
+    return joins.replace_payload(rows, found, "kind").select("clip_id", "n", "kind", "flag")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS epoch, printf('%.6f', value) AS loss, CASE WHEN event_id % 4 = 0 THEN '#na#' ELSE event_type END AS kind FROM events")
+def log_round_trip(spark, sf_dir):
+    """Rows of a log written and read."""
+    where = _folder(spark, "log")
+    e = table(spark, sf_dir, "events").selectExpr("event_id AS epoch", "value AS loss", "IF(event_id % 4 = 0, NULL, event_type) AS kind")
+    files.append_log(e.where("epoch % 2 = 0"), where)
+    files.append_log(e.where("epoch % 2 = 1"), where)
+    return spark.read.schema("epoch string, loss string, kind string").csv(where)
