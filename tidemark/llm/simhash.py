@@ -20,8 +20,7 @@ With a ``similarity``, texts are linked instead where their sets of shingles hav
 catch near-identical texts only, and a grid wide enough for ordinary near copies prunes next to nothing and still misses
 some, so these pairs are found exactly: sets as similar as t share one of the first n - ceil(t n) + 1 shingles in any common
 order (n the size of a set). The order puts shingles that are frequent in a sample last, which saves pairs and changes no result.
-Sets that list the same shingle form a group; equal groups count once. First every set of a group meets the group's
-smallest alone; what that links is one class. Then only sets of different classes in a group need to meet. Where these are too
+Sets that list the same shingle form a group. First every set of a group meets the group's smallest alone; what that links is one class. Then only sets of different classes in a group need to meet. Where these are too
 many pairs, a group is dealt in rounds around a centre: Jaccard distance is a metric, so of sets linked to the centre only
 those on the border need to meet the others. All links are checked by whole sets of 64-bit shingle hashes, made where the
 texts of a pair meet; texts travel compressed.
@@ -55,7 +54,7 @@ PAIRS = 50_000
 #: Words of a shingle and Jaccard similarity of near copies in a corpus.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 #: Pairs for each set of a group that may meet at once; texts of the sample that orders shingles; rounds around a centre before the rest meet as pairs.
-MEET, SAMPLE, ROUNDS = 50, 5_000, 20
+MEET, SAMPLE, ROUNDS = 150, 20_000, 20
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _EVEN = 0x55555555
@@ -291,15 +290,19 @@ def similar_links(
     rows: DataFrame, texts: DataFrame, shingle: int, similarity: float, meet: int = MEET, rounds: int = ROUNDS
 ) -> DataFrame:
     """a and b (a < b): links among the different ``fp`` of ``rows`` (tid, fp, n, bits, keys), enough to connect all as similar as
-    ``similarity``; ``texts`` are the rows' tid and text."""
+    ``similarity``; ``texts`` are the rows' tid and text.
+
+    Groups stay rows throughout, so that none has to fit a task.
+    """
     spark, since = rows.sparkSession, staged_so_far()
-    marks = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("tid").alias("tid"))
-    marks = staged(marks, "simhash-marks")
-    found = rows.select(F.explode("keys").alias("key"), F.struct("fp", "n").alias("x"))
-    by_key = found.groupBy("key").agg(F.collect_set("x").alias("m")).where("size(m) > 1")
-    groups = by_key.select(F.sort_array("m").alias("m")).distinct().withColumn("key", F.monotonically_increasing_id())
-    groups = staged(groups, "simhash-groups")
-    fits = f"least(p.n, q.n) >= {similarity} * greatest(p.n, q.n)"
+    firsts = [F.first(c).alias(c) for c in ("n", "bits", "keys")]
+    marks = staged(rows.groupBy("fp").agg(*firsts, F.min("tid").alias("tid")), "simhash-marks")
+    found = marks.select(F.explode("keys").alias("key"), "fp", "n")
+    centre = lambda x: x.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("p"), F.count("*").alias("c"))
+    shared = found.join(centre(found).where("c > 1").select("key", "p"), "key")
+    shared = staged(shared, "simhash-shared")
+    marks = marks.drop("keys")
+    alike = lambda k, l: f"least({k}, {l}) >= {similarity} * greatest({k}, {l})"
     kept = []
 
     def checked(pairs: DataFrame, least: float) -> DataFrame:
@@ -309,47 +312,46 @@ def similar_links(
         kept.append(out)
         return out
 
-    star = groups.select(F.explode("m").alias("q"), F.expr("m[0]").alias("p")).where(f"p.fp != q.fp and {fits}")
-    near = checked(star.select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).distinct(), similarity)
+    star = shared.where("p.fp != fp and " + alike("p.n", "n")).select(F.col("p.fp").alias("a"), F.col("fp").alias("b")).distinct()
+    near = checked(star, similarity)
     classes = staged(components(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "simhash-classes")
-    one = groups.select("key", F.explode("m").alias("x")).select("key", "x.fp", "x.n")
-    one = one.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    parts = one.groupBy("key", "root").agg(F.collect_list(F.struct("fp", "n")).alias("m"))
-    mixed = parts.groupBy("key").agg(
-        F.collect_list(F.struct("root", "m")).alias("parts"), F.sum(F.size("m")).alias("total"),
-        F.sum(F.size("m").cast("double") * F.size("m")).alias("squares"),
-    ).where("size(parts) > 1").withColumn("few", F.expr(f"total * total - squares <= 2 * {meet} * total"))
-    mixed = staged(mixed, "simhash-mixed")
+    rooted = shared.select("key", "fp", "n").join(classes.withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = staged(rooted.withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
+    sizes = sizes.groupBy("key").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("root", "c").alias("top"))
+    sizes = sizes.where("squares < total * total").withColumn("few", F.expr(f"total * total - squares <= 2 * {meet} * total"))
+    mixed = staged(rooted.join(sizes.select("key", "top", "few"), "key"), "simhash-mixed")
+    few = mixed.where("few").select("key", "top", F.struct("fp", "n", "root").alias("q"))
+    rare = few.where("q.root != top").select("key", F.col("q").alias("p"))  # all but a group's largest class
+    met = few.join(rare, "key").where("p.root != q.root and (q.root = top or p.fp < q.fp) and " + alike("p.n", "q.n"))
+    pairs = [staged(met.select(F.least("p.fp", "q.fp").alias("a"), F.greatest("p.fp", "q.fp").alias("b")).distinct(), "simhash-pairs")]
 
     def meeting(groups: DataFrame) -> DataFrame:
-        """Different pairs of every group m whose sizes allow the similarity."""
-        two = groups.select("m", F.explode("m").alias("p")).select("p", F.explode("m").alias("q"))
-        return two.where(f"p.fp < q.fp and {fits}").select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b"))
-
-    few = mixed.where("few").select("parts", F.explode("parts").alias("p")).select("p", F.explode("parts").alias("q")).where("p.root < q.root")
-    few = few.select(F.explode("p.m").alias("p"), "q.m").select("p", F.explode("m").alias("q")).where(fits)
-    pairs = [staged(few.select(F.least("p.fp", "q.fp").alias("a"), F.greatest("p.fp", "q.fp").alias("b")).distinct(), "simhash-pairs")]
-    large = staged(mixed.where("not few").select("key", F.flatten("parts.m").alias("m")), "simhash-large")
+        """Different pairs of the rows of every key whose sizes allow the similarity."""
+        q, p = (groups.select("key", F.struct("fp", "n").alias(x)) for x in "qp")
+        return q.join(p, "key").where("p.fp < q.fp and " + alike("p.n", "q.n")).select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b"))
+
+    large = staged(mixed.where("not few").select("key", "fp", "n"), "simhash-large")
+    border = 2 * similarity - 1
     for _ in range(rounds):
         if large.isEmpty():
             break
-        spread = large.select("key", F.explode("m").alias("q"), F.expr("array_min(m)").alias("p"))
-        spread = spread.where("p.fp != q.fp")
-        border = 2 * similarity - 1
-        may = spread.where(f"least(p.n, q.n) >= {border} * greatest(p.n, q.n)")
-        near = checked(may.select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).distinct(), border)
+        spread = large.join(centre(large), "key").where("p.fp != fp")
+        may = spread.where(f"least(p.n, n) >= {border} * greatest(p.n, n)").select(F.col("p.fp").alias("a"), F.col("fp").alias("b"))
+        near = checked(may.distinct(), border)
         known = near.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "j")
-        placed = spread.join(known, F.expr("p.fp = _a and q.fp = _b"), "left").select("key", "q", F.coalesce("j", F.lit(0.0)).alias("j"))
+        placed = spread.join(known, F.expr("p.fp = _a and fp = _b"), "left").select("key", "fp", "n", F.coalesce("j", F.lit(0.0)).alias("j"))
         placed = staged(placed, "simhash-placed")
-        inner = placed.where(f"j >= {similarity}").select("key", F.col("q").alias("p"), F.col("j").alias("i"))
-        outer = placed.where(f"j >= {border} and j < {similarity}")
+        inner = placed.where(f"j >= {similarity}").select("key", F.struct("fp", "n").alias("p"), F.col("j").alias("i"))
+        outer = placed.where(f"j >= {border} and j < {similarity}").select("key", F.struct("fp", "n").alias("q"), "j")
         # the distance to the centre differs by no more than the distance of a pair
-        cross = inner.join(outer, "key").where(f"i - j <= {1 - similarity + 1e-9} and {fits}")
+        cross = inner.join(outer, "key").where(f"i - j <= {1 - similarity + 1e-9} and " + alike("p.n", "q.n"))
         pairs.append(staged(cross.select(F.least("p.fp", "q.fp").alias("a"), F.greatest("p.fp", "q.fp").alias("b")).distinct(), "simhash-pairs"))
-        rest = placed.where(f"j < {similarity}").groupBy("key").agg(F.collect_list("q").alias("m"))
-        rest = staged(rest.where("size(m) > 1"), "simhash-large")
-        pairs.append(staged(meeting(rest.where(f"size(m) <= {meet}")).distinct(), "simhash-pairs"))
-        large = rest.where(f"size(m) > {meet}")
+        rest = placed.where(f"j < {similarity}").select("key", "fp", "n")
+        left = rest.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        rest = staged(rest.join(left, "key"), "simhash-large")
+        pairs.append(staged(meeting(rest.where(f"c <= {meet}")).distinct(), "simhash-pairs"))
+        large = rest.where(f"c > {meet}").select("key", "fp", "n")
     else:
         pairs.append(meeting(large))
     checked(reduce(DataFrame.union, pairs).distinct(), similarity)
