@@ -54,7 +54,9 @@ PAIRS = 50_000
 #: Words of a shingle and Jaccard similarity of near copies in a corpus.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 #: Pairs for each set of a group that may meet at once; texts of the sample that orders shingles; rounds around a centre before the rest meet as pairs.
-MEET, SAMPLE, ROUNDS = 150, 20_000, 20
+MEET, SAMPLE, ROUNDS = 500, 20_000, 20
+#: Parts of a set whose parities are kept.
+PARTS = 2048
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _EVEN = 0x55555555
@@ -188,7 +190,7 @@ def frequent_shingles(texts: DataFrame, shingle: int, sample: int = SAMPLE, most
 
 
 def listed_sets(docs: DataFrame, ids: tuple[str, ...], shingle: int, similarity: float, frequent: list[int]) -> DataFrame:
-    """The ``ids`` columns, fp (a hash of the set of shingles), n (its size), bits (parities of its 512 parts) and keys of every row.
+    """The ``ids`` columns, fp (a hash of the set of shingles), n (its size), bits (parities of its ``PARTS`` parts) and keys of every row.
 
     keys are the shingles by which a set is found; ``frequent`` shingles come last in their order. ``docs`` has _text.
     """
@@ -207,13 +209,13 @@ def listed_sets(docs: DataFrame, ids: tuple[str, ...], shingle: int, similarity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp, sizes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int32)
-            odd, keys = np.zeros((b.num_rows, 512), np.uint8), [np.zeros(0, np.int64)]
+            odd, keys = np.zeros((b.num_rows, PARTS), np.uint8), [np.zeros(0, np.int64)]
             for i, t in enumerate(b.column("_text")):
                 s = shingle_set(t.as_py(), shingle)
                 fp[i], sizes[i] = _hash(s), len(s)
-                odd[i] = np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1
+                odd[i] = np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) & 1
                 keys.append(first_keys(s))
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * 8, pa.int32()), pa.array(np.packbits(odd, axis=1).view(np.int64).reshape(-1)))
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * (PARTS // 64), pa.int32()), pa.array(np.packbits(odd, axis=1).view(np.int64).reshape(-1)))
             held = pa.ListArray.from_arrays(pa.array(np.cumsum([len(k) for k in keys]), pa.int32()), pa.array(np.concatenate(keys)))
             arrays = [*b.columns[1:], pa.array(fp.view(np.int64)), pa.array(sizes), bits, held]
             yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names[1:], "fp", "n", "bits", "keys"])
@@ -269,7 +271,7 @@ def similar(pairs: DataFrame, texts: DataFrame, marks: DataFrame, shingle: int,
     Parities differ in no more places than sets do, so they spare most pairs the comparison of whole sets. The pairs of one a
     meet in parts of about ``spread``.
     """
-    odd = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(8))
+    odd = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(PARTS // 64))
     may = pairs.join(marks.select(F.col("fp").alias("a"), F.col("n").alias("k"), F.col("bits").alias("x")), "a")
     may = may.join(marks.select(F.col("fp").alias("b"), F.col("n").alias("l"), F.col("bits").alias("y")), "b")
     may = staged(may.where(f"{odd} <= {(1 - least) / (1 + least)} * (k + l) + 1e-6").select("a", "b"), "simhash-may")
