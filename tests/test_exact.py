@@ -320,3 +320,19 @@ def test_cleaning_in_order(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
     for r in df.select("i", text.clean(F.col("t")).alias("c")).collect():
         assert r.c == plain(texts[r.i])
+
+
+def test_presets_are_checked_before_anything_runs(spark):
+    from tidemark.plans.presets import SPEEDS, Preset, main, stabilised
+
+    for wrong in ({"speed": "warp"}, {"blend": "none"}, {"tune": "x"}, {"saturation": 11}, {"brightness": 300}, {"hue_rule": "370:380|0.5"}):
+        with pytest.raises(ValueError):
+            Preset(**wrong)
+    assert Preset(speed="Placebo").factor == SPEEDS["placebo"]
+    df = spark.createDataFrame([(1, n, 200, 100, n * 20, 10, 20, 30) for n in range(6)], "clip_id long, n long, r long, g long, b long, r2 long, g2 long, b2 long")
+    fast, slow = (main(Preset(speed=s, tune="balanced"))(df).orderBy("n").collect() for s in ("fast", "placebo"))
+    assert [r["or"] for r in fast] == [105] * 6 and all(x.og <= y.og for x, y in zip(slow, fast))
+    still = stabilised(dark=None, frames=3, gray=0, near=1.0)(df).orderBy("n").collect()
+    assert [r.b for r in still] == [n * 20 for n in range(6)]  # neighbours are too far off
+    mean = stabilised(dark=None, frames=3)(df).orderBy("n").collect()
+    assert [r.b for r in mean] == [math.floor((33 * max(0, n - 1) * 20 + 34 * n * 20 + 33 * min(5, n + 1) * 20) / 100) for n in range(6)]
