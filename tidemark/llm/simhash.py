@@ -54,7 +54,7 @@ PAIRS = 50_000
 #: Words of a shingle and Jaccard similarity of near copies in a corpus.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 #: Pairs for each set of a group that may meet at once; texts of the sample that orders shingles; rounds around a centre before the rest meet as pairs.
-MEET, SAMPLE, ROUNDS = 500, 20_000, 20
+MEET, SAMPLE, ROUNDS = 150, 20_000, 20
 #: Parts of a set whose parities are kept.
 PARTS = 2048
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -181,20 +181,19 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "fp long, shingles array<long>")
 
 
-def frequent_shingles(texts: DataFrame, shingle: int, sample: int = SAMPLE, most: int = 100_000) -> list[int]:
-    """Shingles found three times or more in a sample of about ``sample`` texts (tid, text), the most frequent last."""
+def frequent_shingles(texts: DataFrame, shingle: int, sample: int = SAMPLE, most: int = 500_000) -> np.ndarray:
+    """Shingles that three or more different sets of a sample of about ``sample`` texts (tid, text) hold, the most frequent last."""
     part = min(1.0, sample / max(1, texts.count()))
-    some = shingle_sets(texts.where(f"pmod(tid, 1000000) < {part * 1e6}"), shingle)
+    some = shingle_sets(texts.where(f"pmod(tid, 1000000) < {part * 1e6}"), shingle).dropDuplicates(["fp"])
     often = some.select("fp", F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
-    return [r.key for r in reversed(often.orderBy(F.desc("n"), "key").limit(most).collect())]
+    return often.orderBy(F.desc("n"), "key").limit(most).select("key").toArrow().column("key").to_numpy()[::-1].copy()
 
 
-def listed_sets(docs: DataFrame, ids: tuple[str, ...], shingle: int, similarity: float, frequent: list[int]) -> DataFrame:
+def listed_sets(docs: DataFrame, ids: tuple[str, ...], shingle: int, similarity: float, last: np.ndarray) -> DataFrame:
     """The ``ids`` columns, fp (a hash of the set of shingles), n (its size), bits (parities of its ``PARTS`` parts) and keys of every row.
 
-    keys are the shingles by which a set is found; ``frequent`` shingles come last in their order. ``docs`` has _text.
+    keys are the shingles by which a set is found; the shingles ``last`` come last, in their order. ``docs`` has _text.
     """
-    last = np.array(frequent, np.int64)
     place = np.argsort(last, kind="stable")
     names = last[place]
 
@@ -207,7 +206,7 @@ def listed_sets(docs: DataFrame, ids: tuple[str, ...], shingle: int, similarity:
         return s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(first, 1_000) for x in batches for first in range(0, x.num_rows, 1_000)):
             fp, sizes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int32)
             odd, keys = np.zeros((b.num_rows, PARTS), np.uint8), [np.zeros(0, np.int64)]
             for i, t in enumerate(b.column("_text")):
