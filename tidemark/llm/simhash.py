@@ -54,7 +54,7 @@ PAIRS = 50_000
 #: Words of a shingle and Jaccard similarity of near copies in a corpus.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 #: Pairs for each set of a group that may meet at once; texts of the sample that orders shingles; rounds around a centre before the rest meet as pairs.
-MEET, SAMPLE, ROUNDS = 150, 20_000, 20
+MEET, SAMPLE, ROUNDS = 500, 20_000, 20
 #: Parts of a set whose parities are kept.
 PARTS = 2048
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -293,7 +293,7 @@ def similar_links(
     """a and b (a < b): links among the different ``fp`` of ``rows`` (tid, fp, n, bits, keys), enough to connect all as similar as
     ``similarity``; ``texts`` are the rows' tid and text.
 
-    Groups stay rows throughout, so that none has to fit a task.
+    Groups are rows, so that none has to fit a task; those of at most 2 ``meet`` sets are also lists.
     """
     spark, since = rows.sparkSession, staged_so_far()
     firsts = [F.first(c).alias(c) for c in ("n", "bits", "keys")]
@@ -321,18 +321,23 @@ def similar_links(
     sizes = rooted.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
     sizes = sizes.groupBy("key").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("root", "c").alias("top"))
     sizes = sizes.where("squares < total * total").withColumn("few", F.expr(f"total * total - squares <= 2 * {meet} * total"))
-    mixed = staged(rooted.join(sizes.select("key", "top", "few"), "key"), "simhash-mixed")
-    few = mixed.where("few").select("key", "top", F.struct("fp", "n", "root").alias("q"))
+    sizes = sizes.withColumn("small", F.expr(f"total <= 2 * {meet}"))
+    mixed = staged(rooted.join(sizes.select("key", "top", "few", "small"), "key"), "simhash-mixed")
+    # small groups that many shingles have in common count once
+    small = mixed.where("small").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "n", "root"))).alias("m")).select("m").distinct()
+    small = small.select("m", F.explode("m").alias("p")).select("p", F.explode("m").alias("q")).where("p.root < q.root and " + alike("p.n", "q.n"))
+    few = mixed.where("few and not small").select("key", "top", F.struct("fp", "n", "root").alias("q"))
     rare = few.where("q.root != top").select("key", F.col("q").alias("p"))  # all but a group's largest class
     met = few.join(rare, "key").where("p.root != q.root and (q.root = top or p.fp < q.fp) and " + alike("p.n", "q.n"))
-    pairs = [staged(met.select(F.least("p.fp", "q.fp").alias("a"), F.greatest("p.fp", "q.fp").alias("b")).distinct(), "simhash-pairs")]
+    ends = [F.least("p.fp", "q.fp").alias("a"), F.greatest("p.fp", "q.fp").alias("b")]
+    pairs = [staged(small.select(*ends).union(met.select(*ends)).distinct(), "simhash-pairs")]
 
     def meeting(groups: DataFrame) -> DataFrame:
         """Different pairs of the rows of every key whose sizes allow the similarity."""
         q, p = (groups.select("key", F.struct("fp", "n").alias(x)) for x in "qp")
         return q.join(p, "key").where("p.fp < q.fp and " + alike("p.n", "q.n")).select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b"))
 
-    large = staged(mixed.where("not few").select("key", "fp", "n"), "simhash-large")
+    large = staged(mixed.where("not few and not small").select("key", "fp", "n"), "simhash-large")
     border = 2 * similarity - 1
     for _ in range(rounds):
         if large.isEmpty():
