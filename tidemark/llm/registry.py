@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chunk_reuse, html_text, langid, lengths, media, mixing, quality, secrets, simhash, token_output
+from tidemark.llm import (
+    chunk_reuse,
+    collocations,
+    html_text,
+    langid,
+    lengths,
+    media,
+    mixing,
+    packing,
+    quality,
+    ranked_search,
+    secrets,
+    simhash,
+    token_output,
+)
 from tidemark.session import table
 
 
@@ -60,6 +74,21 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_reuse.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranked_search.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences along a space-filling curve."""
+    return packing.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language of documents."""
+    return collocations.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     found = (
@@ -73,10 +102,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_simhash_groups,
         op9_main_text,
         op10_bpe_chunk_reuse,
+        op11_ranked_search,
+        op12_curve_packing,
+        op13_collocations,
     )
     return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"op3_secret_scans": secrets.ORACLE, "op4_source_mixing": mixing.ORACLE}
+    return {"op3_secret_scans": secrets.ORACLE, "op4_source_mixing": mixing.ORACLE, "op11_ranked_search": ranked_search.ORACLE, "op13_collocations": collocations.ORACLE}
