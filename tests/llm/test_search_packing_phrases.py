@@ -171,12 +171,10 @@ def phrases_plain(rows, least=10, covered=50, best=2000):
     return sorted((lang, r, p.decode(), -a, x, y, n[lang], -s) for lang, v in out.items() for r, (s, a, p, x, y) in enumerate(sorted(v)[:best], 1))
 
 
-@pytest.mark.parametrize("shard, segment, batch, bits", [(4_000_000, 1_000_000, 100_000, 1 << 26), (300, 100, 5, 1 << 15)])
-def test_collocations(spark, docs, rows, monkeypatch, shard, segment, batch, bits):
+@pytest.mark.parametrize("shard, bits", [(4_000_000, 1 << 26), (300, 1 << 15)])
+def test_collocations(spark, docs, rows, monkeypatch, shard, bits):
     monkeypatch.setattr(collocations.bitmaps, "__defaults__", (shard, 3 * shard))
     monkeypatch.setattr(collocations.pair_table, "__defaults__", (bits,))
-    for name, value in (("SEGMENT", segment), ("BATCH", batch)):  # of this process; tasks read the defaults
-        monkeypatch.setattr(collocations, name, value)
     assert sorted(tuple(r) for r in collocations.digest(docs).collect()) == phrases_plain(rows)
 
 
@@ -192,6 +190,16 @@ def test_longer_phrases(spark, docs, rows):
     assert got == f
 
 
+def test_batches_hold_all_words(rows, monkeypatch):
+    made = collocations._shard("en", [t.encode() for _, t, _ in rows if t]).to_pylist()[0]
+    s = collocations._Shard("en", made["words"], made["bitmaps"])
+    whole = [(0, len(s.word))]
+    assert [(x.start, x.stop) for x in s.batches()] == whole
+    monkeypatch.setattr(collocations, "BATCH", 5)
+    parts = [(x.start, x.stop) for x in s.batches()]
+    assert len(parts) > 20 and parts[0][0] == 0 and parts[-1][1] == len(s.word) and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+
+
 def test_segments_end_with_pieces():
     text = b"aa bb. cc dd, " * 500
     with_defaults = list(collocations._segments(text))

@@ -26,10 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.sealed import names_in, names_out, narrow, opened, seal
 from tidemark.llm.tokens import slices
 from tidemark.session import staged
 
-SHARD, SEGMENT, HELD = 4_000_000, 1_000_000, 16_000_000
+SHARD, SEGMENT, HELD = 8_000_000, 1_000_000, 16_000_000
 #: Bits of the table of frequent pairs, a power of two.
 FILTER = 1 << 26
 LEAST, COVERED, BEST = 10, 50, 2000
@@ -39,7 +40,7 @@ BATCH = 100_000
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes(10 if b in _ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _END = re.compile(rb"[.,;:!?\n-\r]")
-_FORM = "lang string, n long, words array<string>, word binary, place binary, bits binary, starts binary"
+_FORM = "lang string, n long, words binary, bitmaps binary"
 
 
 def _segments(text: bytes) -> Iterator[bytes]:
@@ -72,12 +73,10 @@ def _shard(lang: str, texts: list[bytes]) -> pa.RecordBatch | None:
     if len(word) % 8:
         starts[-2] |= (0xFF << len(word) % 8) & 0xFF
     starts[-1] = 0xFF  # nothing follows the last word
-    words = pa.array([names.take(pa.array(used)).cast(pa.binary()).to_pylist()], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-    packed = [word[position[first]].astype("<u4"), place[first].astype("<u4"), bits, starts]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang]), pa.array([len(word)]), words, *[pa.array([x.tobytes()], pa.binary()) for x in packed]],
-        [c.split()[0] for c in _FORM.split(", ")],
-    )
+    words, each = names.take(pa.array(used)), np.bincount(word[position[first]], minlength=len(used))
+    row = [lang, len(word), seal(*names_out(words)), seal(narrow(each), narrow(place[first]), bits, starts)]
+    kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [c.split()[0] for c in _FORM.split(", ")])
 
 
 def bitmaps(docs: DataFrame, shard: int = SHARD, held: int = HELD) -> DataFrame:
@@ -108,19 +107,20 @@ def bitmaps(docs: DataFrame, shard: int = SHARD, held: int = HELD) -> DataFrame:
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     rows = docs.select(lang, F.col("text").cast("string").alias("text")).where("text is not null")
-    return staged(rows.mapInArrow(run, _FORM), "position-bitmaps")
+    return staged(rows.mapInArrow(run, _FORM), "position-bitmaps", "uncompressed")
 
 
 class _Shard:
     """A shard's bitmaps by word and by place."""
 
-    def __init__(self, row: dict, names: pa.Array):
-        self.lang, self.names = row["lang"], names
-        self.word, self.place = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("word", "place"))
-        self.bits, self.starts = np.frombuffer(row["bits"], np.uint8), np.frombuffer(row["starts"], np.uint8)
-        self.by_place = np.argsort(self.place, kind="stable")
-        self.begin = np.searchsorted(self.place[self.by_place], np.arange(len(self.starts) + 1))
-        self.first = np.searchsorted(self.word, np.arange(len(self.names) + 1))
+    def __init__(self, lang: str, words: bytes, packed: bytes):
+        self.lang, self.names = lang, names_in(*opened(words), pa.large_string()).cast(pa.string())
+        each, place, self.bits, self.starts = opened(packed)
+        self.place = place.astype(np.int32)
+        self.word = np.repeat(np.arange(len(each), dtype=np.int32), each)
+        self.first = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        self.by_place = np.argsort(self.place, kind="stable").astype(np.int32)
+        self.begin = np.searchsorted(self.place[self.by_place], np.arange(len(self.starts) + 1)).astype(np.int32)
 
     def batches(self) -> Iterator[slice]:
         """Bitmaps of successive words, about ``BATCH`` bytes at a time."""
@@ -139,8 +139,8 @@ class _Shard:
         some = np.flatnonzero(bits)
         phrase, place, bits = phrase[some], place[some], bits[some]
         each = self.begin[place + 1] - self.begin[place]
-        mine = np.repeat(np.arange(len(place)), each)
-        other = self.by_place[np.repeat(self.begin[place] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))]
+        mine = np.repeat(np.arange(len(place), dtype=np.int32), each)
+        other = self.by_place[np.repeat(self.begin[place] - np.cumsum(each) + each, each) + np.arange(len(mine))]
         both = bits[mine] & self.bits[other]
         hit = np.flatnonzero(both)
         mine = mine[hit]
@@ -169,15 +169,13 @@ def _grouped(key: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def phrase_counts(shards: DataFrame, size: int, table: bytes | None = None) -> DataFrame:
-    """lang, words, phrase and f of phrases of up to two words (``size`` 2), or of ``size`` words that grow from pairs in ``table``."""
+    """lang, phrase and f of phrases of up to two words (``size`` 2), or of ``size`` words that grow from pairs in ``table``."""
     shared = shards.sparkSession.sparkContext.broadcast(table) if table is not None else None
 
     def rows(s: _Shard, words: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
         columns = [s.names.take(pa.array(w)) for w in words]
         phrase = pc.binary_join_element_wise(*columns, " ") if len(words) > 1 else columns[0]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([s.lang] * len(n), pa.string()), pa.array([len(words)] * len(n), pa.int32()), phrase, pa.array(n)], ["lang", "words", "phrase", "f"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array([s.lang] * len(n), pa.string()), phrase, pa.array(n)], ["lang", "phrase", "f"])
 
     def grow(s: _Shard) -> Iterator[pa.RecordBatch]:
         v = len(s.names)
@@ -191,7 +189,7 @@ def phrase_counts(shards: DataFrame, size: int, table: bytes | None = None) -> D
                 yield rows(s, [keys], n)
             first, second, place, bits = s.extensions(word, place, bits)
             if shared is None:
-                keys, n, _ = _grouped(first * v + second, bits)
+                keys, n, _ = _grouped(first.astype(np.int64) * v + second, bits)
                 yield rows(s, [keys // v, keys % v], n)
                 continue
             held = np.flatnonzero(frequent(first, second))
@@ -201,7 +199,7 @@ def phrase_counts(shards: DataFrame, size: int, table: bytes | None = None) -> D
                 held = np.flatnonzero(frequent(last[phrase], word))
                 path, last, place, bits = [*[p[phrase[held]] for p in path], word[held]], word[held], place[held], bits[held]
             if len(last):
-                key = path[0]
+                key = path[0].astype(np.int64)
                 for p in path[1:]:  # number phrases word by word, so that keys stay small
                     key = np.unique(key, return_inverse=True)[1] * v + p
                 keys, n, which = _grouped(key, bits)
@@ -211,12 +209,11 @@ def phrase_counts(shards: DataFrame, size: int, table: bytes | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1)
-                yield from grow(_Shard(row.drop_columns(["words"]).to_pylist()[0], row.column("words").flatten()))
+            for lang, words, packed in zip(b.column("lang"), b.column("words"), b.column("bitmaps")):
+                yield from grow(_Shard(lang.as_py(), words.as_py(), packed.as_py()))
 
-    made = shards.drop("n").mapInArrow(run, "lang string, words int, phrase string, f long")
-    return made.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    made = shards.drop("n").mapInArrow(run, "lang string, phrase string, f long")
+    return made.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def pair_table(pairs: DataFrame, bits: int = FILTER) -> bytes:
@@ -242,21 +239,20 @@ def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, be
     shards = bitmaps(docs)
     frequent = F.col("f") >= least
     short = staged(phrase_counts(shards, 2).where(frequent), "phrase-counts")
-    pairs = short.where("words = 2")
+    pairs = short.where("phrase like '% %'")  # words have no space
     triples = staged(phrase_counts(shards, 3, pair_table(pairs)).where(frequent), "phrase-counts")
     found = pairs.unionByName(triples)
 
     parts = F.split("phrase", " ")
     halves = lambda k: [F.array_join(F.slice(parts, 1, k), " ").alias("left"), F.array_join(F.slice(parts, k + 1, 3), " ").alias("right")]
-    cut = lambda df, k: df.select("lang", "phrase", "words", F.col("f").alias("a"), F.lit(k).alias("k"), *halves(k))
+    cut = lambda df, k: df.select("lang", "phrase", F.col("f").alias("a"), F.lit(k).alias("k"), *halves(k))
     cuts = cut(found, 1).unionByName(cut(triples, 2))
     counts = short.select("lang", "phrase", "f")
     for side, name in (("left", "l"), ("right", "r")):
         cuts = cuts.join(counts.select("lang", F.col("phrase").alias(side), F.col("f").alias(name)), ["lang", side])
-    whole = lambda c: F.col(c).cast("decimal(15,0)")
     score = F.expr("(cast(a as decimal(15,0)) * cast(a as decimal(15,0)) * cast(1000000 as decimal(7,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
-    lowest = cuts.withColumn("score", score.cast("long")).groupBy("lang", "phrase", "words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("s"))
-    scored = lowest.select("lang", "phrase", "words", "a", "s.score", "s.l", "s.r")
+    lowest = cuts.withColumn("score", score.cast("long")).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("s"))
+    scored = lowest.select("lang", "phrase", "a", "s.score", "s.l", "s.r")
 
     inside = triples.select("lang", F.col("f").alias("longer"), F.explode(F.array(*[F.array_join(F.slice(parts, i, 2), " ") for i in (1, 2)])).alias("phrase"))
     cover = inside.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))

@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.sealed import names_in, names_out, narrow, opened, seal
 from tidemark.llm.tokens import slices
 from tidemark.operators.ranking import prefix_sums
 from tidemark.session import staged
@@ -43,10 +44,7 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 _IN_TERM = np.array([_FOLD[b] != 32 for b in range(256)])
 _LAST = np.iinfo(np.int64).max
 
-_FORM = (
-    "block long, doc_ids array<long>, scales array<long>, starts binary, ords binary, tfs binary, terms array<binary>, dfs array<int>, "
-    "tops array<long>"
-)
+_FORM = "block long, doc_ids array<long>, forward binary, terms binary, dfs binary, tops binary"
 
 
 class Index(NamedTuple):
@@ -108,10 +106,10 @@ def build(docs: DataFrame, documents: int = DOCUMENTS, most: int = BYTES) -> Ind
             share = 10**9 * tfs // (1000 * tfs + 8 * np.repeat(np.array(scales, np.int64), each))
             tops = np.zeros(len(names), np.int64)
             np.maximum.at(tops, ords, share)
-            starts = np.concatenate([[0], np.cumsum(each)]).astype("<i4").tobytes()
-            row = [(part << 32) + made, [i for i, _ in held], scales, starts, ords.astype("<u4").tobytes(), tfs.astype("<i8").tobytes(), list(names), np.bincount(ords, minlength=len(names)), tops]
-            lists = [pa.list_(x) for x in (pa.int64(), pa.binary(), pa.int32())]
-            kinds = [pa.int64(), lists[0], lists[0], *[pa.binary()] * 3, lists[1], lists[2], lists[0]]
+            values = (seal(np.array(scales, np.int64), narrow(each), narrow(ords), narrow(tfs)), seal(*names_out(pa.array(list(names), pa.large_binary()))))
+            values += (seal(narrow(np.bincount(ords, minlength=len(names)))), seal(narrow(tops)))
+            row = [(part << 32) + made, [i for i, _ in held], *values]
+            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [c.split()[0] for c in _FORM.split(", ")])
 
         for b in batches:
@@ -130,7 +128,7 @@ def build(docs: DataFrame, documents: int = DOCUMENTS, most: int = BYTES) -> Ind
             yield flush()
 
     rows = _texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").withColumn("part", F.spark_partition_id().cast("long"))
-    return Index(staged(rows.mapInArrow(run, _FORM), "search-blocks"), n_docs, n_terms)
+    return Index(staged(rows.mapInArrow(run, _FORM), "search-blocks", "uncompressed"), n_docs, n_terms)
 
 
 class _Queries:
@@ -139,7 +137,7 @@ class _Queries:
     def __init__(self, lists: list[list[bytes]]):
         names = sorted({t for x in lists for t in x})
         place = {t: k for k, t in enumerate(names)}
-        self.names = pa.array(names, pa.binary())
+        self.names = pa.array(names, pa.large_binary())
         self.query = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         self.term = np.array([place[t] for x in lists for t in x], np.int64)
         self.first = np.searchsorted(self.query, np.arange(len(lists)))
@@ -147,9 +145,10 @@ class _Queries:
         self.weight = np.zeros(len(names), np.int64)
         self.order = np.argsort(self.term, kind="stable")  # the pairs by term
 
-    def places(self, block_terms: pa.Array) -> np.ndarray:
+    def places(self, terms: bytes) -> np.ndarray:
         """The number of each of a block's terms among the queries', or -1."""
-        return pc.fill_null(pc.index_in(block_terms, value_set=self.names), -1).to_numpy(zero_copy_only=False)
+        found = pc.index_in(names_in(*opened(terms), pa.large_binary()), value_set=self.names)
+        return pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
 
     def bounds(self, at: np.ndarray, tops: np.ndarray) -> np.ndarray:
         """What a document of a block can score at most, query by query."""
@@ -157,13 +156,13 @@ class _Queries:
         value[at[at >= 0]] = tops[at >= 0]
         return np.add.reduceat((value * self.weight)[self.term], self.first)
 
-    def scores(self, row: dict, at: np.ndarray, active: np.ndarray) -> np.ndarray:
+    def scores(self, forward: bytes, at: np.ndarray, active: np.ndarray) -> np.ndarray:
         """Scores of a block's documents (rows) for the active queries (columns; the others stay 0)."""
-        starts, scales = np.frombuffer(row["starts"], "<i4"), np.array(row["scales"], np.int64)
-        term = at[np.frombuffer(row["ords"], "<u4")]
-        doc = np.repeat(np.arange(len(scales)), np.diff(starts))
+        scales, each, ords, tfs = opened(forward)
+        term = at[ords]
+        doc = np.repeat(np.arange(len(scales)), each)
         known = term >= 0
-        term, doc, tf = term[known], doc[known], np.frombuffer(row["tfs"], "<i8")[known]
+        term, doc, tf = term[known], doc[known], tfs[known].astype(np.int64)
         add = 10**9 * tf // (1000 * tf + 8 * scales[doc]) * self.weight[term]
         pairs = self.order[active[self.query[self.order]]]  # of active queries, by term
         begin = np.searchsorted(self.term[pairs], np.arange(len(self.weight) + 1))
@@ -175,18 +174,6 @@ class _Queries:
         return out
 
 
-def _places(q: _Queries, batch: pa.RecordBatch) -> list[np.ndarray]:
-    lists = batch.column("terms")
-    at = q.places(lists.flatten())
-    ends = np.cumsum(pc.list_value_length(lists).to_numpy())
-    return np.split(at, ends[:-1])
-
-
-def _numbers(column: pa.Array) -> list[np.ndarray]:
-    ends = np.cumsum(pc.list_value_length(column).to_numpy())
-    return np.split(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends[:-1])
-
-
 class _Best:
     """The k best (score, doc_id) of each query so far, and each query's threshold."""
 
@@ -238,8 +225,9 @@ def _search_block(index: Index, queries: list, k: int, seeds: int) -> DataFrame:
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(shared.value.weight), np.int64)
         for b in batches:
-            at = shared.value.places(b.column("terms").flatten())
-            np.add.at(total, at[at >= 0], b.column("dfs").flatten().to_numpy()[at >= 0])
+            for names, dfs in zip(b.column("terms"), b.column("dfs")):
+                at = shared.value.places(names.as_py())
+                total[at[at >= 0]] += opened(dfs.as_py())[0][at >= 0]  # a term is in a block once
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["term", "df"])
 
@@ -254,8 +242,8 @@ def _search_block(index: Index, queries: list, k: int, seeds: int) -> DataFrame:
         best = np.zeros((3, 0), np.int64)  # query, bound, block
         for b in batches:
             new = [best]
-            for block, at, tops in zip(b.column("block").to_pylist(), _places(q, b), _numbers(b.column("tops"))):
-                bound = q.bounds(at, tops)
+            for block, names, tops in zip(b.column("block").to_pylist(), b.column("terms"), b.column("tops")):
+                bound = q.bounds(q.places(names.as_py()), opened(tops.as_py())[0])
                 some = np.flatnonzero(bound)
                 new.append(np.array([some, bound[some], np.full(len(some), block)]))
             best = np.concatenate(new, 1)
@@ -272,10 +260,10 @@ def _search_block(index: Index, queries: list, k: int, seeds: int) -> DataFrame:
         q = weighted.value
         best = _Best(np.zeros(q.n, np.int64), k)
         for b in batches:
-            for row, at in zip(b.drop_columns(["terms", "dfs", "tops"]).to_pylist(), _places(q, b)):
+            for forward, names, ids, chosen in zip(*[b.column(c) for c in ("forward", "terms", "doc_ids", "queries")]):
                 active = np.zeros(q.n, bool)
-                active[row["queries"]] = True
-                best.add(q.scores(row, at, active), row["doc_ids"])
+                active[chosen.as_py()] = True
+                best.add(q.scores(forward.as_py(), q.places(names.as_py()), active), ids.as_py())
         yield _found(best.settle())
 
     floor = np.zeros(q.n, np.int64)
@@ -287,17 +275,15 @@ def _search_block(index: Index, queries: list, k: int, seeds: int) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, best = weighted.value, _Best(floors.value.copy(), k)
         for b in batches:
-            places = _places(q, b)
-            bound = [q.bounds(at, tops) for at, tops in zip(places, _numbers(b.column("tops")))]
+            forward, names, tops, ids = (b.column(c) for c in ("forward", "terms", "tops", "doc_ids"))
+            bound = [q.bounds(q.places(n.as_py()), opened(t.as_py())[0]) for n, t in zip(names, tops)]
             above = np.array([(x - best.floor).max() for x in bound])
-            forward = b.drop_columns(["terms", "dfs", "tops"])
             for i in np.argsort(-above, kind="stable").tolist():
                 if above[i] < 0:
                     break  # sorted: no later block reaches a threshold
                 active = bound[i] >= best.floor
                 if active.any():
-                    row = forward.slice(i, 1).to_pylist()[0]
-                    best.add(q.scores(row, places[i], active), row["doc_ids"])
+                    best.add(q.scores(forward[i].as_py(), q.places(names[i].as_py()), active), ids[i].as_py())
             best.settle()
         yield _found(best.settle())
 
