@@ -687,9 +687,8 @@ def test_pipeline(spark, library):
         assert docs.columns == columns
         if name == "language_id":
             assert docs.count() >= 0.98 * n
-        if name == "simhash_near_dedup":
-            top = groups_plain({simhash.fingerprint(r.text) for r in before.collect()})
-            assert docs.count() == len(set(top.values()))
+        if name == "near_dedup":
+            assert docs.count() == len(set(groups_by_jaccard([r.text for r in before.collect()]).values()))
         if name == "secret_scan":
             assert docs.count() == before.count() and not any(find_plain(r.text)[0] for r in docs.collect())
         if name == "source_mixing":
@@ -800,7 +799,7 @@ def test_pipeline_on_awkward_rows(spark, rows, library, tmp_path):
         assert docs.where("score != 0.5 or base != 'b' or secrets != 's' or lang_pred != 'zz' or _key != 'k' or _t != 1 or _row != 2 or size != 3").count() == 0
         if name == "language_id":
             assert {r.doc_id for r in docs.collect()} & {1, 2, 502} == set() and docs.where("doc_id = 500 and length(text) > 8000000").count() == 1
-        if name == "simhash_near_dedup":
+        if name == "near_dedup":
             assert docs.where("doc_id = 3").count() == 1 and docs.where("doc_id = 4").count() == 0
         if name == "secret_scan":
             hidden = docs.where("doc_id = 501").first()

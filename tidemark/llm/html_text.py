@@ -1,16 +1,18 @@
 """Main text of HTML pages by line-block distribution.
 
 A page is stripped of markup into lines, one for each block of text. Every line weighs its characters, less those inside
-links; a line of which links are half, or a notice of rights, weighs nothing. What elements, roles, classes and ids say only
-weights the lines: one in a menu, header, footer, sidebar, notice, advert, form or reader comments weighs its length below
-zero; one in an article container weighs its whole length and ``SURGE`` more. Where article containers hold ``SHARE`` of the
-text that isn't boilerplate, lines outside them weigh below zero as well, but for a headline directly before the first.
+links; a line of which links are half weighs nothing. Inside an article container links count as text. What elements, roles, classes and ids say can only lower a weight: a
+line in a menu, header, footer, sidebar, notice, advert, form or reader comments, or a notice of rights, weighs its length below
+zero, or is taken out where it stands inside an article container. Where article containers hold ``SHARE`` of the text
+that isn't boilerplate, lines outside them, and in those much smaller than the largest, weigh ``ASIDE`` characters less, but
+for a headline directly before the first.
 
 Weights are summed over a window of ``WINDOW`` lines from each line on, as far as the first line below zero. The text surges
-where a sum rises above ``SURGE`` and does not fall back to nothing at once, and dives where a sum isn't above zero. All lines from
-a surge to its dive are kept, whatever they weigh by themselves, and no others.
+where a sum rises above ``SURGE``, or is the page's largest, and does not fall back to nothing at once, and dives where a sum
+isn't above zero. All lines from a surge to its dive are kept, whatever they weigh by themselves, with a headline right
+before the first surge, and no others.
 
-Defined results: a null or empty page has an empty text; a page without any surge keeps its lines above zero; pages of
+Defined results: a null or empty page has an empty text; a page whose lines all weigh nothing has an empty text; pages of
 any length are read whole; broken or unclosed markup is read as far as it goes; repeated rows have equal results; an empty
 table gives an empty result; further columns are ignored.
 """
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, SURGE = 3, 60
+WINDOW, SURGE, ASIDE = 3, 60, 120
 #: Share of the text that isn't boilerplate from which article containers speak for the page.
 SHARE = 0.25
 #: Elements whose content is never text.
@@ -91,6 +93,17 @@ def lines(html: str) -> list[tuple[str, int, bool, int, bool]]:
     links: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # element, boilerplate, article
     boiler, article, articles, in_link = False, -1, 0, 0
+    open_: dict[str, int] = {}  # how many of each element are open
+    lists: list[int] = []  # places of open lists and their items
+
+    def leave(k: int) -> tuple[bool, int]:
+        """Close all elements from place k on."""
+        for name, *_ in stack[k:]:
+            open_[name] -= 1
+        del stack[k:]
+        while lists and lists[-1] >= k:
+            lists.pop()
+        return (stack[-1][1], stack[-1][2]) if stack else (False, -1)
 
     def flush() -> None:
         if text:
@@ -122,36 +135,30 @@ def lines(html: str) -> list[tuple[str, int, bool, int, bool]]:
         if name not in INLINE:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    boiler = stack[-1][1] if stack else False
-                    article = stack[-1][2] if stack else -1
-                    break
+            if open_.get(name):  # else there is nothing to look for
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                boiler, article = leave(k)
             if name == "a":
                 in_link = 0
             continue
         if name in SILENT:
+            if attrs.rstrip().endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(html, at)
             if name == "head" and not end:
                 end = re.compile(r"(?=<body)", re.IGNORECASE).search(html, at)
-            if not attrs.rstrip().endswith("/"):
-                at = end.end() if end else n
+            at = end.end() if end else n
             continue
         if name in VOID or attrs.endswith("/"):
             continue
-        if name in _P_ENDS and any(s[0] == "p" for s in stack[-3:]):  # an open paragraph ends here
-            k = max(i for i, s in enumerate(stack) if s[0] == "p")
-            del stack[k:]
-            boiler = stack[-1][1] if stack else False
-            article = stack[-1][2] if stack else -1
-        elif name == "li":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ("ul", "ol"):
-                    break
-                if stack[k][0] == "li":
-                    del stack[k:]
-                    break
+        if name in _P_ENDS:
+            k = next((k for k in range(len(stack) - 1, max(len(stack) - 4, -1), -1) if stack[k][0] == "p"), None)
+            if k is not None:  # an open paragraph ends here
+                boiler, article = leave(k)
+        elif name == "li" and lists and stack[lists[-1]][0] == "li":
+            boiler, article = leave(lists[-1])
         values = _ATTR.findall(attrs)
         named = " ".join(v.strip("\"'") for a, v in values if a.lower() in ("class", "id", "role"))
         said = _OWN_HEAD.sub(" ", named) if article >= 0 or ARTICLE.search(named) else named
@@ -166,7 +173,10 @@ def lines(html: str) -> list[tuple[str, int, bool, int, bool]]:
             bad = boiler
         if not boiler and article < 0 and (name in ("article", "main") or (named and name in ("div", "section", "main") and not bad and ARTICLE.search(named))):
             article, articles = articles, articles + 1
+        if name in ("li", "ul", "ol"):
+            lists.append(len(stack))
         stack.append((name, bad, article))
+        open_[name] = open_.get(name, 0) + 1
         boiler = bad
         if name == "a":
             in_link = 1
@@ -174,29 +184,29 @@ def lines(html: str) -> list[tuple[str, int, bool, int, bool]]:
     return out
 
 
-def weights(found: list[tuple[str, int, bool, int, bool]], window: int = WINDOW, surge: int = SURGE) -> list[int]:
-    """What each line adds to the sums over windows."""
+def weights(found: list[tuple[str, int, bool, int, bool]]) -> list[int | None]:
+    """What each line adds to the sums over windows; None takes it out."""
     size: dict[int, int] = {}
-    rest = 0
+    outside = 0
     for text, plain, bad, article, _ in found:
         if not bad and article >= 0:
             size[article] = size.get(article, 0) + len(text)
         elif not bad:
-            rest += plain
-    out = []
-    for text, plain, bad, *_ in found:
-        links_or_rights = 2 * plain <= len(text) or _RIGHTS.match(text)
-        out.append(-len(text) if bad else 0 if links_or_rights else plain)
-    if not size or sum(size.values()) < SHARE * (sum(size.values()) + rest):
-        return out
-    best = max(size, key=lambda k: (size[k], -k))
-    own = {k: [w for w, (_, _, bad, article, _) in zip(out, found) if article == k and not bad] for k in size}
-    chosen = {k for k in size if k == best or any(between(own[k], window, surge))}
-    inside = [article in chosen and not bad for _, _, bad, article, _ in found]
-    first = inside.index(True)
-    if first and found[first - 1][4] and not found[first - 1][2]:  # a headline directly before the article
-        inside[first - 1] = True
-    return [len(line[0]) + surge if x else -len(line[0]) for line, x in zip(found, inside)]
+            outside += plain
+    inside, most = sum(size.values()), max(size.values(), default=0)
+    chosen = inside > 0 and inside >= SHARE * (inside + outside)
+    own = {k for k, n in size.items() if n >= SHARE * most}
+    first = next((k for k, line in enumerate(found) if not line[2] and line[3] in own), 0)
+    out: list[int | None] = []
+    for k, (text, plain, bad, article, headline) in enumerate(found):
+        if bad or _RIGHTS.match(text):
+            out.append(None if article >= 0 else -len(text))
+            continue
+        weight = len(text) if article >= 0 else plain if 2 * plain > len(text) else 0
+        if chosen and article not in own and not (headline and k == first - 1):
+            weight -= ASIDE
+        out.append(weight)
+    return out
 
 
 def window_sums(weight: list[int], window: int = WINDOW) -> list[int]:
@@ -217,12 +227,13 @@ def window_sums(weight: list[int], window: int = WINDOW) -> list[int]:
 def between(weight: list[int], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
     """Which lines lie between a surge and a dive."""
     sums = window_sums(weight, window)
+    rise = min(surge, max(sums, default=0) - 1)
     n, inside, kept = len(weight), False, [False] * len(weight)
     for i in range(n):
         if inside:
             inside = sums[i] > 0
-        elif weight[i] > 0 and sums[i] > surge:  # and not back to nothing at once
-            inside = weight[i] > surge or sums[i] > weight[i]
+        elif weight[i] > 0 and sums[i] > rise:  # and not back to nothing at once
+            inside = weight[i] > rise or sums[i] > weight[i]
         kept[i] = inside
     return kept
 
@@ -230,15 +241,14 @@ def between(weight: list[int], window: int = WINDOW, surge: int = SURGE) -> list
 def extract(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """Main text of a page, one line a block."""
     found = lines(html or "")
-    weight = weights(found, window, surge)
-    kept = between(weight, window, surge)
-    if not any(kept):  # too short to surge
-        kept = [w > 0 for w in weight]
-    first = next((i for i, k in enumerate(kept) if k), 0)
+    kept = [(line[0], w) for line, w in zip(found, weights(found)) if w is not None]
+    text, weight = [t for t, _ in kept], [w for _, w in kept]
+    marks = between(weight, window, surge)
+    first = next((i for i, k in enumerate(marks) if k), 0)
     while first and weight[first - 1] > 0:  # a headline before the surge
         first -= 1
-        kept[first] = True
-    return "\n".join(line[0] for line, k in zip(found, kept) if k)
+        marks[first] = True
+    return "\n".join(t for t, k in zip(text, marks) if k)
 
 
 def main_text(pages: DataFrame, html: str = "html") -> DataFrame:

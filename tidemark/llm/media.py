@@ -35,8 +35,8 @@ _MARK = re.compile(
     re.DOTALL,
 )
 _SILENT = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
-_REF = re.compile(r"""\bsrc\s*=\s*["']?media:([0-9a-f]{64})""", re.IGNORECASE)
-_ALT = re.compile(r"""\balt\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.IGNORECASE)
+_REF = re.compile(r"""(?<![\w-])src\s*=\s*["']?media:([0-9a-f]{64})""", re.IGNORECASE)
+_ALT = re.compile(r"""(?<![\w-])alt\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.IGNORECASE)
 _MEDIA = frozenset("img video audio source".split())
 _INLINE = frozenset("a b i em strong span u small sub sup code".split())
 
