@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import adjust_queries, dataset_queries, pixel_queries, sequence_queries, stream_queries, table_queries, text_queries
+from tidemark.plans import adjust_queries, dataset_queries, memory_queries, pixel_queries, plane_queries, sequence_queries, stream_queries, table_queries, text_queries
 
 FLAGSHIP = "seq_scene_pipeline"
 
-_MODULES = (sequence_queries, pixel_queries, adjust_queries, table_queries, dataset_queries, text_queries, stream_queries)
+_MODULES = (sequence_queries, pixel_queries, adjust_queries, plane_queries, memory_queries, table_queries, dataset_queries, text_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

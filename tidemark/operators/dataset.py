@@ -207,3 +207,28 @@ def longest_first(df: DataFrame, size: str, key: str) -> DataFrame:
     """``df`` with ``place`` from 0: rows by falling size, then key, numbered by ranges."""
     ranked = group_ranks(df.withColumn("_all", F.lit(0)), ["_all"], [F.col(size).desc(), F.col(key)])
     return ranked.withColumn("place", F.col("rank") - 1).drop("_all", "rank")
+
+
+def weighted_draws(df: DataFrame, weight: str, n: int, seed: int, key: str) -> DataFrame:
+    """``n`` rows drawn with replacement, each as likely as its whole ``weight`` is large, with ``draw`` (from 0).
+
+    Rows lie one after another on a line, by ``key``, each as long as its weight; draws are places on it by seeded hash. Rows and
+    draws meet in cells of the line of about a row each, so that neither a heavy row nor many draws gather in one task.
+    """
+    rows = df.where(F.col(weight) > 0).select(F.struct(key).alias("_order"), F.struct(*df.columns).alias("_row"), F.col(weight).cast("long").alias("_w"))
+    placed = prefix_sums(rows, "_order", ["_w"])
+    total, count = placed.agg(F.max("run__w"), F.count("*")).first()
+    if not count or n <= 0:
+        return df.limit(0).withColumn("draw", F.lit(0).cast("long"))
+    step, block = max(1, total // count), 1 << 16
+    cell = lambda c: F.expr(f"({c}) div {step}")
+    spans = placed.select("_row", (F.col("run__w") - F.col("_w")).alias("lo"), F.col("run__w").alias("hi"))
+    spans = spans.withColumns({"first": cell("lo"), "last": cell("hi - 1")})
+    spans = spans.select("*", F.explode(F.expr(f"sequence(first div {block}, last div {block})")).alias("b"))  # a heavy row, block by block
+    inside = F.expr(f"sequence(greatest(first, b * {block}), least(last, b * {block} + {block} - 1))")
+    spans = spans.select("_row", "lo", "hi", F.explode(inside).alias("cell"))
+    text = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")))
+    at = F.conv(F.substring(text, 1, 15), 16, 10).cast("long") % total
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), at.alias("at")).withColumn("cell", cell("at"))
+    hit = draws.join(spans, "cell").where("at >= lo and at < hi")
+    return hit.select("_row.*", "draw")

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import round_half_up
+from tidemark.operators import images
 
 
 def scan(df: DataFrame, read: list[str], start: Callable[[], dict], step: Callable, out: dict[str, str]) -> DataFrame:
@@ -21,7 +24,7 @@ def scan(df: DataFrame, read: list[str], start: Callable[[], dict], step: Callab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clip, state = None, None
-        kinds = {"boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+        kinds = {"boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
         for b in batches:
             rows = []
             for key, n, *values in zip(*[b.column(spot[c]).to_pylist() for c in ("clip_id", "n", *read)]):
@@ -179,6 +182,157 @@ def filter_changes(
     return scan(df, [flag, luma], dict, step, {"reason": "long"})
 
 
+def filter_scenes(
+    df: DataFrame,
+    flag: str,
+    luma: str,
+    frame: str,
+    width: int,
+    threshold: float = 0.55,
+    min_length: int = 1,
+    black: float = 0.10,
+    white: float = 0.70,
+    frequency: int = 0,
+    ratio: str | None = None,
+    reason: str | None = None,
+) -> DataFrame:
+    """``df`` with ``change``, ``why``, ``ssim`` and ``likeness``: which flagged rows stand when their frames are compared with that of
+    the last kept row.
+
+    ``frame`` is binary, bytes of gray row by row, ``width`` a row; the state is one frame with its histogram. ``ssim`` is the mean
+    structural similarity, ``likeness`` 1 less the Hellinger distance of the histograms; both are null where nothing is
+    compared. ``why`` is 1 where both are low, 2 where a dark scene gets light while frames are alike, 3 where frames are alike but
+    histograms far apart, 4 more within ``min_length`` rows of the last kept one, -1 for one that turns dark there, and 0 for none.
+    Changes with luma outside ``black`` and ``white`` don't stand. With a ``frequency`` above 1, dark changes with a ``ratio`` below 2
+    don't stand either. A ``reason`` above 1 overrides the comparison once the last kept row had none.
+    """
+    dark, light, dim, equal, spread, high = 0.19, 0.70, 0.14, 0.69, 0.70, 0.95
+
+    def likeness(h: np.ndarray, k: np.ndarray) -> float:
+        share = np.sqrt(h * k).sum() / np.sqrt(h.sum() * k.sum())
+        return round_half_up(1 - float(np.sqrt(max(0.0, 1 - share))))
+
+    def step(state: dict, n: int, hit: bool, y: float, raw: bytes, step_ratio: float | None, given: int | None) -> tuple:
+        if not hit and n != 0:
+            return False, 0, None, None
+        gray = np.frombuffer(raw, np.uint8)
+        bins = np.bincount(gray, minlength=256).astype(float)
+        keep = lambda: state.update(last=n, gray=gray, bins=bins, luma=y, given=given or 0)
+        if "last" not in state:
+            keep()
+            return True, 1, None, None
+        why = 0
+        if n - state["last"] < min_length:
+            if min_length > 1 and n > 1 and state["luma"] >= dark > y:
+                return False, -1, None, None
+            why = 4
+        inside = black < y < white
+        near = far = None
+        if threshold == 1:
+            change, add = inside, 1
+        else:
+            a, b = (x.reshape(1, -1, width).astype(float) for x in (gray, state["gray"]))
+            near, far = round_half_up(float(images.ssim(a, b)[0])), likeness(state["bins"], bins)
+            change, add = False, 0
+            if (given or 0) > 1 and state["given"] < 2:
+                change = inside
+            elif near < threshold and far < high:
+                change, add = inside, 1
+                if change and why == 0 and frequency > 1 and y < dim and (step_ratio is None or step_ratio < 2.0):
+                    change = False
+            elif near >= equal and state["luma"] < dark <= y:
+                change, add = inside, 2
+            elif near >= equal and far < spread:
+                change, add = dark < y < light, 3
+        if change:
+            keep()
+        return change, why + add if change else 0, near, far
+
+    columns = {"_ratio": F.col(ratio) if ratio else F.lit(None).cast("double"), "_reason": F.col(reason) if reason else F.lit(None).cast("long")}
+    out = {"change": "boolean", "why": "long", "ssim": "double", "likeness": "double"}
+    return scan(df.withColumns(columns), [flag, luma, frame, "_ratio", "_reason"], dict, step, out).drop("_ratio", "_reason")
+
+
+class Memory:
+    """A working and a long-term memory of keys, values, shrinkages and usages."""
+
+    def __init__(self, most: int, least: int, protos: int, long_most: int, top: int):
+        self.most, self.least, self.protos, self.long_most, self.top = most, least, protos, long_most, top
+        self.work: list[list] = []  # key, value, shrinkage, usage, rows since it came
+        self.long: list[list] = []
+
+    @staticmethod
+    def similarity(keys: np.ndarray, shrink: np.ndarray, queries: np.ndarray, select: np.ndarray) -> np.ndarray:
+        """Negative squared distances (keys down, queries across), weighted by each query's ``select`` and shrunk by each key's factor."""
+        found = -(keys**2 @ select.T) + 2 * keys @ (queries * select).T - (select * queries**2).sum(1)
+        return found * shrink[:, None] / np.sqrt(keys.shape[1])
+
+    @staticmethod
+    def softmax(scores: np.ndarray, top: int | None = None) -> np.ndarray:
+        """Weights down each column, of the ``top`` best alone if given; ties by place."""
+        if top is not None and top < len(scores):
+            order = np.argsort(-scores, axis=0, kind="stable")
+            scores = scores.copy()
+            np.put_along_axis(scores, order[top:], -np.inf, 0)
+        e = np.exp(scores - scores.max(0))
+        return e / e.sum(0)
+
+    def read(self, key: np.ndarray, select: np.ndarray) -> np.ndarray | None:
+        """The value read out for a key; usages of what it is read from grow."""
+        held = self.long + self.work
+        if not held:
+            return None
+        keys, values, shrink = (np.array([h[i] for h in held]) for i in range(3))
+        weight = self.softmax(self.similarity(keys, shrink, key[None], select[None]), self.top)[:, 0]
+        for h, w in zip(held, weight):
+            h[3] += w
+            h[4] += 1
+        return weight @ values
+
+    def add(self, key: np.ndarray, value: np.ndarray, shrink: float, select: np.ndarray) -> None:
+        """A new entry of the working memory, which is consolidated when it is full."""
+        self.work.append([key, value, shrink, 0.0, 1e-7, select])
+        if len(self.work) < self.most:
+            return
+        cut = len(self.work) - self.least + 1
+        middle = self.work[1:cut]  # the first entry and the last stay
+        self.work = self.work[:1] + self.work[cut:]
+        use = np.array([h[3] / h[4] for h in middle])
+        best = np.argsort(-use, kind="stable")[: self.protos]
+        keys, values, shrink = (np.array([h[i] for h in middle]) for i in range(3))
+        weight = self.softmax(self.similarity(keys, shrink, keys[best], np.array([middle[i][5] for i in best])))
+        drawn, factor = weight.T @ values, weight.T @ shrink
+        room = self.long_most - len(best)
+        if len(self.long) > room:  # the least used go
+            use = np.array([h[3] / h[4] for h in self.long])
+            stay = np.sort(np.argsort(-use, kind="stable")[: max(room, 0)])
+            self.long = [self.long[i] for i in stay]
+        self.long += [[keys[i], v, float(f), 0.0, 1e-7] for i, v, f in zip(best, drawn, factor)]
+
+
+def remember(
+    df: DataFrame, key: str, value: str, shrink: str, select: str, every: int = 5, most: int = 10, least: int = 5, protos: int = 3, long_most: int = 24, top: int = 8
+) -> DataFrame:
+    """``df`` with ``read``, ``work``, ``long`` and ``usage``: values read from a working and a long-term memory as rows come.
+
+    Each row's ``key`` is first read against all entries: the softmax of the ``top`` highest similarities weighs their values.
+    Every ``every``-th row then enters the working memory. At ``most`` entries it keeps its first and its last ``least`` - 1; those in
+    between are consolidated: the ``protos`` most used become prototypes of the long-term memory, with values and shrinkages read
+    from all of them by similarity. The long-term memory evicts its least used entries before it passes ``long_most``. ``usage`` is
+    that of all entries, long-term ones first. A clip's state is bounded by ``most`` and ``long_most``.
+    """
+
+    def step(state: Memory, n: int, k: list, v: list, s: float, e: list) -> tuple:
+        k, v, e = (np.array(x, float) for x in (k, v, e))
+        read = state.read(k, e)
+        if n % every == 0:
+            state.add(k, v, s, e)
+        return None if read is None else read.tolist(), len(state.work), len(state.long), [float(h[3]) for h in state.long + state.work]
+
+    start = lambda: Memory(most, least, protos, long_most, top)
+    return scan(df, [key, value, shrink, select], start, step, {"read": "array<double>", "work": "long", "long": "long", "usage": "array<double>"})
+
+
 def two_memories(df: DataFrame, every: int = 5, most: int = 10, least: int = 5, long_most: int = 24) -> DataFrame:
     """``df`` with ``work``, ``moved`` and ``long``: sizes of a working and a long-term memory as rows come.
 

@@ -232,8 +232,8 @@ def clahe(df: DataFrame, clip: float = 2.0, tiles: int = 2, bins: int = 256) ->
     return _per_frame(df, lambda a, b: _tiled(a, clip, tiles, bins), "v", "array<long>")
 
 
-def edges(df: DataFrame) -> DataFrame:
-    """``v``: largest response of the four compass kernels, 0..255."""
+def compass_kernels() -> list[np.ndarray]:
+    """Four kernels that answer to edges in four directions, two steps of the ring apart."""
     ring = [(0, 0), (0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0)]
 
     def kernel(turn: int) -> np.ndarray:
@@ -242,7 +242,12 @@ def edges(df: DataFrame) -> DataFrame:
             k[at] = 5 if (i - turn) % 8 < 3 else -3
         return k
 
-    kernels = [kernel(t) for t in (0, 2, 4, 6)]
+    return [kernel(t) for t in (0, 2, 4, 6)]
+
+
+def edges(df: DataFrame) -> DataFrame:
+    """``v``: largest response of the four compass kernels, 0..255."""
+    kernels = compass_kernels()
 
     def f(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         w = _windows(np.pad(a, ((0, 0), (1, 1), (1, 1)), mode="edge"), 3)

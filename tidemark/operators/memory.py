@@ -91,6 +91,64 @@ def top_k(queries: DataFrame, keys: DataFrame, k: int, query_block: int = 2_000,
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def selective_top_k(queries: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """query_id, key_id, score and rank of the k keys most alike: the negative squared distance, weighted by each query's ``selection``
+    and times each key's ``shrinkage``, over the root of the vectors' length.
+
+    The weighted distance is one product of longer vectors, so that ``top_k`` does the rest: -e, 2eq and -eqq on the query's side
+    meet kk, k and 1 on the key's.
+    """
+    double = lambda v: F.transform(v, lambda x: x.cast("double"))
+    q, e, v = double("vector"), double("selection"), double("vector")
+    weighted = F.zip_with(q, e, lambda x, w: x * w)
+    asked = F.concat(F.transform(e, lambda w: -w), F.transform(weighted, lambda x: x * 2), F.array(-dot(weighted, q)))
+    factor = F.col("shrinkage").cast("double") / F.sqrt(F.size("vector").cast("double"))
+    held = F.transform(F.concat(F.transform(v, lambda x: x * x), v, F.array(F.lit(1.0))), lambda x: x * factor)
+    return top_k(queries.select("id", asked.alias("vector")), keys.select("id", held.alias("vector")), k)
+
+
+def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, sums and products of all pairs of components: partial sums a task, d * d numbers to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = b.column(vector).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                one = np.column_stack([np.ones(len(x)), x])
+                total = one.T @ one if total is None else total + one.T @ one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "s"])
+
+    rows = df.where(F.col(vector).isNotNull()).select(vector).mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
+    if not rows:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    size = int(np.sqrt(len(rows)) + 0.5)
+    whole = np.zeros(len(rows))
+    whole[[r.i for r in rows]] = [r.s for r in rows]
+    whole = whole.reshape(size, size)
+    return int(whole[0, 0]), whole[0, 1:], whole[1:, 1:]
+
+
+def principal_components(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, the k components (rows) of the largest variances and these; a component's largest part is positive."""
+    n, sums, products = moments(df, vector)
+    if n < 2:
+        return sums, np.zeros((0, len(sums))), np.zeros(0)
+    mean = sums / n
+    values, ways = np.linalg.eigh((products - n * np.outer(mean, mean)) / (n - 1))
+    ways = ways.T[::-1][:k]
+    ways = ways * np.sign(ways[np.arange(len(ways)), np.abs(ways).argmax(1)])[:, None]
+    return mean, ways, values[::-1][:k]
+
+
+def project(df: DataFrame, vector: str, mean: np.ndarray, ways: np.ndarray) -> DataFrame:
+    """``df`` with ``projected``, a vector's places along the components."""
+    number = lambda x: F.array(*[F.lit(float(v)) for v in x])
+    centred = F.zip_with(vector, number(mean), lambda x, m: x.cast("double") - m)
+    return df.withColumn("projected", F.array(*[dot(centred, number(w)) for w in ways]))
+
+
 def softmax_weights(found: DataFrame, scale: float = 1.0) -> DataFrame:
     """``found`` with ``weight``: exponentials of the scores, normalised a query."""
     e = F.exp(F.col("score") * scale)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import group_ranks
 from tidemark.session import table
 
 
@@ -42,3 +43,14 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "(l_partkey * 7 + l_linenumber) % 256 AS g2",
         "(l_suppkey * 13 + l_partkey) % 256 AS b2",
     )
+
+
+def plane_cells(spark: SparkSession, sf_dir: str, width: int = 128) -> DataFrame:
+    """Cells (plane, x, y, v and w) of planes ``width`` wide: the samples of each line in order, as many whole rows as they fill."""
+    cells = group_ranks(pixels(spark, sf_dir).select("line", "row_id", "p", "s", "r", "r2"), ["line"], [F.col(c) for c in ("row_id", "p", "s")])
+    whole = cells.groupBy("line").agg(F.expr(f"max(rank) div {width}").alias("rows"))  # one row a plane
+    at = F.col("rank") - 1
+    placed = cells.join(whole, "line").select(
+        F.col("line").cast("long").alias("plane"), (at % width).alias("x"), F.expr(f"(rank - 1) div {width}").alias("y"), F.col("r").alias("v"), F.col("r2").alias("w"), "rows"
+    )
+    return placed.where("y < rows").drop("rows")
