@@ -153,3 +153,51 @@ def test_missing_cells_and_no_cells(spark, cells):
     some = cells.where("plane = 7 and not (x = 1 and y = 1)")
     assert planes.median(some, 1).count() == 14
     assert planes.edges(cells.limit(0)).count() == 0 and planes.canny(cells.limit(0)).count() == 0 and planes.clahe(cells.limit(0)).count() == 0
+
+
+def seen(v, matrix, width, height, outside):
+    """Bilinear samples one place at a time."""
+    h, w = v.shape
+    out = np.zeros((height, width))
+    for y in range(height):
+        for x in range(width):
+            a, b, c = matrix @ np.array([(2 * x + 1) / width - 1, (2 * y + 1) / height - 1, 1])
+            sx, sy = (a / c + 1) / 2 * w - 0.5, (b / c + 1) / 2 * h - 0.5
+            total = 0.0
+            for i in (int(np.floor(sx)), int(np.floor(sx)) + 1):
+                for j in (int(np.floor(sy)), int(np.floor(sy)) + 1):
+                    part = (1 - abs(sx - i)) * (1 - abs(sy - j))
+                    if outside == "border":
+                        total += part * v[min(max(j, 0), h - 1), min(max(i, 0), w - 1)]
+                    elif outside == "reflection":
+                        k, m = i % (2 * w), j % (2 * h)
+                        total += part * v[m if m < h else 2 * h - 1 - m, k if k < w else 2 * w - 1 - k]
+                    elif 0 <= i < w and 0 <= j < h:
+                        total += part * v[j, i]
+            out[y, x] = total
+    return out
+
+
+@pytest.mark.parametrize("outside, size", [("zeros", None), ("border", (40, 31)), ("reflection", None)])
+def test_resampling(cells, whole, outside, size):
+    rng = np.random.default_rng(9)
+    for matrix in (planes.rotation(33.0) @ planes.zoom(0.7, 0.2, 0.9), planes.perspective([tuple(p + rng.uniform(-0.2, 0.2, 2)) for p in np.array([(-1, -1), (-1, 1), (1, -1), (1, 1)])])):
+        got = grids(planes.resampled(cells, matrix, *(size or (None, None)), outside=outside))
+        for p, (v, _) in whole.items():
+            want = seen(v, matrix, *(size or v.shape[::-1]), outside)
+            assert got[p].shape == want.shape and np.abs(got[p] - want).max() < 1e-6
+
+
+def test_matrices_and_holes(cells, whole):
+    moved = [(-0.9, -1.1), (-1.2, 0.8), (1.0, -0.7), (1.1, 1.3)]
+    m = planes.perspective(moved)
+    for corner, to in zip([(-1, -1), (-1, 1), (1, -1), (1, 1)], moved):
+        a, b, c = m @ np.array([*corner, 1])
+        assert (a / c, b / c) == pytest.approx(to)
+    v = grids(planes.cut_out(cells, [(0.0, 0.0), (0.5, 0.5)], 6))[1]
+    want = whole[1][0].copy()
+    want[:4, :4] = 0
+    want[75 - 3 : 75 + 4, 105 - 3 : 105 + 4] = 0
+    assert (v == want).all()
+    with pytest.raises(ValueError):
+        planes.resampled(cells, m, outside="other")

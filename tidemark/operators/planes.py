@@ -280,3 +280,69 @@ def local_average(cells: DataFrame, feature: str = "v", value: str = "w", radius
         return [(weight * np.nan_to_num(np.take_along_axis(c, best, 2))).sum(2) / weight.sum(2)]
 
     return neighbourhood(cells, kernel, {"v": "double"}, (radius, radius), size, (feature, value), np.nan)
+
+
+def rotation(degrees: float) -> np.ndarray:
+    """Turns by an angle; like all these matrices it takes places of the result to places of the source, both from -1 to 1."""
+    a = np.radians(degrees)
+    return np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), 0], [0, 0, 1]])
+
+
+def zoom(scale: float, across: float = 0.5, down: float = 0.5) -> np.ndarray:
+    """Shows 1 / ``scale`` of the plane, at shares of the room that is left."""
+    room = 1 - 1 / scale
+    return np.array([[1 / scale, 0, room * (2 * across - 1)], [0, 1 / scale, room * (2 * down - 1)], [0, 0, 1]])
+
+
+def perspective(moved: list[tuple[float, float]]) -> np.ndarray:
+    """Takes the corners (upper left, lower left, upper right, lower right) to the places ``moved``."""
+    corners = [(-1, -1), (-1, 1), (1, -1), (1, 1)]
+    rows, want = [], []
+    for (x, y), (u, v) in zip(corners, moved):
+        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
+        want += [u, v]
+    return np.append(np.linalg.solve(np.array(rows, float), np.array(want, float)), 1).reshape(3, 3)
+
+
+def resampled(cells: DataFrame, matrix: np.ndarray, width: int | None = None, height: int | None = None, outside: str = "zeros") -> DataFrame:
+    """``v`` of planes seen through ``matrix``, ``width`` x ``height`` or as large as they were, between four cells by their distance.
+
+    Each place of the result asks for the four cells around its source; they meet by an equi-join on cells. Beyond the plane there
+    are ``zeros``, its ``border`` goes on, or it is mirrored (``reflection``).
+    """
+    whole = extents(cells)
+    size = {c: F.col(c) if given is None else F.lit(given).cast("long") for c, given in (("width", width), ("height", height))}
+    rows = whole.select("plane", "width", "height", size["width"].alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), size["height"] - 1)).alias("y"), size["height"].alias("h"))
+    grid = rows.repartition("plane", "y").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1)).alias("x"))
+    u, v = ((F.col(c) * 2 + 1) / F.col(n) - 1 for c, n in (("x", "w"), ("y", "h")))
+    a, b, c = (float(m[0]) * u + float(m[1]) * v + float(m[2]) for m in matrix)
+    placed = grid.withColumns({"sx": (a / c + 1) / 2 * F.col("width") - 0.5, "sy": (b / c + 1) / 2 * F.col("height") - 0.5})
+
+    def inside(x, n):
+        last = F.col(n) - 1
+        if outside == "border":
+            return F.greatest(F.lit(0.0), F.least(x, last))
+        turn = F.pmod(x + 0.5, F.col(n) * 2.0)  # mirrored at the outer sides of the cells
+        return F.greatest(F.lit(0.0), F.least(F.least(turn, F.col(n) * 2.0 - turn) - 0.5, last))
+
+    if outside not in ("zeros", "border", "reflection"):
+        raise ValueError(f"{outside!r} is none of zeros, border, reflection")
+    if outside != "zeros":
+        placed = placed.withColumns({"sx": inside(F.col("sx"), "width"), "sy": inside(F.col("sy"), "height")})
+    placed = placed.withColumns({"x0": F.floor("sx"), "y0": F.floor("sy")})
+    dx, dy = F.col("sx") - F.col("x0"), F.col("sy") - F.col("y0")
+    corner = lambda i, j: F.struct((F.col("x0") + i).alias("x"), (F.col("y0") + j).alias("y"), ((dx if i else 1 - dx) * (dy if j else 1 - dy)).alias("part"))
+    asked = placed.select("plane", F.col("x").alias("_x"), F.col("y").alias("_y"), F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("c"))
+    asked = asked.select("plane", "_x", "_y", "c.*")
+    met = asked.join(cells.select("plane", "x", "y", "v"), ["plane", "x", "y"], "left")
+    return met.groupBy("plane", F.col("_x").alias("x"), F.col("_y").alias("y")).agg(F.sum(F.col("part") * F.coalesce(F.col("v").cast("double"), F.lit(0.0))).alias("v"))
+
+
+def cut_out(cells: DataFrame, holes: list[tuple[float, float]], length: int) -> DataFrame:
+    """Squares of ``length`` cells set to 0 around places given as shares of the plane's width and height."""
+    placed = cells.join(extents(cells), "plane")
+    near = lambda c, share, n: F.abs(F.col(c) - F.floor(share * F.col(n))) <= length // 2
+    hole = F.lit(False)
+    for across, down in holes:
+        hole = hole | (near("x", across, "width") & near("y", down, "height"))
+    return placed.select("plane", "x", "y", F.when(hole, 0).otherwise(F.col("v")).alias("v"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import half_up
@@ -79,3 +80,52 @@ def plane_canny(spark, sf_dir):
 def plane_local_average(spark, sf_dir):
     """Second values averaged over the neighbours whose first values are most alike."""
     return planes.local_average(plane_cells(spark, sf_dir))
+
+
+def _resampled(matrix: np.ndarray, outside: str, w: str = "ww", h: str = "hh") -> str:
+    """SQL of ``planes.resampled``."""
+    a, b, c = (f"({float(m[0])!r}::DOUBLE * u + {float(m[1])!r}::DOUBLE * v + {float(m[2])!r}::DOUBLE)" for m in matrix)
+    sx, sy = f"(({a} / {c} + 1) / 2 * ww - 0.5)", f"(({b} / {c} + 1) / 2 * hh - 0.5)"
+    if outside == "border":
+        sx, sy = f"greatest(0.0, least({sx}, ww - 1))", f"greatest(0.0, least({sy}, hh - 1))"
+    return f"""z AS (SELECT plane, max(x) + 1 AS ww, max(y) + 1 AS hh FROM pl GROUP BY plane), o AS (SELECT plane, ww, hh, {w} AS w, {h} AS h, unnest(range({h})) AS y FROM z),
+g AS (SELECT *, unnest(range(w)) AS x FROM o), q AS (SELECT *, (x * 2 + 1) / w::DOUBLE - 1 AS u, (y * 2 + 1) / h::DOUBLE - 1 AS v FROM g), s AS (SELECT plane, x, y, {sx} AS sx, {sy} AS sy FROM q),
+k AS (SELECT s.plane, s.x, s.y, CAST(floor(sx) AS BIGINT) + i AS cx, CAST(floor(sy) AS BIGINT) + j AS cy,
+  (CASE WHEN i = 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE WHEN j = 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) AS part FROM s, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))
+SELECT k.plane, k.x, k.y, {r4("sum(part * coalesce(pl.v, 0)) + 1e-7::DOUBLE", 3)} AS v FROM k LEFT JOIN pl ON pl.plane = k.plane AND pl.x = k.cx AND pl.y = k.cy GROUP BY ALL"""
+
+
+_TURN = planes.rotation(10.0) @ planes.zoom(1.25, 0.3, 0.6)
+_WARP = planes.perspective([(-1.0, -1.0), (-0.8, 0.9), (1.1, -0.9), (0.9, 1.0)])
+_SAME = np.eye(3)
+
+
+def _rounded(df):
+    return df.withColumn("v", half_up(F.col("v") + 1e-7, 3))  # sums in either order round alike
+
+
+@query(f"WITH {PX}, {_PL}, {_resampled(_TURN, 'zeros')}")
+def plane_rotate_zoom(spark, sf_dir):
+    """Whole planes turned by ten degrees and enlarged."""
+    return _rounded(planes.resampled(plane_cells(spark, sf_dir), _TURN))
+
+
+@query(f"WITH {PX}, {_PL}, {_resampled(_WARP, 'border')}")
+def plane_warp(spark, sf_dir):
+    """Whole planes seen in perspective."""
+    return _rounded(planes.resampled(plane_cells(spark, sf_dir), _WARP, outside="border"))
+
+
+@query(f"WITH {PX}, {_PL}, {_resampled(_SAME, 'border', '96', '64')}")
+def plane_resize(spark, sf_dir):
+    """Whole planes brought to one size."""
+    return _rounded(planes.resampled(plane_cells(spark, sf_dir), _SAME, 96, 64, "border"))
+
+
+@query(
+    f"""WITH {PX}, {_PL}, z AS (SELECT plane, max(x) + 1 AS ww, max(y) + 1 AS hh FROM pl GROUP BY plane)
+SELECT pl.plane, x, y, CASE WHEN (abs(x - floor(0.25 * ww)) <= 5 AND abs(y - floor(0.5 * hh)) <= 5) OR (abs(x - floor(0.7 * ww)) <= 5 AND abs(y - floor(0.4 * hh)) <= 5) THEN 0 ELSE v END AS v FROM pl JOIN z USING (plane)"""
+)
+def plane_cutout(spark, sf_dir):
+    """Two squares of each plane set to 0."""
+    return planes.cut_out(plane_cells(spark, sf_dir), [(0.25, 0.5), (0.7, 0.4)], 10)

@@ -13,11 +13,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.session import shared_dir
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a Parquet folder or file as a stream; timestamps in the session's zone."""
+def read(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Events of a Parquet folder or file as a stream, ``files`` at a time if given; timestamps in the session's zone."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", "true").parquet(folder)
+    stream = spark.readStream.schema(schema)
+    if files:
+        stream = stream.option("maxFilesPerTrigger", files).parquet(path)
+    else:
+        stream = stream.option("pathGlobFilter", name).option("recursiveFileLookup", "true").parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -69,6 +73,54 @@ def detect_scenes(events: DataFrame, threshold: float = 0.1, min_length: int = 5
     )
 
 
+def detect_scenes_in_order(events: DataFrame, threshold: float = 0.1, min_length: int = 5, late: str = "1 day") -> DataFrame:
+    """user_id, event_id, n and change as ``detect_scenes`` gives them for events in order, however batches bring them.
+
+    Events wait, by user, until the watermark has passed their time; a timer then releases them in order of time and event_id. Events
+    that come later than ``late`` are dropped, and ``drained_counted`` counts them. State is three numbers a user and the events of the
+    time that the watermark trails behind. The last events are released once a later one of any user moves the watermark.
+    """
+    names = ["user_id", "event_id", "n", "change"]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, last, luma, *held = state.get if state.exists else (0, 0, -1.0, [], [], [])
+        waiting = list(zip(*held))
+        if not state.hasTimedOut:
+            for frame in frames:
+                waiting += zip(*[frame[c].tolist() for c in ("at", "event_id", "value")])
+        watermark = state.getCurrentWatermarkMs()
+        waiting.sort()
+        due = sum(at <= watermark * 1000 for at, *_ in waiting)
+        rows = []
+        for _, event_id, value in waiting[:due]:
+            y = min(value, 500.0) / 500
+            change = n == 0 or (n - last >= min_length and abs(y - luma) > threshold)
+            rows.append((key[0], event_id, n, change))
+            last = n if change else last
+            n, luma = n + 1, y
+        waiting = waiting[due:]
+        state.update((n, last, luma, *([w[i] for w in waiting] for i in range(3))))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, watermark) + 1)
+        yield pd.DataFrame(rows, columns=names).astype({"user_id": "int64", "event_id": "int64", "n": "int64", "change": "bool"})
+
+    timed = events.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    return timed.groupBy("user_id").applyInPandasWithState(
+        step, "user_id long, event_id long, n long, change boolean", "n long, last long, luma double, at array<long>, id array<long>, value array<double>",
+        "append", GroupStateTimeout.EventTimeTimeout,
+    )
+
+
+def drained_counted(stream: DataFrame) -> tuple[DataFrame, int]:
+    """All that a stream gives for the input there is, and how many rows were dropped for being late."""
+    where = f"{shared_dir(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state")
+    running = query.outputMode("append").trigger(availableNow=True).start()
+    running.awaitTermination()
+    dropped = sum(op["numRowsDroppedByWatermark"] for p in running.recentProgress for op in p["stateOperators"])
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{where}/out"), dropped
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream gives for the input there is, written to the shared folder and read back."""
     spark = stream.sparkSession
