@@ -61,13 +61,13 @@ def fix_html(x: Column) -> Column:
 
 
 def unescaped(x: Column) -> Column:
-    """All character references, named and numbered, as the characters they stand for; Arrow batches of texts."""
+    """All character references, named and numbered, as the characters they stand for; only texts with an ampersand reach Python."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(html.unescape, na_action="ignore")
 
-    return run(x)
+    return F.coalesce(run(F.when(F.contains(x, F.lit("&")), x)), x)
 
 
 def space_marks(x: Column) -> Column:
@@ -213,28 +213,31 @@ def lm_windows(df: DataFrame, key: str, ids: str, lanes: int, width: int) -> Dat
     """lane, window, x and y: all ids in key order as one stream, cut into equal lanes, each into windows of ``width``.
 
     y is x one id further on. A lane has total // lanes ids, of which its last only ends a y; what is left over goes. Documents
-    know their place by sums of ranges and send each window the ids that fall into it.
+    know their place by sums of ranges and send each window the slice of ids that falls into it, a few rows a document.
     """
     rows = prefix_sums(df.select(key, ids, F.size(ids).cast("long").alias("_n")), key, ["_n"])
     total = rows.agg(F.sum("_n")).first()[0] or 0
     lane = total // lanes
     if lane < 2:
         return df.sparkSession.createDataFrame([], "lane long, window long, x array<long>, y array<long>")
-    start = F.col("run__n") - F.col("_n")
-    at = rows.select(start.alias("_s"), ids, "_n").where(F.col("_s") < lane * lanes)
-    spread = at.select("_s", F.posexplode(ids).alias("_i", "id")).select((F.col("_s") + F.col("_i")).alias("_p"), "id").where(F.col("_p") < lane * lanes)
-    place = F.col("_p") % lane
-    spots = F.array(
-        F.struct(F.floor(place / width).alias("window"), F.lit(True).alias("own")),
-        F.struct(F.floor((place - 1) / width).alias("window"), F.lit(False).alias("own")),
-    )  # as an item of x, and one place earlier as an item of y
-    sent = spread.select(F.floor(F.col("_p") / lane).alias("lane"), place.alias("_p"), "id", F.explode(spots).alias("s"))
-    sent = sent.where(F.when(F.col("s.own"), F.col("_p") < lane - 1).otherwise(F.col("_p") > 0))
-    item = F.struct("_p", "id")
-    whole = sent.groupBy("lane", "s.window").agg(
-        F.array_sort(F.collect_list(F.when(F.col("s.own"), item))).alias("x"), F.array_sort(F.collect_list(F.when(~F.col("s.own"), item))).alias("y")
-    )  # ``width`` items at most
-    return whole.select("lane", "window", F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+    windows = -(-(lane - 1) // width)  # of a lane
+    start, end = F.col("_s"), F.col("_s") + F.col("_n")
+    docs = rows.select((F.col("run__n") - F.col("_n")).alias("_s"), ids, "_n").where(f"_n > 0 and _s < {lane * lanes}")
+    # the first item of a window is also the last of the y before it
+    first = F.expr(f"(_s div {lane}) * {windows} + greatest(_s % {lane} - 1, 0L) div {width}")
+    last = F.least(F.expr(f"((_s + _n - 1) div {lane}) * {windows} + least((_s + _n - 1) % {lane} div {width}, {windows - 1}L)"), F.lit(windows * lanes - 1))
+
+    def piece(g: Column) -> Column:
+        lane_at, place = F.floor(g / windows) * lane, (g % windows) * width
+        low = F.greatest(lane_at + place, start)
+        high = F.least(lane_at + F.least(place + width, F.lit(lane - 1)) + 1, end)
+        return F.struct(g.alias("g"), low.alias("at"), F.slice(ids, (low - start + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int")).alias("ids"))
+
+    pieces = docs.select(F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("p.*").where(F.size("ids") > 0)
+    whole = pieces.groupBy("g").agg(F.flatten(F.array_sort(F.collect_list(F.struct("at", "ids"))).getField("ids")).alias("all"))  # width + 1 ids at most
+    n = F.size("all") - 1
+    numbers = [F.floor(F.col("g") / windows).alias("lane"), (F.col("g") % windows).alias("window")]
+    return whole.select(*numbers, F.slice("all", F.lit(1), n).alias("x"), F.slice("all", F.lit(2), n).alias("y"))
 
 
 def lm_chunks(df: DataFrame, key: str, size: str, lanes: int, width: int) -> DataFrame:
