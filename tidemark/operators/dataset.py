@@ -90,9 +90,17 @@ def filter_rand(df: DataFrame, p: float, seed: int, key: str) -> DataFrame:
     return df.where(draw(seed, key) < int(p * 2**32))
 
 
-def sieve(df: DataFrame, n: str, start: int, end: int) -> DataFrame:
-    """Rows outside [start, end)."""
-    return df.where((F.col(n) < start) | (F.col(n) >= end))
+def sieve(df: DataFrame, n: str, start: int, end: int, key: str | None = None, min_size: int = 0) -> DataFrame:
+    """Rows outside [start, end), ``n`` from 0; with a ``key``, an end of 0 or below counts from each key's last row, and keys of at most
+    ``min_size`` rows stay whole."""
+    if key is None:
+        if end <= 0 or min_size:
+            raise ValueError("an end of 0 or below and min_size need a key")
+        return df.where((F.col(n) < start) | (F.col(n) >= end))
+    sizes = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_size"))  # a hot key is counted before rows move
+    stop = F.col("_size") + end if end <= 0 else F.lit(end)
+    held = df.join(sizes, df[key].eqNullSafe(sizes["_key"]))
+    return held.where((F.col("_size") <= min_size) | (F.col(n) < start) | (F.col(n) >= stop)).drop("_key", "_size")
 
 
 def drop_if(df: DataFrame, condition: Column) -> DataFrame:

@@ -86,18 +86,18 @@ def psnr(df: DataFrame, folder: str, file: str, a: str, b: str) -> DataFrame:
     )
 
 
-def laplacian(plane: DataFrame) -> DataFrame:
-    """``laplacian`` of v at (x, y); a missing neighbour counts as the place itself.
+def laplacian(plane: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``laplacian`` of v at (x, y), of each plane ``by``; a missing neighbour counts as the place itself.
 
     Every place sends its value to its neighbours, and one aggregation gathers them: one shuffle in place of four joins.
     """
     near = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
     sent = plane.select("*", F.explode(near).alias("d"))
     sent = sent.select(
-        (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), "v",
+        *by, (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), "v",
         ((F.col("d.dx") == 0) & (F.col("d.dy") == 0)).alias("own"),
     )
-    got = sent.groupBy("x", "y").agg(
+    got = sent.groupBy(*by, "x", "y").agg(
         F.max(F.when(F.col("own"), F.col("v"))).alias("v"),
         F.sum(F.when(~F.col("own"), F.col("v"))).alias("around"),
         F.count_if(~F.col("own")).alias("k"),
@@ -106,19 +106,19 @@ def laplacian(plane: DataFrame) -> DataFrame:
     return got.where("v is not null").withColumn("laplacian", lap)
 
 
-def split_tiles(plane: DataFrame, width: int, overlap: int) -> DataFrame:
+def split_tiles(plane: DataFrame, width: int, overlap: int, by: tuple[str, ...] = ()) -> DataFrame:
     """``plane`` in two tiles that overlap on both sides of its middle, with ramp weights."""
     half, ramp = width // 2, 2 * overlap
     left = F.when(F.col("x") < half + overlap, F.least(F.lit(1.0), (half + overlap - F.col("x")) / ramp))
     right = F.when(F.col("x") >= half - overlap, F.least(F.lit(1.0), (F.col("x") - (half - overlap - 1)) / ramp))
     tiles = F.array(F.struct(F.lit(0).alias("tile"), left.alias("w")), F.struct(F.lit(1).alias("tile"), right.alias("w")))
-    return plane.select("*", F.explode(F.filter(tiles, lambda t: t.w.isNotNull())).alias("t")).select("x", "y", "v", "t.*")
+    return plane.select("*", F.explode(F.filter(tiles, lambda t: t.w.isNotNull())).alias("t")).select(*by, "x", "y", "v", "t.*")
 
 
-def join_tiles(tiles: DataFrame) -> DataFrame:
+def join_tiles(tiles: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Tiles put together by their weights."""
     value = half_up(F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v")
-    return tiles.groupBy("x", "y").agg(value, F.count("*").alias("tiles"))
+    return tiles.groupBy(*by, "x", "y").agg(value, F.count("*").alias("tiles"))
 
 
 def frames(df: DataFrame, side: int = 8) -> DataFrame:
@@ -326,10 +326,10 @@ def channel_statistics(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(*stats, half_up(spread + centre * 0.3).alias("colourfulness"))
 
 
-def downsampled(plane: DataFrame, k: int) -> DataFrame:
+def downsampled(plane: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Means of k x k cells."""
     cell = [F.floor(F.col(c) / k).cast("long").alias(c) for c in ("x", "y")]
-    return plane.groupBy(*cell).agg(half_up(F.avg("v")).alias("v"), F.count("*").alias("n"))
+    return plane.groupBy(*by, *cell).agg(half_up(F.avg("v")).alias("v"), F.count("*").alias("n"))
 
 
 def flipped(plane: DataFrame, width: int) -> DataFrame:
@@ -361,7 +361,7 @@ def pixel_distance(df: DataFrame, keys: list[str], a: str, b: str, align: bool =
     return rows.groupBy(*keys).agg(half_up(F.avg(F.abs(left - right)) / 255).alias("distance"))
 
 
-def split_grid(plane: DataFrame, width: int, height: int, overlap: int) -> DataFrame:
+def split_grid(plane: DataFrame, width: int, height: int, overlap: int, by: tuple[str, ...] = ()) -> DataFrame:
     """``plane`` in two by two tiles that overlap around its middle, with ramp weights both ways; ``join_tiles`` puts them together."""
 
     def halves(c: str, size: int) -> list[Column]:
@@ -371,7 +371,7 @@ def split_grid(plane: DataFrame, width: int, height: int, overlap: int) -> DataF
 
     across, down = halves("x", width), halves("y", height)
     tiles = F.array(*[F.struct(F.lit(2 * j + i).alias("tile"), (across[i] * down[j]).alias("w")) for j in (0, 1) for i in (0, 1)])
-    return plane.select("*", F.explode(F.filter(tiles, lambda t: t.w.isNotNull())).alias("t")).select("x", "y", "v", "t.*")
+    return plane.select("*", F.explode(F.filter(tiles, lambda t: t.w.isNotNull())).alias("t")).select(*by, "x", "y", "v", "t.*")
 
 
 def matched(df: DataFrame, key: str, x: str, like: str) -> DataFrame:

@@ -225,11 +225,11 @@ def mean_iou(df: DataFrame, image: str, target: str, pred: str) -> DataFrame:
     return per.groupBy(F.col("c").alias("class")).agg(F.avg(F.col("both") / (F.col("t") + F.col("p") - F.col("both"))).alias("iou"), F.count("*").alias("images"))
 
 
-def total_variation(plane: DataFrame, x: str = "x", y: str = "y", v: str = "v") -> DataFrame:
-    """Sums of absolute differences to the right and lower neighbours of a plane, and how many there are."""
-    base = plane.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(v).alias("v"))
-    near = [base.select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("v").alias("w")) for dx, dy in ((1, 0), (0, 1))]
-    return base.join(near[0].unionByName(near[1]), ["x", "y"]).agg(F.sum(F.abs(F.col("v") - F.col("w"))).alias("variation"), F.count("*").alias("n"))
+def total_variation(plane: DataFrame, x: str = "x", y: str = "y", v: str = "v", by: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of absolute differences to the right and lower neighbours of each plane, and how many there are."""
+    base = plane.select(*by, F.col(x).alias("x"), F.col(y).alias("y"), F.col(v).alias("v"))
+    near = [base.select(*by, (F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("v").alias("w")) for dx, dy in ((1, 0), (0, 1))]
+    return base.join(near[0].unionByName(near[1]), [*by, "x", "y"]).groupBy(*by).agg(F.sum(F.abs(F.col("v") - F.col("w"))).alias("variation"), F.count("*").alias("n"))
 
 
 def weighted_errors(df: DataFrame, by: list[str], a: str, b: str, w: str) -> DataFrame:

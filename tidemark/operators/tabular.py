@@ -198,6 +198,18 @@ def schedule(kind: str, start: float, end: float, share: Column) -> Column:
     raise ValueError(f"{kind!r} is no schedule")
 
 
+def phases(parts: list[tuple[float, str, float, float]], share: Column) -> Column:
+    """Schedules one after another: each part has its share of the way, kind, start and end. A cycle is a rise and a fall."""
+    out, begun = None, 0.0
+    for k, (length, kind, start, end) in enumerate(parts):
+        value = schedule(kind, start, end, (share - begun) / length)
+        begun += length
+        inside = share < begun if k < len(parts) - 1 else F.lit(True)
+        out = F.when(inside, value) if out is None else out.when(inside, value)
+    return out
+
+
+
 def dot_bias(u: Column, v: Column, bu: Column, bi: Column, low: float | None = None, high: float | None = None) -> Column:
     """Dot product of two vectors with biases, squeezed into a range if one is given."""
     s = F.aggregate(F.zip_with(u, v, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x) + bu + bi

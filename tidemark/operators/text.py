@@ -143,13 +143,17 @@ def join_fields(*fields: Column, mark: bool = True, bos: bool = True, eos: bool
     return F.concat_ws(" ", *parts, *([F.lit("xxeos")] if eos else []))
 
 
+#: Fixed value: the token that fills a vocabulary up.
+FILLER = "xxfake"
+
+
 def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
     """n of each token."""
     return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def vocabulary(counts: DataFrame, most: int = 60_000, least: int = 2) -> DataFrame:
-    """id and token: special tokens first, then the most frequent ones; ties by token.
+def vocabulary(counts: DataFrame, most: int = 60_000, least: int = 2, multiple: int = 1) -> DataFrame:
+    """id and token: special tokens first, then the most frequent ones; ties by token. Fillers (``FILLER``) bring the size to a ``multiple``.
 
     ``most`` bounds the table, so the window that numbers it is as small.
     """
@@ -157,7 +161,12 @@ def vocabulary(counts: DataFrame, most: int = 60_000, least: int = 2) -> DataFra
     ids = (F.row_number().over(Window.orderBy(F.desc("n"), "token")) + len(SPECIAL) - 1).cast("long")
     first = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(t).alias("token")) for i, t in enumerate(SPECIAL)])
     special = counts.sparkSession.range(1).select(F.explode(first).alias("x")).select("x.*")
-    return kept.select(ids.alias("id"), "token").unionByName(special)
+    whole = kept.select(ids.alias("id"), "token").unionByName(special)
+    if multiple == 1:
+        return whole
+    n = F.max("id") + 1
+    fill = whole.agg(n.alias("n")).select(F.explode(F.expr(f"sequence(n, n + pmod(-n, {multiple}))")).alias("id"), "n").where(f"id < n + pmod(-n, {multiple})")
+    return whole.unionByName(fill.select("id", F.lit(FILLER).alias("token")))
 
 
 def default_size(counts: DataFrame, most: int = 60_000) -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import half_up
 from tidemark.operators import dataset, folds, images, metrics, pixels as x, temporal
 from tidemark.plans.common import PX, SEQ, r4, registry
-from tidemark.plans.pixel_queries import _SAT, _a, _b, _back, _byte, _ID, _KEY, _mix, _out, _y, _yuv
+from tidemark.plans.pixel_queries import _SAT, _a, _b, _back, _byte, _ID, _KEY, _mix, _out, _y, _yuv, _plane
 from tidemark.plans.scenes import scene_detect
 from tidemark.plans.presets import Preset, main, stabilised
 from tidemark.sources.series import events_series, pixels
@@ -140,18 +140,18 @@ _BOUND = [f"floor(least(greatest({n}, least(greatest({s} - tol, 0.0), 255.0)), l
 
 
 @query(
-    f"""WITH {PX}, g AS (SELECT row_id % 64 AS x, p % 48 AS y, {_GRID} FROM px GROUP BY ALL), v AS (SELECT *, floor({_y()}) AS v FROM g),
+    f"""WITH {PX}, g AS (SELECT s AS plane, row_id % 64 AS x, p % 48 AS y, {_GRID} FROM px GROUP BY ALL), v AS (SELECT *, floor({_y()}) AS v FROM g),
 t AS (SELECT a.*, least(abs(coalesce(l.v, a.v) + coalesce(e.v, a.v) + coalesce(u.v, a.v) + coalesce(d.v, a.v) - 4 * a.v) / 255::DOUBLE, 1.0) * 18 + 14 AS tol FROM v a
- LEFT JOIN v l ON l.x = a.x - 1 AND l.y = a.y LEFT JOIN v e ON e.x = a.x + 1 AND e.y = a.y LEFT JOIN v u ON u.x = a.x AND u.y = a.y - 1 LEFT JOIN v d ON d.x = a.x AND d.y = a.y + 1),
-o AS (SELECT x, y, {_back(_T[0], *_BOUND)} FROM t) SELECT x, y, orr AS r, og AS g, ob AS b FROM o"""
+ LEFT JOIN v l ON l.plane = a.plane AND l.x = a.x - 1 AND l.y = a.y LEFT JOIN v e ON e.plane = a.plane AND e.x = a.x + 1 AND e.y = a.y LEFT JOIN v u ON u.plane = a.plane AND u.x = a.x AND u.y = a.y - 1 LEFT JOIN v d ON d.plane = a.plane AND d.x = a.x AND d.y = a.y + 1),
+o AS (SELECT plane, x, y, {_back(_T[0], *_BOUND)} FROM t) SELECT plane, x, y, orr AS r, og AS g, ob AS b FROM o"""
 )
 def chroma_bound(spark, sf_dir):
     """New colours within a tolerance of the stable ones that follows the luma's texture."""
     grid = [F.min(c).alias(c) for c in ("r", "g", "b", "r2", "g2", "b2")]
-    plane = pixels(spark, sf_dir).groupBy((F.col("row_id") % 64).alias("x"), (F.col("p") % 48).alias("y")).agg(*grid)
-    lap = images.laplacian(plane.select("x", "y", F.floor(x.luma(_a())).alias("v"))).select("x", "y", "laplacian")
+    plane = pixels(spark, sf_dir).groupBy(F.col("s").alias("plane"), (F.col("row_id") % 64).alias("x"), (F.col("p") % 48).alias("y")).agg(*grid)
+    lap = images.laplacian(plane.select("plane", "x", "y", F.floor(x.luma(_a())).alias("v")), ("plane",)).select("plane", "x", "y", "laplacian")
     out = x.tolerant_chroma(_a(), _b(), x.chroma_tolerance(F.col("laplacian")))
-    return plane.join(lap, ["x", "y"]).select("x", "y", *[c.alias(k) for c, k in zip(out, "rgb")])
+    return plane.join(lap, ["plane", "x", "y"]).select("plane", "x", "y", *[c.alias(k) for c, k in zip(out, "rgb")])
 
 
 _FIT = "CAST(round_even(w * 480 / h::DOUBLE, 0) AS BIGINT)"
@@ -237,13 +237,12 @@ def equalize_methods(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PX}, g AS (SELECT row_id % 64 AS x, p % 48 AS y, min(r) AS v FROM px GROUP BY ALL)
-SELECT CAST(sum(abs(a.v - b.v)) AS BIGINT) AS variation, count(*) AS n FROM g a JOIN g b ON (b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)"""
+    f"""WITH {PX}, g AS (SELECT s AS plane, row_id % 64 AS x, p % 48 AS y, min(r) AS v FROM px GROUP BY ALL)
+SELECT a.plane, CAST(sum(abs(a.v - b.v)) AS BIGINT) AS variation, count(*) AS n FROM g a JOIN g b ON a.plane = b.plane AND ((b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)) GROUP BY a.plane"""
 )
 def plane_variation(spark, sf_dir):
-    """How much a plane changes from place to place."""
-    plane = pixels(spark, sf_dir).groupBy((F.col("row_id") % 64).alias("x"), (F.col("p") % 48).alias("y")).agg(F.min("r").alias("v"))
-    return metrics.total_variation(plane)
+    """How much each plane changes from place to place."""
+    return metrics.total_variation(_plane(spark, sf_dir), by=("plane",))
 
 
 @query(f"WITH {SEQ} SELECT clip_id, n, CASE WHEN n = 0 OR flag THEN luma * 0.5 ELSE luma END AS luma FROM seq")
@@ -303,15 +302,14 @@ def pixel_distance(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PX}, g AS (SELECT row_id % 64 AS x, p % 48 AS y, min(r) AS v FROM px GROUP BY ALL), h AS (SELECT unnest([0, 1]) AS i),
-w AS (SELECT x, y, v, CASE WHEN a.i = 0 THEN least(1.0, (36 - x) / 8) ELSE least(1.0, (x - 27) / 8) END * CASE WHEN b.i = 0 THEN least(1.0, (28 - y) / 8) ELSE least(1.0, (y - 19) / 8) END AS w FROM g, h a, h b
+    f"""WITH {PX}, g AS (SELECT s AS plane, row_id % 64 AS x, p % 48 AS y, min(r) AS v FROM px GROUP BY ALL), h AS (SELECT unnest([0, 1]) AS i),
+w AS (SELECT plane, x, y, v, CASE WHEN a.i = 0 THEN least(1.0, (36 - x) / 8) ELSE least(1.0, (x - 27) / 8) END * CASE WHEN b.i = 0 THEN least(1.0, (28 - y) / 8) ELSE least(1.0, (y - 19) / 8) END AS w FROM g, h a, h b
   WHERE CASE WHEN a.i = 0 THEN x < 36 ELSE x >= 28 END AND CASE WHEN b.i = 0 THEN y < 28 ELSE y >= 20 END)
-SELECT x, y, {r4("sum(v * w) / sum(w)")} AS v, count(*) AS tiles FROM w GROUP BY x, y"""
+SELECT plane, x, y, {r4("sum(v * w) / sum(w)")} AS v, count(*) AS tiles FROM w GROUP BY plane, x, y"""
 )
 def tile_grid(spark, sf_dir):
-    """A plane cut into two by two tiles and put together."""
-    plane = pixels(spark, sf_dir).groupBy((F.col("row_id") % 64).alias("x"), (F.col("p") % 48).alias("y")).agg(F.min("r").alias("v"))
-    return images.join_tiles(images.split_grid(plane, 64, 48, 4))
+    """Planes cut into two by two tiles and put together."""
+    return images.join_tiles(images.split_grid(_plane(spark, sf_dir), 64, 48, 4, ("plane",)), ("plane",))
 
 
 @query(f"WITH {PX}, m AS (SELECT line, avg(r) AS ma, stddev_samp(r) AS sa, avg(r2) AS mb, stddev_samp(r2) AS sb FROM px GROUP BY line) SELECT {', '.join('px.' + c for c in _ID)}, {r4('(r - ma) / sa * sb + mb')} AS matched FROM px JOIN m USING (line)")
@@ -333,8 +331,14 @@ def hsv_space(spark, sf_dir):
     return _out(pixels(spark, sf_dir), (half_up(x.hue(_a())), half_up(x.saturation(_a())), F.greatest(*_a())), ("hue", "saturation", "value"))
 
 
-@query(f"WITH {PX}, g AS (SELECT row_id % 64 AS x, p % 48 AS y, min(r) AS v FROM px GROUP BY ALL) SELECT 47 - y AS x, x AS y, v FROM g")
+@query(f"WITH {PX}, g AS (SELECT s AS plane, row_id % 64 AS x, p % 48 AS y, min(r) AS v FROM px GROUP BY ALL) SELECT plane, 47 - y AS x, x AS y, v FROM g")
 def rotate_plane(spark, sf_dir):
-    """A plane turned by a quarter."""
-    plane = pixels(spark, sf_dir).groupBy((F.col("row_id") % 64).alias("x"), (F.col("p") % 48).alias("y")).agg(F.min("r").alias("v"))
-    return images.rotated(plane, 48)
+    """Planes turned by a quarter."""
+    return images.rotated(_plane(spark, sf_dir), 48)
+
+
+@query(f"""WITH {SEQ}, k AS (SELECT *, count(*) OVER (PARTITION BY clip_id) AS size FROM seq)
+SELECT clip_id, n FROM k WHERE size <= 40 OR n < 5 OR n >= size - 3""")
+def sieve_long_clips(spark, sf_dir):
+    """Rows outside a range that ends three rows before the last, in clips of more than 40 rows."""
+    return dataset.sieve(events_series(spark, sf_dir), "n", 5, -3, "clip_id", 40).select("clip_id", "n")

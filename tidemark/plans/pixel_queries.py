@@ -264,30 +264,28 @@ def psnr_by_group(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PX}, g AS (SELECT row_id % 64 AS x, p % 48 AS y, min(r) AS v FROM px GROUP BY ALL),
-t AS (SELECT a.x, a.y, a.v, coalesce(l.v, a.v) AS l, coalesce(r.v, a.v) AS rr, coalesce(u.v, a.v) AS u, coalesce(d.v, a.v) AS d FROM g a
- LEFT JOIN g l ON l.x = a.x - 1 AND l.y = a.y LEFT JOIN g r ON r.x = a.x + 1 AND r.y = a.y
- LEFT JOIN g u ON u.x = a.x AND u.y = a.y - 1 LEFT JOIN g d ON d.x = a.x AND d.y = a.y + 1)
-SELECT x, y, l + rr + u + d - 4 * v AS laplacian, {r4("0.1 + 0.2 * least(abs(l + rr + u + d - 4 * v) / 255, 1.0)")} AS tolerance FROM t"""
+    f"""WITH {PX}, g AS (SELECT s AS plane, row_id % 64 AS x, p % 48 AS y, min(r) AS v FROM px GROUP BY ALL),
+t AS (SELECT a.plane, a.x, a.y, a.v, coalesce(l.v, a.v) AS l, coalesce(r.v, a.v) AS rr, coalesce(u.v, a.v) AS u, coalesce(d.v, a.v) AS d FROM g a
+ LEFT JOIN g l ON l.plane = a.plane AND l.x = a.x - 1 AND l.y = a.y LEFT JOIN g r ON r.plane = a.plane AND r.x = a.x + 1 AND r.y = a.y
+ LEFT JOIN g u ON u.plane = a.plane AND u.x = a.x AND u.y = a.y - 1 LEFT JOIN g d ON d.plane = a.plane AND d.x = a.x AND d.y = a.y + 1)
+SELECT plane, x, y, l + rr + u + d - 4 * v AS laplacian, {r4("0.1 + 0.2 * least(abs(l + rr + u + d - 4 * v) / 255, 1.0)")} AS tolerance FROM t"""
 )
 def laplacian_tolerance(spark, sf_dir):
-    """Laplacian of a plane by its four neighbours, and the tolerance it gives."""
-    plane = pixels(spark, sf_dir).groupBy((F.col("row_id") % 64).alias("x"), (F.col("p") % 48).alias("y")).agg(F.min("r").alias("v"))
-    lap = images.laplacian(plane)
+    """Laplacian of planes by the four neighbours, and the tolerance it gives."""
+    lap = images.laplacian(_plane(spark, sf_dir), ("plane",))
     tolerance = half_up(F.lit(0.1) + F.least(F.abs("laplacian") / 255, F.lit(1.0)) * 0.2).alias("tolerance")
-    return lap.select("x", "y", "laplacian", tolerance)
+    return lap.select("plane", "x", "y", "laplacian", tolerance)
 
 
 @query(
-    f"""WITH {PX}, g AS (SELECT row_id % 64 AS x, p % 48 AS y, min(r) AS v FROM px GROUP BY ALL),
-w AS (SELECT x, y, v, t, CASE WHEN t = 0 THEN least(1.0, (36 - x) / 8) ELSE least(1.0, (x - 27) / 8) END AS w FROM g, (VALUES (0), (1)) k(t)
+    f"""WITH {PX}, g AS (SELECT s AS plane, row_id % 64 AS x, p % 48 AS y, min(r) AS v FROM px GROUP BY ALL),
+w AS (SELECT plane, x, y, v, t, CASE WHEN t = 0 THEN least(1.0, (36 - x) / 8) ELSE least(1.0, (x - 27) / 8) END AS w FROM g, (VALUES (0), (1)) k(t)
   WHERE (t = 0 AND x < 36) OR (t = 1 AND x >= 28))
-SELECT x, y, {r4("sum(v * w) / sum(w)")} AS v, count(*) AS tiles FROM w GROUP BY x, y"""
+SELECT plane, x, y, {r4("sum(v * w) / sum(w)")} AS v, count(*) AS tiles FROM w GROUP BY plane, x, y"""
 )
 def tile_split_join(spark, sf_dir):
-    """A plane cut into two overlapping tiles and put together with ramps."""
-    plane = pixels(spark, sf_dir).groupBy((F.col("row_id") % 64).alias("x"), (F.col("p") % 48).alias("y")).agg(F.min("r").alias("v"))
-    return images.join_tiles(images.split_tiles(plane, 64, 4))
+    """Planes cut into two overlapping tiles and put together with ramps."""
+    return images.join_tiles(images.split_tiles(_plane(spark, sf_dir), 64, 4, ("plane",)), ("plane",))
 
 
 @query(
@@ -325,12 +323,13 @@ def kirsch_edges(spark, sf_dir):
     return images.edges(images.frames(pixels(spark, sf_dir)))
 
 
-_PLANE = "pl AS (SELECT row_id % 64 AS x, p % 48 AS y, min(r) AS v FROM px GROUP BY ALL)"
+_PLANE = "pl AS (SELECT s AS plane, row_id % 64 AS x, p % 48 AS y, min(r) AS v FROM px GROUP BY ALL)"
 
 
 def _plane(spark, sf_dir):
+    """A plane of 64 x 48 places for each supplier."""
     rows = pixels(spark, sf_dir)
-    return rows.groupBy((F.col("row_id") % 64).alias("x"), (F.col("p") % 48).alias("y")).agg(F.min("r").alias("v"))
+    return rows.groupBy(F.col("s").alias("plane"), (F.col("row_id") % 64).alias("x"), (F.col("p") % 48).alias("y")).agg(F.min("r").alias("v"))
 
 
 @query(
@@ -342,13 +341,13 @@ def channel_statistics(spark, sf_dir):
     return images.channel_statistics(pixels(spark, sf_dir), "line")
 
 
-@query(f"WITH {PX}, {_PLANE} SELECT CAST(floor(x / 4) AS BIGINT) AS x, CAST(floor(y / 4) AS BIGINT) AS y, {r4('avg(v)')} AS v, count(*) AS n FROM pl GROUP BY 1, 2")
+@query(f"WITH {PX}, {_PLANE} SELECT plane, CAST(floor(x / 4) AS BIGINT) AS x, CAST(floor(y / 4) AS BIGINT) AS y, {r4('avg(v)')} AS v, count(*) AS n FROM pl GROUP BY 1, 2, 3")
 def downsample_grid(spark, sf_dir):
-    """A plane at a quarter of its size."""
-    return images.downsampled(_plane(spark, sf_dir), 4)
+    """Planes at a quarter of their size."""
+    return images.downsampled(_plane(spark, sf_dir), 4, ("plane",))
 
 
-@query(f"WITH {PX}, {_PLANE} SELECT 63 - x - 8 AS x, y - 6 AS y, v FROM pl WHERE 63 - x BETWEEN 8 AND 39 AND y BETWEEN 6 AND 29")
+@query(f"WITH {PX}, {_PLANE} SELECT plane, 63 - x - 8 AS x, y - 6 AS y, v FROM pl WHERE 63 - x BETWEEN 8 AND 39 AND y BETWEEN 6 AND 29")
 def flip_crop(spark, sf_dir):
-    """A plane mirrored and cut to a window."""
-    return images.cropped(images.flipped(_plane(spark, sf_dir), 64), 8, 6, 32, 24).select("x", "y", "v")
+    """Planes mirrored and cut to a window."""
+    return images.cropped(images.flipped(_plane(spark, sf_dir), 64), 8, 6, 32, 24).select("plane", "x", "y", "v")

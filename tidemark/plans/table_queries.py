@@ -160,15 +160,21 @@ def oversample_weights(spark, sf_dir):
     return t.oversample_weights(table(spark, sf_dir, "orders"), "o_orderstatus").withColumn("weight", half_up(F.col("weight"), 9))
 
 
+_TURN = "(CASE WHEN i < 0.3::DOUBLE THEN 0.04 + (1.0 - 0.04) / 2 * (cos(pi() * (1 - i / 0.3::DOUBLE)) + 1) ELSE 0.001::DOUBLE + (1.0 - 0.001::DOUBLE) / 2 * (cos(pi() * (i - 0.3::DOUBLE) / 0.7::DOUBLE) + 1) END)"
+
+
 @query(
-    f"""SELECT i, {r4("0.1 + (0.9) * i / 20")} AS linear, {r4("0.1 * pow(10.0, i / 20)")} AS exp, {r4("1.0 + (0.1 - 1.0) / 2 * (cos(pi() * i / 20) + 1)")} AS cos,
-{r4("1.0 + (0.1 - 1.0) * pow(1 - i / 20, 2)")} AS poly FROM range(21) r(i)"""
+    f"""WITH s AS (SELECT o_orderkey, o_orderkey % 1000 / 1000::DOUBLE AS i FROM orders)
+SELECT o_orderkey, {r4("0.1 + (0.9) * i")} AS linear, {r4("0.1 * pow(10.0, i)")} AS exp, {r4("1.0 + (0.1 - 1.0) / 2 * (cos(pi() * i) + 1)")} AS cos,
+{r4("1.0 + (0.1 - 1.0) * pow(1 - i, 2)")} AS poly, {r4(_TURN)} AS cycle FROM s"""
 )
 def schedules(spark, sf_dir):
-    """Annealing schedules over twenty steps."""
-    share = F.col("id") / 20
+    """Annealing schedules at each order's share of the way, one of them in two phases."""
+    share = (F.col("o_orderkey") % 1000) / 1000
     kinds = {"linear": "linear", "exp": "exp", "cos": "cos", "poly": "poly2"}
-    return spark.range(21).select(F.col("id").alias("i"), *[half_up(t.schedule(k, 0.1, 1.0, share)).alias(n) for n, k in kinds.items()])
+    columns = [half_up(t.schedule(k, 0.1, 1.0, share)).alias(n) for n, k in kinds.items()]
+    cycle = t.phases([(0.3, "cos", 0.04, 1.0), (0.7, "cos", 1.0, 0.001)], share)
+    return table(spark, sf_dir, "orders").select("o_orderkey", *columns, half_up(cycle).alias("cycle"))
 
 
 @query(

@@ -109,6 +109,12 @@ def vocab_top(spark, sf_dir):
     return _vocab(spark, sf_dir)
 
 
+@query(f"WITH {_VOC}, s AS (SELECT max(id) + 1 AS n FROM voc) SELECT id, token FROM voc UNION ALL SELECT unnest(range(n, n + (24 - n % 24) % 24)), '{x.FILLER}' FROM s")
+def vocab_padded(spark, sf_dir):
+    """The vocabulary filled up to a multiple of 24."""
+    return x.vocabulary(_counts(spark, sf_dir), multiple=24)
+
+
 @query(f"WITH {_VOC}, p AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM tok) SELECT doc_id, list(coalesce(id, 0) ORDER BY pos) AS ids FROM p LEFT JOIN voc USING (token) GROUP BY doc_id")
 def numericalize(spark, sf_dir):
     """Documents as ids."""
@@ -152,11 +158,14 @@ def lm_chunks(spark, sf_dir):
     return x.lm_chunks(table(spark, sf_dir, "documents"), "doc_id", "n_chars", 16, 70)
 
 
-@query(f"SELECT column_name AS name, lower(regexp_replace(regexp_replace(column_name, '{x.HUMPS[0]}', '\\1_\\2', 'g'), '{x.HUMPS[1]}', '\\1_\\2', 'g')) AS snake FROM (VALUES ('CamelCase'), ('someHTTPCode'), ('plain'), ('MixedUP2Now')) t(column_name)")
+_CAMEL = "array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), '')"
+
+
+@query(f"SELECT p_partkey, lower(regexp_replace(regexp_replace({_CAMEL}, '{x.HUMPS[0]}', '\\1_\\2', 'g'), '{x.HUMPS[1]}', '\\1_\\2', 'g')) AS snake FROM part")
 def camel_to_snake(spark, sf_dir):
-    """Names in snake case."""
-    names = spark.createDataFrame([(n,) for n in ("CamelCase", "someHTTPCode", "plain", "MixedUP2Now")], "name string")
-    return names.select("name", x.camel_to_snake(F.col("name")).alias("snake"))
+    """Types of parts, written as one word with humps, in snake case."""
+    humps = F.replace(F.initcap(F.lower("p_type")), F.lit(" "), F.lit(""))
+    return table(spark, sf_dir, "part").select("p_partkey", x.camel_to_snake(humps).alias("snake"))
 
 
 _SIM = """sim AS (SELECT q.vec_id AS query_id, k.vec_id AS key_id, k.label, list_dot_product(q.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings k ON q.vec_id % 20 = 0),

@@ -42,9 +42,10 @@ def labelled(df: DataFrame, label: str, delimiter: str | None = None, log: bool
     items = F.split(label, delimiter) if delimiter else F.col(label)
     one = training(df).select(F.explode(items).alias("_c")).distinct()
     classes = prefix_sums(one, "_c").select("_c", (F.col("rank") - 1).alias("_k"))
-    rows = df.withColumn("_id", F.xxhash64(*df.columns))
-    found = rows.select("_id", F.explode(items).alias("_c")).join(classes, "_c").groupBy("_id").agg(F.sort_array(F.collect_set("_k")).alias("y"))
-    return rows.join(found, "_id", "left").drop("_id").withColumn("y", F.coalesce("y", F.array().cast("array<long>")))
+    seen = df.select(label).where(F.col(label).isNotNull()).distinct()  # rows of one label have one y
+    found = seen.select(label, F.explode(items).alias("_c")).join(classes, "_c").groupBy(label).agg(F.sort_array(F.collect_set("_k")).alias("y"))
+    joined = df.join(found, label, "left").select(*df.columns, "y")
+    return joined.withColumn("y", F.coalesce("y", F.array().cast("array<long>")))
 
 
 def tabular_data(df: DataFrame, key: str, target: str, cats: list[str], conts: list[str] | None = None, procs: tuple = ()) -> DataFrame:
