@@ -662,11 +662,12 @@ def test_pages(spark):
 # ---- registered queries
 
 
-def test_sql_of_native_operators(spark):
+def test_sql_of_operators(spark):
     from tidemark.llm import registry
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     for name, sql in registry.oracle_sql().items():
         df = registry.queries()[name](spark, DATA)
         found = con.sql(sql)
