@@ -201,3 +201,15 @@ def test_matrices_and_holes(cells, whole):
     assert (v == want).all()
     with pytest.raises(ValueError):
         planes.resampled(cells, m, outside="other")
+
+
+def test_overlays_are_placed(cells, whole):
+    got = grids(planes.overlaid(cells, cells.selectExpr("plane", "x", "y", "w AS v", "w AS m"), -4, 2, 0.5, "normal", "m"))
+    for p, (v, w) in whole.items():
+        want = v.astype(float)
+        for y in range(v.shape[0]):
+            for x in range(v.shape[1]):
+                if 0 <= y - 2 and x + 4 < v.shape[1]:
+                    part = w[y - 2, x + 4] / 255 * 0.5
+                    want[y, x] = v[y, x] * (1 - part) + w[y - 2, x + 4] * part
+        assert np.abs(got[p] - want).max() < 1e-9

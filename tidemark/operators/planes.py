@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.images import compass_kernels
+from tidemark.operators.pixels import overlay
 from tidemark.session import staged
 
 SIZE = (256, 256)
@@ -346,3 +347,16 @@ def cut_out(cells: DataFrame, holes: list[tuple[float, float]], length: int) ->
     for across, down in holes:
         hole = hole | (near("x", across, "width") & near("y", down, "height"))
     return placed.select("plane", "x", "y", F.when(hole, 0).otherwise(F.col("v")).alias("v"))
+
+
+def overlaid(base: DataFrame, top: DataFrame, across: int, down: int, opacity: float = 1.0, mode: str = "addition", mask: str | None = None) -> DataFrame:
+    """``v`` of ``base`` with ``top`` laid over it, moved by ``across`` and ``down`` (they may be negative), in one of ``pixels.OVERLAYS``.
+
+    The blend counts by ``opacity`` and, with a ``mask``, by this value of ``top`` over 255. Cells without any of ``top`` stay; what lies
+    beyond ``base`` goes.
+    """
+    moved = top.select("plane", (F.col("x") + across).alias("x"), (F.col("y") + down).alias("y"), F.col("v").alias("_t"), (F.col(mask) if mask else F.lit(255)).alias("_m"))
+    part = F.col("_m") / 255 * opacity
+    mixed = F.col("v") * (1 - part) + overlay(F.col("v"), F.col("_t"), mode) * part
+    met = base.select("plane", "x", "y", "v").join(moved, ["plane", "x", "y"], "left")
+    return met.select("plane", "x", "y", F.when(F.col("_t").isNull(), F.col("v").cast("double")).otherwise(mixed).alias("v"))

@@ -129,3 +129,14 @@ SELECT pl.plane, x, y, CASE WHEN (abs(x - floor(0.25 * ww)) <= 5 AND abs(y - flo
 def plane_cutout(spark, sf_dir):
     """Two squares of each plane set to 0."""
     return planes.cut_out(plane_cells(spark, sf_dir), [(0.25, 0.5), (0.7, 0.4)], 10)
+
+
+@query(
+    f"""WITH {PX}, {_PL} SELECT a.plane, a.x, a.y, {r4("CASE WHEN b.plane IS NULL THEN a.v ELSE a.v * (1 - b.v / 255::DOUBLE * 0.6::DOUBLE) + abs(a.v - b.w) * (b.v / 255::DOUBLE * 0.6::DOUBLE) END + 1e-7::DOUBLE", 3)} AS v
+FROM pl a LEFT JOIN pl b ON b.plane = a.plane AND b.x = a.x - 5 AND b.y = a.y + 3"""
+)
+def plane_overlay(spark, sf_dir):
+    """Second values laid over first ones, moved, masked and half seen through."""
+    cells = plane_cells(spark, sf_dir)
+    top = cells.select("plane", "x", "y", F.col("w").alias("v"), F.col("v").alias("mask"))
+    return _rounded(planes.overlaid(cells, top, 5, -3, 0.6, "difference", "mask"))
