@@ -596,11 +596,11 @@ def groups_by_jaccard(texts):
     return {s: top(s) for s in sets}
 
 
-@pytest.mark.parametrize("meet, rounds", [(40, 20), (2, 20), (3, 1), (2, 0)])
-def test_pipeline_stage_finds_near_copies(spark, monkeypatch, meet, rounds):
+@pytest.mark.parametrize("few, block", [(16, 4096), (2, 4096), (2, 7), (0, 3)])
+def test_pipeline_stage_finds_near_copies(spark, monkeypatch, few, block):
     import corpus_pipeline
 
-    monkeypatch.setattr(simhash.similar_links, "__defaults__", (meet, rounds))
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (few, block))
     rng = random.Random(5)
     texts = [None, "", "one", "One", "one two three four five six", "one two three four five seven", sentences(0, 30)]
     for seed in range(6):  # copies of copies, near and on the border
@@ -620,6 +620,40 @@ def test_pipeline_stage_finds_near_copies(spark, monkeypatch, meet, rounds):
     assert got == sorted(want.values())
     assert len(got) < len(set(groups_plain({simhash.fingerprint(t) for t in texts}).values()))
 
+@pytest.mark.parametrize("every, block", [(True, 4096), (True, 20), (False, 4096), (False, 20)])
+def test_cells_meet_what_may_be_similar(spark, every, block):
+    rng = np.random.default_rng(3)
+    base, rows = rng.integers(0, 2**63, 300), []
+    for i in range(150):  # a hot group of copies on both sides of the border, of any size
+        own = rng.integers(0, 2**63, rng.integers(0, 90))
+        s = np.unique(np.concatenate([base[: rng.integers(60, 300)], own]).astype(np.uint64))
+        odd = np.bincount((s & np.uint64(simhash.PARTS - 1)).astype(np.int64), minlength=simhash.PARTS) & 1
+        rows.append((1, i, len(s), i % 40, 150, np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()))
+    df = spark.createDataFrame(rows, "key long, fp long, n int, root long, c long, bits array<long>")
+    got = [tuple(r) for r in simhash.met_in_cells(df.drop("bits"), df, 0.8, every, block).collect()]
+    bits = [np.array(r[5]).view(np.uint64) for r in rows]
+    want = {
+        (a, b)
+        for a in range(150)
+        for b in range(a + 1, 150)
+        if rows[a][3] != rows[b][3] and min(rows[a][2], rows[b][2]) >= 0.8 * max(rows[a][2], rows[b][2])
+        and int(np.bitwise_count(bits[a] ^ bits[b]).sum()) <= (rows[a][2] + rows[b][2]) / 9 + 1e-6
+    }
+    assert want and set(got) <= want
+    if every:
+        assert set(got) == want
+    elif block > 150:
+        assert len(got) < 40  # a forest of the 40 classes
+
+    def groups(pairs):
+        up = list(range(40))
+        for a, b in pairs:
+            x, y = up[rows[a][3]], up[rows[b][3]]
+            up = [x if u == y else u for u in up]
+        return len(set(up))
+
+    assert groups(got) == groups(want)
+
 
 # ---- 9: pages
 

@@ -20,9 +20,12 @@ With a ``similarity``, texts are linked instead where their sets of shingles hav
 catch near-identical texts only, and a grid wide enough for ordinary near copies prunes next to nothing and still misses
 some, so these pairs are found exactly: sets as similar as t share one of the first n - ceil(t n) + 1 shingles in any common
 order (n the size of a set). The order puts shingles that are frequent in a sample last, which saves pairs and changes no result.
-Sets that list the same shingle form a group. First every set of a group meets the group's smallest alone; what that links is one class. Then only sets of different classes in a group need to meet. Where these are too
-many pairs, a group is dealt in rounds around a centre: Jaccard distance is a metric, so of sets linked to the centre only
-those on the border need to meet the others. All links are checked by whole sets of 64-bit shingle hashes, made where the
+Sets that list the same shingle form a group. First every set of a group meets the group's smallest alone; what that links is one class. Then
+only sets of different classes in a group need to meet, and only where their sizes and the parities of their parts allow the similarity. In a group
+of more than a few this is decided in cells: a large group is cut into bands of sizes and these into blocks, so that any two of its sets
+that may be similar are in one cell, and a cell of two blocks fits a task. A cell first gives no more pairs than connect what may
+belong together, fewer than its rows; when these are checked, it gives the pairs that are still of different classes.
+All links are checked by whole sets of 64-bit shingle hashes, made where the
 texts of a pair meet; texts travel compressed.
 
 Defined results: a text without a word, or a null text, has fingerprint zero and links like any other; with fewer words
@@ -53,8 +56,8 @@ SHINGLE, SEED, DISTANCE = 3, 42, 2
 PAIRS = 50_000
 #: Words of a shingle and Jaccard similarity of near copies in a corpus.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
-#: Pairs for each set of a group that may meet at once; texts of the sample that orders shingles; rounds around a centre before the rest meet as pairs.
-MEET, SAMPLE, ROUNDS = 500, 20_000, 20
+#: Texts of the sample that orders shingles; sets of a group that meet as a list; rows of a block of a larger group.
+SAMPLE, FEW, BLOCK = 20_000, 16, 4_096
 #: Parts of a set whose parities are kept.
 PARTS = 2048
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -287,81 +290,132 @@ def similar(pairs: DataFrame, texts: DataFrame, marks: DataFrame, shingle: int,
     return met.mapInArrow(_compared(least, shingle), "a long, b long, j double")
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns fp, n, root, block, own and bits of each cell; rows come sorted by their first four columns, which name a cell."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        flat = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
+        flat.append(batch.column(9).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1))
+        held = flat if held is None else [np.concatenate(x) for x in zip(held, flat)]
+        ends = np.flatnonzero(np.any([x[1:] != x[:-1] for x in held[:4]], axis=0)) + 1
+        for first, end in zip([0, *ends], ends):
+            yield [x[first:end] for x in held[4:]]
+        held = [x[ends[-1] :] for x in held] if len(ends) else held
+    if held is not None and len(held[0]):
+        yield [x for x in held[4:]]
+
+
+def _met(similarity: float, every: bool):
+    """For the rows of cells: a and b of the pairs of different classes that sizes and parities allow.
+
+    With ``every`` all of them, else only as many as connect the classes that they connect: fewer than a cell has rows.
+    """
+    share = (1 - similarity) / (1 + similarity)
+
+    def met(fp, n, root, block, own, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        order = np.argsort(n, kind="stable")
+        fp, n, block, own, bits = (x[order] for x in (fp, n, block, own, bits))
+        label = np.unique(root[order], return_inverse=True)[1]
+        across, stops = block.min() != block.max(), np.searchsorted(n, n / similarity + 1e-6, side="right")
+        for i in range(len(n) - 1):
+            rest = slice(i + 1, stops[i])
+            may = label[rest] != label[i]
+            if across:
+                may &= block[rest] != block[i]
+            if not own[i]:
+                may &= own[rest]
+            at = np.flatnonzero(may) + i + 1
+            if not len(at):
+                continue
+            d = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = d <= share * (n[at] + n[i]) + 1e-6
+            at, d = at[near], d[near]
+            if len(at) and not every:
+                at = at[np.argsort(d, kind="stable")]
+                at = at[np.unique(label[at], return_index=True)[1]]  # the nearest of each class
+                label[np.isin(label, label[at])] = label[i]
+            if len(at):
+                yield np.minimum(fp[at], fp[i]), np.maximum(fp[at], fp[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rows = [], 0
+        for cell in _cells(batches):
+            for pair in met(*cell):
+                found.append(pair)
+                rows += len(pair[0])
+                if rows >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+                    found, rows = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+
+    return run
+
+
+def met_in_cells(groups: DataFrame, marks: DataFrame, similarity: float, every: bool, block: int = BLOCK) -> DataFrame:
+    """a and b (a < b): pairs of ``groups`` (key, fp, n, root, c: the group's rows) that meet in cells of at most about two blocks.
+
+    A group of more than a ``block`` is cut into bands of sizes: sets as similar as asked are in one band or in two neighbours.
+    Each band is dealt to blocks, and each pair of blocks is a cell.
+    """
+    band = F.expr(f"cast(floor(ln(n) / {-math.log(similarity) * (1 + 1e-9)}) as int)")
+    cut = F.col("c") > block
+    placed = groups.join(marks.select("fp", "bits"), "fp").withColumn("_b", band)
+    placed = placed.withColumn("band", F.explode(F.when(cut, F.array("_b", F.col("_b") + 1)).otherwise(F.array(F.lit(0)))))
+    placed = placed.withColumn("own", ~cut | (F.col("band") == F.col("_b"))).withColumn("parts", F.ceil(F.col("c") / block))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("fp"), "parts")).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
+    cell = ["key", "band", "i", "j"]
+    placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    placed = placed.select(*cell, "fp", "n", "root", "block", "own", "bits").repartition(*cell).sortWithinPartitions(*cell)
+    return placed.mapInArrow(_met(similarity, every), "a long, b long")
+
+
 def similar_links(
-    rows: DataFrame, texts: DataFrame, shingle: int, similarity: float, meet: int = MEET, rounds: int = ROUNDS
+    rows: DataFrame, texts: DataFrame, shingle: int, similarity: float, few: int = FEW, block: int = BLOCK
 ) -> DataFrame:
     """a and b (a < b): links among the different ``fp`` of ``rows`` (tid, fp, n, bits, keys), enough to connect all as similar as
     ``similarity``; ``texts`` are the rows' tid and text.
 
-    Groups are rows, so that none has to fit a task; those of at most 2 ``meet`` sets are also lists.
+    Groups are rows, so that none has to fit a task; those of at most ``few`` sets are also lists.
     """
     spark, since = rows.sparkSession, staged_so_far()
     firsts = [F.first(c).alias(c) for c in ("n", "bits", "keys")]
     marks = staged(rows.groupBy("fp").agg(*firsts, F.min("tid").alias("tid")), "simhash-marks")
     found = marks.select(F.explode("keys").alias("key"), "fp", "n")
-    centre = lambda x: x.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("p"), F.count("*").alias("c"))
-    shared = found.join(centre(found).where("c > 1").select("key", "p"), "key")
-    shared = staged(shared, "simhash-shared")
+    centre = found.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    shared = staged(found.join(centre, "key"), "simhash-shared")
     marks = marks.drop("keys")
     alike = lambda k, l: f"least({k}, {l}) >= {similarity} * greatest({k}, {l})"
     kept = []
 
-    def checked(pairs: DataFrame, least: float) -> DataFrame:
+    def checked(pairs: DataFrame) -> None:
         before = staged_so_far()
-        out = staged(similar(pairs, texts, marks, shingle, least), "simhash-links")
-        release(spark, before, out)
-        kept.append(out)
-        return out
-
-    star = shared.where("p.fp != fp and " + alike("p.n", "n")).select(F.col("p.fp").alias("a"), F.col("fp").alias("b")).distinct()
-    near = checked(star, similarity)
-    classes = staged(components(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "simhash-classes")
-    rooted = shared.select("key", "fp", "n").join(classes.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = staged(rooted.withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
-    sizes = rooted.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
-    sizes = sizes.groupBy("key").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("root", "c").alias("top"))
-    sizes = sizes.where("squares < total * total").withColumn("few", F.expr(f"total * total - squares <= 2 * {meet} * total"))
-    sizes = sizes.withColumn("small", F.expr(f"total <= 2 * {meet}"))
-    mixed = staged(rooted.join(sizes.select("key", "top", "few", "small"), "key"), "simhash-mixed")
+        kept.append(staged(similar(pairs, texts, marks, shingle, similarity).select("a", "b"), "simhash-links"))
+        release(spark, before, kept[-1])
+
+    def apart(groups: DataFrame) -> DataFrame:
+        """Rows of the ``groups`` whose sets are of more than one class yet, with their root."""
+        roots = components(reduce(DataFrame.union, kept)).withColumnRenamed("node", "fp")
+        rooted = groups.select("key", "fp", "n", "c").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        return staged(rooted.join(open_keys, "key"), "simhash-mixed")
+
+    checked(shared.where("p.fp != fp and " + alike("p.n", "n")).select(F.col("p.fp").alias("a"), F.col("fp").alias("b")).distinct())
+    mixed = apart(shared)
     # small groups that many shingles have in common count once
-    small = mixed.where("small").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "n", "root"))).alias("m")).select("m").distinct()
-    small = small.select("m", F.explode("m").alias("p")).select("p", F.explode("m").alias("q")).where("p.root < q.root and " + alike("p.n", "q.n"))
-    few = mixed.where("few and not small").select("key", "top", F.struct("fp", "n", "root").alias("q"))
-    rare = few.where("q.root != top").select("key", F.col("q").alias("p"))  # all but a group's largest class
-    met = few.join(rare, "key").where("p.root != q.root and (q.root = top or p.fp < q.fp) and " + alike("p.n", "q.n"))
-    ends = [F.least("p.fp", "q.fp").alias("a"), F.greatest("p.fp", "q.fp").alias("b")]
-    pairs = [staged(small.select(*ends).union(met.select(*ends)).distinct(), "simhash-pairs")]
-
-    def meeting(groups: DataFrame) -> DataFrame:
-        """Different pairs of the rows of every key whose sizes allow the similarity."""
-        q, p = (groups.select("key", F.struct("fp", "n").alias(x)) for x in "qp")
-        return q.join(p, "key").where("p.fp < q.fp and " + alike("p.n", "q.n")).select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b"))
-
-    large = staged(mixed.where("not few and not small").select("key", "fp", "n"), "simhash-large")
-    border = 2 * similarity - 1
-    for _ in range(rounds):
-        if large.isEmpty():
-            break
-        spread = large.join(centre(large), "key").where("p.fp != fp")
-        may = spread.where(f"least(p.n, n) >= {border} * greatest(p.n, n)").select(F.col("p.fp").alias("a"), F.col("fp").alias("b"))
-        near = checked(may.distinct(), border)
-        known = near.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "j")
-        placed = spread.join(known, F.expr("p.fp = _a and fp = _b"), "left").select("key", "fp", "n", F.coalesce("j", F.lit(0.0)).alias("j"))
-        placed = staged(placed, "simhash-placed")
-        inner = placed.where(f"j >= {similarity}").select("key", F.struct("fp", "n").alias("p"), F.col("j").alias("i"))
-        outer = placed.where(f"j >= {border} and j < {similarity}").select("key", F.struct("fp", "n").alias("q"), "j")
-        # the distance to the centre differs by no more than the distance of a pair
-        cross = inner.join(outer, "key").where(f"i - j <= {1 - similarity + 1e-9} and " + alike("p.n", "q.n"))
-        pairs.append(staged(cross.select(F.least("p.fp", "q.fp").alias("a"), F.greatest("p.fp", "q.fp").alias("b")).distinct(), "simhash-pairs"))
-        rest = placed.where(f"j < {similarity}").select("key", "fp", "n")
-        left = rest.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-        rest = staged(rest.join(left, "key"), "simhash-large")
-        pairs.append(staged(meeting(rest.where(f"c <= {meet}")).distinct(), "simhash-pairs"))
-        large = rest.where(f"c > {meet}").select("key", "fp", "n")
-    else:
-        pairs.append(meeting(large))
-    checked(reduce(DataFrame.union, pairs).distinct(), similarity)
-    every = reduce(DataFrame.union, [x.where(f"j >= {similarity}").select("a", "b") for x in kept])
+    lists = mixed.where(f"c <= {few}").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "n", "root"))).alias("m"))
+    small = lists.select("m").distinct().select("m", F.explode("m").alias("p"))
+    small = small.select("p", F.explode(F.expr("filter(m, q -> p.fp < q.fp and p.root != q.root and " + alike("p.n", "q.n") + ")")).alias("q"))
+    small = small.select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b"))
+    large = mixed.where(f"c > {few}")
+    first = staged(small.union(met_in_cells(large, marks, similarity, False, block)).distinct(), "simhash-pairs")
+    checked(first)
+    # what is still of different classes, most of it nothing: parities may agree where sets don't
+    rest = met_in_cells(apart(large), marks, similarity, True, block).distinct().join(first, ["a", "b"], "left_anti")
+    rest = staged(rest, "simhash-pairs")
+    if not rest.isEmpty():
+        checked(rest)
+    every = reduce(DataFrame.union, kept)
     every = staged(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-links")
     release(spark, since, every)
     return every
