@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import os
 import random
 import re
@@ -436,6 +437,88 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     assert get(rows) == get(wrong)
 
 
+def model_by_loops(rows, sample=langid.ROWS):
+    """The model of whole training rows in plain Python: counts in dicts, one number at a time."""
+    seen = [(i, t, lang) for i, t, lang, _ in rows if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    langs = sorted({lang for *_, lang in seen})
+    counts = {i: dict(zip(*[x.tolist() for x in langid.features(t)])) for i, t, _ in seen}
+    df = collections.Counter(f for c in counts.values() for f in c)
+
+    def values(i):
+        x = {f: (1 + math.log(c)) * (math.log((1 + len(seen)) / (1 + df[f])) + 0.05) for f, c in counts[i].items()}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        return {f: v / length for f, v in x.items()}
+
+    def share(logits):
+        e = [math.exp(v - max(logits)) for v in logits]
+        return [v / sum(e) for v in e]
+
+    rate = {k: sample / len(langs) / sum(lang == k for *_, lang in seen) for k in langs}
+    drawn = [(i, lang) for i, _, lang in seen if zlib.crc32(f"{langid.SEED}|{i}".encode()) < rate[lang] * 2**32]
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(f, k):
+        v, m = z[f, k], n[f, k]
+        if abs(v) <= langid.L1:
+            return 0.0
+        return -(v - math.copysign(langid.L1, v)) / ((langid.BETA + math.sqrt(m)) / langid.ALPHA + langid.L2)
+
+    spared = [d for d in drawn if zlib.crc32(f"spare|{d[0]}".encode()) % 5 == 0]
+    for turn in range(langid.EPOCHS):
+        for i, lang in sorted(set(drawn) - set(spared), key=lambda d: (zlib.crc32(f"{langid.SEED}|{turn}|{d[0]}".encode()), d)):
+            x = values(i)
+            w = {(f, k): weight(f, k) for f in x for k in range(len(langs))}
+            p = share([sum(v * w[f, k] for f, v in x.items()) for k in range(len(langs))])
+            for f, v in x.items():
+                for k in range(len(langs)):
+                    g = v * (p[k] - (langs[k] == lang))
+                    z[f, k] += g - (math.sqrt(n[f, k] + g * g) - math.sqrt(n[f, k])) / langid.ALPHA * w[f, k]
+                    n[f, k] += g * g
+    weights = {(f, k): weight(f, k) for f in df for k in range(len(langs))}
+    logits = [([sum(v * weights[f, k] for f, v in values(i).items()) for k in range(len(langs))], lang) for i, lang in spared]
+    noise = 1 / (len(spared) + 2)
+
+    def loss(t):
+        total = 0.0
+        for row, lang in logits:
+            for k, q in enumerate(share([v / t for v in row])):
+                total -= (noise / len(langs) + (1 - noise) * (langs[k] == lang)) * math.log(max(q, 1e-12))
+        return total
+
+    steps = [0.05 * 100 ** (j / 59) for j in range(60)]
+    return langs, weights, min(steps, key=loss)
+
+
+def test_model_equals_loops_over_whole_rows(spark):
+    rng = random.Random(3)
+    rows = language_rows(60)
+    wide = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(9000))
+    rows += [(500 + i, wide[i * 3000 : (i + 1) * 3000], "dd", "s") for i in range(3)]
+    assert max(len(langid.features(t)[0]) for _, t, *_ in rows) > 6000
+    langs, weights, temperature = model_by_loops(rows)
+    model = langid.train(make(spark, rows))
+    assert model.langs == langs and abs(model.temperature - temperature) < 1e-9
+    want = np.zeros_like(model.weights)
+    for at, w in weights.items():
+        want[at] = w
+    assert np.abs(model.weights - want).max() < 1e-5 and np.count_nonzero(want) > 100
+
+
+def test_a_drawn_part_of_the_rows_equals_loops(spark):
+    rows = language_rows(150)
+    langs, weights, temperature = model_by_loops(rows, 40)
+    model = langid.train(make(spark, rows), rows=40)
+    assert abs(model.temperature - temperature) < 1e-9
+    assert max(abs(model.weights[at] - w) for at, w in weights.items()) < 1e-5
+
+
+def test_features_survive_packing():
+    used, counts = langid.features("packing of counts, packing" * 40000)
+    again = langid.unpacked(langid.packed(used, counts))
+    assert used.tolist() == again[0].tolist() and counts.tolist() == again[1].tolist() and max(counts) > 65535
+    assert [x.tolist() for x in langid.unpacked(langid.packed(used[:0], counts[:0]))] == [[], []]
+
+
 def test_language_stage_and_nothing_to_learn(spark, docs, empty):
     kept = langid.keep_identified(make(spark, language_rows() + [(999, "12 34", "aa", "s")]))
     assert kept.columns == SCHEMA_NAMES and 999 not in {r.doc_id for r in kept.collect()} and kept.count() >= 238

@@ -3,8 +3,9 @@
 1. Features are counts of 1- to 3-character sequences of the lower-cased text (other ASCII than letters as spaces), hashed
    to ``DIMS`` numbers. Document frequencies are counted over all training documents.
 2. Weights are learnt by follow-the-regularised-leader with an elastic net (L1 for sparsity, L2). The fit uses a bounded
-   sample of the training rows: about ``ROWS`` rows, equal shares of the languages, drawn by a hash of doc_id. Of a
-   fitted row the ``MOST`` sequences that it has most often count, which bounds what the driver holds.
+   sample of the training rows: about ``ROWS`` rows (at most twice as many a pass), equal shares of the languages, drawn
+   by a hash of doc_id. Fitted rows count with all their sequences. They stay in a table; every pass reads them in a
+   seeded order, a partition at a time, so the driver holds the weights and a few rows.
 3. A fifth of the sample isn't fitted but sets one temperature by its likelihood, so that scores are probabilities.
 4. Every whole text is scored in its task with the weights (at most DIMS numbers a language).
 
@@ -19,7 +20,8 @@ further columns are kept, but for those named like an output.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.session import staged
+from tidemark.session import release, staged, staged_so_far
 
-DIMS, ROWS, MOST, EPOCHS, SEED = 1 << 15, 3000, 2048, 3, 42
+DIMS, ROWS, EPOCHS, SEED = 1 << 15, 3000, 3, 42
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.004, 0.01
 UNDEFINED = "und"
 STRETCH = 1 << 20
@@ -80,17 +82,26 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, epochs: int = EPOCHS, seed: int = SEED) -> np.ndarray:
-    """Weights by FTRL-proximal; rows are (features, values, language)."""
+def packed(used: np.ndarray, counts: np.ndarray) -> bytes:
+    """Features of a text as bytes: numbers below DIMS in two, counts in four."""
+    return used.astype("<u2").tobytes() + counts.astype("<u4").tobytes()
+
+
+def unpacked(row: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The features that ``packed`` wrote."""
+    n = len(row) // 6
+    return np.frombuffer(row, "<u2", n).astype(np.int32), np.frombuffer(row, "<u4", n, 2 * n).astype(np.int64)
+
+
+def fit(passes: Iterable[Iterable[tuple[np.ndarray, np.ndarray, int]]], n_langs: int) -> np.ndarray:
+    """Weights by FTRL-proximal after all passes; rows are (features, values, language)."""
     z, n = np.zeros((DIMS, n_langs)), np.zeros((DIMS, n_langs))
 
     def solve(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
-    rng = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            used, x, y = rows[i]
+    for rows in passes:
+        for used, x, y in rows:
             zu, nu = z[used], n[used]
             w = solve(zu, nu)
             p = _softmax(x @ w)
@@ -127,11 +138,12 @@ def train(docs: DataFrame, rows: int = ROWS, seed: int = SEED) -> Model:
     if not langs:
         return Model([], np.zeros(DIMS), np.zeros((DIMS, 0)), 1.0)
     rate = {k: rows / len(langs) / n for k, n in sizes.items()}
+    since = staged_so_far()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIMS, np.int64), 0
-        names = ["lang", "doc_id", "used", "counts"]
-        kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        names = ["lang", "doc_id", "used", "counts", "row"]
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
         for b in batches:
             for doc_id, text, lang in zip(*[b.column(c) for c in ("doc_id", "text", "lang")]):
                 used, counts = features(text.as_py())
@@ -139,16 +151,13 @@ def train(docs: DataFrame, rows: int = ROWS, seed: int = SEED) -> Model:
                 n += 1
                 doc_id, lang = doc_id.as_py(), lang.as_py()
                 if zlib.crc32(f"{seed}|{doc_id}".encode()) < rate[lang] * 2**32:
-                    if len(used) > MOST:
-                        most = np.sort(np.argsort(-counts, kind="stable")[:MOST])
-                        used, counts = used[most], counts[most]
-                    row = [[lang], [doc_id], [used], [counts]]
+                    row = [[lang], [doc_id], [None], [None], [packed(used, counts)]]
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names)
         used = np.flatnonzero(df)
-        row = [[None], [n], [used.astype(np.int32)], [df[used]]]
+        row = [[None], [n], [used.astype(np.int32)], [df[used]], [None]]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names)
 
-    form = "lang string, doc_id long, used array<int>, counts array<long>"
+    form = "lang string, doc_id long, used array<int>, counts array<long>, row binary"
     found = staged(
         seen.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, form), "language-features"
     )
@@ -158,18 +167,20 @@ def train(docs: DataFrame, rows: int = ROWS, seed: int = SEED) -> Model:
     idf = np.full(DIMS, np.log1p(total))
     for r in df.collect():  # at most DIMS rows
         idf[r.used] = np.log((1 + total) / (1 + r.n)) + 0.05
-    sample = found.where("lang is not null").withColumn("counts", F.col("counts").cast("array<float>"))
-    sample = sample.orderBy("doc_id", "lang").limit(2 * rows).toArrow()
-    fitted, spared = [], []
-    for lang, doc_id, used, counts in zip(*[sample.column(c) for c in ("lang", "doc_id", "used", "counts")]):
-        u = used.values.to_numpy()
-        row = (u, weighted(u, counts.values.to_numpy(), idf).astype(np.float32), langs.index(lang.as_py()))
-        (spared if zlib.crc32(f"spare|{doc_id}".encode()) % 5 == 0 else fitted).append(row)
-    del sample
-    pa.default_memory_pool().release_unused()
-    weights = fit(fitted, len(langs), seed=seed)
-    logits = np.array([x @ weights[u] for u, x, _ in spared]).reshape(-1, len(langs))
-    return Model(langs, idf, weights.astype(np.float32), temperature(logits, np.array([y for *_, y in spared], int)))
+    sample = found.where("lang is not null").select("doc_id", "lang", "row")
+    spare = F.crc32(F.concat(F.lit("spare|"), F.col("doc_id")).cast("binary")) % 5 == 0
+
+    def read(part: DataFrame, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        place = F.crc32(F.concat(F.lit(f"{seed}|{turn}|"), F.col("doc_id")).cast("binary"))
+        for r in islice(part.orderBy(place, "doc_id", "lang", "row").toLocalIterator(), 2 * rows):
+            used, counts = unpacked(r.row)
+            yield used, weighted(used, counts, idf), langs.index(r.lang)
+
+    weights = fit((read(sample.where(~spare), turn) for turn in range(EPOCHS)), len(langs))
+    checked = [(x @ weights[used], y) for used, x, y in read(sample.where(spare), EPOCHS)]
+    logits = np.array([x for x, _ in checked]).reshape(-1, len(langs))
+    release(docs.sparkSession, since)
+    return Model(langs, idf, weights.astype(np.float32), temperature(logits, np.array([y for _, y in checked], int)))
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
