@@ -1,5 +1,7 @@
 """Hand-checked cases of the operators."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +190,12 @@ def test_a_cluster_needs_a_shared_folder():
     context = Fake(getConf=dict, getCheckpointDir=lambda: None, master="spark://somewhere:7077")
     with pytest.raises(ValueError):
         session.shared_dir(Fake(sparkContext=context))
+
+
+def test_longest_batch_goes_first(spark):
+    rows = [(1, "a", 3), (2, "a", 9), (3, "b", 9), (4, "b", None), (5, "c", 1), (6, "d", 2)]
+    df = spark.createDataFrame(rows, "id long, batch string, n long")
+    found = {r.id: r.turn for r in dataset.batch_turns(df, "n", 5, "id").collect()}
+    order = ["a", *sorted("bcd", key=lambda b: hashlib.md5(f"5|{b}".encode()).hexdigest())]
+    assert found == {i: order.index(b) for i, b, _ in rows}
+    assert dataset.batch_turns(df.limit(0), "n", 5, "id").count() == 0

@@ -151,6 +151,19 @@ def by_length(df: DataFrame, size: Column, batch: int, seed: int, key: str, chun
     return dealt.withColumn("batch", F.concat_ws("-", F.col("_chunk").cast("string"), place.cast("string"))).drop("_chunk")
 
 
+def batch_turns(df: DataFrame, size: str, seed: int, key: str) -> DataFrame:
+    """Batched ``df`` with ``turn`` (from 0), the order of its batches: that of the longest row first, so that a batch too
+    large for memory fails at once, then the others in seeded order.
+
+    Of equally long rows that with the smallest key counts. Only batches are ranked, by ranges.
+    """
+    first = df.orderBy(F.col(size).desc(), key).select(F.col("batch").alias("_first")).limit(1)
+    turns = df.select("batch").distinct().join(F.broadcast(first), F.col("batch") == F.col("_first"), "left")  # one row
+    place = F.concat_ws("|", F.when(F.col("_first").isNotNull(), "0").otherwise("1"), F.md5(F.concat_ws("|", F.lit(str(seed)), "batch")), "batch")
+    ranked = prefix_sums(turns.select("batch", place.alias("_place")), "_place").select("batch", (F.col("rank") - 1).alias("turn"))
+    return df.join(ranked, "batch")
+
+
 def pad(df: DataFrame, ids: str, batch: str, pad_id: int = 1, first: bool = True) -> DataFrame:
     """``df`` with ``padded``: ids filled to the longest of their batch."""
     longest = F.max(F.size(ids)).over(Window.partitionBy(batch))

@@ -148,6 +148,19 @@ def sort_by_len(spark, sf_dir):
     return d.by_length(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), F.col("n_chars"), 16, 5, "doc_id").select("doc_id", "n_chars", "batch")
 
 
+@query(
+    f"""WITH b AS (SELECT doc_id, n_chars, c || '-' || CAST(floor((row_number() OVER (PARTITION BY c ORDER BY n_chars DESC, doc_id) - 1) / 16) AS BIGINT) AS batch FROM (SELECT doc_id, n_chars, {_CHUNK} AS c FROM documents)),
+f AS (SELECT batch AS b0 FROM b ORDER BY n_chars DESC, doc_id LIMIT 1),
+o AS (SELECT batch, row_number() OVER (ORDER BY batch <> b0, md5('5|' || batch), batch) - 1 AS turn FROM (SELECT DISTINCT batch FROM b), f)
+SELECT doc_id, n_chars, batch, turn FROM b JOIN o USING (batch)"""
+)
+def longest_batch_first(spark, sf_dir):
+    """Batches of similar lengths, that of the longest document first, the others in seeded order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    batches = d.by_length(docs, F.col("n_chars"), 16, 5, "doc_id")
+    return d.batch_turns(batches, "n_chars", 5, "doc_id").select("doc_id", "n_chars", "batch", "turn")
+
+
 @query(
     """WITH s AS (SELECT doc_id, n_chars AS n, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st, floor(sum(n_chars) OVER () / 16) AS lane FROM documents)
 SELECT doc_id, CAST(st AS BIGINT) AS start, CAST(st + n AS BIGINT) AS "end", CAST(floor(st / lane) * 1000000 + floor((st % lane) / 70) AS BIGINT) AS first_window,
