@@ -143,7 +143,7 @@ def _by_score(df: DataFrame, score: str, target: str) -> DataFrame:
     by = df.groupBy(score).agg(F.sum(target).alias("p"), F.sum(1 - F.col(target)).alias("q"))
     totals = by.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q")).first()
     return prefix_sums(by, score, ["p", "q"], descending=True).withColumns(
-        {"all_p": F.lit(totals.all_p), "all_q": F.lit(totals.all_q)}
+        {"all_p": F.lit(totals.all_p).cast("double"), "all_q": F.lit(totals.all_q).cast("double")}  # their product passes 32 bits, and 64 bits later
     )
 
 
