@@ -1,9 +1,13 @@
 """Cases that only tables larger than those of the other tests bring up."""
 
+import datetime
+
 from pyspark.sql import functions as F
+from test_ordered_stream import START, plain
 
 from tidemark.operators import metrics, text
 from tidemark.plans.text_queries import text_fix_html
+from tidemark.streaming import events
 
 
 def test_area_of_many_pairs(spark):
@@ -18,3 +22,14 @@ def test_references_without_semicolon(spark, tmp_path):
     assert rows == {0: "<title>a&amp</title>", 1: "b © · &<", 2: "éé &notit; &copy"}
     whole = spark.createDataFrame([("a&amp</title> &notit;",)], "t string").select(text.unescaped(F.col("t"))).first()[0]
     assert whole == "a&</title> ¬it;"
+
+
+def test_users_share_states(spark, tmp_path):
+    rows = [(i, START + datetime.timedelta(minutes=7 * i), i % 90, float(i * 37 % 700)) for i in range(600)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    stream = events.detect_scenes(events.read(spark, f"file://{tmp_path}/in", 1), buckets=4)
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state")
+    running = query.trigger(availableNow=True).start()
+    running.awaitTermination()
+    assert running.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 4  # not one a user
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == plain(rows)

@@ -14,6 +14,11 @@ from tidemark.streaming import events as e
 QUERIES, ORACLES, query = registry()
 
 
+def _buckets(events: int) -> int:
+    """Groups of users that share a state: about 20,000 events each."""
+    return max(e.BUCKETS, events // 20_000)
+
+
 @query(
     "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL"
 )
@@ -47,7 +52,8 @@ f AS (SELECT user_id, event_id, n, true AS change, n AS last_n, y FROM seq WHERE
 )
 def stream_scene_detect(spark, sf_dir):
     """Scene changes as events come, with state a user."""
-    return e.drained(e.detect_scenes(e.read(spark, f"{sf_dir}/events.parquet")))
+    buckets = _buckets(table(spark, sf_dir, "events").count())
+    return e.drained(e.detect_scenes(e.read(spark, f"{sf_dir}/events.parquet"), buckets=buckets))
 
 
 @query(
@@ -59,16 +65,17 @@ f AS (SELECT user_id, event_id, n, true AS change, n AS last_n, y FROM seq WHERE
 def stream_scenes_in_order(spark, sf_dir):
     """Scene changes of events that batches bring out of order: every fifth comes an eighth of the time late."""
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
-    first, last = events.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    first, last, n = events.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts")), F.count("*")).first()
     span = (last or 0) - (first or 0) + 1
     eighth = F.expr(f"(unix_seconds(ts) - {first or 0}) * 8 div {span}") + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)
     where = f"{shared_dir(spark).rstrip('/')}/unordered-{uuid.uuid4().hex}"
+    files = n // 9 // 250_000 + 1  # of a batch
     for k in range(9):
-        events.where(eighth == k).write.mode("append").parquet(where)
+        events.where(eighth == k).repartition(files).write.mode("append").parquet(where)
     end = F.timestamp_seconds(F.lit(float((last or 0) + 3 * span)))  # moves the watermark past all events; its user is none of theirs
     stop = spark.range(1).select((-F.col("id") - 1).alias("event_id"), end.alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit(0.0).alias("value"))
     stop.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in events.schema.fields]).write.mode("append").parquet(where)
-    found, _ = e.drained_counted(e.detect_scenes_in_order(e.read(spark, where, 1), late=f"{span // 3} seconds"))
+    found, _ = e.drained_counted(e.detect_scenes_in_order(e.read(spark, where, files), late=f"{span // 3} seconds", buckets=_buckets(n)))
     return found.where("user_id >= 0")
 
 
