@@ -8,9 +8,9 @@
    few splits isolate, one with a short mean path, is anomalous. Each tree sees ``SUBSAMPLE`` rows, as the method has it.
    Ranges are taken over all documents, and every document is scored. Subsamples of all rows, and splits over a node's own
    rows, hold junk often enough to take it for ordinary: with 1 % of good rows to spare they find a tenth of it.
-4. Labelled rows set the threshold: of the scores that reject at most ``SPARE`` of the good labelled rows, the one with
-   the best balance of bad rows found and good rows spared. Without good and bad labels all that the base rules pass stay.
-   At most ``labelled`` labelled rows, those of the smallest seeded hash, reach the driver to fit and to set the threshold.
+4. All labelled rows set the threshold: of the scores that reject at most ``SPARE`` of the good labelled rows, the one with
+   the best balance of bad rows found and good rows spared, from exact counts by score. Without good and bad labels all that the
+   base rules pass stay. The driver gets no more rows than the trees' subsamples hold, drawn from all good labelled rows.
 
 Defined results: a null or empty text has no words and fails; texts of any length are read whole; repeated rows and ties
 get equal scores; an empty table gives an empty result; labels of unknown documents and null labels have no effect;
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import prefix_sums
 from tidemark.session import staged
 
 LEAST_WORDS = 50
@@ -177,16 +178,20 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(float(_normal(self.sample)), 1e-9))
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, spare: float = SPARE) -> float:
-    """Scores above this are rejected: the best balance of bad found and good spared that rejects few good rows."""
-    if not good.any() or good.all():
+def calibrate(marked: DataFrame, spare: float = SPARE) -> float:
+    """Scores above this are rejected: the best balance of bad found and good spared that rejects few good rows.
+
+    ``marked`` has score and quality of all labelled rows; they are counted by score and summed by ranges, and one row reaches the driver.
+    """
+    good = (F.col("quality") > 0).cast("long")
+    by = marked.groupBy("score").agg(F.sum(good).alias("good"), F.sum(1 - good).alias("bad"))
+    summed = staged(prefix_sums(by, "score", ["good", "bad"], descending=True), "rule-balance")
+    all_good, all_bad = summed.agg(F.sum("good"), F.sum("bad")).first()
+    if not all_good or not all_bad:
         return np.inf
-    best, at = 0.0, np.inf
-    for t in np.unique(score):
-        lost = (score[good] > t).mean()
-        if lost <= spare and (gain := (score[~good] > t).mean() - lost) > best:
-            best, at = gain, float(t)
-    return at
+    lost, found = ((F.col(f"run_{c}") - F.col(c)) / F.lit(n).cast("double") for c, n in (("good", all_good), ("bad", all_bad)))
+    best = summed.where(lost <= spare).select("score", (found - lost).alias("gain")).orderBy(F.desc("gain"), "score").first()
+    return best.score if best.gain > 0 else np.inf
 
 
 def _numpy(rows: DataFrame) -> dict[str, np.ndarray]:
@@ -200,40 +205,36 @@ def judge(
     text: str = "text",
     trees: int = TREES,
     subsample: int = SUBSAMPLE,
-    labelled: int = 20_000,
     seed: int = SEED,
 ) -> DataFrame:
-    """doc_id, statistics, base_failed, score and kept of every row. ``labelled`` bounds the rows that set the threshold."""
+    """doc_id, statistics, base_failed, score and kept of every row."""
     stats = staged(statistics(docs, text), "rule-statistics")
-    form = f"{_FORM}, base_failed boolean, score double, kept boolean"
+    form = f"{_FORM}, base_failed boolean, score double"
     passed = stats.where(~failed())
     marks = labels.where("quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    marked = passed.join(marks, "doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id", *STATS), "doc_id").limit(labelled)
-    marked = _numpy(marked.select(*STATS, "n_lines", "quality"))
-    good = marked["quality"] > 0
-    x = shares(marked)
-    fit = x[good]
+
+    def drawn(rows: DataFrame) -> np.ndarray:
+        """What the trees' subsamples may hold, from all rows: the first in seeded order."""
+        first = rows.orderBy(F.xxhash64(F.lit(seed), "doc_id", *STATS), "doc_id").limit(trees * subsample)
+        return shares(_numpy(first.select(*STATS, "n_lines")))
+
+    fit = drawn(passed.join(marks.where("quality > 0"), "doc_id"))
     if not len(fit):  # nothing is known to be good: any rows show what is ordinary
-        drawn = passed.orderBy(F.xxhash64(F.lit(seed), "doc_id", *STATS), "doc_id").limit(trees * subsample)
-        fit = shares(_numpy(drawn.select(*STATS, "n_lines")))
+        fit = drawn(passed)
     if not len(fit):
         return stats.withColumns({"base_failed": failed(), "score": F.lit(0.0), "kept": ~failed()})
     ranges = passed.agg(*[f(c).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i, c in enumerate(_shares())]).first()
     low, high = np.array(ranges).reshape(2, -1)
     forest = Forest(fit, low, high, trees, subsample, seed)
-    limit = calibrate(forest.score(x), good) if len(x) else np.inf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = {c: b.column(c).to_numpy() for c in (*STATS, "n_lines")}
-            score = forest.score(shares(cols))
-            base = b.column("base_failed").to_numpy(zero_copy_only=False)
-            kept = ~base & (score <= limit)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(score), pa.array(kept)], [*b.schema.names, "score", "kept"]
-            )
-
-    return stats.withColumn("base_failed", failed()).mapInArrow(run, form)
+            score = forest.score(shares({c: b.column(c).to_numpy() for c in (*STATS, "n_lines")}))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, "score"])
+
+    scored = staged(stats.withColumn("base_failed", failed()).mapInArrow(run, form), "rule-scores")
+    limit = calibrate(scored.where("not base_failed").join(marks, "doc_id").select("score", "quality"))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") <= limit))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
