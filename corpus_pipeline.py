@@ -25,7 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: texts that share four of five of their five-word shingles or more."""
+    """One document of each group of near copies: SimHash fingerprints meet in the grid of op8 and whole sets confirm them; the rest of what
+    shares four of five of its five-word shingles or more is found by shingles."""
     return simhash.keep_one(docs, simhash.COPY_SHINGLE, simhash.COPY_SIMILARITY)
 
 

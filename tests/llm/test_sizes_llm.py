@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from tidemark.llm import quality
+import corpus_pipeline
+from tidemark.llm import quality, simhash
 
 
 def test_threshold_counts_all_labelled_rows(spark):
@@ -17,3 +18,20 @@ def test_threshold_counts_all_labelled_rows(spark):
     rows = spark.createDataFrame([(float(s), int(g)) for s, g in zip(score, good)], "score double, quality int")
     assert quality.calibrate(rows) == want
     assert quality.calibrate(rows.where("quality = 1")) == np.inf and quality.calibrate(rows.limit(0)) == np.inf
+
+
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    seen = []
+    real = simhash.links
+
+    def links(fps, *rest):
+        seen.append(fps.count())
+        return real(fps, *rest)
+
+    monkeypatch.setattr(simhash, "links", links)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(words).upper(), " ".join(words[::-1]), " ".join(words[:230])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert seen and seen[0] <= 4  # different fingerprints of all texts went into the grid
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4]

@@ -16,11 +16,12 @@ pair that a cell would have found has both its fingerprints in the finer one.
 
 Links become groups by alternating large-star and small-star steps over written tables.
 
-With a ``similarity``, texts are linked instead where their sets of shingles have that Jaccard similarity or more. Two bits
+With a ``similarity``, texts are linked where their sets of shingles have that Jaccard similarity or more. Fingerprints, embeddings, grid
+and bit check come first as above, and whole sets confirm what they link: one class from there on. Two bits
 catch near-identical texts only, and a grid wide enough for ordinary near copies prunes next to nothing and still misses
-some, so these pairs are found exactly: sets as similar as t share one of the first n - ceil(t n) + 1 shingles in any common
+some, so what is missing then is found exactly: sets as similar as t share one of the first n - ceil(t n) + 1 shingles in any common
 order (n the size of a set). The order puts shingles that are frequent in a sample last, which saves pairs and changes no result.
-Sets that list the same shingle form a group. First every set of a group meets the group's smallest alone; what that links is one class. Then
+Sets that list the same shingle form a group. First every set of a group meets the group's smallest alone, if it is of another class. Then
 only sets of different classes in a group need to meet, and only where their sizes and the parities of their parts allow the similarity. In a group
 of more than a few this is decided in cells: a large group is cut into bands of sizes and these into blocks, so that any two of its sets
 that may be similar are in one cell, and a cell of two blocks fits a task. A cell first gives no more pairs than connect what may
@@ -193,7 +194,8 @@ def frequent_shingles(texts: DataFrame, shingle: int, sample: int = SAMPLE, most
 
 
 def listed_sets(docs: DataFrame, ids: tuple[str, ...], shingle: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """The ``ids`` columns, fp (a hash of the set of shingles), n (its size), bits (parities of its ``PARTS`` parts) and keys of every row.
+    """The ``ids`` columns, fp (a hash of the set of shingles), sim (the text's fingerprint), n (the set's size), bits (parities of its
+    ``PARTS`` parts) and keys of every row.
 
     keys are the shingles by which a set is found; the shingles ``last`` come last, in their order. ``docs`` has _text.
     """
@@ -210,21 +212,22 @@ def listed_sets(docs: DataFrame, ids: tuple[str, ...], shingle: int, similarity:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(first, 1_000) for x in batches for first in range(0, x.num_rows, 1_000)):
-            fp, sizes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int32)
+            fp, sim, sizes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int32)
             odd, keys = np.zeros((b.num_rows, PARTS), np.uint8), [np.zeros(0, np.int64)]
             for i, t in enumerate(b.column("_text")):
-                s = shingle_set(t.as_py(), shingle)
-                fp[i], sizes[i] = _hash(s), len(s)
+                t = t.as_py()
+                s = shingle_set(t, shingle)
+                fp[i], sim[i], sizes[i] = _hash(s), fingerprint(t), len(s)
                 odd[i] = np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) & 1
                 keys.append(first_keys(s))
             bits = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * (PARTS // 64), pa.int32()), pa.array(np.packbits(odd, axis=1).view(np.int64).reshape(-1)))
             held = pa.ListArray.from_arrays(pa.array(np.cumsum([len(k) for k in keys]), pa.int32()), pa.array(np.concatenate(keys)))
-            arrays = [*b.columns[1:], pa.array(fp.view(np.int64)), pa.array(sizes), bits, held]
-            yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names[1:], "fp", "n", "bits", "keys"])
+            arrays = [*b.columns[1:], pa.array(fp.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(sizes), bits, held]
+            yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names[1:], "fp", "sim", "n", "bits", "keys"])
 
     rows = docs.select("_text", *ids)
     form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{form}, fp long, n int, bits array<long>, keys array<long>")
+    return rows.mapInArrow(run, f"{form}, fp long, sim long, n int, bits array<long>, keys array<long>")
 
 
 def packed(texts: DataFrame) -> DataFrame:
@@ -373,18 +376,19 @@ def met_in_cells(groups: DataFrame, marks: DataFrame, similarity: float, every:
 def similar_links(
     rows: DataFrame, texts: DataFrame, shingle: int, similarity: float, few: int = FEW, block: int = BLOCK
 ) -> DataFrame:
-    """a and b (a < b): links among the different ``fp`` of ``rows`` (tid, fp, n, bits, keys), enough to connect all as similar as
+    """a and b (a < b): links among the different ``fp`` of ``rows`` (tid, fp, sim, n, bits, keys), enough to connect all as similar as
     ``similarity``; ``texts`` are the rows' tid and text.
 
+    What the grid of fingerprints brings together is checked first; only sets of different classes after that meet by shingles.
     Groups are rows, so that none has to fit a task; those of at most ``few`` sets are also lists.
     """
     spark, since = rows.sparkSession, staged_so_far()
-    firsts = [F.first(c).alias(c) for c in ("n", "bits", "keys")]
+    firsts = [F.first(c).alias(c) for c in ("n", "bits", "keys")] + [F.min("sim").alias("sim")]
     marks = staged(rows.groupBy("fp").agg(*firsts, F.min("tid").alias("tid")), "simhash-marks")
     found = marks.select(F.explode("keys").alias("key"), "fp", "n")
-    centre = found.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    shared = staged(found.join(centre, "key"), "simhash-shared")
-    marks = marks.drop("keys")
+    shared = staged(found.join(found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key"), "simhash-shared")
+    sims = marks.select("fp", "sim")
+    marks = marks.drop("keys", "sim")
     alike = lambda k, l: f"least({k}, {l}) >= {similarity} * greatest({k}, {l})"
     kept = []
 
@@ -400,8 +404,18 @@ def similar_links(
         open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
         return staged(rooted.join(open_keys, "key"), "simhash-mixed")
 
-    checked(shared.where("p.fp != fp and " + alike("p.n", "n")).select(F.col("p.fp").alias("a"), F.col("fp").alias("b")).distinct())
+    hubs = staged(sims.groupBy("sim").agg(F.min("fp").alias("hub")), "simhash-hubs")
+    close = links(hubs.select(F.col("sim").alias("fp")))
+    for c in ("a", "b"):
+        close = close.join(hubs.select(F.col("sim").alias(c), F.col("hub").alias(f"_{c}")), c)
+    close = close.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    equal = sims.join(hubs, "sim").where("fp != hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    checked(close.union(equal).distinct())
     mixed = apart(shared)
+    centre = mixed.groupBy("key").agg(F.min(F.struct("fp", "n", "root")).alias("p"))
+    met = mixed.join(centre, "key").where("p.root != root and " + alike("p.n", "n"))
+    checked(met.select(F.col("p.fp").alias("a"), F.col("fp").alias("b")).distinct())
+    mixed = apart(mixed)
     # small groups that many shingles have in common count once
     lists = mixed.where(f"c <= {few}").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "n", "root"))).alias("m"))
     small = lists.select("m").distinct().select("m", F.explode("m").alias("p"))
@@ -454,8 +468,8 @@ def near_duplicates(
 ) -> DataFrame:
     """``ids``, fp, root (a fingerprint that names the group) and component_id (smallest doc_id in the group) of every row.
 
-    Links are fingerprints within 2 bits or, with ``similarity``, sets of shingles of that Jaccard similarity or more; fp is
-    then a hash of the set.
+    Links are fingerprints within 2 bits or, with ``similarity``, sets of shingles of that Jaccard similarity or more, those of
+    fingerprints within 2 bits first; fp is then a hash of the set.
     """
     spark, since = docs.sparkSession, staged_so_far()
     if similarity is None:
