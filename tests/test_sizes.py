@@ -5,8 +5,10 @@ import datetime
 from pyspark.sql import functions as F
 from test_ordered_stream import START, plain
 
-from tidemark.operators import metrics, text
+from tidemark.operators import images, metrics, text
+from tidemark.plans.pixel_queries import gamma_floor
 from tidemark.plans.text_queries import text_fix_html
+from tidemark.session import dealt
 from tidemark.streaming import events
 
 
@@ -33,3 +35,13 @@ def test_users_share_states(spark, tmp_path):
     running.awaitTermination()
     assert running.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 4  # not one a user
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == plain(rows)
+
+
+def test_parts_follow_the_input(spark):
+    n = lambda rows: dealt(spark.range(10), rows, "id").rdd.getNumPartitions()
+    assert n(10) == 4 and n(10_000_000) == 50
+    plane = spark.range(12).select(F.floor(F.col("id") / 100).alias("plane"), (F.col("id") % 4).alias("x"), F.floor(F.col("id") / 4).alias("y"), (F.col("id") * F.col("id")).alias("v"))
+    found = images.laplacian(plane, ("plane",), 1_000_000)
+    assert found.rdd.getNumPartitions() == 25
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, images.laplacian(plane, ("plane",)).collect()))
+    assert "Window" not in gamma_floor(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clamp, half_up
 from tidemark.operators.ranking import group_ranks
+from tidemark.session import dealt
 
 
 def histogram(df: DataFrame, key: str, x: str, bins: int = 256) -> DataFrame:
@@ -86,10 +87,11 @@ def psnr(df: DataFrame, folder: str, file: str, a: str, b: str) -> DataFrame:
     )
 
 
-def laplacian(plane: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def laplacian(plane: DataFrame, by: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
     """``laplacian`` of v at (x, y), of each plane ``by``; a missing neighbour counts as the place itself.
 
-    Every place sends its value to its neighbours, and one aggregation gathers them: one shuffle in place of four joins.
+    Every place sends its value to its neighbours, and one aggregation gathers them: one shuffle in place of four joins. With the number
+    of ``rows`` it goes to as many parts as they ask for.
     """
     near = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
     sent = plane.select("*", F.explode(near).alias("d"))
@@ -97,6 +99,7 @@ def laplacian(plane: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         *by, (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), "v",
         ((F.col("d.dx") == 0) & (F.col("d.dy") == 0)).alias("own"),
     )
+    sent = sent if rows is None else dealt(sent, 5 * rows, *by, "x", "y")
     got = sent.groupBy(*by, "x", "y").agg(
         F.max(F.when(F.col("own"), F.col("v"))).alias("v"),
         F.sum(F.when(~F.col("own"), F.col("v"))).alias("around"),

@@ -10,7 +10,7 @@ from tidemark.plans.common import PX, SEQ, r4, registry
 from tidemark.plans.pixel_queries import _SAT, _a, _b, _back, _byte, _ID, _KEY, _mix, _out, _y, _yuv, _plane
 from tidemark.plans.scenes import scene_detect
 from tidemark.plans.presets import Preset, main, stabilised
-from tidemark.sources.series import events_series, pixels
+from tidemark.sources.series import events_series, pixels, plane_samples, sample_count
 
 QUERIES, ORACLES, query = registry()
 
@@ -148,8 +148,9 @@ o AS (SELECT plane, x, y, {_back(_T[0], *_BOUND)} FROM t) SELECT plane, x, y, or
 def chroma_bound(spark, sf_dir):
     """New colours within a tolerance of the stable ones that follows the luma's texture."""
     grid = [F.min(c).alias(c) for c in ("r", "g", "b", "r2", "g2", "b2")]
-    plane = pixels(spark, sf_dir).groupBy(F.col("s").alias("plane"), (F.col("row_id") % 64).alias("x"), (F.col("p") % 48).alias("y")).agg(*grid)
-    lap = images.laplacian(plane.select("plane", "x", "y", F.floor(x.luma(_a())).alias("v")), ("plane",)).select("plane", "x", "y", "laplacian")
+    plane = plane_samples(spark, sf_dir).groupBy("plane", "x", "y").agg(*grid)
+    v = plane.select("plane", "x", "y", F.floor(x.luma(_a())).alias("v"))
+    lap = images.laplacian(v, ("plane",), sample_count(spark, sf_dir)).select("plane", "x", "y", "laplacian")
     out = x.tolerant_chroma(_a(), _b(), x.chroma_tolerance(F.col("laplacian")))
     return plane.join(lap, ["plane", "x", "y"]).select("plane", "x", "y", *[c.alias(k) for c, k in zip(out, "rgb")])
 

@@ -36,6 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Rows of a part that ``dealt`` makes.
+PART_ROWS = 200_000
+
+
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df`` dealt by columns to parts of about ``PART_ROWS`` of its ``rows``: their number grows with the input, a part doesn't."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)), *by)
+
+
 #: Tables that this driver has staged and not released.
 _TABLES: list[str] = []
 

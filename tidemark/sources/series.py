@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import group_ranks
-from tidemark.session import table
+from tidemark.session import dealt, table
 
 
 def number(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -45,6 +45,19 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sample_count(spark: SparkSession, sf_dir: str) -> int:
+    """How many samples ``pixels`` has."""
+    return table(spark, sf_dir, "lineitem").count()
+
+
+def plane_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples with their place (plane, x, y) on a plane of 64 x 48 for each supplier, dealt by place: one may have several."""
+    placed = pixels(spark, sf_dir).select(
+        F.col("s").alias("plane"), (F.col("row_id") % 64).alias("x"), (F.col("p") % 48).alias("y"), "r", "g", "b", "r2", "g2", "b2"
+    )
+    return dealt(placed, sample_count(spark, sf_dir), "plane", "x", "y")
+
+
 def plane_cells(spark: SparkSession, sf_dir: str, width: int = 128) -> DataFrame:
     """Cells (plane, x, y, v and w) of planes ``width`` wide: the samples of each line in order, as many whole rows as they fill."""
     cells = group_ranks(pixels(spark, sf_dir).select("line", "row_id", "p", "s", "r", "r2"), ["line"], [F.col(c) for c in ("row_id", "p", "s")])
