@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 from test_ordered_stream import START, plain
 
-from tidemark.operators import images, metrics, text
+from tidemark.operators import images, metrics, planes, text
 from tidemark.plans.pixel_queries import gamma_floor
 from tidemark.plans.text_queries import text_fix_html
 from tidemark.session import dealt
@@ -45,3 +45,12 @@ def test_parts_follow_the_input(spark):
     assert found.rdd.getNumPartitions() == 25
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, images.laplacian(plane, ("plane",)).collect()))
     assert "Window" not in gamma_floor(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_resampling_shuffles_a_place_once(spark):
+    cells = spark.range(300 * 200).select((F.col("id") % 2).alias("plane"), (F.floor(F.col("id") / 2) % 150).alias("x"), F.floor(F.col("id") / 300).alias("y"), (F.col("id") % 251).alias("v"))
+    out = planes.resampled(cells, planes.rotation(25.0), side=32)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]  # was four rows a place
+    other = planes.resampled(cells, planes.rotation(25.0), side=500)
+    read = lambda df: sorted((r.plane, r.x, r.y, round(r.v, 6)) for r in df.collect())
+    assert read(out) == read(other) and out.count() == 60_000

@@ -305,11 +305,13 @@ def perspective(moved: list[tuple[float, float]]) -> np.ndarray:
     return np.append(np.linalg.solve(np.array(rows, float), np.array(want, float)), 1).reshape(3, 3)
 
 
-def resampled(cells: DataFrame, matrix: np.ndarray, width: int | None = None, height: int | None = None, outside: str = "zeros") -> DataFrame:
+def resampled(
+    cells: DataFrame, matrix: np.ndarray, width: int | None = None, height: int | None = None, outside: str = "zeros", side: int = 128
+) -> DataFrame:
     """``v`` of planes seen through ``matrix``, ``width`` x ``height`` or as large as they were, between four cells by their distance.
 
-    Each place of the result asks for the four cells around its source; they meet by an equi-join on cells. Beyond the plane there
-    are ``zeros``, its ``border`` goes on, or it is mirrored (``reflection``).
+    Each place of the result goes to the tile of ``side`` x ``side`` cells where its source lies, and each cell to the tiles that it touches;
+    a task holds the cells of one tile while the places stream by. Beyond the plane there are ``zeros``, its ``border`` goes on, or it is mirrored (``reflection``).
     """
     whole = extents(cells)
     size = {c: F.col(c) if given is None else F.lit(given).cast("long") for c, given in (("width", width), ("height", height))}
@@ -331,12 +333,39 @@ def resampled(cells: DataFrame, matrix: np.ndarray, width: int | None = None, he
     if outside != "zeros":
         placed = placed.withColumns({"sx": inside(F.col("sx"), "width"), "sy": inside(F.col("sy"), "height")})
     placed = placed.withColumns({"x0": F.floor("sx"), "y0": F.floor("sy")})
-    dx, dy = F.col("sx") - F.col("x0"), F.col("sy") - F.col("y0")
-    corner = lambda i, j: F.struct((F.col("x0") + i).alias("x"), (F.col("y0") + j).alias("y"), ((dx if i else 1 - dx) * (dy if j else 1 - dy)).alias("part"))
-    asked = placed.select("plane", F.col("x").alias("_x"), F.col("y").alias("_y"), F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("c"))
-    asked = asked.select("plane", "_x", "_y", "c.*")
-    met = asked.join(cells.select("plane", "x", "y", "v"), ["plane", "x", "y"], "left")
-    return met.groupBy("plane", F.col("_x").alias("x"), F.col("_y").alias("y")).agg(F.sum(F.col("part") * F.coalesce(F.col("v").cast("double"), F.lit(0.0))).alias("v"))
+    # what is asked of a source tile meets its cells, and the row and column of cells behind them
+    asked = placed.select("plane", F.floor(F.col("x0") / side).alias("tx"), F.floor(F.col("y0") / side).alias("ty"), "x", "y", "sx", "sy", F.lit(None).cast("double").alias("v"))
+    near = lambda c: F.array_distinct(F.array(F.floor(F.col(c) / side), F.floor((F.col(c) - 1) / side)))
+    held = cells.select("plane", F.explode(near("x")).alias("tx"), "x", "y", "v").withColumn("ty", F.explode(near("y")))
+    nothing = F.lit(None).cast("double")
+    held = held.select("plane", "tx", "ty", "x", "y", nothing.alias("sx"), nothing.alias("sy"), F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v"))
+    both = held.unionByName(asked).repartition("plane", "tx", "ty").sortWithinPartitions("plane", "tx", "ty", F.col("v").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, block = None, np.zeros((side + 1, side + 1))
+        for batch in batches:
+            plane, tx, ty, x, y, sx, sy, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(8))
+            cell = batch.column(7).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(plane) != 0) | (np.diff(tx) != 0) | (np.diff(ty) != 0)) + 1
+            for first, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if first == end:
+                    continue
+                if (tile := (plane[first], tx[first], ty[first])) != own:
+                    own, block = tile, np.zeros((side + 1, side + 1))
+                there = slice(first, first + int(cell[first:end].sum()))  # cells come first
+                block[y[there] - tile[2] * side, x[there] - tile[1] * side] = v[there]
+                want = slice(there.stop, end)
+                if want.start == want.stop:
+                    continue
+                x0, y0 = np.floor(sx[want]), np.floor(sy[want])
+                dx, dy = sx[want] - x0, sy[want] - y0
+                i, j = (np.clip(np.nan_to_num(c - t * side), 0, side - 1).astype(int) for c, t in ((x0, tile[1]), (y0, tile[2])))
+                upper = block[j, i] * (1 - dx) * (1 - dy) + block[j, i + 1] * dx * (1 - dy)
+                made = upper + block[j + 1, i] * (1 - dx) * dy + block[j + 1, i + 1] * dx * dy
+                arrays = [pa.array(np.asarray(c[want], np.int64)) for c in (plane, x, y)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(made)], ["plane", "x", "y", "v"])
+
+    return both.mapInArrow(run, "plane long, x long, y long, v double")
 
 
 def cut_out(cells: DataFrame, holes: list[tuple[float, float]], length: int) -> DataFrame:
