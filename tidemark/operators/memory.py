@@ -30,11 +30,12 @@ def l2_normal(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
 
 
-def top_k(queries: DataFrame, keys: DataFrame, k: int, query_block: int = 2_000, key_block: int = 20_000) -> DataFrame:
+def top_k(queries: DataFrame, keys: DataFrame, k: int, query_block: int = 2_000, key_block: int = 20_000, step: int = 250) -> DataFrame:
     """query_id, key_id, score (dot product) and rank of the k best keys of each query; ties by key.
 
     ``queries`` and ``keys`` have id and vector. Both are dealt by id to blocks of about the given sizes, whose number grows with
-    the data; each pair of blocks is a group that holds its queries and k candidates each, while its keys stream by.
+    the data; each pair of blocks is a group that holds its queries and k candidates each, while its keys stream by,
+    ``step`` at a time: a task holds scores of query_block x step.
     """
     n_q = max(1, -(-queries.count() // query_block))
     n_k = max(1, -(-keys.count() // key_block))
@@ -78,9 +79,9 @@ def top_k(queries: DataFrame, keys: DataFrame, k: int, query_block: int = 2_000,
                     continue
                 if len(asked) > 1:
                     asked = [np.vstack(asked)]
-                for at in range(0, len(own), 2_000):
-                    scores = asked[0] @ vectors[at : at + 2_000].T
-                    cols = np.broadcast_to(own[at : at + 2_000], scores.shape)
+                for at in range(0, len(own), step):
+                    scores = asked[0] @ vectors[at : at + step].T
+                    cols = np.broadcast_to(own[at : at + step], scores.shape)
                     if top is not None:
                         scores, cols = np.hstack([top, scores]), np.hstack([names, cols])
                     top, names = best(scores, cols)
