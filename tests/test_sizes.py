@@ -2,10 +2,11 @@
 
 import datetime
 
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from test_ordered_stream import START, plain
 
-from tidemark.operators import images, metrics, planes, text
+from tidemark.operators import images, memory, metrics, planes, text
 from tidemark.plans.pixel_queries import gamma_floor
 from tidemark.plans.text_queries import text_fix_html
 from tidemark.session import dealt
@@ -54,3 +55,16 @@ def test_resampling_shuffles_a_place_once(spark):
     other = planes.resampled(cells, planes.rotation(25.0), side=500)
     read = lambda df: sorted((r.plane, r.x, r.y, round(r.v, 6)) for r in df.collect())
     assert read(out) == read(other) and out.count() == 60_000
+
+
+def test_few_rows_at_once_in_python(spark):
+    def doubled(items):
+        assert len(items) <= 250, "too many rows at once"
+        return pc.multiply(items, 2)
+
+    rows = [(i, None if i % 9 == 0 else [i] * (i % 2)) for i in range(900)]
+    got = text._mapped(spark.createDataFrame(rows, "i long, v array<long>").coalesce(1), "i", "v", "long", doubled).collect()
+    assert sorted(map(tuple, got)) == [(i, None if v is None else [2 * x for x in v]) for i, v in rows]
+    keys = spark.range(60).select("id", F.array(F.col("id") % 7).alias("vector"))
+    found = memory.top_k(keys.where("id = 20"), keys, 5, step=7).orderBy("rank").collect()
+    assert [r.key_id for r in found] == [6, 13, 20, 27, 34]
