@@ -59,9 +59,14 @@ def collapse_spaces(x: Column) -> Column:
 
 def fix_html(x: Column, closed: bool = False) -> Column:
     """Leftovers of markup and character references undone; with ``closed`` only references that end in a semicolon."""
+    return collapse_spaces(unescaped(undo_leftovers(x), closed))
+
+
+def undo_leftovers(x: Column) -> Column:
+    """Leftovers of markup undone, without character references."""
     for old, new in FIXES:
         x = F.replace(x, F.lit(old), F.lit(new))
-    return collapse_spaces(unescaped(x, closed))
+    return x
 
 
 def unescaped(x: Column, closed: bool = False) -> Column:
@@ -127,6 +132,21 @@ def clean(x: Column, rules: tuple[Rule, ...] = PRE_RULES) -> Column:
     return x
 
 
+#: The steps that rules consist of, where a rule has several.
+STEPS: dict[Rule, tuple[Rule, ...]] = {fix_html: (undo_leftovers, unescaped, collapse_spaces)}
+
+
+def cleaned(df: DataFrame, column: str, rules: tuple[Rule, ...] = PRE_RULES) -> DataFrame:
+    """``df`` with all rules applied to a column in order, as ``clean`` does, each step a column of its own.
+
+    A rule reads its text several times, so within one expression each rule repeats all that come before it; a column is made once.
+    """
+    for rule in rules:
+        for step in STEPS.get(rule, (rule,)):
+            df = df.withColumn(column, step(F.col(column)))
+    return df
+
+
 def split_tokens(x: Column) -> Column:
     """Tokens between single spaces."""
     return F.split(x, " ", -1)
@@ -141,12 +161,10 @@ def mark_caps(tokens: Column) -> Column:
     """``xxup`` before words in capitals, ``xxmaj`` before capitalised ones, everything lower-cased, empty tokens dropped."""
 
     def marked(t: Column) -> Column:
-        cased = (F.lower(t) != t)
-        up = cased & (F.upper(t) == t) & (F.length(t) > 1)
-        major = cased & (F.substring(t, 1, 1) != F.lower(F.substring(t, 1, 1))) & (F.lower(t.substr(F.lit(2), F.length(t))) == t.substr(F.lit(2), F.length(t)))
-        return (
-            F.when(up, F.array(F.lit("xxup"), F.lower(t))).when(major, F.array(F.lit("xxmaj"), F.lower(t))).otherwise(F.array(F.lower(t)))
-        )
+        up = (F.upper(t) == t) & (F.length(t) > 1)
+        major = (F.substring(t, 1, 1) != F.lower(F.substring(t, 1, 1))) & (F.lower(t.substr(F.lit(2), F.length(t))) == t.substr(F.lit(2), F.length(t)))
+        small = F.when(F.lower(t) == t, F.array(t))  # most tokens end here
+        return small.when(up, F.array(F.lit("xxup"), F.lower(t))).when(major, F.array(F.lit("xxmaj"), F.lower(t))).otherwise(F.array(F.lower(t)))
 
     return F.flatten(F.transform(F.filter(tokens, lambda t: t != ""), marked))
 
