@@ -21,6 +21,8 @@ from tidemark.session import staged
 
 SIZE = (256, 256)
 STRIP = 1024
+#: Planes of at most this width are blurred by tiles as wide as they are, of so many rows.
+NARROW, ROWS = 256, 2048
 
 
 def extents(cells: DataFrame) -> DataFrame:
@@ -140,8 +142,12 @@ def gaussian(sigma: float) -> np.ndarray:
     return k / k.sum()
 
 
-def blurred(cells: DataFrame, sigmas: tuple[float, ...], strip: int = STRIP) -> DataFrame:
-    """``v`` and a blur of each sigma (b0, b1, ...): two passes over strips, across and down, for all sigmas together."""
+def blurred(cells: DataFrame, sigmas: tuple[float, ...], strip: int = STRIP, narrow: int = NARROW, whole: DataFrame | None = None) -> DataFrame:
+    """``v`` and a blur of each sigma (b0, b1, ...): across and down, for all sigmas together.
+
+    Planes of at most ``narrow`` cells across need one pass over tiles of whole rows, to which only ``v`` is sent; wider ones take two
+    passes over strips, of which the second is sent all blurs.
+    """
     weights = [gaussian(s) for s in sigmas]
     r = max(len(k) for k in weights) // 2
     names = tuple(f"b{i}" for i in range(len(sigmas)))
@@ -151,18 +157,26 @@ def blurred(cells: DataFrame, sigmas: tuple[float, ...], strip: int = STRIP) ->
         cut = slice(r - len(k) // 2, x.shape[axis] - r + len(k) // 2)
         return _shifted(x[:, cut] if axis else x[cut], len(k), axis, k)
 
+    def both(b: list[np.ndarray], _: dict) -> list[np.ndarray]:
+        wide = np.pad(b[0], ((0, 0), (r, r)), mode="edge")
+        return [b[0][r:-r], *[along(0, along(1, wide, k), k) for k in weights]]
+
     across = lambda b, _: [b[0][:, r:-r], *[along(1, b[0], k) for k in weights]]
     down = lambda b, _: [b[0][r:-r], *[along(0, x, k) for x, k in zip(b[1:], weights)]]
-    whole = extents(cells)
+    whole = staged(extents(cells), "plane-extents") if whole is None else whole
+    widest = whole.agg(F.max("width")).first()[0] or 0
+    if widest <= narrow:
+        return neighbourhood(cells, both, form, (0, r), (max(1, widest), ROWS), whole=whole)
     first = neighbourhood(cells, across, form, (r, 0), (strip, 64), whole=whole)
     return neighbourhood(first, down, form, (0, r), (64, strip), ("v", *names), whole=whole)
 
 
-def retinex(cells: DataFrame, sigmas: tuple[float, ...] = (15.0, 80.0, 250.0), strip: int = STRIP) -> DataFrame:
+def retinex(cells: DataFrame, sigmas: tuple[float, ...] = (15.0, 80.0, 250.0), strip: int = STRIP, narrow: int = NARROW) -> DataFrame:
     """``v``: log of the plane less the log of its blurs, averaged over scales, stretched to 0..255 over the plane."""
     parts = [F.log1p("v") - F.log(F.col(f"b{i}") + 1) for i in range(len(sigmas))]
-    mean = staged(blurred(cells, sigmas, strip).select("plane", "x", "y", (sum(parts[1:], parts[0]) / len(parts)).alias("m")), "retinex")
-    ends = mean.groupBy("plane").agg(F.min("m").alias("lo"), (F.max("m") - F.min("m")).alias("spread"))
+    cells = staged(cells.select("plane", "x", "y", "v"), "plane-cells")  # read for its extents and for its blurs
+    mean = staged(blurred(cells, sigmas, strip, narrow).select("plane", "x", "y", (sum(parts[1:], parts[0]) / len(parts)).alias("m")), "retinex")
+    ends = staged(mean.groupBy("plane").agg(F.min("m").alias("lo"), (F.max("m") - F.min("m")).alias("spread")), "retinex-ends")  # one row a plane
     value = F.when(F.col("spread") > 0, F.floor((F.col("m") - F.col("lo")) / F.col("spread") * 255)).otherwise(0)
     return mean.join(ends, "plane").select("plane", "x", "y", value.cast("long").alias("v"))
 
