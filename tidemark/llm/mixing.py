@@ -129,6 +129,7 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     keyed = docs.select(key.alias("_key"), "doc_id", "source", "text")
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
     wanted = mix(keyed, keep=("_key",)).groupBy("_key").agg(F.sum(times).alias("_t"), F.count("*").alias("_n"))
+    wanted = staged(wanted, "mix-wanted")  # read twice below, so the mix is neither planned nor made twice
     rows = docs.select(key.alias("_key"), F.struct(*docs.columns).alias("_row"))  # whatever the columns are called
     taken = rows.join(wanted.where("_t > 0"), "_key")
     even = taken.where("_t % _n = 0").select("_row", F.expr("_t div _n").alias("_e"))
@@ -198,6 +199,7 @@ def _mix_sized(sized: DataFrame, weights, block, shard, repeats, seed, keep) ->
         F.least("seats", blocks * repeats).cast("long").alias("quota"),
         _hashed(seed, F.col("none"), F.col("source"), F.col("shard")).alias("shift"),
     ).join(seats.select("none", "source", "source_size", "target"), ["none", "source"])
+    quotas = staged(quotas, "mix-quotas")  # one row a shard
     line = Window.partitionBy("none", "source", "shard").orderBy("draw", "doc_id", "size")
     placed = dealt.drop("n_shards").withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(quotas, ["none", "source", "shard"])

@@ -435,6 +435,12 @@ def similar_links(
     return every
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Each edge and its reverse, from one reading: a union would double the plan of whatever builds on it."""
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return edges.select(F.inline(ways))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and root, the smallest node that links reach, for every node of ``edges`` (a, b).
 
@@ -444,14 +450,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = staged(edges.select("a", "b"), "links")
     before = None
     for _ in range(rounds):
-        both = edges.union(edges.select("b", "a"))
+        both = _both_ways(edges)
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: every larger neighbour of a node is linked to the node's least
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a != b").distinct()
         # small star: a node's smaller neighbours, and itself, are linked to the least of them
         down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b")
-        small = small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b")))
+        small = large.join(down, "b").select(F.col("m").alias("c"), F.explode(F.array("b", "a")).alias("b")).withColumnRenamed("c", "a")
         edges = staged(small.where("a != b").distinct(), "links")
         release(spark, since, edges)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
