@@ -1,11 +1,13 @@
 """The numbered operators against plain versions, on awkward rows: nulls, empty and long texts, ties, repeats, no rows."""
 
 import collections
+import gc
 import hashlib
 import math
 import os
 import random
 import re
+import weakref
 import zlib
 
 import duckdb
@@ -13,6 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.llm import chunk_reuse, html_text, huffman, langid, lengths, media, mixing, quality, secrets, simhash, token_output, tokens
 
 DATA = os.environ.get("TIDEMARK_DATA", "/root/testdata/sf0.001")
@@ -930,3 +933,31 @@ def test_pipeline_on_awkward_rows(spark, rows, library, tmp_path):
         assert out.count() == 0
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/no/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}/no").count() == 0
+
+
+# ---- memory of executors
+
+
+def test_near_copies_take_small_batches(spark, monkeypatch):
+    def sizes(batches):
+        yield from (b.from_arrays([[b.nbytes], [b.num_rows]], ["nbytes", "n"]) for b in batches)
+
+    key, seen, staged = "spark.sql.execution.arrow.maxBytesPerBatch", [], simhash.staged
+    before = spark.conf.get(key)
+    texts = spark.range(0, 3000, 1, 1).selectExpr("id doc_id", "repeat(concat(id, ' '), 2000) text")
+    with session.small_batches(spark):
+        got = texts.mapInArrow(sizes, "nbytes long, n long").collect()
+    assert sum(r.n for r in got) == 3000 and max(r.nbytes for r in got) <= 2 * session.BATCH_BYTES
+    monkeypatch.setattr(simhash, "staged", lambda df, *a: seen.append(spark.conf.get(key)) or staged(df, *a))
+    simhash.near_duplicates(texts.limit(20), similarity=0.8).collect()
+    assert seen[0] == str(session.BATCH_BYTES) and spark.conf.get(key) == before
+
+
+def test_workers_forget_encoders():
+    enc = tokens.encoder(tokens.default_path())
+    assert enc.decode(enc.encode("some words")) == b"some words"
+    held = weakref.ref(enc)
+    del enc
+    tokens.forget_encoders()
+    gc.collect()
+    assert held() is None

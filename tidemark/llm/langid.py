@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.llm.tokens import forget_encoders
 from tidemark.session import release, staged, staged_so_far
 
 DIMS, ROWS, EPOCHS, SEED = 1 << 15, 3000, 3, 42
@@ -141,6 +142,7 @@ def train(docs: DataFrame, rows: int = ROWS, seed: int = SEED) -> Model:
     since = staged_so_far()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         df, n = np.zeros(DIMS, np.int64), 0
         names = ["lang", "doc_id", "used", "counts", "row"]
         kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
@@ -213,6 +215,7 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for b in batches:
             texts = pc.cast(pc.struct_field(b.column(0), [at]), pa.string())
             found = [model.predict(t.as_py()) for t in texts]

@@ -50,7 +50,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.mixing import row_key
-from tidemark.session import release, staged, staged_so_far
+from tidemark.llm.tokens import forget_encoders
+from tidemark.session import release, small_batches, staged, staged_so_far
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: A cell with more possible pairs is gridded again, finer.
@@ -211,6 +212,7 @@ def listed_sets(docs: DataFrame, ids: tuple[str, ...], shingle: int, similarity:
         return s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for b in (x.slice(first, 1_000) for x in batches for first in range(0, x.num_rows, 1_000)):
             fp, sim, sizes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int32)
             odd, keys = np.zeros((b.num_rows, PARTS), np.uint8), [np.zeros(0, np.int64)]
@@ -479,12 +481,15 @@ def near_duplicates(
     spark, since = docs.sparkSession, staged_so_far()
     if similarity is None:
         rows = staged(fingerprints(docs, text, ids, shingle), "fingerprints")
+        nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+        roots = components(links(nodes.select("fp")))
     else:
         known = docs.select(*ids, F.col(text).cast("string").alias("_text")).withColumn("tid", F.xxhash64("_text"))
         texts = known.select("tid", F.col("_text").alias("text"))
-        rows = staged(listed_sets(known, (*ids, "tid"), shingle, similarity, frequent_shingles(texts, shingle)), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp")) if similarity is None else similar_links(rows, texts, shingle, similarity))
+        with small_batches(spark):
+            rows = staged(listed_sets(known, (*ids, "tid"), shingle, similarity, frequent_shingles(texts, shingle)), "fingerprints")
+            nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+            roots = components(similar_links(rows, texts, shingle, similarity))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     named = named.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     low = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -10,11 +10,12 @@ whole texts. Hence ids always equal the library's.
 from __future__ import annotations
 
 import array
+import ctypes
 import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -189,8 +190,7 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array(self.code, e.ids).tobytes() for e in found]
 
-    @property
-    @lru_cache(maxsize=1)  # noqa: B019
+    @cached_property
     def pieces(self) -> list[bytes]:
         """The bytes of each id: a vocabulary entry spells bytes with one printable character each."""
         spelt = {c: b for b, c in self.spelling.items()}
@@ -211,6 +211,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget_encoders() -> None:
+    """Drop the encoders that earlier tasks left in this Python worker, with all they have learnt, and return what is free to the system.
+
+    Workers outlive their tasks; a task of another kind that needs its memory begins with this.
+    """
+    encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Successive parts of a batch with about ``most`` bytes of a column, one row at least: what Python holds at a time."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
