@@ -5,7 +5,7 @@
 2. ``extensions`` grows phrases by a word: their bitmap is shifted by a position, bits at the start of a piece are cleared,
    and the rest is ANDed with the bitmap of every word that has a bit in the same byte; set bits are counted. It runs
    depth-first: the phrases of a batch of first words are grown to their full length before the next batch.
-3. Counts are summed over shards: first of words and pairs, then of longer phrases, which only grow from pairs that are
+3. Counts are summed over shards, in parts whose number grows with the words: first of words and pairs, then of longer phrases, which only grow from pairs that are
    frequent over all shards. Shards know these from a bit table of fixed size (``FILTER`` bits), which can only let
    more through; exact counts decide.
 
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.sealed import names_in, names_out, narrow, opened, seal
-from tidemark.llm.tokens import slices
-from tidemark.session import staged
+from tidemark.llm.tokens import forget_encoders, slices, trim
+from tidemark.session import dealt, small_batches, staged
 
 SHARD, SEGMENT, HELD = 8_000_000, 1_000_000, 16_000_000
 #: Bits of the table of frequent pairs, a power of two.
@@ -36,6 +36,8 @@ FILTER = 1 << 26
 LEAST, COVERED, BEST = 10, 50, 2000
 #: Bytes of bitmaps of first words that are grown at a time.
 BATCH = 100_000
+#: Words that count as a row in ``dealt``: a part sums the phrases of about 2,000,000 words.
+WORDS_A_ROW = 10
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes(10 if b in _ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -52,28 +54,38 @@ def _segments(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """The words, ends of pieces and gaps of texts by number, and what the numbers stand for."""
+    flat = pa.array([b"\n".join(texts).translate(_FOLD).replace(b"\n", b" \n ")], pa.large_binary())
+    found = pc.split_pattern(flat, " ").flatten().dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
 def _shard(lang: str, texts: list[bytes]) -> pa.RecordBatch | None:
     """The bitmaps of one shard."""
-    flat = b"\n".join(texts).translate(_FOLD).replace(b"\n", b" \n ")
-    found = pc.split_pattern(pa.array([flat], pa.large_binary()), " ").flatten().dictionary_encode()
-    ids, names = found.indices.to_numpy(), found.dictionary
+    ids, names = _numbered(texts)
     end, gap = (pc.index(names, pa.scalar(x, pa.large_binary())).as_py() for x in (b"\n", b""))
     real = (ids != end) & (ids != gap)
-    piece, used = np.cumsum(ids == end)[real], np.unique(ids[real])
+    piece = np.cumsum(ids == end, dtype=np.int32)[real]
+    ids = ids[real]
+    used = np.flatnonzero(np.bincount(ids, minlength=1))
     if not len(used):
         return None
-    word = np.searchsorted(used, ids[real])
+    number = np.zeros(len(names), np.int32)
+    number[used] = np.arange(len(used))
+    word = number[ids]
     start = np.ones(len(word), bool)
     start[1:] = piece[1:] != piece[:-1]
-    position = np.argsort(word, kind="stable")
-    place = position >> 3
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(word[position]) != 0) | (np.diff(place) != 0)]))
-    bits = np.bitwise_or.reduceat((1 << (position & 7)).astype(np.uint8), first)
+    del ids, real, piece
+    position = np.argsort(word, kind="stable").astype(np.int32)
+    word, place = word[position], position >> 3
+    first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (place[1:] != place[:-1])])).astype(np.int32)
+    bits = np.bitwise_or.reduceat(np.left_shift(np.uint8(1), (position & 7).astype(np.uint8)), first)
     starts = np.append(np.packbits(start, bitorder="little"), np.uint8(0))
     if len(word) % 8:
         starts[-2] |= (0xFF << len(word) % 8) & 0xFF
     starts[-1] = 0xFF  # nothing follows the last word
-    words, each = names.take(pa.array(used)), np.bincount(word[position[first]], minlength=len(used))
+    words, each = names.take(pa.array(used)), np.bincount(word[first], minlength=len(used))
     row = [lang, len(word), seal(*names_out(words)), seal(narrow(each), narrow(place[first]), bits, starts)]
     kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [c.split()[0] for c in _FORM.split(", ")])
@@ -89,9 +101,11 @@ def bitmaps(docs: DataFrame, shard: int = SHARD, held: int = HELD) -> DataFrame:
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
             size.pop(lang)
             made = _shard(lang, kept.pop(lang))
+            trim()
             if made is not None:
                 yield made
 
+        forget_encoders()
         for b in batches:
             for rows in slices(b, "text"):
                 for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist()):
@@ -107,7 +121,8 @@ def bitmaps(docs: DataFrame, shard: int = SHARD, held: int = HELD) -> DataFrame:
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     rows = docs.select(lang, F.col("text").cast("string").alias("text")).where("text is not null")
-    return staged(rows.mapInArrow(run, _FORM), "position-bitmaps", "uncompressed")
+    with small_batches(docs.sparkSession):
+        return staged(rows.mapInArrow(run, _FORM), "position-bitmaps", "uncompressed")
 
 
 class _Shard:
@@ -208,12 +223,16 @@ def phrase_counts(shards: DataFrame, size: int, table: bytes | None = None) -> D
                 yield rows(s, [p[one] for p in path], n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for b in batches:
             for lang, words, packed in zip(b.column("lang"), b.column("words"), b.column("bitmaps")):
                 yield from grow(_Shard(lang.as_py(), words.as_py(), packed.as_py()))
+                trim()
 
     made = shards.drop("n").mapInArrow(run, "lang string, phrase string, f long")
-    return made.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    words = shards.agg(F.sum("n")).first()[0] or 0
+    # A shard has each phrase once, so summing before the shuffle would hold a task's phrases in memory and merge few of them.
+    return dealt(made, words // WORDS_A_ROW, "lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def pair_table(pairs: DataFrame, bits: int = FILTER) -> bytes:
@@ -238,9 +257,10 @@ def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, be
     """lang, rank, phrase, a, l, r, n and score of each language's best phrases of two and three words."""
     shards = bitmaps(docs)
     frequent = F.col("f") >= least
-    short = staged(phrase_counts(shards, 2).where(frequent), "phrase-counts")
-    pairs = short.where("phrase like '% %'")  # words have no space
-    triples = staged(phrase_counts(shards, 3, pair_table(pairs)).where(frequent), "phrase-counts")
+    with small_batches(docs.sparkSession):  # a shard at a time
+        short = staged(phrase_counts(shards, 2).where(frequent), "phrase-counts")
+        pairs = short.where("phrase like '% %'")  # words have no space
+        triples = staged(phrase_counts(shards, 3, pair_table(pairs)).where(frequent), "phrase-counts")
     found = pairs.unionByName(triples)
 
     parts = F.split("phrase", " ")

@@ -211,15 +211,20 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def trim() -> None:
+    """Return what is free to the system."""
+    pa.default_memory_pool().release_unused()
+    if given := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        given(0)
+
+
 def forget_encoders() -> None:
     """Drop the encoders that earlier tasks left in this Python worker, with all they have learnt, and return what is free to the system.
 
     Workers outlive their tasks; a task of another kind that needs its memory begins with this.
     """
     encoder.cache_clear()
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
-        trim(0)
+    trim()
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
